@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import neardup, repeats
+from . import decontaminate, neardup, packing, repeats, store
 
 
 def queries() -> dict:
     return {
+        "op4_content_addressed_store": store.query,
         "op6_suffix_array_dedup": repeats.query,
         "op7_minhash_near_dedup": neardup.query,
+        "op9_benchmark_decontamination": decontaminate.query,
+        "op10_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_near_dedup": neardup.SQL}
+    return {"op7_minhash_near_dedup": neardup.SQL, "op9_benchmark_decontamination": decontaminate.SQL}
