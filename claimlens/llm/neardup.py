@@ -9,15 +9,17 @@ symbol of each chunk find every pair under that distance (15 of 32).  A pair of
 over the distance still has such a chunk but for a chance of 2.2e-5.  Pairs whose whole signatures differ
 in more than MOST_DIFFERENT symbols of 64 are dropped (a chance of 3e-7 at 0.75); all others are confirmed exactly.
 
-No group's pairs are all listed.  Every member of a key's bucket is paired with the bucket's first member, and
-confirmed links make components; then only pairs across components that still share a bucket are confirmed,
-so that components are those of all links.
+No group's pairs are all listed.  Every member of a key's bucket is paired with the bucket's head, the class that
+shares most keys with others, and confirmed links make components.  Buckets that still hold several components
+are then compared in full, block by block and with one product of shingle matrices for a pair of blocks, so that
+components are those of all links; a task gives at most one link for any two components that it puts together.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, fields, per_batch, remove, to_batch, tune, written
+from .common import LOWER, as_bytes, fields, parts, per_batch, remove, to_batch, tune, written
 from .links import components
 
 SHINGLE = 5
@@ -34,6 +36,8 @@ SYMBOLS, INDEXED, CHUNK, BITS = 64, 32, 4, 16
 CHUNKS = INDEXED // CHUNK
 #: 64 * 0.25 symbols differ on average at similarity 0.75, with a deviation of 3.5.
 MOST_DIFFERENT = 33
+#: Classes of a bucket in a block, and shingles compared at once, where blocks are compared in full.
+BLOCK, COLUMNS = 1024, 2048
 
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,6 +102,56 @@ def _differences(a: str, b: str) -> F.Column:
     return out
 
 
+def _sizes(a: str, b: str) -> F.Column:
+    """Whether sets of these sizes can be similar enough."""
+    part, whole = SIMILAR
+    return whole * F.least(a, b) >= part * F.greatest(a, b)
+
+
+def _blocked(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and pair of blocks: exact links between different components within each."""
+    rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "cls", "comp")), as_bytes(batch.column("text"))))
+    for (_, i, j), lot in groupby(rows, key=lambda r: r[:3]):
+        lot = list(lot)
+        comp = np.array([r[5] for r in lot])
+        if (comp == comp[0]).all():
+            continue
+        sets = [shingles(r[6]) for r in lot]
+        sizes = np.array([len(s) for s in sets])
+        _, item, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        number = np.cumsum(uses > 1) - 1  # only shingles that two sets have
+        keep = uses[item] > 1
+        owner, item = owner[keep], number[item[keep]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(item, kind="stable")
+        owner, item = owner[order], item[order]
+        for at in range(0, int(item[-1]) + 1 if len(item) else 0, COLUMNS):
+            low, high = np.searchsorted(item, (at, at + COLUMNS))
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[owner[low:high], item[low:high] - at] = 1
+            both += has @ has.T
+        part, whole = SIMILAR
+        linked = (whole * both >= part * (sizes[:, None] + sizes[None, :] - both)) & (comp[:, None] != comp[None, :])
+        a, b = np.nonzero(np.triu(linked, 1))
+        joined: dict[int, int] = {}  # components that this lot has put together already
+
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        out: tuple[list, list] = ([], [])
+        for x, y in zip(a.tolist(), b.tolist()):
+            u, v = root(int(comp[x])), root(int(comp[y]))
+            if u != v:
+                joined[max(u, v)] = min(u, v)
+                out[0].append(lot[x][4])
+                out[1].append(lot[y][4])
+        if out[0]:
+            yield to_batch({"a": out[0], "b": out[1]}, arrow)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by b, whose set is kept from row to row."""
     last, held = None, np.zeros(0, np.uint64)
@@ -132,18 +186,22 @@ def near_groups(documents: DataFrame) -> DataFrame:
     tune(spark)
     rows = documents.select("doc_id", "text", F.lit(0).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     signed = written(per_batch(rows, "row int, mark bigint, doc_id bigint, n_shingles bigint, cls bigint, sig array<bigint>", _sign), "signed")
-    classes = written(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.min(F.struct("doc_id", "mark")).alias("home")), "classes")
+    classes = written(signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min(F.struct("doc_id", "mark")).alias("home")), "classes")
 
     masks = [~(0xFFFF << BITS * j) & (1 << 64) - 1 for j in range(CHUNK)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.xxhash64(F.lit(c * CHUNK + j), F.col("sig")[c].bitwiseAND(F.lit(m))) for c in range(CHUNKS) for j, m in enumerate(masks)))
     buckets = classes.select("cls", F.explode(keys).alias("key"))
-    firsts = buckets.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("key", "a")
-    shared = written(buckets.join(firsts, "key"), "buckets")  # only of keys that several classes have
+    crowds = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("key", "n")
+    crowded = written(buckets.join(crowds, "key"), "buckets")  # only of keys that several classes have
+    # A text whose copies were changed here and there is in the largest buckets with all its keys, a copy with some.
+    central = crowded.groupBy("cls").agg(F.sum("n").alias("weight"))
+    heads = crowded.join(central, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("x")).select("key", F.col("x.cls").alias("a"))
+    shared = written(crowded.select("key", "cls").join(heads, "key"), "headed")
 
     def close(pairs: DataFrame) -> DataFrame:
-        one, two = (classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        return pairs.join(one, "a").join(two, "b").select("a", "b", _differences("sig_a", "sig_b").alias("far")).where(F.col("far") <= MOST_DIFFERENT)
+        one, two = (classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+        return pairs.join(one, "a").join(two, "b").where(_sizes("n_a", "n_b")).select("a", "b", _differences("sig_a", "sig_b").alias("far")).where(F.col("far") <= MOST_DIFFERENT)
 
     stars = written(close(shared.where("cls <> a").select("a", F.col("cls").alias("b")).distinct()), "stars")
     known = shared.select("cls").distinct()
@@ -167,16 +225,18 @@ def near_groups(documents: DataFrame) -> DataFrame:
     rest = across(stars.select("a", "b").join(nearest, ["a", "b"], "left_anti"), comps)
     comps = merged(comps, confirmed(rest, texts), "comps")
 
-    # What is left: classes of several components in one bucket, neither of which is the bucket's first.
+    # What is left: classes of several components in one bucket, neither of which is the bucket's head.
     at = comps.select(F.col("node").alias("cls"), "comp")
     placed = shared.join(at, "cls", "left").select("key", "a", "cls", F.coalesce("comp", "cls").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    mixed = written(placed.where("cls <> a").join(split, "key").join(classes.select("cls", "sig"), "cls"), "mixed")
-    x = mixed.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sig_a"))
-    y = mixed.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sig_b"))
-    left = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_differences("sig_a", "sig_b") <= MOST_DIFFERENT)).select("a", "b").distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    comps = merged(comps, confirmed(left.join(tested, ["a", "b"], "left_anti"), texts), "comps")
+    mixed = written(placed.where("cls <> a").join(split, "key").select("key", "cls", "comp"), "mixed")
+    blocks = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    lots = mixed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    lots = lots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lots = lots.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp").join(texts, "cls")
+    arrow = fields("a bigint, b bigint", spark)
+    dealt = lots.repartition(parts(documents), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    comps = merged(comps, written(dealt.mapInArrow(lambda b: _blocked(b, arrow), "a bigint, b bigint"), "confirmed"), "comps")
     remove(spark, mixed)
     remove(spark, texts)
 

@@ -72,14 +72,19 @@ def merkle(leaves: list[bytes]) -> bytes:
     return digest(b"\0" + level[0])
 
 
+@lru_cache(maxsize=1)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(ids: np.ndarray) -> bytes:
     """A chunk's payload: two bytes an id if they suffice, else four; then zstd."""
     narrow = int(ids.max()) < 1 << 16
-    return (b"\2" if narrow else b"\4") + zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2" if narrow else "<u4").tobytes())
+    return (b"\2" if narrow else b"\4") + _codec()[0].compress(ids.astype("<u2" if narrow else "<u4").tobytes())
 
 
 def unpacked(payload: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload[1:]), "<u2" if payload[0] == 2 else "<u4").astype("<u4")
+    return np.frombuffer(_codec()[1].decompress(payload[1:]), "<u2" if payload[0] == 2 else "<u4").astype("<u4")
 
 
 def checked(name: bytes, payload: bytes) -> np.ndarray:
