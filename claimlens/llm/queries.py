@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, packing, repeats, store
+from . import decontaminate, language, masked, neardup, neighbours, packing, repeats, rules, store, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language.query,
+        "op2_toxicity": toxicity.query,
+        "op3_quality_classifier": neighbours.query,
         "op4_content_addressed_store": store.query,
+        "op5_quality_rules": rules.query,
         "op6_suffix_array_dedup": repeats.query,
         "op7_minhash_near_dedup": neardup.query,
+        "op8_lm_scoring": masked.query,
         "op9_benchmark_decontamination": decontaminate.query,
         "op10_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_near_dedup": neardup.SQL, "op9_benchmark_decontamination": decontaminate.SQL}
+    return {
+        "op5_quality_rules": rules.SQL,
+        "op7_minhash_near_dedup": neardup.SQL,
+        "op9_benchmark_decontamination": decontaminate.SQL,
+    }
