@@ -111,6 +111,17 @@ def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[
     return df.mapInArrow(run, schema)
 
 
+def filtered(df: DataFrame, keeps: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows of df that keeps, which gets whole batches, says to keep; all columns as they are, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keeps(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def to_batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -227,6 +227,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents whose doc_id no contaminated row has, with all their columns; rows without doc_id stay."""
+    dirty = contamination(documents, benchmark).where("contaminated").select("doc_id").distinct()
+    return documents.join(dirty, "doc_id", "left_anti").select(documents.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -247,6 +247,13 @@ def near_groups(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "mark", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def keep_firsts(documents: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: that of its smallest doc_id; of rows with equal doc_id and text, one."""
+    kept = near_groups(documents).where("kept").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
+    marked = documents.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept")

@@ -39,7 +39,7 @@ def features(text: bytes) -> np.ndarray:
     )
     facts = np.zeros(FACTS, np.float32)
     for i, share in enumerate(shares):
-        facts[8 * i + min(7, int(8 * share))] = 3.0
+        facts[8 * i + min(7, int(8 * share))] = 6.0
     if len(words) < 10:
         facts[40 + len(words) % 8] += 1.0
     grams = np.sqrt(counts(text))

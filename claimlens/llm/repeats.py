@@ -271,7 +271,7 @@ def _cut(window: int):
         for i, at, _, _, hi, lo in found_segments([texts[i] for i in busy], window):
             spans = wanted[busy[i]].get((hi, lo), ())
             covered[busy[i]] += [(at + a, at + b + window) for a, b in zip(spans[::2], spans[1::2])]
-        out: dict[str, list] = {k: [] for k in ("k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        out: dict[str, list] = {k: [] for k in ("k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
         for i, text in enumerate(texts):
             kept, spans, at = [], 0, 0
             for a, b in sorted(covered[i]):
@@ -280,7 +280,7 @@ def _cut(window: int):
                     spans += 1
                 at = max(at, b)
             rest = b"".join([*kept, text[at:]])
-            for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(rest)), ("n_spans", spans), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("kept", rest)):
+            for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(rest)), ("n_spans", spans), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("kept_text", rest.decode("utf-8", "ignore"))):
                 out[k].append(v)
         out["k1"], out["k2"] = batch.column("k1"), batch.column("k2")
         return out
@@ -289,7 +289,10 @@ def _cut(window: int):
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """One row per row of documents: all its columns, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if asked for."""
+    """One row per row of documents: all its columns, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With keep_text also kept_text in place of text: what is left, without characters that were cut through.
+    """
     spark = documents.sparkSession
     tune(spark)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -336,10 +339,9 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
     whole = one.where("n > 1").select("anchor", "hi", "lo", F.array(F.lit(0), (F.col("size") - window)).alias("marks"))
     marks = shards.where("reach < 0 and size(marks) > 0").select("anchor", "hi", "lo", "marks").unionByName(merged).unionByName(whole)
     held = again.select("anchor", "hi", "lo", "k1", "k2").join(marks, ["anchor", "hi", "lo"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("hi", "lo", "marks")).alias("found"))
-    cut = per_batch(texts.select("k1", "k2", "text").join(held, ["k1", "k2"], "left"), "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary", _cut(window))
-    cut = written(cut if keep_text else cut.drop("kept"), "cut")
-    ids = keyed if keep_text else keyed.drop("text")
-    out = ids.join(cut.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"]).drop("_k1", "_k2")
+    cut = per_batch(texts.select("k1", "k2", "text").join(held, ["k1", "k2"], "left"), "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string", _cut(window))
+    cut = written(cut if keep_text else cut.drop("kept_text"), "cut")
+    out = keyed.drop("text").join(cut.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"]).drop("_k1", "_k2")
     spark.sql(f"DROP TABLE {name}")
     return out
 

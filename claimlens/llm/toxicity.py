@@ -22,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, fields, per_batch, remainder, to_batch, tune
+from .common import as_texts, fields, filtered, per_batch, remainder, to_batch, tune
 from .vectors import labelled
 
 #: Labelled rows drawn; entries kept; least share of toxic rows with an entry; counted entries a task holds.
-LABELLED, ENTRIES, LEAST_SHARE, HELD = 16_000, 4000, 0.004, 200_000
+LABELLED, ENTRIES, LEAST_SHARE, HELD = 16_000, 6000, 0.004, 200_000
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Log odds from which an entry is of strength 0, 1, 2.
-STRENGTHS = (1.5, 2.5, 4.0)
+STRENGTHS = (0.8, 2.0, 3.5)
+#: Shares of a text's words that its entries of a kind may be, and the given label's votes.
+DENSE, ANNOTATORS = (0.005, 0.015), 1
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -85,21 +87,32 @@ def lexicon(rows: DataFrame, toxic: int, total: int) -> dict[tuple[int, str], fl
     return {e: odds[e] for e in best}
 
 
-def votes(text: str, known: dict[tuple[int, str], float]) -> tuple[list[int], list[tuple[int, str]]]:
-    """The voters' votes on a text, and its lexicon entries."""
-    found = sorted(entries(text) & known.keys())
+def votes(text: str, known: dict[tuple[int, str], float]) -> tuple[list[int], list[float]]:
+    """The voters' votes on a text, and the classifier's other inputs: how dense and how strong its entries are."""
+    words = Counter(_WORD.findall(text.lower()))
     kinds = (0, *BEGINNINGS)
-    out = [0] * (len(kinds) * len(STRENGTHS))
-    for e in found:
-        strength = sum(known[e] >= s for s in STRENGTHS) - 1
-        out[kinds.index(e[0]) * len(STRENGTHS) + strength] = 1
-    return out + _patterns(text), found
-
-
-def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Voters' chance of a vote on either class, their weights for correlation, and the class share, from votes alone."""
-    strong = v.sum(1)
-    q = np.where(strong > 0, np.clip(strong / max(1, np.quantile(strong[strong > 0], 0.75) if (strong > 0).any() else 1), 0.05, 0.95), 0.02)
+    hits = [[0] * len(STRENGTHS) for _ in kinds]
+    most = 0.0
+    for w, n in words.items():
+        for row, k in zip(hits, kinds):
+            odds = known.get((k, w[:k] if k else w)) if not k or len(w) > k else None
+            if odds is not None:
+                row[sum(odds >= s for s in STRENGTHS) - 1] += n
+                most = max(most, odds)
+    total = max(1, words.total())
+    dense = [sum(row) / total for row in hits]
+    out = [int(n > 0) for row in hits for n in row]
+    out += [int(sum(row) > 1) for row in hits] + [int(d >= least) for d in dense for least in DENSE]
+    told = [min(1.0, 20 * d) for d in dense] + [math.log1p(row[-1]) / 3 for row in hits] + [most / 5, math.log1p(total) / 10]
+    return out + _patterns(text), told
+
+
+def label_model(v: np.ndarray, prior: float, first: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Voters' chance of a vote on either class, their weights for correlation, posterior labels, and the class share.
+
+    Expectation-maximisation over the votes v from a first guess of the labels.
+    """
+    q = np.clip(first, 0.02, 0.98)
     weight, share = np.ones(v.shape[1]), prior
     for _ in range(rounds):
         on = np.stack([((1 - q) @ v + 0.5) / ((1 - q).sum() + 1), (q @ v + 0.5) / (q.sum() + 1)])
@@ -109,6 +122,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
         deviation = np.sqrt((rest**2).mean(0)) + 1e-6
         together = np.abs((rest / deviation).T @ (rest / deviation) / len(v))
         weight = 1 / np.maximum(1, together.sum(1))
+        weight[-ANNOTATORS:] = 1
         logit = math.log(share / (1 - share)) + v @ (weight * np.log(on[1] / on[0])) + (1 - v) @ (weight * np.log((1 - on[1]) / (1 - on[0])))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         share = float(np.clip(q.mean(), 0.5 * prior, 2 * prior))
@@ -126,42 +140,45 @@ def logistic(x: np.ndarray, q: np.ndarray, rounds: int = 300, rate: float = 0.5,
     return w
 
 
-def _inputs(v: list[int], found: list[tuple[int, str]], known: dict[tuple[int, str], float]) -> list[float]:
-    n = len(found)
-    return [*v, min(n, 10) / 10, float(n > 0), max((known[e] for e in found), default=0.0) / 5]
-
-
 def fit(rows: DataFrame) -> dict:
     """The model from text and label of at most LABELLED rows."""
     tune(rows.sparkSession)
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, total = sizes.get(1, 0), sum(sizes.values())
     if not toxic or toxic == total:
-        return {"known": {}, "weights": np.array([0.0] * (len(STRENGTHS) * (1 + len(BEGINNINGS)) + 6) + [5.0 if toxic else -5.0])}
+        return {"known": {}, "weights": np.array([0.0] * sum(map(len, votes("", {}))) + [5.0 if toxic else -5.0])}
     known = lexicon(rows, toxic, total)
     sent = rows.sparkSession.sparkContext.broadcast(known)
 
     def vote(batch: pa.RecordBatch) -> dict[str, list]:
         told = [votes(t, sent.value) for t in as_texts(batch.column("text"))]
-        return {"votes": [v for v, _ in told], "inputs": [_inputs(v, f, sent.value) for v, f in told]}
+        return {"votes": [v for v, _ in told], "inputs": [[*v, *f] for v, f in told], "label": batch.column("label")}
 
-    told = per_batch(rows, "votes array<int>, inputs array<float>", vote).collect()
-    v = np.array([r["votes"] for r in told], np.float64)
-    _, _, q, _ = label_model(v, toxic / total)
+    told = per_batch(rows, "votes array<int>, inputs array<float>, label int", vote).collect()
+    # The given label is one more voter, whose accuracy is estimated like any other's.
+    v = np.array([[*r["votes"], *[r["label"]] * ANNOTATORS] for r in told], np.float64)
+    _, _, q, _ = label_model(v, toxic / total, v[:, -1])
     return {"known": known, "weights": logistic(np.array([r["inputs"] for r in told], np.float32), q)}
 
 
+def _scores(batch: pa.RecordBatch, model: dict) -> np.ndarray:
+    known = model["known"]
+    x = np.array([[*v, *f, 1.0] for v, f in (votes(t, known) for t in as_texts(batch.column("text")))])
+    return 1 / (1 + np.exp(-x @ model["weights"]))
+
+
 def score(documents: DataFrame, model: dict) -> DataFrame:
     """doc_id and score of every row."""
     tune(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
+    return per_batch(documents.select("doc_id", "text"), "doc_id bigint, score double", lambda b: {"doc_id": b.column("doc_id"), "score": _scores(b, sent.value).tolist()})
 
-    def work(batch: pa.RecordBatch) -> dict[str, list]:
-        known, w = sent.value["known"], sent.value["weights"]
-        x = np.array([[*_inputs(*votes(t, known), known), 1.0] for t in as_texts(batch.column("text"))])
-        return {"doc_id": batch.column("doc_id"), "score": (1 / (1 + np.exp(-x @ w))).tolist()}
 
-    return per_batch(documents.select("doc_id", "text"), "doc_id bigint, score double", work)
+def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of documents that score below THRESHOLD, with all their columns."""
+    model = fit(labelled(documents, labels, "toxic", FOLDS, HELD_OUT, LABELLED))
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    return filtered(documents, lambda b: (_scores(b, sent.value) < THRESHOLD).tolist())
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
