@@ -72,9 +72,9 @@ def plan_bytes(df: DataFrame) -> int:
 
 def parts(df: DataFrame, per: int = PARTITION_BYTES) -> int:
     """Partitions for rows of df's size, no fewer than the session's shuffle partitions."""
-    most = 1 << 20
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(most, math.ceil(plan_bytes(df) / per)))
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    # Rows that aren't of files have no size that Spark knows of; it then says some huge number.
+    return least if size > 1 << 60 else max(least, min(100_000, math.ceil(size / per)))
 
 
 def remainder(column: str, modulus: int) -> F.Column:

@@ -36,7 +36,8 @@ def suffix_array(data: np.ndarray, heads: np.ndarray | None = None) -> np.ndarra
     while len(open_at):
         suffix = order[open_at]
         later = suffix + h
-        follow = np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
+        # Suffixes that end within h bytes are smaller than the others, and the shorter the smaller.
+        follow = np.where(later < n, rank[np.minimum(later, n - 1)] + n + 1, n - suffix)
         key = (rank[suffix].astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
         by = np.argsort(key, kind="stable")
         suffix, key = suffix[by], key[by]
