@@ -16,7 +16,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count, repeat
+from itertools import chain, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -186,12 +186,13 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
     """
     spark = documents.sparkSession
     tune(spark)
-    slices = list(_slices(benchmark)) if benchmark.count() * WINDOW < SLICE_WORDS else None
-    one = slices is not None and len(slices) == 1
-    terms = {w for _, words in slices[0] for w in words} if one else None
-    segments = index(documents, terms)
+    slices = _slices(benchmark)
+    ahead = list(islice(slices, 2))
+    one = len(ahead) == 1
+    # With one slice, postings of other terms than the slice's are never asked for, and aren't stored.
+    segments = index(documents, {w for _, words in ahead[0] for w in words} if one else None)
     found = []
-    for items in slices if slices is not None else _slices(benchmark):
+    for items in chain(ahead, slices):
         names = ["null" if i is None else str(i) for i, _ in items]
         known = frequencies(segments, {w for _, words in items for w in words})
         plan = spark.sparkContext.broadcast((_rarest_first(items, known, window), names))

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fields, remainder, to_batch
+from .common import as_bytes, fields, remainder, to_batch, written
 
 #: Buckets that trigrams are hashed to, and bytes hashed at once.
 BUCKETS, SPAN = 4096, 1 << 20
+#: Labelled rows for each task that a model is fitted by.
+ROWS_A_TASK = 250
 
 
 def counts(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
@@ -45,8 +47,12 @@ def document_frequencies(rows: DataFrame, vector: Callable[[bytes], np.ndarray],
 def labelled(documents: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, most: int) -> DataFrame:
     """text and label of at most `most` labelled rows outside the held-out fold, drawn by a hash of doc_id.
 
-    The drawn ids are that bounded table which is broadcast; a doc_id with several labels takes the largest.
+    The drawn ids are that bounded table which is broadcast.  A doc_id with several labels takes the largest, one
+    with several texts the least (null before all), so repeated ids don't lift the bound.  The rows are written once:
+    models pass over them several times, over documents only here.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", modulus) != left_out))
     drawn = ids.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label")
+    found = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    single = found.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("row")).select("row.text", "row.label")
+    return written(single.repartition(max(1, most // ROWS_A_TASK)), "labelled")
