@@ -10,8 +10,20 @@ from ..functions.similarity import token_set_ratio
 from ..functions.text import jaccard, tokens
 from .rubric import lookup
 
-#: Gold texts that may be broadcast; beyond that the token join below is a shuffle join by itself.
-THRESHOLD = 0.20
+#: Least similarity of a match; gold rows that one block of the combined match sends to every task.
+THRESHOLD, GOLD_BLOCK = 0.20, 1_000
+
+
+def _combined(gold: DataFrame, extracted: DataFrame) -> DataFrame:
+    """ref_id, pos, similarity of the gold set against all extracted texts; a block of gold rows, and no more, is broadcast at once."""
+    blocks = max(1, -(-gold.count() // GOLD_BLOCK))
+    similarity = (jaccard(F.col("ta"), F.col("tb")) + token_set_ratio("claim", "text") / 100.0) / 2
+    out = None
+    for block in range(blocks):
+        part = gold.where(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == block)
+        scored = extracted.join(F.broadcast(part)).select("ref_id", "pos", similarity.alias("similarity"))
+        out = scored if out is None else out.unionAll(scored)
+    return out
 
 
 def best_match(gold: DataFrame, extracted: DataFrame, combined: bool = False) -> DataFrame:
@@ -19,13 +31,13 @@ def best_match(gold: DataFrame, extracted: DataFrame, combined: bool = False) ->
 
     Plain similarity is the share of common tokens: pairs come from a join on tokens, so texts without a common token,
     whose similarity is 0, never meet.  The combined similarity also takes the token-set ratio, which sees
-    parts of words, and so compares every pair; it is for gold sets, whose size is fixed.
+    parts of words, so every extracted text is held against the whole gold set, in blocks of about GOLD_BLOCK rows.
+    Of equal similarities the first text by pos counts.
     """
     g = gold.select("ref_id", F.col("claim"), tokens(F.col("claim")).alias("ta"))
     e = extracted.select("pos", "text", tokens(F.col("text")).alias("tb"))
     if combined:
-        both = e.join(F.broadcast(g))
-        both = both.withColumn("similarity", (jaccard(F.col("ta"), F.col("tb")) + token_set_ratio("claim", "text") / 100.0) / 2)
+        both = _combined(g, e)
     else:
         sides = g.select("ref_id", F.size("ta").alias("na"), F.explode("ta").alias("token")), e.select("pos", F.size("tb").alias("nb"), F.explode("tb").alias("token"))
         shared = sides[0].join(sides[1], "token").groupBy("ref_id", "pos", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
@@ -47,3 +59,15 @@ def bucket(score: Column) -> Column:
 
 def fitness(recall: Column, agree: Column, quality: Column, source: Column, parsimony: Column) -> Column:
     return 0.25 * recall + 0.30 * agree + 0.20 * quality + 0.15 * source + 0.10 * parsimony
+
+
+def improvement(log: DataFrame) -> DataFrame:
+    """One row of a log (gen, best): first and last best, what was gained, and that in percent (null unless first is positive)."""
+    ends = log.agg(F.count(F.lit(1)).alias("generations"), F.min_by("best", "gen").alias("first_best"), F.max_by("best", "gen").alias("last_best"))
+    gained = F.col("last_best") - F.col("first_best")
+    return ends.select("*", gained.alias("gained"), F.when(F.col("first_best") > 0, gained / F.col("first_best") * 100).alias("percent"))
+
+
+def cost(tokens_in: Column, tokens_out: Column) -> Column:
+    """Dollars for tokens read and written."""
+    return 15e-6 * tokens_in + 75e-6 * tokens_out

@@ -38,6 +38,18 @@ def claim_html(claim: Column, label: Column, confidence: Column, explanation: Co
     return F.format_string('<div class="claim"><p>%s</p><b>%s</b><p>%s</p><i>Confidence: %s</i></div>', escape_html(claim), label, escape_html(explanation), confidence)
 
 
+def report_text(reports: DataFrame, verdicts: DataFrame, claims: DataFrame) -> DataFrame:
+    """report_id, text: a heading for each report (report_id, speaker, date, venue), then a paragraph a verdict
+    (report_id, claim_id, pos, label, confidence, explanation) in order, with its claim's text (claim_id, text) if there is one.
+    """
+    named = verdicts.join(claims.select("claim_id", "text"), "claim_id", "left")
+    said = F.format_string("\n[%s] %s\n  Confidence: %s\n  %s\n", "label", F.coalesce("text", F.lit("(claim not found)")), "confidence", "explanation")
+    lots = named.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("x"))
+    head = F.concat_ws("\n", F.concat(F.lit("Fact-check report for "), F.coalesce("speaker", F.lit("Unknown"))), F.concat(F.lit("Date: "), F.date_format("date", "MMMM dd, yyyy")), F.concat(F.lit("Venue: "), F.nullif("venue", F.lit(""))))
+    paragraphs = F.coalesce(F.array_join("x.said", ""), F.lit(""))
+    return reports.join(lots, "report_id", "left").select("report_id", F.concat(head, F.lit("\n"), paragraphs).alias("text"))
+
+
 def frame(event: Column, data: Column) -> Column:
     """A server-sent event."""
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import DATA_SIGNALS, DATE_FORMATS, ECONOMIC_WORDS, FACT_CHECK_NAMES, GOLD_POSITION, LABEL_POSITION, LABELS, SERIES, SOURCE_SIGNALS, TIER_DOMAINS, TIERS, VENUE_NAME, VENUE_PHRASE
+from ..fixed import CONFIDENCES, DATA_SIGNALS, DATE_FORMATS, ECONOMIC_WORDS, FACT_CHECK_NAMES, GOLD_POSITION, LABEL_POSITION, LABELS, SERIES, SOURCE_SIGNALS, TIER_DOMAINS, TIERS, VENUE_NAME, VENUE_PHRASE
 from ..functions import text as T
 from ..operators import cache, evaluate, evolve, publish, rubric
 from ..sources.evidence import GovernmentData, fact_check_name, gather
@@ -200,6 +200,13 @@ def token_jaccard_match(spark, sf_dir):
     return evaluate.best_match(gold, found)
 
 
+@query()
+def combined_match(spark, sf_dir):
+    gold = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("claim"))
+    found = _stub_claims(spark, sf_dir).select((F.col("doc_id") * 3 + F.col("pos")).alias("pos"), "text")
+    return evaluate.best_match(gold, found, combined=True).withColumn("matched", F.col("similarity") >= evaluate.THRESHOLD)
+
+
 _GOLD = ["TRUE", "PARTLY TRUE", "EXAGGERATED", "MISLEADING", "UNSUPPORTED", "FALSE", "FALSE / MISLEADING", "odd"]
 
 
@@ -282,6 +289,23 @@ def rss_items(spark, sf_dir):
     return rows.select(F.col("o_orderkey").alias("guid"), F.concat(F.lit("Fact Check: "), F.coalesce("c_name", F.lit("Unknown")), F.lit(" — "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("title"), F.date_format(F.col("o_orderdate").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss Z").alias("pub_date"))
 
 
+_LABEL = _case("l_suppkey % 6", [(i, x[0]) for i, x in enumerate(LABELS)])
+_SAID = f"chr(10) || '[' || {_LABEL} || '] ' || coalesce(p_name, '(claim not found)') || chr(10) || '  Confidence: ' || {_case('l_linenumber % 3', list(enumerate(CONFIDENCES)))} || chr(10) || '  ' || l_returnflag || chr(10)"
+
+
+@query(f"""
+WITH v AS (SELECT l_orderkey, string_agg(said, '' ORDER BY l_linenumber, said) AS x FROM (SELECT l_orderkey, l_linenumber, {_SAID} AS said FROM lineitem LEFT JOIN part ON p_partkey = l_partkey) GROUP BY 1)
+SELECT o_orderkey AS report_id, 'Fact-check report for ' || coalesce(c_name, 'Unknown') || chr(10) || 'Date: ' || strftime(o_orderdate, '%B %d, %Y') || chr(10) || coalesce(x, '') AS text
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN v ON l_orderkey = o_orderkey""")
+def rss_content(spark, sf_dir):
+    reports = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    reports = reports.select(F.col("o_orderkey").alias("report_id"), F.col("c_name").alias("speaker"), F.col("o_orderdate").alias("date"), F.lit(None).cast("string").alias("venue"))
+    label = rubric.lookup(F.pmod("l_suppkey", F.lit(6)).cast("int"), [(i, x[0]) for i, x in enumerate(LABELS)])
+    sure = rubric.lookup(F.pmod("l_linenumber", F.lit(3)).cast("int"), list(enumerate(CONFIDENCES)))
+    verdicts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("claim_id"), F.col("l_linenumber").alias("pos"), label.alias("label"), sure.alias("confidence"), F.col("l_returnflag").alias("explanation"))
+    return publish.report_text(reports, verdicts, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("claim_id"), F.col("p_name").alias("text")))
+
+
 @query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
 def escape_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
@@ -305,6 +329,17 @@ def best_ever(spark, sf_dir):
     return best.select("gen", F.max("b").over(Window.orderBy("gen").rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("best_ever"))
 
 
+@query(f"WITH g AS (SELECT gen, CAST(max(v) AS DOUBLE) AS b FROM {_RUNS} GROUP BY 1), e AS (SELECT count(*) AS generations, arg_min(b, gen) AS first_best, arg_max(b, gen) AS last_best FROM g) SELECT *, last_best - first_best AS gained, CASE WHEN first_best > 0 THEN (last_best - first_best) / first_best * 100 END AS percent FROM e")
+def run_improvement(spark, sf_dir):
+    return evaluate.improvement(generation_log(spark, sf_dir))
+
+
+@query("SELECT source, CAST(sum(n_chars) AS BIGINT) AS tokens_in, CAST(sum(len(text)) AS BIGINT) AS tokens_out, 15e-6 * sum(n_chars) + 75e-6 * sum(len(text)) AS cost FROM documents GROUP BY 1")
+def cost_totals(spark, sf_dir):
+    sums = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("tokens_in"), F.sum(F.length("text")).alias("tokens_out"))
+    return sums.withColumn("cost", evaluate.cost(F.col("tokens_in"), F.col("tokens_out")))
+
+
 @query(f"SELECT gen, CAST(c AS DOUBLE) AS cost FROM (SELECT gen, c, coalesce(sum(c) OVER (ORDER BY gen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM (SELECT gen, sum(v) AS c FROM {_RUNS} GROUP BY 1)) WHERE spent < 50000")
 def budget_stop(spark, sf_dir):
     costs = _runs(spark, sf_dir).groupBy("gen").agg(F.sum("v").alias("c"))

@@ -117,3 +117,28 @@ def test_event_stream(spark, tmp_path):
     run = counted(read_events(spark, f"{tmp_path}/in", schema)).writeStream.format("memory").queryName("seen").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.table("seen").count() == 2
+
+
+def test_combined_match_is_brute_force(spark, monkeypatch):
+    gold = [(1, "jobs grew last year"), (2, "the deficit fell"), (3, ""), (4, None), (5, "prices rose and rose")]
+    found = [(0, "last year jobs grew"), (1, "jobs grew last year"), (2, "deficits fall"), (3, None), (4, ""), (5, "rose prices")]
+    monkeypatch.setattr(evaluate, "GOLD_BLOCK", 2)
+    rows = evaluate.best_match(spark.createDataFrame(gold, "ref_id int, claim string"), spark.createDataFrame(found, "pos int, text string"), combined=True).collect()
+
+    def alike(a, b):
+        x, y = set((a or "").split()), set((b or "").split())
+        return (len(x & y) / len(x | y) + S.token_set(a, b) / 100) / 2 if x and y else 0.0
+
+    for ref, claim in gold:
+        best = max(found, key=lambda f: (alike(claim, f[1]), -f[0]))
+        got = next(r for r in rows if r["ref_id"] == ref)
+        top = alike(claim, best[1])
+        assert got["similarity"] == pytest.approx(top) and got["matched_claim"] == (best[1] if top > 0 else None)
+
+
+def test_report_text(spark):
+    reports = spark.sql("SELECT 1 AS report_id, 'Ann' AS speaker, DATE'2025-01-20' AS date, 'Hall' AS venue UNION ALL SELECT 2, 'Bo', NULL, ''")
+    verdicts = spark.createDataFrame([(1, 8, 2, "False", "Low", "no"), (1, 7, 1, "True", "High", "yes")], "report_id int, claim_id int, pos int, label string, confidence string, explanation string")
+    told = {r["report_id"]: r["text"] for r in publish.report_text(reports, verdicts, spark.createDataFrame([(7, "It rose.")], "claim_id int, text string")).collect()}
+    assert told[1] == "Fact-check report for Ann\nDate: January 20, 2025\nVenue: Hall\n\n[True] It rose.\n  Confidence: High\n  yes\n\n[False] (claim not found)\n  Confidence: Low\n  no\n"
+    assert told[2] == "Fact-check report for Bo\n"
