@@ -1,10 +1,20 @@
-"""[8] Masked pseudo-likelihood: a small bidirectional window network predicts every token from both sides.
+"""[8] Masked pseudo-likelihood: a small bidirectional window network and counts of all words predict every token from both sides.
 
-Tokens are lower-cased words.  The most frequent WORDS words of the whole corpus have an id, others share hashed
-ids; so each token has one of SIZE ids.  The network sums position-wise embeddings of REACH tokens on each side,
-and a tanh layer predicts the masked id in two steps (its group, then the id in the group), so that
-probabilities are normalised.  All documents train it: each task passes over its own rows from a common
-start, and the tasks' parameters, weighted by their tokens, are summed in a shuffle and averaged (local SGD).
+Tokens are lower-cased words.  P(token | both sides) = P(class | both sides) * P(token | class).  The network sums
+position-wise embeddings of REACH tokens on each side, and a tanh layer predicts the masked token's class in two
+steps (its group, then the class in the group), so that probabilities are normalised.  The classes follow the
+corpus: as many as the root of its distinct words, SIZE at least.  Three quarters of them are the most frequent words,
+each a class of its own; every other word is in one of the remaining classes by its hash.  There P(token | class) is
+the token's count in the corpus out of the class's count and one; that one is the share of unknown words, which only
+texts from outside of the corpus have: such a word has 257 ** -(bytes + 1) of it (as of 255 bytes if longer).
+
+All documents train the network in one pass of several rounds, as many as the root of the number of partitions: in a
+round each of its tasks passes over its own rows from a common start, and the tasks' parameters and Adagrad sums,
+weighted by their tokens, are summed in a shuffle and averaged to be the next round's start (local SGD).
+
+The counts of all words are a written table.  Held by every task: the network, and words with their counts from the
+most frequent down, at most SPREAD times as many as classes.  The counts of the other, rarer words reach the texts by a join on
+56 bits of the word's hash and its length, so no size of vocabulary has to fit a task, and no frequent word is in the join.
 
 A document's score is the sum over all its tokens of log P(token | both sides).  Null texts and texts without
 words have no tokens, a sum of 0 and a null mean.
@@ -12,30 +22,54 @@ words have no tokens, a sum of 0 and a null mean.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, fields, per_batch, to_batch, tune
+from .common import LOWER, as_bytes, fields, per_batch, to_batch, tune, written
 
-#: Ids: WORDS of words, the rest for hashed words; GROUPS groups of equally many ids.
-WORDS, SIZE, GROUPS = 768, 1024, 32
-INNER = SIZE // GROUPS
+#: The least number of classes, in GROUPS groups of equally many.
+SIZE, GROUPS = 1024, 32
+#: Words that a task holds, by classes.
+SPREAD = 24
 REACH, HIDDEN = 2, 16
 #: Tokens in a training step and in a scoring step, the learning rate, and words that a task counts before it sends them on.
 STEP, BLOCK, RATE, HELD = 8192, 1 << 15, 0.08, 200_000
-#: The id beyond a text's ends, for context only.
+#: The id beyond a text's ends, for context only; in a larger network it is the number of classes too.
 EDGE = SIZE
-SHAPES = {"embed": (SIZE + 1, HIDDEN), "place": (2 * REACH, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "group_bias": (GROUPS,), "inner": (GROUPS, HIDDEN, INNER), "inner_bias": (GROUPS, INNER)}
+#: A word's key in the join; Spark's xxhash64 is XXH64 with the seed 42.
+KEY = "(xxhash64(word) & -256L) | least(octet_length(word), 255)"
+
+
+@dataclass
+class Vocabulary:
+    """What tasks hold of the corpus's words, and the table (word, n) of all of them.
+
+    A word's code is its place in words or, of a rarer word, len(words) and its hashed class's number; classes
+    and terms (log P(token | class), for rarer words less the log of their own count) are by code.
+    """
+
+    table: DataFrame
+    groups: int
+    words: list[bytes]
+    least: int
+    classes: np.ndarray
+    terms: np.ndarray
 
+    def held(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        return self.words, self.classes, self.terms
 
-def vocabulary(documents: DataFrame) -> list[bytes]:
-    """The WORDS most frequent words over all texts, ties by the word."""
+
+def vocabulary(documents: DataFrame) -> Vocabulary:
+    """Counts of all words over all texts, and the classes."""
     arrow = fields("word binary, n bigint", documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,34 +83,67 @@ def vocabulary(documents: DataFrame) -> list[bytes]:
         if held:
             yield to_batch({"word": list(held), "n": list(held.values())}, arrow)
 
-    counted = documents.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-
+    table = written(documents.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # One row a distinct count: no more than the root of twice the number of tokens.
+    histogram = sorted(((r["n"], r["of"]) for r in table.groupBy("n").agg(F.count("*").alias("of")).collect()), reverse=True)
+    groups = max(GROUPS, math.ceil(sum(x for _, x in histogram) ** 0.25))
+    size, least, over = groups * groups, 1 << 62, 0
+    for n, x in histogram:
+        over += x
+        if over > SPREAD * size:
+            break
+        least = n
+    top = sorted(((-r["n"], bytes(r["word"])) for r in table.where(F.col("n") >= least).collect()))
+    words, counts = [w for _, w in top], np.array([-n for n, _ in top], np.float64)
+    single = size * 3 // 4
+    rest = size - single
+    total = np.zeros(rest)
+    for r in table.groupBy(F.expr(f"shiftrightunsigned({KEY}, 8) % {rest}L").alias("c")).agg(F.sum("n").alias("n")).collect():
+        total[r["c"]] = r["n"]
+    places = np.array([(_digest(w) >> 8) % rest for w in words], np.int64)
+    own = np.arange(len(words)) < single
+    np.subtract.at(total, places[own], counts[own])
+    terms = np.where(own, 0.0, np.log(counts) - np.log(total[places] + 1)) if words else np.zeros(0)
+    classes = np.where(own, np.arange(len(words)), single + places)
+    kind = np.uint16 if size < 1 << 16 else np.int64  # 16 bits are sorted by radix
+    return Vocabulary(table, groups, words, least, np.concatenate([classes, single + np.arange(rest)]).astype(kind), np.concatenate([terms, -np.log(total + 1)]))
+
+
+def _digest(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+class _Codes(dict):
+    """Words to codes; the keys of the rarer words asked for are put in rare."""
+
+    def __init__(self, words: list[bytes], rest: int):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.first, self.rest, self.rare = len(words), rest, []
 
-class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
-        return WORDS + xxhash.xxh3_64_intdigest(word) % (SIZE - WORDS)
+        key = _digest(word)
+        self.rare.append(key & -256 | min(len(word), 255))
+        return self.first + (key >> 8) % self.rest
 
 
-def ids_of(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+def codes_of(text: bytes, known: _Codes) -> np.ndarray:
     words = text.translate(LOWER).split()
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def contexts(ids: list[np.ndarray], edge: int = EDGE) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of some texts, and of each the REACH ids before and after it."""
-    gap = np.full(REACH, EDGE, np.int64)
+    gap = np.full(REACH, edge, ids[0].dtype if len(ids) else np.int64)
     row = np.concatenate([gap, *(x for i in ids for x in (i, gap))])
-    sizes = np.array([len(i) for i in ids])
-    at = np.concatenate([np.arange(n) + start for n, start in zip(sizes, REACH + np.cumsum(sizes + REACH) - sizes - REACH)]) if len(ids) else np.zeros(0, np.int64)
-    at = at.astype(np.int64)
+    at = np.flatnonzero(row != edge)
     shifts = [-k for k in range(REACH, 0, -1)] + list(range(1, REACH + 1))
     return row[at], np.stack([row[at + s] for s in shifts], 1)
 
 
-def start() -> dict[str, np.ndarray]:
+def start(groups: int = GROUPS) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(8)
-    return {k: (rng.standard_normal(s) * 0.1).astype(np.float32) if "bias" not in k else np.zeros(s, np.float32) for k, s in SHAPES.items()}
+    shapes = {"embed": (groups * groups + 1, HIDDEN), "place": (2 * REACH, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, groups), "group_bias": (groups,), "inner": (groups, HIDDEN, groups), "inner_bias": (groups, groups)}
+    return {k: (rng.standard_normal(s) * 0.1).astype(np.float32) if "bias" not in k else np.zeros(s, np.float32) for k, s in shapes.items()}
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -84,23 +151,35 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logs of the softmax at one place a row."""
+    z = z - z.max(-1, keepdims=True)
+    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(-1))
+
+
 def _forward(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
     total = np.broadcast_to(p["bias"], (len(around), HIDDEN)).copy()
     for j in range(around.shape[1]):
-        total += p["embed"][around[:, j]] * (1 + p["place"][j])
+        total += np.take(p["embed"] * (1 + p["place"][j]), around[:, j], axis=0)
     return np.tanh(total)
 
 
+def _by_group(p: dict[str, np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's group and class in the group, the tokens in order of groups, and where each group starts."""
+    groups = p["group"].shape[1]
+    group, inner = np.divmod(target, target.dtype.type(groups))
+    order = np.argsort(group, kind="stable")
+    return group, inner, order, np.searchsorted(group[order], np.arange(groups + 1))
+
+
 def log_probabilities(p: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> np.ndarray:
     h = _forward(p, around)
-    group, inner = np.divmod(target, INNER)
-    out = np.log(_softmax(h @ p["group"] + p["group_bias"])[np.arange(len(h)), group] + 1e-12)
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
+    group, inner, order, edges = _by_group(p, target)
+    out = _picked(h @ p["group"] + p["group_bias"], group)
+    for g in range(len(edges) - 1):
         rows = order[edges[g] : edges[g + 1]]
         if len(rows):
-            out[rows] += np.log(_softmax(h[rows] @ p["inner"][g] + p["inner_bias"][g])[np.arange(len(rows)), inner[rows]] + 1e-12)
+            out[rows] += _picked(h[rows] @ p["inner"][g] + p["inner_bias"][g], inner[rows])
     return out
 
 
@@ -108,15 +187,13 @@ def step(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], target: np.ndarr
     """One Adagrad step on the mean negative log-likelihood of some tokens."""
     n = len(target)
     h = _forward(p, around)
-    group, inner = np.divmod(target, INNER)
-    d = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
+    group, inner, order, edges = _by_group(p, target)
+    d = {k: np.zeros_like(v) for k, v in p.items()}
     dz = _softmax(h @ p["group"] + p["group_bias"])
     dz[np.arange(n), group] -= 1
     d["group"], d["group_bias"] = h.T @ dz, dz.sum(0)
     dh = dz @ p["group"].T
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
+    for g in range(len(edges) - 1):
         rows = order[edges[g] : edges[g + 1]]
         if len(rows):
             dy = _softmax(h[rows] @ p["inner"][g] + p["inner_bias"][g])
@@ -138,49 +215,74 @@ def step(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], target: np.ndarr
         p[k] -= RATE * gradient / np.sqrt(seen[k] + 1e-8)
 
 
-def train(documents: DataFrame, words: list[bytes]) -> dict[str, np.ndarray]:
+def train(documents: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
     """Parameters after one pass over all documents."""
-    sent = documents.sparkSession.sparkContext.broadcast(words)
+    texts = documents.select("text")
+    parts = texts.rdd.getNumPartitions()
+    rounds = math.ceil(parts**0.5)
     schema = "part string, at int, value array<double>, tokens bigint"
     arrow = fields(schema, documents.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids((w, i) for i, w in enumerate(sent.value))
-        p, total = start(), 0
-        seen = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-        for batch in batches:
-            target, around = contexts([ids_of(t, known) for t in as_bytes(batch.column("text"))])
-            mix = np.random.default_rng(len(target)).permutation(len(target))
-            for a in range(0, len(mix), STEP):
-                step(p, seen, target[mix[a : a + STEP]], around[mix[a : a + STEP]])
-            total += len(target)
-        if total:
-            rows = [(k, i, x) for k, v in p.items() for i, x in enumerate(v.reshape(-1, v.shape[-1]).astype(float).tolist())]
-            yield to_batch({"part": [r[0] for r in rows], "at": [r[1] for r in rows], "value": [[total * y for y in r[2]] for r in rows], "tokens": [total] * len(rows)}, arrow)
-
-    out = start()
-    flat = documents.select("text").mapInArrow(run, schema).select("part", "at", "tokens", F.posexplode("value").alias("col", "x"))
-    for r in flat.groupBy("part", "at", "col").agg((F.sum("x") / F.sum("tokens")).alias("x")).collect():  # one row a parameter
-        own = out[r["part"]]
-        own.reshape(-1, own.shape[-1])[r["at"], r["col"]] = r["x"]
-    return out
-
-
-def score(documents: DataFrame, words: list[bytes], parameters: dict[str, np.ndarray]) -> DataFrame:
+    groups, held = words.groups, documents.sparkSession.sparkContext.broadcast(words.held())
+    p, seen = start(groups), {k: np.zeros_like(v) for k, v in start(groups).items()}
+
+    def passed(turn: int, sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if TaskContext.get().partitionId() % rounds != turn:
+                return
+            known, classes = _Codes(held.value[0], len(held.value[1]) - len(held.value[0])), held.value[1]
+            p, seen = ({k: v.copy() for k, v in x.items()} for x in sent.value)
+            total = 0
+            for batch in batches:
+                known.rare.clear()
+                target, around = contexts([classes[codes_of(t, known)] for t in as_bytes(batch.column("text"))], groups * groups)
+                mix = np.random.default_rng(len(target)).permutation(len(target))
+                for a in range(0, len(mix), STEP):
+                    step(p, seen, target[mix[a : a + STEP]], around[mix[a : a + STEP]])
+                total += len(target)
+            if total:
+                rows = [(f"{kind} {k}", i, x) for kind, params in (("p", p), ("seen", seen)) for k, v in params.items() for i, x in enumerate((v.reshape(-1, v.shape[-1]).astype(float) * total).tolist())]
+                yield to_batch({"part": [r[0] for r in rows], "at": [r[1] for r in rows], "value": [r[2] for r in rows], "tokens": [total] * len(rows)}, arrow)
+
+        return run
+
+    for turn in range(rounds):
+        sent = documents.sparkSession.sparkContext.broadcast((p, seen))
+        flat = texts.mapInArrow(passed(turn, sent), schema).select("part", "at", "tokens", F.posexplode("value").alias("col", "x"))
+        p, seen = ({k: v.copy() for k, v in x.items()} for x in (p, seen))
+        for r in flat.groupBy("part", "at", "col").agg((F.sum("x") / F.sum("tokens")).alias("x")).collect():  # one row a parameter
+            kind, name = r["part"].split()
+            own = (p if kind == "p" else seen)[name]
+            own.reshape(-1, own.shape[-1])[r["at"], r["col"]] = r["x"]
+        sent.unpersist()
+    return p
+
+
+def score(documents: DataFrame, words: Vocabulary, parameters: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum) and mean_log_likelihood of every row."""
-    sent = documents.sparkSession.sparkContext.broadcast((words, parameters))
+    held, groups, least = documents.sparkSession.sparkContext.broadcast((words.held(), parameters)), words.groups, words.least
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        known = _Ids((w, i) for i, w in enumerate(sent.value[0]))
-        ids = [ids_of(t, known) for t in as_bytes(batch.column("text"))]
-        target, around = contexts(ids)
-        each = np.concatenate([np.zeros(0), *(log_probabilities(sent.value[1], target[a : a + BLOCK], around[a : a + BLOCK]) for a in range(0, len(target), BLOCK))])
-        ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-        running = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-        sums = running[ends[1:]] - running[ends[:-1]]
-        return {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) for i in ids], "log_likelihood": sums.tolist(), "mean_log_likelihood": [float(s) / len(i) if len(i) else None for s, i in zip(sums, ids)]}
-
-    return per_batch(documents.select("doc_id", "text"), "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double", work)
+        (known, classes, terms), p = held.value
+        codes = _Codes(known, len(classes) - len(known))
+        each, rare = [], []
+        for text in as_bytes(batch.column("text")):
+            each.append(codes_of(text, codes))
+            rare.append(np.array(codes.rare, np.uint64).view(np.int64))
+            codes.rare.clear()
+        target, around = contexts([classes[c] for c in each], groups * groups)
+        logs = np.concatenate([np.zeros(0), *(log_probabilities(p, target[a : a + BLOCK], around[a : a + BLOCK]) for a in range(0, len(target), BLOCK))])
+        logs += terms[np.concatenate([np.zeros(0, np.int64), *each])]
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in each])])
+        running = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
+        return {"doc_id": batch.column("doc_id"), "n_tokens": [len(c) for c in each], "log_likelihood": (running[ends[1:]] - running[ends[:-1]]).tolist(), "rare": rare}
+
+    # Written: the rows' numbers have to stay.
+    rows = written(per_batch(documents.select("doc_id", "text"), "doc_id bigint, n_tokens bigint, log_likelihood double, rare array<bigint>", work).withColumn("row", F.monotonically_increasing_id()), "scores")
+    counts = words.table.where(F.col("n") < least).groupBy(F.expr(KEY).alias("key")).agg(F.sum("n").alias("n"))
+    spelt = -(F.col("key").bitwiseAND(255) + 1) * math.log(257)
+    rest = rows.select("row", F.explode("rare").alias("key")).join(counts, "key", "left").select("row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("n_tokens"), F.coalesce(F.log("n"), spelt).alias("log_likelihood"))
+    sums = rows.drop("rare").unionByName(rest).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_likelihood").alias("log_likelihood"))
+    return sums.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

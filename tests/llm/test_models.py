@@ -98,6 +98,33 @@ def test_probabilities_add_up():
     assert abs(np.exp(masked.log_probabilities(p, np.arange(masked.SIZE), around)).sum() - 1) < 1e-3
 
 
+def test_masked_model_tells_every_word(spark, monkeypatch):
+    import numpy as np
+
+    common, rare = [f"c{i}" for i in range(800)], [f"r{i}" for i in range(1200)]
+    some = spark.createDataFrame([(i, " ".join(common)) for i in range(5)] + [(5, " ".join(rare)), (6, " ".join(rare))], "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, " ".join(rare[:50])), (2, " ".join(f"j{i}" for i in range(50))), (None, " ".join(common)), (4, None)], "doc_id long, text string")
+    words = masked.vocabulary(some)
+    model = masked.train(some, words)
+    got = {r["doc_id"]: r for r in masked.score(asked, words, model).collect()}
+    assert len(words.words) == 2000 and got[1]["log_likelihood"] > got[2]["log_likelihood"] + 50 * np.log(257)
+    assert [got[i]["n_tokens"] for i in (1, 2, None, 4)] == [50, 50, 800, 0] and got[4]["log_likelihood"] == 0
+    # P(word | class) of each hashed class, and its unknown words' share, add up to one.
+    shares = np.bincount(words.classes[:2000], np.exp(words.terms[:2000]), masked.SIZE)[768:] + np.exp(words.terms[2000:])
+    assert np.allclose(shares, 1)
+    # Counts that tasks hold and counts that are joined give the same.
+    monkeypatch.setattr(masked, "SPREAD", 1)
+    joined = masked.vocabulary(some)
+    assert len(joined.words) == 800
+    assert {r["doc_id"]: round(r["log_likelihood"], 3) for r in masked.score(asked, joined, model).collect()} == {k: round(r["log_likelihood"], 3) for k, r in got.items()}
+
+
+def test_masked_model_grows_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(masked, "GROUPS", 2)
+    sizes = [masked.vocabulary(spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),)], "text string")).groups for n in (10, 1000, 5000)]
+    assert sizes == [2, 6, 9]
+
+
 def test_nothing_else_imports_the_subpackage():
     code = "import sys; sys.path.insert(0, '.'); import claimlens.plans.catalogue; assert not [m for m in sys.modules if m.startswith('claimlens.llm')]"
     assert subprocess.run([sys.executable, "-c", code]).returncode == 0
