@@ -37,25 +37,37 @@ def _bags(text: Column) -> Column:
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
+def _near(a: DataFrame, b: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of a's and b's bags (sa, entry) with a score of at least threshold.
+
+    A pair at the threshold t (200 LCS / (la + lb) >= t - 0.5) has lengths within a factor, so the join is on
+    length bands; the sum of common letters bounds LCS from above, so most pairs never reach the UDF.
+    """
+    part = 2 * threshold - 1  # in quarters of a percent
+    size = F.length("sorted")
+    band = F.floor(F.log(size.cast("double")) / F.log(F.lit((400 - part) / part)) + 1e-9).cast("int")
+    one = a.select(F.col("sorted").alias("sa"), F.col("letters").alias("la"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    total = F.length("sa") + size
+    bound = F.aggregate(F.zip_with("la", "letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = one.join(b.withColumn("band", band), "band").where((400 * F.least(F.length("sa"), size) >= part * total) & (400 * bound >= part * total))
+    return pairs.select("sa", "entry", token_sort_ratio("sa", "sorted").alias("score")).where(F.col("score") >= threshold)
+
+
 def fuzzy(claims: DataFrame, cache: DataFrame, now: Column, threshold: int = THRESHOLD) -> DataFrame:
     """The best entry of each claim with similarity of at least threshold (claim_id, key, score); ties: the first cached.
 
-    A pair over the threshold t (200 LCS / (la + lb) > t - 0.5) has lengths within a factor, so the join is
-    on length bands; the sum of common letters bounds LCS from above, so most pairs never reach the UDF.
-    An expired best entry is a miss even if another entry would do.
+    Texts meet once per distinct bag (processed, tokens sorted), with the first cached entry of each bag, and results
+    go back to the claims.  A claim whose own bag is an entry has a score of 100, so only pairs that round to 100 can tie
+    with it.  An expired best entry is a miss even if another entry would do.
     """
-    part = 2 * threshold - 1  # in quarters of a percent: a half-even round to threshold needs over (t - 0.5)
-    factor = (400 - part) / part
-    size = F.length("sorted")
-    width = F.lit(1 / factor)
     letters = F.transform(F.array(*(F.lit(c) for c in _ALPHABET)), lambda c: F.length("sorted") - F.length(F.replace(F.col("sorted"), c, F.lit(""))))
-    band = F.floor(F.log(size.cast("double")) / F.log(width)).cast("int")
-    prepared = [x.withColumn("sorted", _bags(F.col("text"))).where(size > 0).withColumns({"band": band, "letters": letters}) for x in (claims, cache)]
-    a = prepared[0].select("claim_id", F.col("text").alias("text_a"), F.col("sorted").alias("sa"), F.col("letters").alias("la"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    b = prepared[1].select("key", "cached_at", "expires_at", F.col("text").alias("text_b"), F.col("sorted").alias("sb"), F.col("letters").alias("lb"), "band")
-    bound = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    total = F.length("sa") + F.length("sb")
-    pairs = a.join(b, "band").where(400 * bound > part * total)
-    scored = pairs.select("claim_id", "key", "cached_at", "expires_at", token_sort_ratio("text_a", "text_b").alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("claim_id").agg(F.max_by(F.struct("key", "score", "expires_at"), F.struct(F.col("score"), -F.unix_micros(F.col("cached_at")), F.col("key"))).alias("x"))
-    return best.select("claim_id", "x.*").where(alive(F.col("expires_at"), now)).drop("expires_at")
+    told, held = (x.withColumn("sorted", _bags(F.col("text"))).where(F.length("sorted") > 0) for x in (claims, cache))
+    entry = F.struct((-F.unix_micros(F.col("cached_at"))).alias("at"), "key", "expires_at")
+    entries = held.groupBy("sorted").agg(F.max(entry).alias("entry")).withColumn("letters", letters)
+    bags = told.select("sorted").distinct().withColumn("letters", letters)
+    same = bags.join(entries.select("sorted"), "sorted", "left_semi")
+    other = bags.join(entries.select("sorted"), "sorted", "left_anti")
+    scored = _near(same, entries, max(threshold, 100)).unionByName(_near(other, entries, threshold))
+    best = scored.groupBy(F.col("sa").alias("sorted")).agg(F.max(F.struct("score", "entry")).alias("x"))
+    found = told.select("claim_id", "sorted").join(best, "sorted")
+    return found.where(alive(F.col("x.entry.expires_at"), now)).select("claim_id", "x.entry.key", "x.score")

@@ -181,7 +181,9 @@ def cache_upsert(spark, sf_dir):
 @query()
 def cache_fuzzy(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("claim_id"), "text")
-    entries = table(spark, sf_dir, "conversations").where("turn % 2 = 0").select(T.cache_key(F.col("text")).alias("key"), "text", F.timestamp_seconds(F.col("conv_id")).alias("cached_at"), F.lit(None).cast("timestamp").alias("expires_at")).dropDuplicates(["key"])
+    keyed = table(spark, sf_dir, "conversations").select(T.cache_key(F.col("text")).alias("key"), "text", F.timestamp_seconds(F.col("conv_id")).alias("cached_at"))
+    # Texts of one key differ in case and outer space only; the first of them is the entry.
+    entries = keyed.groupBy("key").agg(F.min("text").alias("text"), F.min("cached_at").alias("cached_at")).withColumn("expires_at", F.lit(None).cast("timestamp"))
     return cache.fuzzy(turns, entries, F.current_timestamp())
 
 

@@ -77,6 +77,27 @@ def test_fuzzy_cache_equals_all_pairs(spark):
     assert got == want
 
 
+def test_fuzzy_cache_query_has_all_turns(spark, tmp_path):
+    from claimlens.plans import catalogue
+
+    rng = random.Random(3)
+    long = " ".join(rng.choices(["tax", "jobs", "rise", "price", "down"], k=120))
+    texts = ["only once told", "odd turns meet here", "", long, long + "x", "meet here odd turns", "Only once told ", long[1:], None, "odd turn meets here"]
+    turns = [(i // 4 + 1, 2 * (i % 4) + 1, t) for i, t in enumerate(texts)] + [(9, 0, "an even turn"), (0, 2, long + "y")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    keys = {r["text"]: r["key"] for r in spark.createDataFrame([(t,) for _, _, t in turns], "text string").select("text", T.cache_key(F.col("text")).alias("key")).collect()}
+    first = {}
+    for conv, _, t in turns:
+        first[keys[t]] = min(first.get(keys[t], (conv, t)), (conv, t), key=lambda x: x[0])
+    want = {}
+    for conv, turn, t in turns:
+        score, _, key = max((S.token_sort(t, u), -at, k) for k, (at, u) in first.items())
+        if score >= 85:
+            want[f"{conv}:{turn}"] = (key, score)
+    got = {r["claim_id"]: (r["key"], r["score"]) for r in catalogue.QUERIES["cache_fuzzy"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 10
+
+
 def test_agreement(spark):
     for gold, label, score in (("TRUE", "True", 1.0), ("TRUE", "Mostly True", 0.8), ("FALSE", "Misleading", 0.6), ("TRUE", "False", 0.0), ("UNSUPPORTED", "Unverifiable", 1.0), ("FALSE / MISLEADING", "Misleading", 1.0), ("TRUE", "odd", 0.2)):
         assert spark.range(1).select(evaluate.agreement(F.lit(gold), F.lit(label)).alias("s")).first()["s"] == pytest.approx(score)
