@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows of whole texts that a Python worker gets at once; at some 4 KB a text this is about 1 MB.
 BATCH_ROWS = 256
+#: Bytes of rows that work is done on at once, unless one row has more.
+BATCH_BYTES = 4 << 20
 #: Bytes of text for each partition of a table that an operator deals out itself.
 PARTITION_BYTES = 16 << 20
 #: Maps A-Z to a-z in bytes.
@@ -36,19 +38,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: whole texts may be long, and a worker holds one batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Small Arrow batches where the session still has Spark's default: whole texts may be long.
+
+    Results are lazy, so the setting has to outlive this call; a session's own setting is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) in (None, "10000"):
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's name under the shared checkpoint folder."""
+    """A new folder's name under the shared checkpoint folder; only a local master goes without the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors and the driver share")
         base = f"file://{tempfile.gettempdir()}/claimlens-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/claimlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most BATCH_ROWS rows and, unless one row has more, BATCH_BYTES bytes."""
+    for batch in batches:
+        held = [batch]
+        while held:
+            b = held.pop()
+            if b.num_rows > 1 and (b.num_rows > BATCH_ROWS or b.nbytes > BATCH_BYTES):
+                half = b.num_rows // 2
+                held += [b.slice(half), b.slice(0, half)]
+            elif b.num_rows:
+                yield b
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
@@ -104,9 +137,8 @@ def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[
     arrow = fields(schema, df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield to_batch(work(batch), arrow)
+        for batch in bounded(batches):
+            yield to_batch(work(batch), arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -115,9 +147,8 @@ def filtered(df: DataFrame, keeps: Callable[[pa.RecordBatch], list[bool]]) -> Da
     """The rows of df that keeps, which gets whole batches, says to keep; all columns as they are, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(keeps(batch), pa.bool_()))
+        for batch in bounded(batches):
+            yield batch.filter(pa.array(keeps(batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -129,9 +160,9 @@ def to_batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
 def running_start(df: DataFrame, order: str, size: str, out: str, name: str) -> DataFrame:
     """df with column out: the sum of size over all rows before it in ascending order of the column order.
 
-    Rows are range-partitioned and sorted; each partition sums its own rows as it streams by, and the
-    partitions' totals, one row each, are all that is brought together.  Nulls come first, ties are
-    in any order.  The result is a written table.
+    Rows are range-partitioned and sorted, rows with one value (or none) by their place in df, so that such a
+    group may span partitions; each partition sums its own rows as it streams by, and the partitions' totals,
+    one row each, are all that is brought together.  Nulls come first.  df has to be read from files.  The result is a written table.
     """
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` bigint", "`_part` int"])
     arrow = fields(schema, df.sparkSession)
@@ -144,10 +175,12 @@ def running_start(df: DataFrame, order: str, size: str, out: str, name: str) ->
             sizes = np.asarray(batch.column(size).to_numpy(zero_copy_only=False), dtype=np.int64)
             ends = total + np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else total
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - sizes), pa.array(np.full(len(sizes), part, np.int32))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ends - sizes), pa.array(np.full(len(sizes), part, np.int32))], schema=arrow)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    local = written(df.repartitionByRange(n, F.col(order).asc_nulls_first()).sortWithinPartitions(F.col(order).asc_nulls_first()).mapInArrow(run, schema), name)
+    keys = [F.col(order).asc_nulls_first(), F.col("_place").asc()]
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    local = written(placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), name)
     # One row a partition: their running sum is small by the number of partitions, whatever the rows.
     totals = sorted((r["_part"], r["n"]) for r in local.groupBy("_part").agg(F.sum(size).alias("n")).collect())
     base, before = [], 0
