@@ -3,16 +3,17 @@
 Texts are sets of five-word shingles.  Equal sets are one class from the start.  A class has SYMBOLS b-bit
 MinHash symbols; a pair of sets with similarity s differs in each with probability 1 - s.
 
-The first INDEXED symbols are split into CHUNKS chunks.  By the pigeonhole principle a pair that differs in
-fewer than 2 * CHUNKS of them differs in at most one symbol of some chunk, so the keys made by masking each
-symbol of each chunk find every pair under that distance (15 of 32).  A pair of similarity 0.75 that is
-over the distance still has such a chunk but for a chance of 2.2e-5.  Pairs whose whole signatures differ
-in more than MOST_DIFFERENT symbols of 64 are dropped (a chance of 3e-7 at 0.75); all others are confirmed exactly.
+The symbols are split into CHUNKS chunks.  By the pigeonhole principle a pair that differs in fewer than
+2 * CHUNKS symbols differs in at most one symbol of some chunk, so the keys made by masking each symbol of each
+chunk find every pair under that distance (31 of 64, where a pair at similarity 0.75 differs in 16 on average, with
+a deviation of 3.5: a chance of 2e-5 to be over it).  A pair over the distance still has such a chunk but for a chance
+of 0.262 ** 16 = 5e-10 at similarity 0.75, and less above.  Every candidate is confirmed on full sets.
 
 No group's pairs are all listed.  Every member of a key's bucket is paired with the bucket's head, the class that
 shares most keys with others, and confirmed links make components.  Buckets that still hold several components
 are then compared in full, block by block and with one product of shingle matrices for a pair of blocks, so that
 components are those of all links; a task gives at most one link for any two components that it puts together.
+Blocks are bounded by classes and by shingles.
 """
 
 from __future__ import annotations
@@ -27,17 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, fields, parts, per_batch, remove, to_batch, tune, written
+from .common import LOWER, as_bytes, fields, fresh, parts, per_batch, remove, to_batch, tune, written
 from .links import components
 
 SHINGLE = 5
 SIMILAR = (75, 100)
-SYMBOLS, INDEXED, CHUNK, BITS = 64, 32, 4, 16
-CHUNKS = INDEXED // CHUNK
-#: 64 * 0.25 symbols differ on average at similarity 0.75, with a deviation of 3.5.
-MOST_DIFFERENT = 33
-#: Classes of a bucket in a block, and shingles compared at once, where blocks are compared in full.
-BLOCK, COLUMNS = 1024, 2048
+SYMBOLS, CHUNK, BITS = 64, 4, 16
+CHUNKS = SYMBOLS // CHUNK
+#: Classes and shingles of a bucket in a block on average, and shingles compared at once, where blocks are compared in full.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 17, 2048
 
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,11 +175,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
-    """One row per row of documents: doc_id, n_shingles, component_id, kept, and a row mark.
+    """One row per row of documents: doc_id, n_shingles, component_id, kept, a mark of the text, and comp.
 
     Texts that are null or without words have no set and are linked with nothing; their component is their
-    own doc_id.  Shorter texts than five words are one shingle.  Equal rows, or rows with one doc_id, are
-    rows like any others.  A component's id is its smallest doc_id that isn't null.
+    own doc_id, comp is null, and they are kept.  Shorter texts than five words are one shingle.  Equal rows, or rows with one
+    doc_id, are rows like any others.  A component's id is its smallest doc_id that isn't null; rows without doc_id
+    are not kept if it has one, and all kept if it has none.  comp names the component itself.
     """
     spark = documents.sparkSession
     tune(spark)
@@ -201,7 +201,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
 
     def close(pairs: DataFrame) -> DataFrame:
         one, two = (classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-        return pairs.join(one, "a").join(two, "b").where(_sizes("n_a", "n_b")).select("a", "b", _differences("sig_a", "sig_b").alias("far")).where(F.col("far") <= MOST_DIFFERENT)
+        return pairs.join(one, "a").join(two, "b").where(_sizes("n_a", "n_b")).select("a", "b", _differences("sig_a", "sig_b").alias("far"))
 
     stars = written(close(shared.where("cls <> a").select("a", F.col("cls").alias("b")).distinct()), "stars")
     known = shared.select("cls").distinct()
@@ -229,29 +229,38 @@ def near_groups(documents: DataFrame) -> DataFrame:
     at = comps.select(F.col("node").alias("cls"), "comp")
     placed = shared.join(at, "cls", "left").select("key", "a", "cls", F.coalesce("comp", "cls").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    mixed = written(placed.where("cls <> a").join(split, "key").select("key", "cls", "comp"), "mixed")
-    blocks = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sized = placed.where("cls <> a").join(classes.select("cls", "n"), "cls")
+    mixed = written(sized.join(split, "key").select("key", "cls", "comp", "n"), "mixed")
+    blocks = mixed.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     lots = mixed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     lots = lots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lots = lots.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp").join(texts, "cls")
     arrow = fields("a bigint, b bigint", spark)
     dealt = lots.repartition(parts(documents), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     comps = merged(comps, written(dealt.mapInArrow(lambda b: _blocked(b, arrow), "a bigint, b bigint"), "confirmed"), "comps")
-    remove(spark, mixed)
-    remove(spark, texts)
+    for done in (crowded, shared, stars, mixed, texts):
+        remove(spark, done)
 
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "least")
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "comp").select("cls", "component_id")
-    out = signed.drop("sig", "row").join(named, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "mark", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = named.join(ids, "comp").select("cls", "comp", "component_id")
+    rows = signed.select("doc_id", "mark", "n_shingles", "cls")
+    # Rows without a set share no class: they don't take part in the join.
+    alone = rows.where("cls is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.col("cls").alias("comp"))
+    kept = F.when(F.col("component_id").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.where("cls is not null").join(named, "cls").select("doc_id", "mark", "n_shingles", "component_id", kept.alias("kept"), "comp").unionByName(alone)
 
 
 def keep_firsts(documents: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: that of its smallest doc_id; of rows with equal doc_id and text, one."""
-    kept = near_groups(documents).where("kept").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct()
-    marked = documents.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    """One row of each component, with all its columns: that of its smallest doc_id, if there is one; of rows
+    with that doc_id, or of rows if none has one, one.  Rows whose text is null or without words all stay."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    mark, first, first_mark = fresh(documents, "mark", "first", "first_mark")
+    firsts = near_groups(documents).where("comp is not null").groupBy("comp").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias(first), F.col("x.mark").alias(first_mark))
+    marked = documents.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    wordy = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = marked.where(wordy).join(firsts, marked["doc_id"].eqNullSafe(F.col(first)) & (F.col(mark) == F.col(first_mark)), "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.unionByName(marked.where(~wordy)).drop(mark)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
