@@ -9,30 +9,38 @@ Equal windows so always meet under equal anchors, and text whose anchors occur o
 2. Segments (anchor, digest of the segment's bytes) are counted; anchors seen once drop out.
 3. Segments with equal bytes are one, with its count.  Anchors that have several different segments go to
    shards of bounded size; each shard's suffix array and common prefixes mark the windows that repeat.
-4. An anchor with more segments than a shard takes is dealt over several shards.  Each cuts the sorted
-   run of its windows' digests at the same points by binary search, and the runs of one range are merged:
-   each is searched in the others by binary search.
+4. An anchor with more segments than a shard takes is dealt over several shards.  Each takes its distinct
+   windows off its suffix array, where equal ones are neighbours, sorts their digests to a run, one digest a window
+   however often it occurs, and cuts the run at the same points by binary search.  The runs of one range are merged by
+   binary search; digests that two runs hold go back to the shards that hold their places.
 5. Marks go back to the texts that hold the segments, and covered bytes are cut.
 
-Null texts are empty; texts under 400 bytes keep all bytes; repeated rows are copies of each other.
+Null texts are empty; texts under the window's bytes keep all bytes; repeated rows are copies of each other.
+
+Passages are cut by words in the same way (cut_passages): a text is then the string of its words' 64-bit codes, so that a
+window of PASSAGE words has 8 * PASSAGE bytes, and words whose codes are covered whole are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, as_bytes, fields, parts, per_batch, scratch, to_batch, tune, written
+from .common import as_bytes, fields, fresh, parts, per_batch, remove, scratch, to_batch, tune, written
 from .suffixes import common_prefixes, suffix_array, words8
 
 WINDOW = 400
 GRAM = 16
+#: Words of a passage that a training corpus should hold once: over 50.
+PASSAGE = 51
 #: Bytes of joined texts hashed at once, and the most that one piece of a text takes.
 BUFFER = 1 << 20
 #: Bytes that a shard's suffix array is built over, and most segments of one anchor in a shard.
@@ -41,6 +49,7 @@ SHARD_SEGMENTS = 2048
 #: Between the segments of a shard; no UTF-8 text holds it.
 BREAK = 0xFF
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _TABLE = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -126,8 +135,8 @@ def found_segments(texts: list[bytes], window: int = WINDOW) -> Iterator[tuple[i
             yield owners[p], offsets[p] + off, last - first + window, h, *_digest(joined[first : last + window])
 
 
-def shard_marks(bodies: list[bytes], window: int = WINDOW) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Windows of a shard's segments that repeat in it: offsets by segment; and the joined bytes and their order."""
+def shard_marks(bodies: list[bytes], window: int = WINDOW) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a shard's segments that repeat in it: offsets by segment; and the joined bytes, their order and common prefixes."""
     joined = np.frombuffer(b"".join(x + b"\xff" for x in bodies), np.uint8)
     heads = words8(joined)
     order = suffix_array(joined, heads)
@@ -136,7 +145,7 @@ def shard_marks(bodies: list[bytes], window: int = WINDOW) -> tuple[list[np.ndar
     hit[before[np.flatnonzero(hit)]] = True
     ends = np.cumsum([len(x) + 1 for x in bodies])
     out = [np.flatnonzero(hit[e - len(x) - 1 : e - window]) for x, e in zip(bodies, ends.tolist())]
-    return out, joined, order
+    return out, joined, order, shared
 
 
 def intervals(offsets: np.ndarray) -> list[int]:
@@ -170,7 +179,9 @@ def window_hashes(joined: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.stack(out, 1)
 
 
-SHARD = "anchor bigint, hi bigint, lo bigint, marks array<int>, reach int, runs binary, places binary"
+SHARD = "anchor bigint, hi bigint, lo bigint, marks array<int>, reach int, digests binary, uses binary, places binary"
+#: A window's place: the digest of its segment, and its offset there.
+PLACE = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("off", "<i4")])
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch], arrow: pa.Schema, window: int) -> Iterator[pa.RecordBatch]:
@@ -188,59 +199,95 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], arrow: pa.Schema, window: in
 
 
 def _shard(rows: list[tuple], window: int) -> dict[str, list]:
-    marks, joined, order = shard_marks([r[-1] for r in rows], window)
-    out = {"anchor": [r[0] for r in rows], "hi": [r[3] for r in rows], "lo": [r[4] for r in rows], "marks": [intervals(m) for m in marks], "reach": [-1] * len(rows), "runs": [None] * len(rows), "places": [None] * len(rows)}
+    marks, joined, order, shared = shard_marks([r[-1] for r in rows], window)
+    out = {"anchor": [r[0] for r in rows], "hi": [r[3] for r in rows], "lo": [r[4] for r in rows], "marks": [intervals(m) for m in marks]}
+    out |= {"reach": [-1] * len(rows), **{k: [None] * len(rows) for k in ("digests", "uses", "places")}}
     if any(r[2] > 1 for r in rows):
         hashes = window_hashes(joined, window)
         begin = np.concatenate([[0], np.cumsum([len(r[-1]) + 1 for r in rows])])
+        owner = np.full(len(joined), -1, np.int32)  # of windows that end in their segment
+        for i in range(len(rows)):
+            owner[begin[i] : begin[i + 1] - window] = i
+        starts = order[owner[order] >= 0]
+        same = np.cumsum(shared[starts] < window)  # equal windows have one number
         at = 0
         for (anchor, _, lots, *_), lot in groupby(rows, key=lambda r: r[:3]):
             n = len(list(lot))
             if lots > 1:
-                own = np.concatenate([np.arange(begin[i], begin[i + 1] - window) for i in range(at, at + n)])
-                for key, value in _cut_run(anchor, lots, hashes[own], rows[at : at + n], begin[at : at + n + 1], own).items():
+                own = (owner[starts] >= at) & (owner[starts] < at + n)
+                places = np.empty(int(own.sum()), PLACE)
+                segment = owner[starts[own]]
+                ids = np.array([(r[3], r[4]) for r in rows], np.int64)
+                places["hi"], places["lo"], places["off"] = ids[segment, 0], ids[segment, 1], starts[own] - begin[segment]
+                for key, value in _cut_run(anchor, lots, hashes[starts[own]], same[own], places).items():
                     out[key] += value
             at += n
     return out
 
 
-def _cut_run(anchor: int, lots: int, hashes: np.ndarray, rows: list[tuple], begin: np.ndarray, own: np.ndarray) -> dict[str, list]:
-    """The lot's windows as a sorted run of digests, cut by binary search into as many ranges as there are lots."""
-    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
-    h, place = hashes[order], own[order]
-    segment = np.searchsorted(begin, place, side="right") - 1
-    ids = np.array([(r[3], r[4]) for r in rows], np.int64)
-    cuts = np.searchsorted(h[:, 0], (np.arange(1, lots, dtype=np.float64) / lots * 2.0**64).astype(np.uint64))
-    edges = np.concatenate([[0], cuts, [len(h)]])
-    out: dict[str, list] = {k: [] for k in ("anchor", "hi", "lo", "marks", "reach", "runs", "places")}
+def _cut_run(anchor: int, lots: int, hashes: np.ndarray, same: np.ndarray, places: np.ndarray) -> dict[str, list]:
+    """The lot's distinct windows as a sorted run of digests, cut by binary search into as many ranges as there are lots.
+
+    Each range has its digests, how many places each has in the lot, and those places.
+    """
+    firsts = np.flatnonzero(np.diff(same, prepend=-1))
+    uses = np.diff(firsts, append=len(same))
+    order = np.lexsort((hashes[firsts, 1], hashes[firsts, 0]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    places = places[np.argsort(np.repeat(rank, uses), kind="stable")]
+    digests, uses = hashes[firsts[order]], uses[order]
+    ends = np.concatenate([[0], np.cumsum(uses)])
+    cuts = np.searchsorted(digests[:, 0], (np.arange(1, lots, dtype=np.float64) / lots * 2.0**64).astype(np.uint64))
+    edges = np.concatenate([[0], cuts, [len(digests)]])
+    out: dict[str, list] = {k: [] for k in ("anchor", "hi", "lo", "marks", "reach", "digests", "uses", "places")}
     for r in range(lots):
         a, b = int(edges[r]), int(edges[r + 1])
         if b > a:
-            # A place is the segment's digest and the window's offset in it.
-            places = np.empty(b - a, np.dtype([("hi", "<i8"), ("lo", "<i8"), ("off", "<i4")]))
-            places["hi"], places["lo"] = ids[segment[a:b], 0], ids[segment[a:b], 1]
-            places["off"] = place[a:b] - begin[segment[a:b]]
-            for key, value in (("anchor", anchor), ("hi", 0), ("lo", 0), ("marks", []), ("reach", r), ("runs", np.ascontiguousarray(h[a:b]).tobytes()), ("places", places.tobytes())):
+            for key, value in (("anchor", anchor), ("hi", 0), ("lo", 0), ("marks", []), ("reach", r), ("digests", np.ascontiguousarray(digests[a:b]).tobytes()), ("uses", uses[a:b].astype("<i4").tobytes()), ("places", places[ends[a] : ends[b]].tobytes())):
                 out[key].append(value)
     return out
 
 
+def _run(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64).reshape(-1, 2)
+
+
+def merged_runs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of distinct digests, each with those found twice so far, as one: each of b is searched in a."""
+    hit = _holds(a[0], b[0])
+    new = b[0][~hit]
+    return np.insert(a[0], np.searchsorted(a[0][:, 0], new[:, 0]), new, axis=0), np.concatenate([a[1], b[1], b[0][hit]])
+
+
 def _merge_runs(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor and range: runs of one range are searched in each other."""
-    rows = ((a, r, run, place) for batch in batches for a, r, run, place in zip(*(batch.column(c).to_pylist() for c in ("anchor", "reach", "runs", "places"))))
-    kind = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("off", "<i4")])
-    for (anchor, _), group in groupby(rows, key=lambda r: r[:2]):
-        runs = [(np.frombuffer(run, np.uint64).reshape(-1, 2), np.frombuffer(place, kind)) for _, _, run, place in group]
+    """Rows come sorted by anchor and range: the digests of a range that two of its runs hold."""
+    rows = ((a, r, run) for batch in batches for a, r, run in zip(*(batch.column(c).to_pylist() for c in ("anchor", "reach", "digests"))))
+    for (anchor, reach), group in groupby(rows, key=lambda r: r[:2]):
+        stack: list[tuple[np.ndarray, np.ndarray]] = []
+        for _, _, run in group:
+            stack.append((_run(run), np.zeros((0, 2), np.uint64)))
+            while len(stack) > 1 and len(stack[-2][0]) <= 2 * len(stack[-1][0]):  # runs of like sizes meet
+                stack.append(merged_runs(*reversed([stack.pop(), stack.pop()])))
+        while len(stack) > 1:
+            stack.append(merged_runs(*reversed([stack.pop(), stack.pop()])))
+        twice = np.unique(stack[0][1], axis=0)
+        if len(twice):
+            yield to_batch({"anchor": [anchor], "reach": [reach], "twice": [twice.tobytes()]}, arrow)
+
+
+def _found(batch: pa.RecordBatch) -> dict[str, list]:
+    """A lot's places of those of its windows that another lot has too."""
+    out: dict[str, list] = {k: [] for k in ("anchor", "hi", "lo", "marks")}
+    for anchor, digests, uses, places, twice in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digests", "uses", "places", "twice"))):
+        hit = np.repeat(_holds(_run(twice), _run(digests)), np.frombuffer(uses, "<i4"))
         found: dict[tuple[int, int], list[int]] = {}
-        for i, (mine, places) in enumerate(runs):
-            hit = np.zeros(len(mine), bool)
-            for j, (other, _) in enumerate(runs):
-                if i != j:
-                    hit |= _holds(other, mine)
-            for hi, lo, off in places[hit].tolist():
-                found.setdefault((hi, lo), []).append(off)
-        if found:
-            yield to_batch({"anchor": [anchor] * len(found), "hi": [k[0] for k in found], "lo": [k[1] for k in found], "marks": [intervals(np.unique(v)) for v in found.values()]}, arrow)
+        for hi, lo, off in np.frombuffer(places, PLACE)[hit].tolist():
+            found.setdefault((hi, lo), []).append(off)
+        for (hi, lo), offsets in found.items():
+            for key, value in (("anchor", anchor), ("hi", hi), ("lo", lo), ("marks", intervals(np.unique(offsets)))):
+                out[key].append(value)
+    return out
 
 
 def _holds(run: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -258,7 +305,40 @@ def _holds(run: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cut(window: int):
+def word_codes(text: bytes) -> bytes:
+    """Eight bytes a word, none of them BREAK."""
+    words = text.split()
+    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.uint8)
+    codes[codes == BREAK] = BREAK - 1
+    return codes.tobytes()
+
+
+def _as_it_is(text: bytes) -> bytes:
+    return text
+
+
+def _spans(covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of covered bytes."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(covered):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _word_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Bytes of the words whose codes lie whole in spans of codes, and of the white space after them."""
+    if not spans:
+        return []
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    return [(starts[-(-a // 8)], starts[b // 8]) for a, b in spans if b // 8 > -(-a // 8)]
+
+
+def _cut(window: int, words: bool):
+    seen = word_codes if words else _as_it_is
+
     def work(batch: pa.RecordBatch) -> dict[str, list]:
         texts = as_bytes(batch.column("text"))
         marks = batch.column("found").to_pylist()
@@ -268,43 +348,67 @@ def _cut(window: int):
                 w.setdefault((m["hi"], m["lo"]), []).extend(m["marks"])
         covered: list[list[tuple[int, int]]] = [[] for _ in texts]
         busy = [i for i, w in enumerate(wanted) if w]
-        for i, at, _, _, hi, lo in found_segments([texts[i] for i in busy], window):
+        for i, at, _, _, hi, lo in found_segments([seen(texts[i]) for i in busy], window):
             spans = wanted[busy[i]].get((hi, lo), ())
             covered[busy[i]] += [(at + a, at + b + window) for a, b in zip(spans[::2], spans[1::2])]
-        out: dict[str, list] = {k: [] for k in ("k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
         for i, text in enumerate(texts):
-            kept, spans, at = [], 0, 0
-            for a, b in sorted(covered[i]):
-                if a > at or not spans:
-                    kept.append(text[at:a])
-                    spans += 1
-                at = max(at, b)
+            kept, at = [], 0
+            spans = _word_spans(text, _spans(covered[i])) if words else _spans(covered[i])
+            for a, b in spans:
+                kept.append(text[at:a])
+                at = b
             rest = b"".join([*kept, text[at:]])
-            for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(rest)), ("n_spans", spans), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("kept_text", rest.decode("utf-8", "ignore"))):
+            for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(rest)), ("n_spans", len(spans)), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("kept_text", rest.decode("utf-8", "ignore"))):
                 out[k].append(v)
-        out["k1"], out["k2"] = batch.column("k1"), batch.column("k2")
-        return out
+        return {"k1": batch.column("k1"), "k2": batch.column("k2"), **out}
 
     return work
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """One row per row of documents: all its columns, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of documents: all its columns but text, n_bytes, n_removed, n_spans, kept_sha256.
 
-    With keep_text also kept_text in place of text: what is left, without characters that were cut through.
+    With keep_text also kept_text: what is left, without characters that were cut through.  Columns of
+    documents that have one of these names give way to the result.
     """
-    spark = documents.sparkSession
-    tune(spark)
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
+    keyed, keys = _keyed(documents)
+    cut = _cut_texts(keyed.select(*keys, "text"), keys, window, keep_text).select(*keys, *results)
+    return keyed.drop("text", *results).join(cut, keys).drop(*keys)
+
+
+def cut_passages(documents: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """documents without the words that are covered by a run of so many words that also starts elsewhere.
+
+    All columns and rows stay; null texts stay null, and texts with fewer words as they are.
+    """
+    keyed, keys = _keyed(documents)
+    left, null = fresh(keyed, "left", "null")
+    cut = _cut_texts(keyed.select(*keys, "text"), keys, 8 * words, True, words=True).select(*keys, F.col("kept_text").alias(left))
+    lean = keyed.withColumn(null, F.col("text").isNull()).drop("text")
+    return lean.join(cut, keys).withColumn("text", F.when(~F.col(null), F.col(left))).select(documents.columns)
+
+
+def _keyed(documents: DataFrame) -> tuple[DataFrame, list[str]]:
+    """documents with two columns that name the text, and these columns' names."""
+    keys = fresh(documents, "k1", "k2")
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    keyed = documents.withColumns({f"_k{i}": F.conv(F.substring(digest, 16 * i - 15, 16), 16, -10).cast("long") for i in (1, 2)})
-    lean = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
-    n = parts(documents)
+    return documents.withColumns({k: F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i, k in enumerate(keys)}), keys
+
+
+def _cut_texts(keyed: DataFrame, keys: list[str], window: int, keep_text: bool, words: bool = False) -> DataFrame:
+    """A row for each distinct text, by its keys: what is left of it; a written table."""
+    spark, seen_as = keyed.sparkSession, word_codes if words else _as_it_is
+    tune(spark)
+    lean = keyed.select(F.col(keys[0]).alias("k1"), F.col(keys[1]).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
+    n = parts(keyed)
     name = "claimlens_texts_" + scratch(spark, "x").rsplit("-", 1)[1]
     lean.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).repartition(n, "k1", "k2").write.bucketBy(n, "k1", "k2").sortBy("k1", "k2").option("compression", "zstd").option("path", scratch(spark, "texts")).saveAsTable(name)
     texts = spark.table(name)
 
     def runs_of(batch: pa.RecordBatch) -> dict[str, list]:
-        held, copies = as_bytes(batch.column("text")), batch.column("copies").to_pylist()
+        held, copies = [seen_as(t) for t in as_bytes(batch.column("text"))], batch.column("copies").to_pylist()
         k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
         seen: dict[tuple[int, int, int, int], list[int]] = {}
         for i, at, size, anchor, hi, lo in found_segments(held, window):
@@ -327,23 +431,27 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
     def bodies(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("anchor", "lot", "lots", "hi", "lo", "body")}
         for text, row in zip(as_bytes(batch.column("text")), batch.column("asked").to_pylist()):
+            text = seen_as(text)
             for m in row:
                 for k, v in (("anchor", m["anchor"]), ("lot", m["lo"] % m["lots"]), ("lots", m["lots"]), ("hi", m["hi"]), ("lo", m["lo"]), ("body", text[m["at"] : m["at"] + m["size"]])):
                     out[k].append(v)
         return out
 
     fetched = per_batch(texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]), "anchor bigint, lot int, lots int, hi bigint, lo bigint, body binary", bodies)
-    shard_arrow, mark_arrow = fields(SHARD, spark), fields("anchor bigint, hi bigint, lo bigint, marks array<int>", spark)
+    shard_arrow, run_arrow = fields(SHARD, spark), fields("anchor bigint, reach int, twice binary", spark)
     shards = written(fetched.repartition(n, "anchor", "lot").sortWithinPartitions("anchor", "lot").mapInArrow(lambda b: _sort_shards(b, shard_arrow, window), SHARD), "shards")
-    merged = shards.where("reach >= 0").select("anchor", "reach", "runs", "places").repartition(n, "anchor", "reach").sortWithinPartitions("anchor", "reach").mapInArrow(lambda b: _merge_runs(b, mark_arrow), "anchor bigint, hi bigint, lo bigint, marks array<int>")
+    lot_runs = shards.where("reach >= 0").select("anchor", "reach", "digests", "uses", "places")
+    twice = lot_runs.select("anchor", "reach", "digests").repartition(n, "anchor", "reach").sortWithinPartitions("anchor", "reach").mapInArrow(lambda b: _merge_runs(b, run_arrow), "anchor bigint, reach int, twice binary")
+    merged = per_batch(lot_runs.join(twice, ["anchor", "reach"]), "anchor bigint, hi bigint, lo bigint, marks array<int>", _found)
     whole = one.where("n > 1").select("anchor", "hi", "lo", F.array(F.lit(0), (F.col("size") - window)).alias("marks"))
     marks = shards.where("reach < 0 and size(marks) > 0").select("anchor", "hi", "lo", "marks").unionByName(merged).unionByName(whole)
     held = again.select("anchor", "hi", "lo", "k1", "k2").join(marks, ["anchor", "hi", "lo"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("hi", "lo", "marks")).alias("found"))
-    cut = per_batch(texts.select("k1", "k2", "text").join(held, ["k1", "k2"], "left"), "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string", _cut(window))
+    cut = per_batch(texts.select("k1", "k2", "text").join(held, ["k1", "k2"], "left"), "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string", _cut(window, words))
     cut = written(cut if keep_text else cut.drop("kept_text"), "cut")
-    out = keyed.drop("text").join(cut.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"]).drop("_k1", "_k2")
+    for done in (texts, runs, again, one, shards):
+        remove(spark, done)
     spark.sql(f"DROP TABLE {name}")
-    return out
+    return cut.withColumnsRenamed(dict(zip(("k1", "k2"), keys)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
