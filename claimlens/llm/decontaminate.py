@@ -1,10 +1,11 @@
 """[9] Benchmark decontamination over a positional inverted index of the training documents.
 
-The index is dealt by documents, as search engines do it: each segment holds some documents' postings, for
+The index is dealt by documents, as search engines do it: each segment holds all postings of some documents, for
 each term a sorted list of (document, position), and is a row of a table in the shared folder.  A search sends
 the test windows to every segment.  Corpus frequencies of the windows' terms come from the index; a window
 starts from the list of its rarest term, shifts it by the term's place in the window, and intersects it with
 the shifted lists of the other terms, from rare to frequent.  Windows with a term that the corpus lacks end there.
+A window is near where all its terms lie, in any order, within its length and SLOP words of its rarest term.
 
 Test items go out in slices of at most SLICE_WORDS words, so what is broadcast is bounded whatever their number.
 """
@@ -16,16 +17,18 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain, count, islice, repeat
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fields, per_batch, to_batch, tune, written
+from .common import as_bytes, fields, fresh, per_batch, to_batch, tune, written
 
 WINDOW = 13
+#: Words between a window's terms, beyond its own, that a proximity match may have.
+SLOP = 3
 #: Words of test items that are searched for, and broadcast, at once.
 SLICE_WORDS = 1_000_000
 #: Terms that a task counts before it sends the counts on.
@@ -47,28 +50,19 @@ def windows_of(words: list, size: int = WINDOW) -> list[tuple]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def index(documents: DataFrame, terms: set[bytes] | None = None) -> DataFrame:
-    """Segments of the postings of doc_id and text: of all terms, or of the given ones; a written table."""
-    wanted = documents.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(sorted(terms))}) if terms is not None else None
+def index(documents: DataFrame) -> DataFrame:
+    """Segments of the postings of doc_id and text, of all terms; a written table."""
 
     def segment(batch: pa.RecordBatch) -> dict[str, list]:
         split = [words_of(t) for t in as_bytes(batch.column("text"))]
-        if wanted is None:
-            ids: dict[bytes, int] = defaultdict(count().__next__)
-            codes = [np.fromiter(map(ids.__getitem__, w), np.int32, len(w)) for w in split]
-        else:
-            ids = wanted.value
-            codes = [np.fromiter(map(ids.get, w, repeat(-1)), np.int32, len(w)) for w in split]
+        ids: dict[bytes, int] = defaultdict(count().__next__)
         sizes = np.array([len(w) for w in split], np.int64)
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        code = np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
         doc = np.repeat(np.arange(len(split), dtype=np.int64), sizes)
         at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        keep = np.flatnonzero(code >= 0)
-        order = keep[np.argsort(code[keep], kind="stable")]
-        code = code[order]
-        ends = np.flatnonzero(np.diff(code, append=-1)) + 1
-        names = {i: t for t, i in ids.items()} if wanted is None else sorted(ids)
-        return {"seg": [uuid.uuid4().hex], "doc_ids": [batch.column("doc_id").to_pylist()], "n_words": [sizes.tolist()], "terms": [[names[i] for i in code[ends - 1].tolist()]], "ends": [ends.tolist()], "docs": [doc[order].astype("<u2").tobytes()], "at": [at[order].astype("<u4").tobytes()]}
+        order = np.argsort(code.astype(np.uint16) if len(ids) < 1 << 16 else code, kind="stable")  # 16 bits are sorted by radix
+        ends = np.cumsum(np.bincount(code, minlength=len(ids)))
+        return {"seg": [uuid.uuid4().hex], "doc_ids": [batch.column("doc_id").to_pylist()], "n_words": [sizes.tolist()], "terms": [list(ids)], "ends": [ends.tolist()], "docs": [doc[order].astype("<u2").tobytes()], "at": [at[order].astype("<u4").tobytes()]}
 
     return written(per_batch(documents.select("doc_id", "text"), SEGMENT, segment), "index")
 
@@ -114,8 +108,8 @@ def _holds(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return keys[np.minimum(at, len(keys) - 1)] == wanted
 
 
-def _search(plan: dict[bytes, list[tuple]], slop: int | None):
-    """Spans and items of each document of a segment: exact matches, and with slop also unordered near ones."""
+def _search(plan: dict[bytes, list[tuple]], slop: int):
+    """Spans and items of each document of a segment: exact matches, and the items of near ones."""
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("seg", "ord", "doc_id", "n_words", "spans", "items", "near")}
@@ -139,16 +133,15 @@ def _search(plan: dict[bytes, list[tuple]], slop: int | None):
                     for key in begin.tolist():
                         spans[key >> 32].add((key & 0xFFFFFFFF, length))
                         items[key >> 32].update(owners)
-                    if slop is not None:
-                        around = own
-                        for t, _ in others:
-                            if len(around):
-                                held, reach = lists(t), length - 1 + slop
-                                low = np.maximum(around - reach, around >> 32 << 32)
-                                first = np.searchsorted(held, low)
-                                around = around[(first < len(held)) & (np.abs(held[np.minimum(first, len(held) - 1)] - around) <= reach)]
-                        for key in around.tolist():
-                            near[key >> 32].update(owners)
+                    around, reach = own, length - 1 + slop
+                    for t, _ in others:
+                        if not len(around):
+                            break
+                        held = lists(t)
+                        first = np.searchsorted(held, np.maximum(around - reach, around >> 32 << 32))
+                        around = around[(first < len(held)) & (np.abs(held[np.minimum(first, len(held) - 1)] - around) <= reach)]
+                    for key in around.tolist():
+                        near[key >> 32].update(owners)
             for i, (doc_id, n) in enumerate(zip(doc_ids, sizes)):
                 out["seg"].append(seg)
                 out["ord"].append(i)
@@ -177,22 +170,18 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple]]:
 FOUND = "seg string, ord int, doc_id bigint, n_words bigint, spans array<bigint>, items array<string>, near array<string>"
 
 
-def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """One row per row of documents: doc_id, n_words, spans (first word, words, ...), items, and near.
 
-    items are the ids, as strings, of items of which some window occurs word for word; near, if slop is given,
-    those of which some window's words all lie within its length and slop words of its rarest one.  Null texts
+    items are the ids, as strings, of items of which some window occurs word for word; near those of which some
+    window's words all lie within its length and slop words of its rarest one, so items are near too.  Null texts
     have no words; an item without words has no window; items of one id are one; a null id is "null".
     """
     spark = documents.sparkSession
     tune(spark)
-    slices = _slices(benchmark)
-    ahead = list(islice(slices, 2))
-    one = len(ahead) == 1
-    # With one slice, postings of other terms than the slice's are never asked for, and aren't stored.
-    segments = index(documents, {w for _, words in ahead[0] for w in words} if one else None)
+    segments = index(documents)
     found = []
-    for items in chain(ahead, slices):
+    for items in _slices(benchmark):
         names = ["null" if i is None else str(i) for i, _ in items]
         known = frequencies(segments, {w for _, words in items for w in words})
         plan = spark.sparkContext.broadcast((_rarest_first(items, known, window), names))
@@ -204,8 +193,10 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
             return out
 
         found.append(per_batch(segments, FOUND, work))
-    if one:
+    if len(found) == 1:
         return found[0].drop("seg", "ord")
+    # Each slice's matches are written: what is joined in the end is a union of tables, not of searches.
+    found = [written(f, "found") for f in found]
     merged = reduce(DataFrame.unionByName, found).groupBy("seg", "ord", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")))
     return merged.withColumns({c: F.array_sort(F.array_distinct(c)) for c in ("items", "near")}).drop("seg", "ord")
 
@@ -218,20 +209,26 @@ def _digest(batch: pa.RecordBatch) -> dict[str, list]:
             n += max(0, start + length - max(start, end))
             end = max(end, start + length)
         hits.append(n)
-    items = batch.column("items").to_pylist()
-    return {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_hit": hits, "n_items": [len(x) for x in items], "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]}
+    items, near = batch.column("items").to_pylist(), batch.column("near").to_pylist()
+    return {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_hit": hits, "n_items": [len(x) for x in items], "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], "n_near": [len(x) for x in near]}
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated: a twentieth or more of the words are hit."""
-    counted = per_batch(find(documents, benchmark), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string", _digest)
+    """doc_id, n_words, n_hit, n_items, items_sha256, n_near (items with near windows) and contaminated: a
+    twentieth or more of the words are hit."""
+    counted = per_batch(find(documents, benchmark), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, n_near bigint", _digest)
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id no contaminated row has, with all their columns; rows without doc_id stay."""
-    dirty = contamination(documents, benchmark).where("contaminated").select("doc_id").distinct()
-    return documents.join(dirty, "doc_id", "left_anti").select(documents.columns)
+    """The rows of documents that aren't contaminated, with all their columns; ids play no part.
+
+    A row goes by its text alone: texts are named by 64-bit digests in place of ids.
+    """
+    (mark,) = fresh(documents, "mark")
+    marked = documents.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    dirty = contamination(marked.select(F.col(mark).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(mark)).distinct()
+    return marked.join(dirty, mark, "left_anti").select(documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -254,8 +251,23 @@ hits AS (
 covered AS (
   SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY 1),
 named AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item AS VARCHAR) AS item FROM hits) GROUP BY 1)
-SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item AS VARCHAR) AS item FROM hits) GROUP BY 1),
+posted AS (SELECT id AS doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS term FROM w WHERE kind = 'd'),
+often AS (SELECT term, count(*) AS n FROM posted GROUP BY 1),
+wins AS (SELECT row_number() OVER () AS win, t FROM (SELECT DISTINCT t FROM tests)),
+places AS (SELECT win, len(t) AS size, unnest(range(1, len(t) + 1)) AS place, unnest(t) AS term FROM wins),
+ranked AS (SELECT places.*, n FROM places LEFT JOIN often USING (term)),
+rare AS (SELECT win, any_value(size) AS size, arg_min(term, n * 1000 + place) AS term FROM ranked GROUP BY win HAVING bool_and(n IS NOT NULL)),
+others AS (SELECT DISTINCT win, ranked.term FROM ranked JOIN rare USING (win) WHERE ranked.term <> rare.term),
+asked AS (SELECT win, count(*) AS k FROM others GROUP BY 1),
+around AS (SELECT win, size, doc_id, p FROM rare JOIN posted USING (term)),
+held AS (
+  SELECT win, a.doc_id, a.p, count(DISTINCT o.term) AS k FROM around a JOIN others o USING (win)
+  JOIN posted q ON q.doc_id = a.doc_id AND q.term = o.term AND abs(q.p - a.p) <= a.size - 1 + 3 GROUP BY 1, 2, 3),
+nearby AS (
+  SELECT doc_id, count(DISTINCT coalesce(CAST(item AS VARCHAR), 'null')) AS n_near FROM around LEFT JOIN held USING (win, doc_id, p) LEFT JOIN asked USING (win)
+  JOIN wins USING (win) JOIN tests USING (t) WHERE coalesce(held.k, 0) = coalesce(asked.k, 0) GROUP BY 1)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(n_near, 0) AS n_near,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM w LEFT JOIN covered ON covered.doc_id = id LEFT JOIN named ON named.doc_id = id WHERE kind = 'd'
+FROM w LEFT JOIN covered ON covered.doc_id = id LEFT JOIN named ON named.doc_id = id LEFT JOIN nearby ON nearby.doc_id = id WHERE kind = 'd'
 """
