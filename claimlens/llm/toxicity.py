@@ -1,11 +1,13 @@
 """[2] Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. On at most LABELLED labelled rows outside the held-out fold, words and word beginnings that are much more frequent in
-   toxic texts become lexicon entries; each (kind, strength) of entry is a voter, and patterns are voters too.
-2. The label model takes the voters' votes, not labels: expectation-maximisation gives each voter's accuracy on
-   either class.  Voters whose votes agree beyond what the class explains share their weight, by their
-   estimated correlations.  It starts from the share of toxic rows among the labelled ones.
-3. A logistic regression on votes and hashed lexicon entries learns the posterior labels, and scores every text.
+   toxic texts become lexicon entries; each (kind, strength) of entry is a voter, which votes where such entries are dense, so
+   that long texts draw no votes by their length; patterns are voters too.
+   Labels are used here and for the class share, and nowhere after.
+2. The label model sees the rows' votes only: expectation-maximisation gives each voter's accuracy on either class,
+   from a start where the rows with the most and strongest votes are toxic, as many as the class share says.  Voters whose votes agree beyond
+   what the class explains share their weight, by their estimated correlations.
+3. A logistic regression on votes, densities and strengths of entries learns the posterior labels, and scores every text.
 
 Null texts are empty texts; a text without any entry gets the score of none.
 """
@@ -30,8 +32,8 @@ LABELLED, ENTRIES, LEAST_SHARE, HELD = 16_000, 6000, 0.004, 200_000
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Log odds from which an entry is of strength 0, 1, 2.
 STRENGTHS = (0.8, 2.0, 3.5)
-#: Shares of a text's words that its entries of a kind may be, and the given label's votes.
-DENSE, ANNOTATORS = (0.005, 0.015), 1
+#: Shares of a text's words that its entries of a strength are, from which they vote.
+DENSE = (0.05, 0.02, 0.005)
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -100,35 +102,50 @@ def votes(text: str, known: dict[tuple[int, str], float]) -> tuple[list[int], li
                 row[sum(odds >= s for s in STRENGTHS) - 1] += n
                 most = max(most, odds)
     total = max(1, words.total())
-    dense = [sum(row) / total for row in hits]
-    out = [int(n > 0) for row in hits for n in row]
-    out += [int(sum(row) > 1) for row in hits] + [int(d >= least) for d in dense for least in DENSE]
-    told = [min(1.0, 20 * d) for d in dense] + [math.log1p(row[-1]) / 3 for row in hits] + [most / 5, math.log1p(total) / 10]
-    return out + _patterns(text), told
+    out = [int(n > 0 and n >= least * total) for row in hits for n, least in zip(row, DENSE)]
+    told = [x for row in hits for x in (min(1.0, 20 * sum(row) / total), min(1.0, 50 * row[-1] / total), math.log1p(row[-1]) / 3)]
+    return out + _patterns(text), [*told, most / 5]
 
 
-def label_model(v: np.ndarray, prior: float, first: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def trust() -> np.ndarray:
+    """How much each vote says at the start: the log odds from which its entries are; those of the weakest for a pattern."""
+    return np.array([*STRENGTHS * (1 + len(BEGINNINGS)), *STRENGTHS[:1] * len(_patterns(""))])
+
+
+def label_model(v: np.ndarray, prior: float, said: np.ndarray | float = 1.0, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Voters' chance of a vote on either class, their weights for correlation, posterior labels, and the class share.
 
-    Expectation-maximisation over the votes v from a first guess of the labels.
+    Expectation-maximisation over the votes v, from the rows where the votes say most as toxic; rows that tie at the edge all are.
     """
-    q = np.clip(first, 0.02, 0.98)
-    weight, share = np.ones(v.shape[1]), prior
+    n_votes = (v * said).sum(1)
+    edge = np.sort(n_votes)[-max(1, round(prior * len(v)))]
+    q = np.clip((n_votes >= edge if edge > n_votes.min() else n_votes > edge).astype(float), 0.02, 0.98)
+    share = prior
     for _ in range(rounds):
         on = np.stack([((1 - q) @ v + 0.5) / ((1 - q).sum() + 1), (q @ v + 0.5) / (q.sum() + 1)])
         on = np.clip(on, 1e-3, 1 - 1e-3)
-        # What is left of the votes once the class is taken out: its correlations say how many voters say one thing.
-        rest = v - (1 - q)[:, None] * on[0] - q[:, None] * on[1]
-        deviation = np.sqrt((rest**2).mean(0)) + 1e-6
-        together = np.abs((rest / deviation).T @ (rest / deviation) / len(v))
-        weight = 1 / np.maximum(1, together.sum(1))
-        weight[-ANNOTATORS:] = 1
+        weight = 1 / _together(v, q > 0.5).sum(1)
         logit = math.log(share / (1 - share)) + v @ (weight * np.log(on[1] / on[0])) + (1 - v) @ (weight * np.log((1 - on[1]) / (1 - on[0])))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         share = float(np.clip(q.mean(), 0.5 * prior, 2 * prior))
     return on, weight, q, share
 
 
+def _together(v: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How much of one thing each two voters say: correlations of their votes within the classes, less what chance gives.
+
+    Classes are taken as hard: soft ones would leave the class itself in the rest, and make all voters one.  Voters that
+    hardly ever differ within the classes tell of no correlation.
+    """
+    rest = np.concatenate([part - part.mean(0) for part in (v[toxic], v[~toxic]) if len(part)])
+    deviation = np.sqrt((rest**2).mean(0))
+    told = deviation > 0.02
+    scaled = rest / np.where(told, deviation, 1) * told
+    out = np.maximum(0, np.abs(scaled.T @ scaled / len(v)) - 2 / math.sqrt(len(v)))
+    np.fill_diagonal(out, 1)
+    return out
+
+
 def logistic(x: np.ndarray, q: np.ndarray, rounds: int = 300, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
     """Weights, the last one constant, that fit soft labels: Adagrad on whole batches."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
@@ -152,12 +169,10 @@ def fit(rows: DataFrame) -> dict:
 
     def vote(batch: pa.RecordBatch) -> dict[str, list]:
         told = [votes(t, sent.value) for t in as_texts(batch.column("text"))]
-        return {"votes": [v for v, _ in told], "inputs": [[*v, *f] for v, f in told], "label": batch.column("label")}
+        return {"votes": [v for v, _ in told], "inputs": [[*v, *f] for v, f in told]}
 
-    told = per_batch(rows, "votes array<int>, inputs array<float>, label int", vote).collect()
-    # The given label is one more voter, whose accuracy is estimated like any other's.
-    v = np.array([[*r["votes"], *[r["label"]] * ANNOTATORS] for r in told], np.float64)
-    _, _, q, _ = label_model(v, toxic / total, v[:, -1])
+    told = per_batch(rows.select("text"), "votes array<int>, inputs array<float>", vote).collect()  # at most LABELLED rows
+    _, _, q, _ = label_model(np.array([r["votes"] for r in told], np.float64), toxic / total, trust())
     return {"known": known, "weights": logistic(np.array([r["inputs"] for r in told], np.float32), q)}
 
 
