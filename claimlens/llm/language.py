@@ -1,8 +1,8 @@
 """[1] Language by the nearest of several clustered centroids a language, on normalised TF-IDF n-gram vectors.
 
 Vectors are hashed byte trigrams of the lower-cased letters of the whole text, weighted by frequencies over all
-training rows.  Centroids are fitted by spherical k-means on at most SAMPLE training rows of each language (and
-TOTAL of all).  A text goes to the language of the centroid with the highest cosine; one that is further
+training rows.  Centroids are fitted by spherical k-means on about SAMPLE distinct training texts of each language
+(fewer if that makes over TOTAL of all, but eight), drawn by their hashes; a text that is repeated counts once there.  A text goes to the language of the centroid with the highest cosine; one that is further
 from it than nearly all training rows of that centroid is rejected, which the column `rejected` tells.
 Texts that are null or without letters are `und`, with score 0.
 """
@@ -52,14 +52,17 @@ def fit(training: DataFrame) -> dict:
     tune(training.sparkSession)
     frequency, n = document_frequencies(training, letters, BUCKETS)
     idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + 1
-    sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mark = F.xxhash64("text")
+    sizes = {r["lang"]: max(1, r["n"]) for r in training.groupBy("lang").agg(F.approx_count_distinct(mark).alias("n")).collect()}
     per = min(SAMPLE, max(8, TOTAL // max(1, len(sizes))))
-    share = F.create_map(*(F.lit(x) for lang, m in sizes.items() for x in (lang, min(1.0, per / m)))) if sizes else None
     rows: dict[str, list[np.ndarray]] = {}
     if sizes:
+        share = F.create_map(*(F.lit(x) for lang, m in sizes.items() for x in (lang, 1.0 if m <= 1.1 * per else per / m)))
         draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < share[F.col("lang")] * F.lit(1 << 20)
-        vectors = per_batch(training.where(draw), "lang string, vector binary", lambda b: {"lang": b.column("lang"), "vector": [letters((t or "").encode()).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]})
-        for r in vectors.limit(2 * TOTAL).collect():
+        # One of equal texts, which are put together before the shuffle; so about `per` rows of each language are left.
+        drawn = training.where(draw).groupBy("lang", mark.alias("mark")).agg(F.first("text").alias("text"))
+        vectors = per_batch(drawn, "lang string, mark bigint, vector binary", lambda b: {"lang": b.column("lang"), "mark": b.column("mark"), "vector": [letters((t or "").encode()).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]})
+        for r in sorted(vectors.collect(), key=lambda r: (r["lang"], r["mark"])):
             rows.setdefault(r["lang"], []).append(np.frombuffer(r["vector"], np.float16))
     names, centres, least = [], [], []
     for lang in sorted(rows):

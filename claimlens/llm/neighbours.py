@@ -1,10 +1,11 @@
 """[3] Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
 Features are hashed byte trigrams of the text as it is, so that case, marks and layout count, and a few hashed
-facts on repetition and length.  TF-IDF vectors of at most LABELLED labelled rows give the latent axes (a randomised
-SVD) and, projected, the table of neighbours; both are of bounded size and broadcast.  Every text is
-compared with all of them, in blocks, by exact cosine products; its NEIGHBOURS nearest vote, weighted by similarity.
-Null texts are empty texts, and a text without any similar row gets the mean label.
+facts on repetition and length, weighted by how many of all documents have them.  TF-IDF vectors of at most LABELLED
+labelled rows give the latent axes (a randomised SVD) and, projected, the table of neighbours; both are of bounded size
+and broadcast.  Every text is compared with all of them, in blocks, by exact cosine products; its NEIGHBOURS nearest vote,
+weighted by similarity, and of equally near ones those first in the table, which is sorted.  Null texts are empty texts; a text whose
+cosines are all 0 or less gets the mean label, and without labelled rows every score is a half.
 """
 
 from __future__ import annotations
@@ -55,13 +56,14 @@ def axes(x: np.ndarray, k: int = AXES) -> np.ndarray:
     return np.linalg.svd(np.linalg.qr(sketch)[0].T @ x, full_matrices=False)[2][:k].T.astype(np.float32)
 
 
-def fit(rows: DataFrame) -> dict:
-    """The model from text and label of at most LABELLED rows."""
+def fit(rows: DataFrame, documents: DataFrame) -> dict:
+    """The model from text and label of at most LABELLED rows, and the features' frequencies over all documents' texts."""
     tune(rows.sparkSession)
-    frequency, n = document_frequencies(rows, features, SIZE)
+    frequency, n = document_frequencies(documents, features, SIZE)
     idf = (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32)
     idf[BUCKETS:] = 1
     told = per_batch(rows, "label int, vector binary", lambda b: {"label": b.column("label"), "vector": [features(t).astype(np.float16).tobytes() for t in as_bytes(b.column("text"))]}).collect()
+    told.sort(key=lambda r: (bytes(r["vector"]), r["label"]))  # rows come in any order
     if not told:
         return {"idf": idf, "axes": np.zeros((SIZE, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "labels": np.zeros(0, np.float32)}
     x = np.stack([np.frombuffer(r["vector"], np.float16) for r in told]).astype(np.float32) * idf
@@ -69,6 +71,17 @@ def fit(rows: DataFrame) -> dict:
     return {"idf": idf, "axes": latent, "vectors": unit(x @ latent).astype(np.float32), "labels": np.array([r["label"] for r in told], np.float32)}
 
 
+def voted(near: np.ndarray, labels: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+    """Scores by the labels of the k nearest of each row, weighted by similarity; of ties those with the lowest numbers."""
+    k = min(k, near.shape[1])
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, -k, None]
+    above, level = near > least, near == least
+    chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)))
+    weight = np.where(chosen, np.maximum(near, 0), 0) ** SHARPNESS
+    total = weight.sum(1)
+    return np.where(total > 0, np.clip((weight @ labels) / np.maximum(total, 1e-30), 0, 1), labels.mean())
+
+
 def score(documents: DataFrame, model: dict) -> DataFrame:
     """doc_id and score of every row."""
     tune(documents.sparkSession)
@@ -80,15 +93,12 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
             return {"doc_id": batch.column("doc_id"), "score": [0.5] * batch.num_rows}
         x = np.stack([features(t) for t in as_bytes(batch.column("text"))]) * m["idf"]
         near = unit(x @ m["axes"]) @ m["vectors"].T
-        k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(near, best, 1), 0) ** SHARPNESS + 1e-9
-        return {"doc_id": batch.column("doc_id"), "score": np.clip((weight * m["labels"][best]).sum(1) / weight.sum(1), 0, 1).astype(float).tolist()}
+        return {"doc_id": batch.column("doc_id"), "score": voted(near, m["labels"]).astype(float).tolist()}
 
     return per_batch(documents.select("doc_id", "text"), "doc_id bigint, score double", work)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    model = fit(labelled(docs, labels, "quality", FOLDS, HELD_OUT, LABELLED))
+    model = fit(labelled(docs, labels, "quality", FOLDS, HELD_OUT, LABELLED), docs)
     return score(docs, model).select("doc_id", (F.coalesce(remainder("doc_id", FOLDS), F.lit(0)) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
