@@ -32,11 +32,26 @@ DATE_FORMATS = [
     (r"\b(\d{4}-\d{2}-\d{2})\b", "yyyy-MM-dd", "%Y-%m-%d"),
     (r"\b(\d{1,2}/\d{1,2}/\d{4})\b", "M/d/yyyy", "%m/%d/%Y"),
     (r"\b(\d{1,2} \w+ \d{4})\b", "d MMMM yyyy", "%d %B %Y"),
+    (r"\b(\d{1,2} \w+ \d{4})\b", "d MMM yyyy", "%d %b %Y"),
 ]
 VENUE_PHRASE = r"(?i)(?:delivered at|speaking at|address(?:ed)? (?:to|at)|remarks? (?:at|before|to))\s+(.+?)(?:\.|,|$)"
 VENUE_NAME = r"(?i)(?:State of the Union|Oval Office|Rose Garden|United Nations|Congress)"
 DATA_SIGNALS = [r"\b\d+(\.\d+)?%", r"\$\d+", r"\b\d{4}\b", r"\bBLS\b", r"\bBEA\b", r"\bEIA\b", r"\bCBP\b", r"\bFBI\b", r"\bFactCheck\b", r"\bPolitiFact\b", r"\bAP\b", r"\bReuters\b", r"\bFreddie Mac\b", r"\bAAA\b", r"\bGasBuddy\b", r"\bcredible\b", r"\bprimary\b", r"\bofficial\b", r"\bdata\b", r"\bpercent\b", r"\bmillion\b", r"\bbillion\b", r"\btrillion\b"]
 SOURCE_SIGNALS = [r"\bBLS\b", r"\bBEA\b", r"\bEIA\b", r"\bCBP\b", r"\bFBI\b", r"\bCBO\b", r"\bCensus\b", r"\bFederal Reserve\b", r"\bFred\b", r"\bFreddie Mac\b", r"\bAP\b", r"\bReuters\b", r"\bNYT\b", r"\bWashington Post\b", r"\bNew York Times\b", r"\bCBS\b", r"\bBBC\b", r"\bPolitiFact\b", r"\bFactCheck\.org\b", r"\bSnopes\b", r"\bNY Fed\b", r"\bFederal Reserve\b", r"\bgov\b", r"\bgovernment\b"]
+# Subtitles: a cue's timing, what shows that there are any, the lines that number cues, the file's header.
+SUBTITLE_TIMING = r"\d{2}:\d{2}:\d{2}[,\.]\d{3}\s*-->\s*\d{2}:\d{2}:\d{2}[,\.]\d{3}"
+SUBTITLE_MARK = r"\d{2}:\d{2}:\d{2}[,\.]\d{3}\s*-->"
+SUBTITLE_NUMBER, SUBTITLE_HEADER = r"(?md)^\d+\s*$", r"(?md)^WEBVTT.*$"
+# What goes from HTML before its tags do, and its tags.
+HTML_HIDDEN = [r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>"]
+HTML_TAG = r"<[^>]+>"
+# Badge colours by label, and of any other.
+COLOURS = [("True", "#2e7d32"), ("Mostly True", "#558b2f"), ("Misleading", "#f57c00"), ("Exaggerated", "#ef6c00"), ("False", "#c62828"), ("Unverifiable", "#546e7a")]
+OTHER_COLOUR = "#999"
+# Names of the gold set's sources.
+SOURCE_NAMES = [("R1", "American Presidency Project (Government archive)"), ("R4", "PolitiFact (FactCheck organization)"), ("R5", "FactCheck.org (FactCheck organization)"), ("R6", "CBS News (Established outlet)"), ("R7", "Freddie Mac PMMS (Government/financial data)"), ("R8", "Associated Press (Wire service)")]
+# Categories whose claims are searched for as figures.
+FIGURE_CATEGORIES = ["economy", "jobs", "unemployment"]
 # Choices of each gene, extraction first.
 EXTRACTION_GENES = {"persona": 5, "methodology": 4, "taxonomy": 4, "format": 4, "filtering": 3, "examples": 3, "tone": 4}
 SYNTHESIS_GENES = {"persona": 4, "verdict_taxonomy": 4, "evidence_weighting": 3, "confidence": 3, "reasoning": 3, "nuance": 3, "format": 3}

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType
+
+from ..fixed import GOLD_POSITION, LABEL_POSITION, UNKNOWN_POSITION
 
 
 def subsequence(a: str, b: str) -> int:
@@ -45,6 +51,96 @@ def token_set(a: str | None, b: str | None) -> int:
     return max(round(ratio(*p)) for p in pairs)
 
 
+_LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
+
+
+class Sides:
+    """Rows (id, tokens, text) of one side of a combined match: token sets, their joined strings' lengths and letters."""
+
+    def __init__(self, ids: list, tokens: list[list[str] | None], texts: list[str | None]) -> None:
+        self.ids = ids
+        self.tokens = [set(t or ()) for t in tokens]
+        self.words = [set(processed(t).split()) for t in texts]
+        self.sizes = np.array([max(0, sum(map(len, w)) + len(w) - 1) for w in self.words], np.float64)
+        self.letters = np.zeros((len(ids), len(_LETTERS)), np.int32)
+        for row, words in zip(self.letters, self.words):
+            for c in " ".join(words):
+                row[_LETTERS[c]] += 1
+        self.by_token, self.by_word = defaultdict(list), defaultdict(list)
+        for i, (t, w) in enumerate(zip(self.tokens, self.words)):
+            for x in t:
+                self.by_token[x].append(i)
+            for x in w:
+                self.by_word[x].append(i)
+
+
+def bounds(a: Sides, b: Sides) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of a row of a and of b: shared tokens over all tokens, the token-set ratio as far as common words alone
+    give it, and what it is at most.
+
+    A pair's strings are the common words, and they with either side's other words: the first is a prefix of the others,
+    and the others' common subsequence has no more of a letter than either has.
+    """
+    both, common, n_common = (np.zeros((len(a.ids), len(b.ids))) for _ in range(3))
+    for j, (tokens, words) in enumerate(zip(b.tokens, b.words)):
+        for x in tokens & a.by_token.keys():
+            both[a.by_token[x], j] += 1
+        for x in words & a.by_word.keys():
+            common[a.by_word[x], j] += len(x)
+            n_common[a.by_word[x], j] += 1
+    sizes = np.array([len(t) for t in a.tokens])[:, None] + np.array([len(t) for t in b.tokens])[None, :] - both
+    shared = np.where(both > 0, both / np.maximum(sizes, 1), 0.0)
+    prefix = common + np.maximum(n_common - 1, 0)
+    one, two = a.sizes[:, None], b.sizes[None, :]
+    some = (one > 0) & (two > 0)
+    least = np.where(n_common > 0, np.maximum(np.rint(200 * prefix / np.maximum(prefix + one, 1)), np.rint(200 * prefix / np.maximum(prefix + two, 1))), 0)
+    letters = np.zeros_like(both)
+    for c in range(len(_LETTERS)):
+        letters += np.minimum(a.letters[:, c, None], b.letters[None, :, c])
+    most = np.where(some, np.maximum(least, np.rint(200 * letters / np.maximum(one + two, 1))), 0)
+    return shared, np.where(some, least, 0), most
+
+
+def whole_ratio(x: set[str], y: set[str]) -> int:
+    """The ratio of two sets' joined strings, common words first: past these, which both start with, only the rest is compared."""
+    both, one, two = sorted(x & y), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    start = " ".join(both) + " " * bool(both and one and two)
+    size = lambda rest: len(" ".join(both)) + bool(both and rest) + len(rest)
+    return round(200.0 * (len(start) + subsequence(one, two)) / (size(one) + size(two)))
+
+
+def best_combined(held: Sides, batches: Iterator[pa.RecordBatch], per_held: bool) -> Iterator[tuple[list, list, list]]:
+    """Best pairs (held id, other id, similarity) of held rows with rows (id, tokens, text) that stream by.
+
+    Similarity is the mean of shared tokens and the token-set ratio.  With per_held, the best other row of each held row
+    in the whole stream, else the best held row of each other row; of equals the least id.  Only pairs that may beat
+    the best so far are compared letter by letter.
+    """
+    best: dict = {}
+    for batch in batches:
+        rows = Sides(batch.column("id").to_pylist(), batch.column("tokens").to_pylist(), batch.column("text").to_pylist())
+        shared, least, most = bounds(held, rows)
+        top = (shared + most / 100.0) / 2
+        ours, theirs = (held, rows) if per_held else (rows, held)
+        if not per_held:
+            shared, least, most, top, best = shared.T, least.T, most.T, top.T, {}
+        for i, key in enumerate(ours.ids):
+            found = best.get(key)
+            for j in np.argsort(-top[i], kind="stable").tolist():
+                if top[i, j] <= 0 or found and top[i, j] < found[0]:
+                    break
+                ratio = least[i, j] if most[i, j] == least[i, j] else max(least[i, j], whole_ratio(ours.words[i], theirs.words[j]))
+                told = (float(shared[i, j] + ratio / 100.0) / 2, theirs.ids[j])
+                if told[0] > 0 and (not found or told[0] > found[0] or told[0] == found[0] and told[1] < found[1]):
+                    found = told
+            if found:
+                best[key] = found
+        if not per_held:
+            yield [x[1] for x in best.values()], list(best), [x[0] for x in best.values()]
+    if per_held:
+        yield list(best), [x[1] for x in best.values()], [x[0] for x in best.values()]
+
+
 @F.pandas_udf(IntegerType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_sort(x, y) for x, y in zip(a, b)], dtype="int32")
@@ -55,7 +151,16 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+@F.pandas_udf(DoubleType())
+def verdict_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How far two labels are from each other in the order of truth, 0 to 1; of either kind the second, unknown ones unverifiable."""
+    place = lambda x: GOLD_POSITION.get((x or "").strip().upper(), UNKNOWN_POSITION)
+    other = lambda x: LABEL_POSITION.get((x or "").strip(), place(x))
+    return pd.Series([abs(place(x) - other(y)) / 5.0 for x, y in zip(a, b)], dtype="float64")
+
+
 def register(spark) -> None:
     """Makes the similarities known to SQL."""
     spark.udf.register("token_sort_ratio", token_sort_ratio)
     spark.udf.register("token_set_ratio", token_set_ratio)
+    spark.udf.register("verdict_distance", verdict_distance)

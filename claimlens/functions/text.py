@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed import DATA_SIGNALS, DATE_FORMATS, ECONOMIC_WORDS, SERIES, SOURCE_SIGNALS, TIER_DOMAINS, VENUE_NAME, VENUE_PHRASE
+from ..fixed import DATA_SIGNALS, DATE_FORMATS, ECONOMIC_WORDS, HTML_HIDDEN, HTML_TAG, SERIES, SOURCE_SIGNALS, SUBTITLE_HEADER, SUBTITLE_MARK, SUBTITLE_NUMBER, SUBTITLE_TIMING, TIER_DOMAINS, VENUE_NAME, VENUE_PHRASE
 
 
 def strip(x: Column) -> Column:
@@ -17,9 +17,14 @@ def strip(x: Column) -> Column:
 
 def strip_subtitles(x: Column) -> Column:
     """Subtitle numbers, timings and the file header go, if there is a timing at all."""
-    timing = r"\d{2}:\d{2}:\d{2}[,\.]\d{3}\s*-->\s*\d{2}:\d{2}:\d{2}[,\.]\d{3}"
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?md)^\d+\s*$", ""), timing, ""), r"(?md)^WEBVTT.*$", "")
-    return F.when(x.rlike(timing), bare).otherwise(x)
+    bare = x
+    for pattern in (SUBTITLE_NUMBER, SUBTITLE_TIMING, SUBTITLE_HEADER):
+        bare = F.regexp_replace(bare, pattern, "")
+    return F.when(is_subtitles(x), bare).otherwise(x)
+
+
+def is_subtitles(x: Column) -> Column:
+    return x.rlike(SUBTITLE_MARK)
 
 
 def normalise_space(x: Column) -> Column:
@@ -48,8 +53,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def html_text(x: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(x, r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " ")
-    return strip(F.regexp_replace(F.regexp_replace(plain, r"<[^>]+>", " "), r"\s+", " "))
+    for pattern in [*HTML_HIDDEN, HTML_TAG, r"\s+"]:
+        x = F.regexp_replace(x, pattern, " ")
+    return strip(x)
 
 
 def escape_html(x: Column) -> Column:
@@ -78,7 +84,7 @@ def shorten(x: Column, width: Column, mark: str = "…") -> Column:
 
 
 def find_date(x: Column) -> Column:
-    """The first of four date forms, in order, that parses, in the first 500 characters."""
+    """The first of the date forms, in order, that parses, in the first 500 characters."""
     head = F.substring(x, 1, 500)
     return F.coalesce(*(F.to_date(F.try_to_timestamp(F.nullif(F.regexp_extract(head, pattern, 1), F.lit("")), F.lit(form))) for pattern, form, _ in DATE_FORMATS))
 

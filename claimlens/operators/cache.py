@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import token_sort_ratio
@@ -16,16 +16,70 @@ def alive(expires_at: Column, now: Column) -> Column:
     return expires_at.isNull() | (now <= expires_at)
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The latest entry of each key, by cached_at."""
-    latest = Window.partitionBy("key").orderBy(F.desc("cached_at"))
+def entry(rows: DataFrame, now: Column, ttl_days: int | None = TTL_DAYS) -> DataFrame:
+    """Entries of rows (text, label, confidence, explanation, evidence_urls) cached now; without ttl_days they never expire."""
+    ends = now + F.make_dt_interval(F.lit(ttl_days)) if ttl_days else F.lit(None).cast("timestamp")
+    return rows.select(cache_key(F.col("text")).alias("key"), F.col("text").alias("claim_text"), F.col("label").alias("verdict_label"), "confidence", "explanation", "evidence_urls", now.alias("cached_at"), ends.alias("expires_at"))
+
+
+def upsert(old: DataFrame, new: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """The latest entry of each key, by cached_at; of equal times the first by ties or, without them, by all columns."""
+    order = ties or [c for c in old.columns if c not in ("key", "cached_at")]
+    latest = Window.partitionBy("key").orderBy(F.desc("cached_at"), *order)
     return old.unionByName(new).withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
 
 
+def live(cache: DataFrame, now: Column) -> DataFrame:
+    """Entries that haven't expired: what a cache holds when it is opened."""
+    return cache.where(alive(F.col("expires_at"), now))
+
+
 def exact(claims: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     """Claims (claim_id, text) with their live entries; the key's join is a hash or merge join as sizes say."""
-    live = cache.where(alive(F.col("expires_at"), now)).select("key", F.col("verdict_label").alias("cached_label"))
-    return claims.withColumn("key", cache_key(F.col("text"))).join(live, "key", "left")
+    held = live(cache, now).select("key", *(F.col(c).alias(f"cached_{c.removeprefix('verdict_')}") for c in ("verdict_label", "confidence", "explanation") if c in cache.columns))
+    return claims.withColumn("key", cache_key(F.col("text"))).join(held, "key", "left")
+
+
+def missing(claims: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+    """Claims without a live entry."""
+    return claims.withColumn("key", cache_key(F.col("text"))).join(live(cache, now).select("key"), "key", "left_anti").drop("key")
+
+
+def invalidate(cache: DataFrame, texts: DataFrame) -> DataFrame:
+    """The cache without the entries of these texts."""
+    return cache.join(texts.select(cache_key(F.col("text")).alias("key")), "key", "left_anti").select(cache.columns)
+
+
+def size(cache: DataFrame) -> int:
+    return cache.count()
+
+
+def cleared(cache: DataFrame) -> DataFrame:
+    return cache.limit(0)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Whole versions under a path, of any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    done = [s.getPath() for s in files.listStatus(at) if s.getPath().getName().startswith("version=")]
+    return sorted(int(p.getName().removeprefix("version=")) for p in done if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def save(cache: DataFrame, path: str) -> int:
+    """Writes a new version of a stored cache; readers see the one before until it is whole."""
+    version = max(_versions(cache.sparkSession, path), default=0) + 1
+    cache.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return version
+
+
+def load(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
+    """The newest whole version of a stored cache; with now, without what has expired."""
+    cache = spark.read.parquet(f"{path}/version={max(_versions(spark, path))}")
+    return cache if now is None else live(cache, now)
 
 
 def _bags(text: Column) -> Column:

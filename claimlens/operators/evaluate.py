@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..fixed import GOLD_POSITION, LABEL_POSITION, UNKNOWN_POSITION
-from ..functions.similarity import token_set_ratio
-from ..functions.text import jaccard, tokens
+from ..fixed import DATA_SIGNALS, GOLD_POSITION, LABEL_POSITION, SOURCE_NAMES, SOURCE_SIGNALS, UNKNOWN_POSITION  # noqa: F401
+from ..functions.similarity import Sides, best_combined
+from ..functions.text import explanation_quality, jaccard, parsimony, source_citation, tokens
 from .rubric import lookup
 
 #: Least similarity of a match; gold rows that one block of the combined match sends to every task.
@@ -15,15 +20,33 @@ THRESHOLD, GOLD_BLOCK = 0.20, 1_000
 
 
 def _combined(gold: DataFrame, extracted: DataFrame) -> DataFrame:
-    """ref_id, pos, similarity of the gold set against all extracted texts; a block of gold rows, and no more, is broadcast at once."""
-    blocks = max(1, -(-gold.count() // GOLD_BLOCK))
-    similarity = (jaccard(F.col("ta"), F.col("tb")) + token_set_ratio("claim", "text") / 100.0) / 2
-    out = None
+    """ref_id, pos, similarity of candidates for the best match of gold rows (ref_id, claim, ta) with extracted texts (pos, text, tb).
+
+    The side with fewer rows goes to every task, in blocks of at most about GOLD_BLOCK rows, and the other streams by; a task
+    keeps one candidate a row, so nothing is as large as the pairs are many.
+    """
+    spark = gold.sparkSession
+    sides = gold.select(F.col("ref_id").alias("id"), F.col("ta").alias("tokens"), F.col("claim").alias("text")), extracted.select(F.col("pos").alias("id"), F.col("tb").alias("tokens"), "text")
+    sizes = [s.count() for s in sides]
+    per_held = sizes[0] <= sizes[1]
+    small, large = sides if per_held else sides[::-1]
+    blocks = max(1, -(-min(sizes) // GOLD_BLOCK))
+    kinds = [s.schema["id"].dataType.simpleString() for s in (small, large)]
+    schema = f"held {kinds[0]}, other {kinds[1]}, similarity double"
+    names, arrow = ["held", "other", "similarity"], to_arrow_schema(StructType.fromDDL(schema))
+    out = []
     for block in range(blocks):
-        part = gold.where(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == block)
-        scored = extracted.join(F.broadcast(part)).select("ref_id", "pos", similarity.alias("similarity"))
-        out = scored if out is None else out.unionAll(scored)
-    return out
+        rows = small.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()  # about GOLD_BLOCK rows
+        sent = spark.sparkContext.broadcast(([r["id"] for r in rows], [r["tokens"] for r in rows], [r["text"] for r in rows]))
+
+        def run(batches, sent=sent):
+            for found in best_combined(Sides(*sent.value), batches, per_held):
+                yield pa.RecordBatch.from_pydict(dict(zip(names, found)), schema=arrow)
+
+        out.append(large.mapInArrow(run, schema))
+    both = reduce(DataFrame.unionAll, out)
+    ref, pos = ("held", "other") if per_held else ("other", "held")
+    return both.select(F.col(ref).alias("ref_id"), F.col(pos).alias("pos"), "similarity")
 
 
 def best_match(gold: DataFrame, extracted: DataFrame, combined: bool = False) -> DataFrame:
@@ -31,7 +54,7 @@ def best_match(gold: DataFrame, extracted: DataFrame, combined: bool = False) ->
 
     Plain similarity is the share of common tokens: pairs come from a join on tokens, so texts without a common token,
     whose similarity is 0, never meet.  The combined similarity also takes the token-set ratio, which sees
-    parts of words, so every extracted text is held against the whole gold set, in blocks of about GOLD_BLOCK rows.
+    parts of words, so every extracted text is held against the whole gold set; bounds leave few pairs to compare in full.
     Of equal similarities the first text by pos counts.
     """
     g = gold.select("ref_id", F.col("claim"), tokens(F.col("claim")).alias("ta"))
@@ -48,17 +71,86 @@ def best_match(gold: DataFrame, extracted: DataFrame, combined: bool = False) ->
 
 
 def agreement(gold_label: Column, label: Column) -> Column:
-    a = lookup(F.upper(F.trim(gold_label)), list(GOLD_POSITION.items()), UNKNOWN_POSITION)
-    b = lookup(F.trim(label), list(LABEL_POSITION.items()), UNKNOWN_POSITION)
+    """1 less the distance of two labels in the order of truth; the second may be of the verdicts' kind or of the gold set's."""
+    gold = list(GOLD_POSITION.items())
+    a = lookup(F.upper(F.trim(gold_label)), gold, UNKNOWN_POSITION)
+    b = F.coalesce(lookup(F.trim(label), list(LABEL_POSITION.items())), lookup(F.upper(F.trim(label)), gold), F.lit(UNKNOWN_POSITION))
     return 1.0 - F.abs(a - b) / 5.0
 
 
+def matches(gold: DataFrame, extracted: DataFrame, combined: bool = True, threshold: float = THRESHOLD) -> DataFrame:
+    """best_match with the gold rows' own columns and whether the similarity is enough."""
+    return gold.join(best_match(gold, extracted, combined), "ref_id").withColumn("matched", F.col("similarity") >= threshold)
+
+
+def verdict_for(rows: DataFrame, verdicts: DataFrame, combined: bool = True, least: float = 0.1) -> DataFrame:
+    """The verdict (pos, claim_text, label, explanation) most like each row's matched_claim, by ref_id; over least, or none."""
+    asked = rows.where("matched_claim is not null").select("ref_id", F.col("matched_claim").alias("claim"))
+    found = best_match(asked, verdicts.select("pos", F.col("claim_text").alias("text")), combined).where(F.col("similarity") > least)
+    # Of verdicts with one text the first.
+    first = verdicts.groupBy("claim_text").agg(F.min(F.struct("pos", "label", "explanation")).alias("x")).select(F.col("claim_text").alias("matched_claim"), "x.label", "x.explanation")
+    return found.select("ref_id", "matched_claim").join(first, "matched_claim").drop("matched_claim")
+
+
+def run_fitness(gold: DataFrame, extracted: DataFrame, verdicts: DataFrame, tokens: int = 0, combined: bool = True) -> DataFrame:
+    """One row on a run: recall, mean agreement, quality and citation, parsimony, fitness and counts, not rounded.
+
+    gold: ref_id, claim, verdict; extracted: pos, text, is_checkable; verdicts: pos, claim_text, label, explanation.
+    """
+    asked = extracted.where(F.coalesce("is_checkable", F.lit(True)))
+    found = matches(gold, asked, combined)
+    told = found.where("matched").join(verdict_for(found.where("matched"), verdicts, combined), "ref_id", "left")
+    agree = F.when(F.col("label").isNotNull(), agreement(F.col("verdict"), F.col("label")))
+    sums = found.agg(F.count_if("matched").alias("matched_count"), F.count(F.lit(1)).alias("references"))
+    text = F.coalesce("explanation", F.lit(""))
+    said = verdicts.agg(F.coalesce(F.avg(explanation_quality(text)), F.lit(0.0)).alias("explanation_quality"), F.coalesce(F.avg(source_citation(text)), F.lit(0.0)).alias("source_citation_quality"))
+    one = sums.crossJoin(told.agg(F.coalesce(F.avg(agree), F.lit(0.0)).alias("verdict_agreement"))).crossJoin(said).crossJoin(asked.agg(F.count(F.lit(1)).alias("total_extracted")))  # one row each
+    out = one.select((F.col("matched_count") / F.col("references")).alias("claim_recall"), "verdict_agreement", "explanation_quality", "source_citation_quality", parsimony(F.lit(tokens)).alias("parsimony"), "matched_count", "total_extracted")
+    return out.withColumn("fitness", fitness(*map(F.col, ("claim_recall", "verdict_agreement", "explanation_quality", "source_citation_quality", "parsimony"))))
+
+
+def rounded(run: DataFrame) -> DataFrame:
+    """A run's row as reports show it: four places, and the fitness of the rounded parts."""
+    parts = ["claim_recall", "verdict_agreement", "explanation_quality", "source_citation_quality", "parsimony"]
+    return run.withColumns({c: F.round(c, 4) for c in parts}).withColumn("fitness", fitness(*map(F.col, parts)))
+
+
+def extraction_fitness(recall: Column, brief: Column) -> Column:
+    """Fitness of a run without verdicts."""
+    return 0.25 * recall + 0.10 * brief
+
+
+def approximate_fitness(recall: Column, agree: Column) -> Column:
+    return 0.25 * recall + 0.30 * agree
+
+
+def gold_evidence(explanation: Column, sources: Column) -> Column:
+    """A gold row's own evidence: a note and its sources, a blank line between; a remark without either."""
+    note = F.when(explanation != "", F.concat(F.lit("[Fact-checker note] "), explanation))
+    named = F.when(F.size(sources) > 0, F.concat(F.lit("[Referenced sources: "), F.array_join(sources, ", "), F.lit("]")))
+    both = F.concat_ws("\n\n", note, named)
+    return F.when(both != "", both).otherwise("[No external evidence -- rely on training knowledge]")
+
+
+def nearest_evidence(claims: DataFrame, gold: DataFrame, combined: bool = True, least: float = 0.1) -> DataFrame:
+    """claim_id, evidence: the nearest gold row's sources, explanation and verdict, or that there is none.
+
+    gold: ref_id, claim, verdict, explanation, sources; sources with a name in SOURCE_NAMES are given by it.
+    """
+    found = best_match(claims.select(F.col("claim_id").alias("ref_id"), F.col("text").alias("claim")), gold.select(F.col("ref_id").alias("pos"), F.col("claim").alias("text")), combined)
+    first = gold.groupBy("claim").agg(F.min(F.struct("ref_id", "verdict", "explanation", "sources")).alias("x")).select(F.col("claim").alias("matched_claim"), "x.verdict", "x.explanation", "x.sources")
+    names = F.array_join(F.transform("sources", lambda s: F.coalesce(lookup(s, SOURCE_NAMES), s)), "; ")
+    told = F.concat(F.lit("[1] "), F.coalesce(F.nullif(names, F.lit("")), F.lit("Multiple sources")), F.lit("\n"), F.col("explanation"), F.lit("\n\n[Reference verdict from fact-checkers: "), F.col("verdict"), F.lit("]"))
+    none = "[1] General fact-check sources\nNo specific evidence found for this claim."
+    return found.where(F.col("similarity") >= least).join(first, "matched_claim").select(F.col("ref_id").alias("claim_id"), told.alias("evidence")).join(claims.select("claim_id"), "claim_id", "right").select("claim_id", F.coalesce("evidence", F.lit(none)).alias("evidence"))
+
+
 def bucket(score: Column) -> Column:
     return F.when(score >= 0.8, "YES").when(score >= 0.4, "~").otherwise("NO")
 
 
-def fitness(recall: Column, agree: Column, quality: Column, source: Column, parsimony: Column) -> Column:
-    return 0.25 * recall + 0.30 * agree + 0.20 * quality + 0.15 * source + 0.10 * parsimony
+def fitness(recall: Column, agree: Column, quality: Column, source: Column, brief: Column) -> Column:
+    return 0.25 * recall + 0.30 * agree + 0.20 * quality + 0.15 * source + 0.10 * brief
 
 
 def improvement(log: DataFrame) -> DataFrame:

@@ -1,14 +1,37 @@
-"""Prompt evolution as iterated DataFrame steps; every draw is a hash of (seed, generation, slot, gene)."""
+"""Prompt evolution as iterated DataFrame steps; every draw is a hash of (seed, generation, slot, gene).
+
+A population is a table of some dozens of rows: slot, genes, generation, parents, mutations, and, once evaluated, scores.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed import EXTRACTION_GENES, SYNTHESIS_GENES
 
 GENES = [f"e_{g}" for g in EXTRACTION_GENES] + [f"s_{g}" for g in SYNTHESIS_GENES]
 SIZES = dict(zip(GENES, [*EXTRACTION_GENES.values(), *SYNTHESIS_GENES.values()]))
+#: Parts of a prompt in their order; the optional ones are left out at choice 0.
+EXTRACTION_ORDER = ["persona", "methodology", "taxonomy", "filtering", "examples", "tone", "format"]
+SYNTHESIS_ORDER = ["persona", "verdict_taxonomy", "evidence_weighting", "confidence", "reasoning", "nuance", "format"]
+OPTIONAL = {"filtering", "examples", "tone", "evidence_weighting", "confidence", "reasoning", "nuance"}
+#: Dollars a token, as far as that is known before a run, and bounds of a population.
+TOKEN_COST, LEAST, MOST = 6e-6, 4, 12
+
+
+@dataclass
+class Config:
+    generations: int = 5
+    population: int = 8
+    rate: float = 0.2
+    tournament: int = 3
+    elites: int = 2
+    budget: float = 20.0
+    seed: int = 0
 
 
 def draw(seed: int, generation: int, *parts: Column) -> Column:
@@ -20,40 +43,162 @@ def chance(seed: int, generation: int, *parts: Column) -> Column:
     return draw(seed, generation, *parts) / float(1 << 31)
 
 
-def seeded(spark, size: int, seed: int = 0) -> DataFrame:
-    """Slot 0 is the baseline of first choices; the others are drawn."""
-    genes = [F.when(F.col("slot") == 0, 0).otherwise(draw(seed, 0, F.col("slot"), F.lit(g)) % n).cast("int").alias(g) for g, n in SIZES.items()]
-    return spark.range(size).select(F.col("id").alias("slot"), *genes)
+def seeded(spark: SparkSession, size: int, seed: int = 0, given: list[list[int]] | None = None) -> DataFrame:
+    """Slot 0 is the baseline of first choices, the next ones are given genomes, the others are drawn."""
+    fixed = [[0] * len(GENES), *(given or [])]
+    slot = F.col("slot")
+
+    def gene(i: int, g: str) -> Column:
+        out = draw(seed, 0, slot, F.lit(g)) % SIZES[g]
+        for at, genome in enumerate(fixed):
+            out = F.when(slot == at, genome[i]).otherwise(out)
+        return out.cast("int").alias(g)
 
+    return spark.range(size).select(F.col("id").alias("slot"), *(gene(i, g) for i, g in enumerate(GENES)))
 
-def breed(scored: DataFrame, generation: int, seed: int = 0, elites: int = 2, tournament: int = 3, rate: float = 0.2) -> DataFrame:
+
+def individual_id(genes: list[str] = GENES) -> Column:
+    """A short name of a genome: six places of either part's hash."""
+    parts = [[g for g in genes if g.startswith(k)] for k in ("e_", "s_")]
+    return F.concat(F.lit("e"), F.substring(genome_hash(parts[0]), 1, 6), F.lit("_s"), F.substring(genome_hash(parts[1]), 1, 6))
+
+
+def breed(scored: DataFrame, generation: int, seed: int = 0, elites: int = 2, tournament: int = 3, rate: float = 0.2, lineage: bool = False) -> DataFrame:
     """The next generation of a population (slot, genes, fitness) of bounded size: elites, then crossed and mutated children.
 
-    A parent is the fittest of `tournament` individuals drawn without replacement for the child's slot.
+    Children come as twins: for each gene one takes a parent's choice and the other the other parent's.  A parent is the
+    fittest of `tournament` individuals drawn without replacement for the twins.  With lineage also generation, parents,
+    mutations ("gene: old -> new"), evaluated and fitness: elites keep theirs, children have none yet.
     """
     n = scored.count()
+    if n > MOST * MOST:
+        raise ValueError(f"a population has {MOST * MOST} individuals at most, not {n}")
     ranked = scored.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("fitness"), "slot")))
-    kept = ranked.where(F.col("_r") <= elites).select((F.col("_r") - 1).cast("long").alias("slot"), *GENES)
-    children = scored.sparkSession.range(elites, n).select(F.col("id").alias("child"))
-    pool = children.crossJoin(F.broadcast(scored))  # population squared: a few dozen rows each
+    none = F.array().cast("array<string>")
+    kept = ranked.where(F.col("_r") <= elites).select((F.col("_r") - 1).cast("long").alias("slot"), *GENES, F.lit(generation).alias("generation"), F.array(individual_id()).alias("parents"), none.alias("mutations"), F.lit(True).alias("evaluated"), F.col("fitness").cast("double").alias("fitness"))
+    children = scored.sparkSession.range(elites, n).select(F.col("id").alias("child"), F.floor((F.col("id") - elites) / 2).alias("pair"), F.pmod(F.col("id") - elites, F.lit(2)).alias("twin"))
+    pool = children.select("pair").distinct().crossJoin(scored)  # a few dozen rows each, as checked above
 
     def parent(side: str) -> DataFrame:
-        order = Window.partitionBy("child").orderBy(draw(seed, generation, F.col("child"), F.col("slot"), F.lit(side)), "slot")
+        order = Window.partitionBy("pair").orderBy(draw(seed, generation, F.col("pair"), F.col("slot"), F.lit(side)), "slot")
         drawn = pool.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= tournament)
-        return drawn.groupBy("child").agg(F.max_by(F.struct(*GENES), F.struct(F.col("fitness"), -F.col("slot"))).alias(side))
+        return drawn.groupBy("pair").agg(F.max_by(F.struct(*GENES, individual_id().alias("id")), F.struct(F.col("fitness"), -F.col("slot"))).alias(side))
+
+    def crossed(g: str) -> Column:
+        first = chance(seed, generation, F.col("pair"), F.lit(g), F.lit("cross")) < 0.5
+        return F.when(first == (F.col("twin") == 0), F.col(f"a.{g}")).otherwise(F.col(f"b.{g}"))
+
+    def shifted(g: str) -> Column:
+        return F.when(chance(seed, generation, F.col("child"), F.lit(g), F.lit("mutate")) < rate, (crossed(g) + 1 + draw(seed, generation, F.col("child"), F.lit(g), F.lit("to")) % (SIZES[g] - 1)) % SIZES[g]).otherwise(crossed(g)).cast("int")
+
+    log = F.filter(F.array(*(F.when(shifted(g) != crossed(g), F.concat(F.lit(f"{g}: "), crossed(g).cast("string"), F.lit(" -> "), shifted(g).cast("string"))) for g in GENES)), lambda x: x.isNotNull())
+    born = children.join(parent("a"), "pair").join(parent("b"), "pair")
+    grown = born.select(F.col("child").alias("slot"), *(shifted(g).alias(g) for g in GENES), F.lit(generation).alias("generation"), F.array("a.id", "b.id").alias("parents"), log.alias("mutations"), F.lit(False).alias("evaluated"), F.lit(None).cast("double").alias("fitness"))
+    out = kept.unionByName(grown)
+    return out if lineage else out.select("slot", *GENES)
+
+
+def unevaluated(population: DataFrame) -> DataFrame:
+    return population.where(~F.coalesce("evaluated", F.lit(False)))
+
+
+def evaluate(population: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The population with all fitnesses; score gives slot, fitness and tokens of those that have none yet."""
+    done = score(unevaluated(population)).select("slot", F.col("fitness").cast("double").alias("new"), F.col("tokens").cast("bigint").alias("tokens"))
+    known = population.drop("tokens").join(done, "slot", "left")
+    return known.withColumns({"fitness": F.coalesce("new", "fitness"), "evaluated": F.lit(True), "tokens": F.coalesce("tokens", F.lit(0).cast("bigint"))}).drop("new")
+
+
+def evolve(spark: SparkSession, score: Callable[[DataFrame], DataFrame], path: str, config: Config | None = None) -> DataFrame:
+    """All generations as they were evaluated, from snapshots under path, one written a generation.
+
+    Before each generation the cost so far is held against the budget; the last one isn't bred from.  A snapshot cuts the
+    lineage, so a lost executor costs at most one generation.
+    """
+    c = config or Config()
+    size = min(max(c.population, LEAST), MOST)
+    population = seeded(spark, size, c.seed).withColumns({"generation": F.lit(0), "parents": F.array().cast("array<string>"), "mutations": F.array().cast("array<string>"), "evaluated": F.lit(False), "fitness": F.lit(None).cast("double")})
+    spent = 0.0
+    for generation in range(c.generations):
+        if spent >= c.budget:
+            break
+        at = f"{path}/generation={generation}"
+        evaluate(population, score).drop("generation").write.mode("overwrite").json(at)
+        kept = spark.read.schema(SNAPSHOT).json(at)
+        spent += (kept.agg(F.sum("tokens").alias("n")).first()["n"] or 0) * TOKEN_COST
+        population = breed(kept, generation + 1, c.seed, c.elites, c.tournament, c.rate, lineage=True)
+    return spark.read.schema(f"{SNAPSHOT}, generation int").json(path)
+
 
-    def gene(g: str) -> Column:
-        crossed = F.when(chance(seed, generation, F.col("child"), F.lit(g), F.lit("cross")) < 0.5, F.col(f"a.{g}")).otherwise(F.col(f"b.{g}"))
-        shifted = (crossed + 1 + draw(seed, generation, F.col("child"), F.lit(g), F.lit("to")) % (SIZES[g] - 1)) % SIZES[g]
-        return F.when(chance(seed, generation, F.col("child"), F.lit(g), F.lit("mutate")) < rate, shifted).otherwise(crossed).cast("int").alias(g)
+SNAPSHOT = "slot bigint, " + ", ".join(f"{g} int" for g in GENES) + ", parents array<string>, mutations array<string>, evaluated boolean, fitness double, tokens bigint"
 
-    return kept.unionByName(parent("a").join(parent("b"), "child").select(F.col("child").alias("slot"), *(gene(g) for g in GENES)))
+
+def log(snapshots: DataFrame) -> DataFrame:
+    """generation, best, mean, size and cost so far."""
+    each = snapshots.groupBy("generation").agg(F.max("fitness").alias("best"), F.avg("fitness").alias("mean"), F.count(F.lit(1)).alias("size"), F.sum("tokens").alias("tokens"))
+    return each.withColumn("cost", F.sum("tokens").over(Window.orderBy("generation").rowsBetween(Window.unboundedPreceding, 0)) * TOKEN_COST)  # a row a generation
+
+
+def best(population: DataFrame, n: int, by: str = "fitness", key: str = "slot") -> DataFrame:
+    """The n fittest, ties by key."""
+    return population.orderBy(F.desc(by), key).limit(n)
+
+
+def elites(population: DataFrame, group: str, n: int, by: str = "fitness", key: str = "slot") -> DataFrame:
+    """The n fittest of each group, ties by key."""
+    order = Window.partitionBy(group).orderBy(F.desc(by), key)
+    return population.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
+def plan(config: Config, claims: int = 29, synthesis: bool = True) -> dict[str, float]:
+    """Calls and dollars of a run where no answer is kept: an extraction for each individual and a synthesis for each claim."""
+    size = min(max(config.population, LEAST), MOST)
+    calls = config.generations * size
+    said = calls * claims if synthesis else 0
+    return {"population": size, "extraction_calls": calls, "synthesis_calls": said, "cost": (calls * 4000 + said * 500) * TOKEN_COST / 2}
+
+
+def prompt(part: str, variants: dict[str, list[str]]) -> Column:
+    """The prompt of a genome's part, "e" or "s", from the variants of each of its genes."""
+    order = EXTRACTION_ORDER if part == "e" else SYNTHESIS_ORDER
+    texts = {g: F.element_at(F.array(*map(F.lit, variants[g])), F.col(f"{part}_{g}") + 1) for g in order}
+    shown = [F.when(F.col(f"{part}_{g}") > 0, texts[g]) if g in OPTIONAL else texts[g] for g in order]
+    if part == "s":  # the first two parts are one paragraph
+        shown = [F.concat(shown[0], F.lit(" "), shown[1]), *shown[2:]]
+    return F.concat_ws("\n\n", *shown)
+
+
+def user_prompt(speaker: Column, date: Column, text: Column, head: str) -> Column:
+    """What a transcript is sent with: its first 12,000 characters under a heading, speaker and date."""
+    return F.concat(F.lit(f"{head}\nSpeaker: "), speaker, F.lit("\nDate: "), F.coalesce(date, F.lit("Unknown")), F.lit("\n\nTranscript:\n"), F.substring(text, 1, 12_000))
+
+
+def to_json(genes: list[str] = GENES) -> Column:
+    return F.to_json(F.struct(*genes))
+
+
+def from_json(x: Column, genes: list[str] = GENES) -> list[Column]:
+    """The genes of a genome's JSON; ones that it lacks are the first choice."""
+    told = F.from_json(x, ", ".join(f"{g} int" for g in genes))
+    return [F.coalesce(told[g], F.lit(0)).alias(g) for g in genes]
 
 
 def genome_hash(names: list[str]) -> Column:
     return F.substring(F.sha2(F.concat_ws("-", *names), 256), 1, 16)
 
 
+def memo_key(prompt: Column, content: Column) -> Column:
+    """Under which an answer is kept: what was asked (16 places of its hash), and of what (12)."""
+    return F.concat_ws("_", F.substring(F.sha2(prompt, 256), 1, 16), F.substring(F.sha2(content, 256), 1, 12))
+
+
+def memoised(asked: DataFrame, memo: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Answers (key, answer) to all of asked (key, ...), and the memo with the new ones; only keys without one are answered, once each."""
+    new = answer(asked.dropDuplicates(["key"]).join(memo.select("key"), "key", "left_anti")).select("key", "answer")
+    held = memo.select("key", "answer").unionByName(new)
+    return asked.select("key").join(held, "key"), held
+
+
 def importance(runs: DataFrame, genes: list[str]) -> DataFrame:
     """The best choice of each gene by mean fitness; ties: the one seen first (least seen)."""
     rows = F.explode(F.array(*(F.struct(F.lit(g).alias("gene"), F.col(g).alias("choice")) for g in genes)))

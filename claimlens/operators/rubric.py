@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import LABELS, TIERS
@@ -67,6 +67,13 @@ def worst_tier(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("claim_id").agg(F.max(rank).alias("r")).select("claim_id", lookup(F.col("r"), [(i, t) for i, (t, _) in enumerate(TIERS)]).alias("tier"))
 
 
+def evidence_prompt(evidence: DataFrame, most: int = 10) -> DataFrame:
+    """claim_id, prompt: a claim's first pieces of evidence (pos, source_name, source_tier, snippet), numbered."""
+    rows = evidence.withColumn("n", F.row_number().over(Window.partitionBy("claim_id").orderBy("pos"))).where(F.col("n") <= most)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "source_name", "source_tier", "snippet"))), lambda x: F.format_string("[%d] %s (%s)\n%s", x["n"], x["source_name"], x["source_tier"], x["snippet"]))
+    return rows.groupBy("claim_id").agg(F.array_join(lines, "\n\n").alias("prompt"))
+
+
 def summary(verdicts: DataFrame, group: str) -> DataFrame:
     """Counts of every label for each group, zeros included, in label order."""
     counts = verdicts.groupBy(group).agg(*(F.count_if(F.col("label") == x[0]).alias(f"_{i}") for i, x in enumerate(LABELS)))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import CONFIDENCES, DATA_SIGNALS, DATE_FORMATS, ECONOMIC_WORDS, FACT_CHECK_NAMES, GOLD_POSITION, LABEL_POSITION, LABELS, SERIES, SOURCE_SIGNALS, TIER_DOMAINS, TIERS, VENUE_NAME, VENUE_PHRASE
+from ..fixed import CONFIDENCES, DATA_SIGNALS, ECONOMIC_WORDS, FACT_CHECK_NAMES, GOLD_POSITION, LABELS, SERIES, SOURCE_SIGNALS, TIER_DOMAINS, TIERS, VENUE_NAME, VENUE_PHRASE
 from ..functions import text as T
 from ..operators import cache, evaluate, evolve, publish, rubric
-from ..sources.evidence import GovernmentData, fact_check_name, gather
+from ..sources.evidence import GovernmentData, fact_check_name, gather, site_query, web_query
 from ..sources.tables import claims, evidence, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,17 +82,18 @@ def ingest_normalize(spark, sf_dir):
     return docs.where("text <> ''").withColumn("word_count", T.word_count(F.col("text")))
 
 
-_DATED = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%-m/%-d/%Y') ELSE strftime(o_orderdate, '%-d %B %Y') END AS d, CASE o_orderkey % 3 WHEN 0 THEN 'Remarks at the Town Hall. ' WHEN 1 THEN 'In the Rose Garden ' ELSE '' END AS v FROM orders"
+_DATED = "SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%-m/%-d/%Y') WHEN 3 THEN strftime(o_orderdate, '%-d %B %Y') WHEN 4 THEN strftime(o_orderdate, '%-d %b %Y') ELSE 'Smarch 5, 2024 or 13/45/2024' END AS d, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS meant, CASE o_orderkey % 3 WHEN 0 THEN 'Remarks at the Town Hall. ' WHEN 1 THEN 'In the Rose Garden ' ELSE '' END AS v FROM orders"
 
 
 def _dated(spark, sf_dir):
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
-    forms = F.when(key % 4 == 0, F.date_format(day, "MMMM d, yyyy")).when(key % 4 == 1, F.date_format(day, "yyyy-MM-dd")).when(key % 4 == 2, F.date_format(day, "M/d/yyyy")).otherwise(F.date_format(day, "d MMMM yyyy"))
+    written = ["MMMM d, yyyy", "yyyy-MM-dd", "M/d/yyyy", "d MMMM yyyy", "d MMM yyyy"]
+    forms = F.coalesce(*(F.when(key % 6 == i, F.date_format(day, form)) for i, form in enumerate(written)), F.lit("Smarch 5, 2024 or 13/45/2024"))
     venue = F.when(key % 3 == 0, "Remarks at the Town Hall. ").when(key % 3 == 1, "In the Rose Garden ").otherwise("")
     return table(spark, sf_dir, "orders").select(key.alias("id"), F.concat(venue, F.lit("Given on "), forms, F.lit(" here")).alias("text"))
 
 
-@query("SELECT id, CAST(coalesce(" + ", ".join(f"try_strptime(nullif(regexp_extract(t, '{p}', 1), ''), '{f}')" for p, _, f in DATE_FORMATS) + f") AS DATE) AS date FROM (SELECT id, v || 'Given on ' || d || ' here' AS t FROM ({_DATED}))")
+@query(f"SELECT id, meant AS date FROM ({_DATED})")
 def detect_date(spark, sf_dir):
     return _dated(spark, sf_dir).select("id", T.find_date(F.col("text")).alias("date"))
 
@@ -143,13 +144,14 @@ def domain_name(spark, sf_dir):
 
 @query("SELECT item_id, substr(CASE WHEN item_id % 3 = 0 THEN 'data statistics ' ELSE 'fact check ' END || text, 1, 200) AS web_query, substr('(site:politifact.com OR site:factcheck.org OR site:snopes.com) ' || text, 1, 250) AS site_query FROM benchmark")
 def search_queries(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.concat(F.when(F.col("item_id") % 3 == 0, "data statistics ").otherwise("fact check "), "text"), 1, 200).alias("web_query"), F.substring(F.concat(F.lit("(site:politifact.com OR site:factcheck.org OR site:snopes.com) "), "text"), 1, 250).alias("site_query"))
+    category = F.when(F.col("item_id") % 3 == 0, "jobs").when(F.col("item_id") % 3 == 1, "other")
+    return table(spark, sf_dir, "benchmark").select("item_id", web_query(F.col("text"), category).alias("web_query"), site_query(F.col("text")).alias("site_query"))
 
 
 _WORDED = ["Unemployment", "inflation rose", "GDP", "the deficit", "new jobs", "wages", "nothing"]
 
 
-@query(f"SELECT claim_id, 'https://fred.stlouisfed.org/series/' || s AS source_url, 'Government' AS source_tier, '[Stub] FRED series ' || s AS snippet, 0.7::DOUBLE AS relevance_score FROM (SELECT claim_id, CASE {' '.join(f'WHEN contains(t, {chr(39)}{w}{chr(39)}) THEN {chr(39)}{s}{chr(39)}' for w, s in SERIES)} END AS s FROM (SELECT doc_id AS claim_id, lower({_case('doc_id % 7', list(enumerate(_WORDED)))} || ' ' || text) AS t FROM documents) WHERE regexp_matches(t, '{'|'.join(ECONOMIC_WORDS)}')) WHERE s IS NOT NULL")
+@query(f"SELECT claim_id, 'https://fred.stlouisfed.org/series/' || s AS source_url, 'Government' AS source_tier, '[Stub] FRED series ' || s || ' — configure FRED_API_KEY for live data.' AS snippet, 0.7::DOUBLE AS relevance_score FROM (SELECT claim_id, CASE {' '.join(f'WHEN contains(t, {chr(39)}{w}{chr(39)}) THEN {chr(39)}{s}{chr(39)}' for w, s in SERIES)} END AS s FROM (SELECT doc_id AS claim_id, lower({_case('doc_id % 7', list(enumerate(_WORDED)))} || ' ' || text) AS t FROM documents) WHERE regexp_matches(t, '{'|'.join(ECONOMIC_WORDS)}')) WHERE s IS NOT NULL")
 def gov_evidence(spark, sf_dir):
     word = F.element_at(F.array(*map(F.lit, _WORDED)), (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.concat(word, F.lit(" "), "text").alias("text"))
@@ -159,23 +161,27 @@ def gov_evidence(spark, sf_dir):
 _KEY = r"substr(sha256(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))), 1, 16)"
 
 
-@query(f"SELECT doc_id, key, row_number() OVER (PARTITION BY key ORDER BY doc_id) > 1 AS hit FROM (SELECT doc_id, {_KEY} AS key FROM documents)")
+@query(f"SELECT doc_id, key, CASE WHEN first <> doc_id THEN first END AS cached FROM (SELECT doc_id, {_KEY} AS key, min(doc_id) OVER (PARTITION BY {_KEY}) AS first FROM documents)")
 def cache_exact(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.cache_key(F.col("text")).alias("key"))
-    return docs.withColumn("hit", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) > 1)
+    """Each document's earlier copy, from a cache that has the first document of each key."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), "text")
+    held = docs.groupBy(T.cache_key(F.col("text")).alias("key")).agg(F.min("claim_id").alias("verdict_label")).withColumn("expires_at", F.lit(None).cast("timestamp"))
+    hits = cache.exact(docs, held, F.current_timestamp())
+    return hits.select(F.col("claim_id").alias("doc_id"), "key", F.when(F.col("cached_label") != F.col("claim_id"), F.col("cached_label")).alias("cached"))
 
 
-@query("SELECT event_id, ts + INTERVAL 90 DAY AS expires_at FROM events WHERE TIMESTAMP '2024-06-01' <= ts + INTERVAL 90 DAY")
+@query("SELECT event_id, ts + INTERVAL 90 DAY AS expires_at FROM events WHERE TIMESTAMP '2024-04-15' <= ts + INTERVAL 90 DAY")
 def cache_ttl(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", (F.col("ts") + F.make_dt_interval(F.lit(cache.TTL_DAYS))).alias("expires_at"))
-    return rows.where(cache.alive(F.col("expires_at"), F.lit("2024-06-01").cast("timestamp_ntz")))
+    return rows.where(cache.alive(F.col("expires_at"), F.lit("2024-04-15").cast("timestamp_ntz")))
 
 
 @query("SELECT user_id AS key, ts AS cached_at, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1")
 def cache_upsert(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("cached_at"), "event_id")
-    w = Window.partitionBy("key").orderBy(F.desc("cached_at"), "event_id")
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """Entries of clicks and views, upserted with those of all other events."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("cached_at"), "event_id", "event_type")
+    old = F.col("event_type").isin("click", "view")
+    return cache.upsert(rows.where(old), rows.where(~old), ["event_id"]).drop("event_type")
 
 
 @query()
@@ -212,10 +218,10 @@ def combined_match(spark, sf_dir):
 _GOLD = ["TRUE", "PARTLY TRUE", "EXAGGERATED", "MISLEADING", "UNSUPPORTED", "FALSE", "FALSE / MISLEADING", "odd"]
 
 
-@query(_RUBRIC + f", a AS (SELECT claim_id, 1.0 - abs({_case('coalesce(g, 0)', [(i, GOLD_POSITION.get(x, 4)) for i, x in enumerate(_GOLD)])} - {_case('label', LABEL_POSITION.items())}) / 5.0::DOUBLE AS score FROM (SELECT *, claim_id % 8 AS g FROM v)) SELECT claim_id, score, CASE WHEN score >= 0.8 THEN 'YES' WHEN score >= 0.4 THEN '~' ELSE 'NO' END AS bucket FROM a")
+@query(_RUBRIC + f", a AS (SELECT claim_id, 1.0 - abs({_case('coalesce(g, 0)', [(i, GOLD_POSITION.get(x, 4)) for i, x in enumerate(_GOLD)])} - CASE WHEN upper(label) = 'TRUE' THEN 0 WHEN label = 'Mostly True' THEN 1 WHEN label ILIKE 'exaggerated' THEN 2 WHEN label ILIKE 'misleading' THEN 3 WHEN label ILIKE 'false' THEN 5 ELSE 4 END) / 5.0::DOUBLE AS score FROM (SELECT claim_id, CASE WHEN claim_id % 3 = 0 THEN upper(label) ELSE label END AS label, claim_id % 8 AS g FROM v)) SELECT claim_id, score, CASE WHEN score >= 0.8 THEN 'YES' WHEN score >= 0.4 THEN '~' ELSE 'NO' END AS bucket FROM a")
 def verdict_agreement(spark, sf_dir):
     gold = F.element_at(F.array(*map(F.lit, _GOLD)), (F.pmod("claim_id", F.lit(8)) + 1).cast("int"))
-    score = evaluate.agreement(gold, F.col("label"))
+    score = evaluate.agreement(gold, F.when(F.col("claim_id") % 3 == 0, F.upper("label")).otherwise(F.col("label")))
     return rubric_score(spark, sf_dir).select("claim_id", score.alias("score"), evaluate.bucket(score).alias("bucket"))
 
 
@@ -233,10 +239,14 @@ def source_citation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.source_citation(F.col("text")).alias("score"))
 
 
-@query("SELECT doc_id, p AS parsimony, 0.25 * 1 + 0.30 * 0.5 + 0.20 * 0.25 + 0.15 * 0 + 0.10 * p AS fitness FROM (SELECT doc_id, CASE WHEN n_chars <= 500 THEN 1.0 WHEN n_chars >= 2000 THEN 0.0 ELSE 1.0 - (n_chars - 500) / 1500.0 END::DOUBLE AS p FROM documents)")
+@query(
+    f"SELECT doc_id, p AS parsimony, 0.25 * (CAST(doc_id % 5 AS DOUBLE) / 4) + 0.30 * (CAST(doc_id % 3 AS DOUBLE) / 2) + 0.20 * q + 0.15 * s + 0.10 * p AS fitness FROM (SELECT doc_id, CASE WHEN n_chars <= 500 THEN 1.0 WHEN n_chars >= 2000 THEN 0.0 ELSE 1.0 - (n_chars - 500) / 1500.0 END::DOUBLE AS p, "
+    f"CASE WHEN text = '' THEN 0.0 ELSE 0.6 * least(({_hits(DATA_SIGNALS)}) / 5.0, 1.0) + 0.4 * least(length(text) / 500.0, 1.0) END::DOUBLE AS q, CASE WHEN text = '' THEN 0.0 ELSE least(({_hits(SOURCE_SIGNALS)}) / 3.0, 1.0) END::DOUBLE AS s FROM documents)"
+)
 def parsimony_fitness(spark, sf_dir):
-    p = T.parsimony(F.col("n_chars"))
-    return table(spark, sf_dir, "documents").select("doc_id", p.alias("parsimony"), evaluate.fitness(F.lit(1.0), F.lit(0.5), F.lit(0.25), F.lit(0.0), p).alias("fitness"))
+    p, k = T.parsimony(F.col("n_chars")), F.col("doc_id")
+    scored = evaluate.fitness((k % 5).cast("double") / 4, (k % 3).cast("double") / 2, T.explanation_quality(F.col("text")), T.source_citation(F.col("text")), p)
+    return table(spark, sf_dir, "documents").select("doc_id", p.alias("parsimony"), scored.alias("fitness"))
 
 
 def _reports(spark, sf_dir):
@@ -357,13 +367,12 @@ def gene_importance(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
 def top5(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5)
+    return evolve.best(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 5, "o_totalprice", "o_orderkey")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 2")
 def elites(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(w)).where("n <= 2").select("o_custkey", "o_orderkey")
+    return evolve.elites(table(spark, sf_dir, "orders"), "o_custkey", 2, "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
 @query("SELECT p_partkey, substr(sha256(concat_ws('-', p_partkey % 5, p_partkey % 4, p_size % 3)), 1, 16) AS hash FROM part")

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed import FACT_CHECK_DOMAINS, FACT_CHECK_NAMES
+from ..fixed import FACT_CHECK_DOMAINS, FACT_CHECK_NAMES, FIGURE_CATEGORIES
 from ..functions.text import is_economic, series_of, tier_of
 
 COLUMNS = ["claim_id", "source_name", "source_url", "source_tier", "snippet", "supports_claim", "relevance_score", "pos"]
@@ -23,17 +23,44 @@ class EvidenceSource(Protocol):
     def evidence(self, claims: DataFrame) -> DataFrame: ...
 
 
+def relevant(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evidence whose relevance is a number from 0 to 1, and the rows that are set aside."""
+    fine = F.coalesce(F.col("relevance_score").between(0, 1), F.lit(False))
+    return rows.where(fine), rows.where(~fine)
+
+
+def web_query(text: Column, category: Column) -> Column:
+    """What a web search is asked: claims on figures are searched as such."""
+    return F.substring(F.concat(F.when(category.isin(FIGURE_CATEGORIES), "data statistics ").otherwise("fact check "), text), 1, 200)
+
+
+def site_query(text: Column, sites: int = 3) -> Column:
+    """What a search of the first few fact-checking sites is asked."""
+    return F.substring(F.concat(F.lit(f"({' OR '.join(f'site:{d}' for d in FACT_CHECK_DOMAINS[:sites])}) "), text), 1, 250)
+
+
 class GovernmentData:
-    """A stub row for each claim on economic figures with a known series."""
+    """A stub row for each claim on economic figures with a known series, or its latest observation (series, date, value) if given."""
 
     name = "government"
 
+    def __init__(self, observations: DataFrame | None = None) -> None:
+        self.observations = observations
+
     def available(self) -> bool:
         return True
 
     def evidence(self, claims: DataFrame) -> DataFrame:
         found = claims.where(is_economic(F.col("text"))).withColumn("series", series_of(F.col("text"))).where("series is not null")
-        return found.select("claim_id", F.lit("FRED (Federal Reserve)").alias("source_name"), F.concat(F.lit("https://fred.stlouisfed.org/series/"), "series").alias("source_url"), F.lit("Government").alias("source_tier"), F.concat(F.lit("[Stub] FRED series "), "series").alias("snippet"), F.lit(None).cast("boolean").alias("supports_claim"), F.lit(0.7).alias("relevance_score"), F.lit(1).alias("pos"))
+        stub = F.concat(F.lit("[Stub] FRED series "), "series", F.lit(" — configure FRED_API_KEY for live data."))
+        if self.observations is None:
+            found = found.withColumns({"snippet": stub, "relevance": F.lit(0.7)})
+        else:
+            latest = self.observations.groupBy("series").agg(F.max(F.struct("date", "value")).alias("x"))
+            told = F.concat(F.lit("FRED "), "series", F.lit(": latest value = "), F.col("x.value").cast("string"), F.lit(" (date: "), F.col("x.date").cast("string"), F.lit(")"))
+            found = found.join(latest, "series").withColumns({"snippet": told, "relevance": F.lit(0.9)})
+        # A claim has one series, so no cap is ever passed.
+        return found.select("claim_id", F.lit("FRED (Federal Reserve)").alias("source_name"), F.concat(F.lit("https://fred.stlouisfed.org/series/"), "series").alias("source_url"), F.lit("Government").alias("source_tier"), "snippet", F.lit(None).cast("boolean").alias("supports_claim"), F.col("relevance").alias("relevance_score"), F.lit(1).alias("pos"))
 
 
 class Corpus:
