@@ -19,10 +19,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay, with what is left of their texts; n_chars follows."""
-    cut = repeats.remove_repeats(docs.withColumn("_null", F.col("text").isNull()), keep_text=True)
-    text = F.when(~F.col("_null"), F.col("kept_text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    """Documents stay, without passages of over 50 words that repeat; n_chars follows."""
+    cut = repeats.cut_passages(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
