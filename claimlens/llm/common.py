@@ -10,6 +10,8 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import re
 import tempfile
@@ -69,6 +71,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _trim() -> None:
+    """Gives memory that is free within the process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives back what it no longer needs: an executor's workers stay on while others run."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return whole
+
+
 def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most BATCH_ROWS rows and, unless one row has more, BATCH_BYTES bytes."""
     for batch in batches:
@@ -140,7 +161,7 @@ def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict[
         for batch in bounded(batches):
             yield to_batch(work(batch), arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def filtered(df: DataFrame, keeps: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
@@ -150,21 +171,22 @@ def filtered(df: DataFrame, keeps: Callable[[pa.RecordBatch], list[bool]]) -> Da
         for batch in bounded(batches):
             yield batch.filter(pa.array(keeps(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def to_batch(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-def running_start(df: DataFrame, order: str, size: str, out: str, name: str) -> DataFrame:
-    """df with column out: the sum of size over all rows before it in ascending order of the column order.
+def running_start(df: DataFrame, order: str, size: str, out: str, path: str) -> None:
+    """Writes df to path, with columns out and part, and the table path-bases (part, base).
 
+    out and its part's base are the sum of size over all rows before a row in ascending order of the column order.
     Rows are range-partitioned and sorted, rows with one value (or none) by their place in df, so that such a
     group may span partitions; each partition sums its own rows as it streams by, and the partitions' totals,
-    one row each, are all that is brought together.  Nulls come first.  df has to be read from files.  The result is a written table.
+    one row each, are all that is brought together.  Nulls come first.  df has to be read from files.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` bigint", "`_part` int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` bigint", "part int"])
     arrow = fields(schema, df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +199,15 @@ def running_start(df: DataFrame, order: str, size: str, out: str, name: str) ->
             total = int(ends[-1]) if len(ends) else total
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ends - sizes), pa.array(np.full(len(sizes), part, np.int32))], schema=arrow)
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(order).asc_nulls_first(), F.col("_place").asc()]
     placed = df.withColumn("_place", F.monotonically_increasing_id())
-    local = written(placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), name)
+    placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema).write.option("compression", "zstd").parquet(path)
     # One row a partition: their running sum is small by the number of partitions, whatever the rows.
-    totals = sorted((r["_part"], r["n"]) for r in local.groupBy("_part").agg(F.sum(size).alias("n")).collect())
+    held = spark.read.schema(schema).parquet(path)
     base, before = [], 0
-    for part, n_rows in totals:
+    for part, total in sorted((r["part"], r["n"]) for r in held.groupBy("part").agg(F.sum(size).alias("n")).collect()):
         base.append((part, before))
-        before += n_rows
-    bases = df.sparkSession.createDataFrame(base or [(0, 0)], "_part int, _base bigint")
-    return local.join(F.broadcast(bases), "_part").withColumn(out, F.col(out) + F.col("_base")).drop("_part", "_base")
+        before += total
+    spark.createDataFrame(base, "part int, base bigint").coalesce(1).write.parquet(f"{path}-bases")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fields, fresh, per_batch, to_batch, tune, written
+from .common import as_bytes, fields, fresh, per_batch, tidy, to_batch, tune, written
 
 WINDOW = 13
 #: Words between a window's terms, beyond its own, that a proximity match may have.
@@ -85,7 +85,7 @@ def frequencies(segments: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
         if totals:
             yield to_batch({"term": list(totals), "n": list(totals.values())}, arrow)
 
-    counted = segments.select("terms", "ends").mapInArrow(run, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = segments.select("terms", "ends").mapInArrow(tidy(run), "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     return {bytes(r["term"]): r["n"] for r in counted.collect()}  # at most the slice's terms
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, fields, fresh, parts, per_batch, remove, to_batch, tune, written
+from .common import LOWER, as_bytes, fields, fresh, parts, per_batch, remove, tidy, to_batch, tune, written
 from .links import components
 
 SHINGLE = 5
@@ -171,7 +171,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     arrow = fields("a bigint, b bigint", pairs.sparkSession)
     one, two = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.select("a", "b").join(one, "a").join(two, "b").sortWithinPartitions("b")
-    return written(both.mapInArrow(lambda b: _confirm(b, arrow), "a bigint, b bigint"), "confirmed")
+    return written(both.mapInArrow(tidy(lambda b: _confirm(b, arrow)), "a bigint, b bigint"), "confirmed")
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
     lots = lots.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp").join(texts, "cls")
     arrow = fields("a bigint, b bigint", spark)
     dealt = lots.repartition(parts(documents), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    comps = merged(comps, written(dealt.mapInArrow(lambda b: _blocked(b, arrow), "a bigint, b bigint"), "confirmed"), "comps")
+    comps = merged(comps, written(dealt.mapInArrow(tidy(lambda b: _blocked(b, arrow)), "a bigint, b bigint"), "confirmed"), "comps")
     for done in (crowded, shared, stars, mixed, texts):
         remove(spark, done)
 

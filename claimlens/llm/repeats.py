@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fields, fresh, parts, per_batch, remove, scratch, to_batch, tune, written
+from .common import as_bytes, fields, fresh, parts, per_batch, remove, scratch, tidy, to_batch, tune, written
 from .suffixes import common_prefixes, suffix_array, words8
 
 WINDOW = 400
@@ -439,9 +439,9 @@ def _cut_texts(keyed: DataFrame, keys: list[str], window: int, keep_text: bool,
 
     fetched = per_batch(texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]), "anchor bigint, lot int, lots int, hi bigint, lo bigint, body binary", bodies)
     shard_arrow, run_arrow = fields(SHARD, spark), fields("anchor bigint, reach int, twice binary", spark)
-    shards = written(fetched.repartition(n, "anchor", "lot").sortWithinPartitions("anchor", "lot").mapInArrow(lambda b: _sort_shards(b, shard_arrow, window), SHARD), "shards")
+    shards = written(fetched.repartition(n, "anchor", "lot").sortWithinPartitions("anchor", "lot").mapInArrow(tidy(lambda b: _sort_shards(b, shard_arrow, window)), SHARD), "shards")
     lot_runs = shards.where("reach >= 0").select("anchor", "reach", "digests", "uses", "places")
-    twice = lot_runs.select("anchor", "reach", "digests").repartition(n, "anchor", "reach").sortWithinPartitions("anchor", "reach").mapInArrow(lambda b: _merge_runs(b, run_arrow), "anchor bigint, reach int, twice binary")
+    twice = lot_runs.select("anchor", "reach", "digests").repartition(n, "anchor", "reach").sortWithinPartitions("anchor", "reach").mapInArrow(tidy(lambda b: _merge_runs(b, run_arrow)), "anchor bigint, reach int, twice binary")
     merged = per_batch(lot_runs.join(twice, ["anchor", "reach"]), "anchor bigint, hi bigint, lo bigint, marks array<int>", _found)
     whole = one.where("n > 1").select("anchor", "hi", "lo", F.array(F.lit(0), (F.col("size") - window)).alias("marks"))
     marks = shards.where("reach < 0 and size(marks) > 0").select("anchor", "hi", "lo", "marks").unionByName(merged).unionByName(whole)

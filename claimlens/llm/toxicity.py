@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, fields, filtered, per_batch, remainder, to_batch, tune
+from .common import as_texts, fields, filtered, per_batch, remainder, tidy, to_batch, tune
 from .vectors import labelled
 
 #: Labelled rows drawn; entries kept; least share of toxic rows with an entry; counted entries a task holds.
@@ -76,7 +76,7 @@ def _counted(rows: DataFrame, wanted: set | None) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, schema).groupBy("kind", "entry", "label").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), schema).groupBy("kind", "entry", "label").agg(F.sum("n").alias("n"))
 
 
 def lexicon(rows: DataFrame, toxic: int, total: int) -> dict[tuple[int, str], float]:

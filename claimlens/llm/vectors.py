@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fields, remainder, to_batch, written
+from .common import as_bytes, fields, remainder, tidy, to_batch, written
 
 #: Buckets that trigrams are hashed to, and bytes hashed at once.
 BUCKETS, SPAN = 4096, 1 << 20
@@ -40,7 +40,7 @@ def document_frequencies(rows: DataFrame, vector: Callable[[bytes], np.ndarray],
                 n += 1
         yield to_batch({"feature": [*range(size), -1], "n": [*total.tolist(), n]}, arrow)
 
-    found = {r["feature"]: r["n"] for r in rows.select("text").mapInArrow(run, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    found = {r["feature"]: r["n"] for r in rows.select("text").mapInArrow(tidy(run), "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     return np.array([found.get(i, 0) for i in range(size)], np.float64), found.get(-1, 0)
 
 
