@@ -269,7 +269,14 @@ def thread_plan(spark, sf_dir):
     return publish.thread(posts, "conv_id", "turn", "uri")
 
 
-@query()
+@query(
+    _RUBRIC
+    + f""", p AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+'), lambda x: x <> '') AS w, substr(text, 1, 80) AS head,
+  {_case('label', [(x[0], x[3]) for x in LABELS], "'•'")} || ' ' || label || ' (' || confidence || ' confidence)' AS line FROM conversations JOIN v ON conv_id = claim_id),
+q AS (SELECT *, array_to_string(w, ' ') AS whole, greatest(60, 300 - length(line) - length(head) - 10) AS room FROM p)
+SELECT conv_id, turn, substr('"' || CASE WHEN length(whole) <= room THEN whole ELSE array_to_string(w[1:list_max(list_filter(range(0, len(w) + 1), lambda k: length(array_to_string(w[1:k], ' ')) < room))], ' ') || '…' END
+  || '"' || chr(10) || chr(10) || line || chr(10) || head, 1, 300) AS post FROM q"""
+)
 def posts(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").join(rubric_score(spark, sf_dir), F.col("conv_id") == F.col("claim_id"))
     return rows.select("conv_id", "turn", publish.verdict_post(F.col("text"), F.col("label"), F.col("confidence"), F.col("text")).alias("post"))
