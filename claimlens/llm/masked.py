@@ -30,11 +30,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, fields, per_batch, to_batch, tune, written
+from .common import LOWER, as_bytes, fields, per_batch, tidy, to_batch, tune, written
 
 #: The least number of classes, in GROUPS groups of equally many.
 SIZE, GROUPS = 1024, 32
@@ -83,7 +82,7 @@ def vocabulary(documents: DataFrame) -> Vocabulary:
         if held:
             yield to_batch({"word": list(held), "n": list(held.values())}, arrow)
 
-    table = written(documents.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    table = written(documents.select("text").mapInArrow(tidy(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # One row a distinct count: no more than the root of twice the number of tokens.
     histogram = sorted(((r["n"], r["of"]) for r in table.groupBy("n").agg(F.count("*").alias("of")).collect()), reverse=True)
     groups = max(GROUPS, math.ceil(sum(x for _, x in histogram) ** 0.25))
@@ -225,10 +224,8 @@ def train(documents: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
     groups, held = words.groups, documents.sparkSession.sparkContext.broadcast(words.held())
     p, seen = start(groups), {k: np.zeros_like(v) for k, v in start(groups).items()}
 
-    def passed(turn: int, sent):
+    def passed(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if TaskContext.get().partitionId() % rounds != turn:
-                return
             known, classes = _Codes(held.value[0], len(held.value[1]) - len(held.value[0])), held.value[1]
             p, seen = ({k: v.copy() for k, v in x.items()} for x in sent.value)
             total = 0
@@ -247,7 +244,7 @@ def train(documents: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
 
     for turn in range(rounds):
         sent = documents.sparkSession.sparkContext.broadcast((p, seen))
-        flat = texts.mapInArrow(passed(turn, sent), schema).select("part", "at", "tokens", F.posexplode("value").alias("col", "x"))
+        flat = texts.where(F.spark_partition_id() % rounds == turn).mapInArrow(tidy(passed(sent)), schema).select("part", "at", "tokens", F.posexplode("value").alias("col", "x"))
         p, seen = ({k: v.copy() for k, v in x.items()} for x in (p, seen))
         for r in flat.groupBy("part", "at", "col").agg((F.sum("x") / F.sum("tokens")).alias("x")).collect():  # one row a parameter
             kind, name = r["part"].split()
