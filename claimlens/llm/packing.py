@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_texts, fields, per_batch, to_batch, tune, written
+from .common import as_texts, bounded, fields, per_batch, tidy, to_batch, tune, written
 from .tokens import default_path, encoder
 
 LENGTH = 4096
@@ -43,7 +43,7 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int
 
         task, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         tail = np.array([end], "<u4")
-        for batch in batches:
+        for batch in bounded(batches):
             out: dict[str, list] = {f.name: [] for f in arrow}
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(as_texts(batch.column("text")))):
                 ids = np.concatenate([ids, tail])
@@ -55,7 +55,7 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int
             if out["doc_id"]:
                 yield to_batch(out, arrow)
 
-    return written(documents.select("doc_id", "text").mapInArrow(run, PIECES), "pieces")
+    return written(documents.select("doc_id", "text").mapInArrow(tidy(run), PIECES), "pieces")
 
 
 def patterns(histogram: np.ndarray, length: int) -> list[tuple[int, ...]]:
