@@ -90,6 +90,51 @@ def test_repeats(docs, monkeypatch, segments_in_a_shard):
 
 def test_repeats_of_nothing(empty):
     assert repeats.remove_repeats(empty).count() == 0
+    assert repeats.cut_passages(empty).count() == 0
+
+
+def test_repeats_in_texts_of_several_pieces(spark, monkeypatch):
+    """Texts over a buffer's bytes are cut into pieces; a hot window is in all segments of an anchor that many lots share."""
+    long = "".join(RNG.choices("abcdefgh ", k=1_200_000))
+    rows = [(1, long), (2, long[900_000:1_100_000] + "tail"), (3, "head" + long[5:800])]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed", "n_spans").collect()
+    assert sorted(map(tuple, got)) == [(1, 200_795, 2), (2, 200_000, 1), (3, 795, 1)]
+    monkeypatch.setattr(repeats, "SHARD_SEGMENTS", 2)
+    passage = prose(80)
+    rows = [(i, f"{prose(i % 7)} {passage} {prose(5)}") for i in range(40)]
+    same(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), cut_plainly(rows))
+
+
+def passages_plainly(rows, size):
+    seen = {}
+    data = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    for w in data:
+        for i in range(len(w) - size + 1):
+            seen[tuple(w[i : i + size])] = seen.get(tuple(w[i : i + size]), 0) + 1
+    out = []
+    for (doc_id, t), w in zip(rows, data):
+        hit = [any(seen[tuple(w[i : i + size])] > 1 for i in range(max(0, j - size + 1), min(j, len(w) - size) + 1)) for j in range(len(w))]
+        out.append((doc_id, t is None, [x for x, h in zip(w, hit) if not h]))
+    return out
+
+
+@pytest.mark.parametrize("segments_in_a_shard", [2048, 2])
+def test_passages(spark, monkeypatch, segments_in_a_shard):
+    monkeypatch.setattr(repeats, "SHARD_SEGMENTS", segments_in_a_shard)
+    passage, short = prose(51), prose(50)
+    rows = [(1, None), (2, ""), (3, passage), (3, "a " + passage + " b"), (None, prose(20) + " " + passage.replace(" ", "\n ")), (5, short + " x"), (6, "y " + short), (7, prose(300)), (8, "ab " * 120), (9, short + passage)]
+    docs = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, n_bytes string, k1 int")
+    out = repeats.cut_passages(docs)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"] is None, (r["text"] or "").split()) for r in out.collect()]
+    same(got, passages_plainly(rows, 51))
+
+
+def test_repeats_among_other_columns(docs):
+    odd = docs.withColumns({"n_bytes": F.lit(1), "k1": F.lit(2), "_k1": F.lit(3), "found": F.lit(4)})
+    got = repeats.remove_repeats(odd)
+    assert got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").count() == len(ROWS)
+    assert {"k1", "_k1", "found"} <= set(got.columns) and len(got.columns) == len(set(got.columns))
 
 
 def groups_plainly(rows):
@@ -114,12 +159,53 @@ def groups_plainly(rows):
     for i, (doc_id, _) in enumerate(rows):
         if doc_id is not None:
             least[root(i)] = min(doc_id, least.get(root(i), doc_id))
-    return [(d, len(s), least.get(root(i)), d is None or d == least.get(root(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+    ids = [least.get(root(i)) for i in range(len(rows))]
+    return [(d, len(s), c, not s or c is None or d == c) for (d, _), s, c in zip(rows, sets, ids)]
+
+
+GROUPED = ["doc_id", "n_shingles", "component_id", "kept"]
 
 
 def test_near_groups(docs):
-    got = neardup.near_groups(docs).select("doc_id", "n_shingles", "component_id").collect()
-    same(got, [r[:3] for r in groups_plainly(ROWS)])
+    same(neardup.near_groups(docs).select(*GROUPED).collect(), groups_plainly(ROWS))
+
+
+def test_near_groups_without_ids(spark):
+    base, other = prose(40), prose(40)
+    rows = [(5, base), (6, base), (None, base), (None, base + " word"), (None, other), (None, other + " word"), (None, None), (7, ""), (7, ""), (8, "w"), (8, "w")]
+    docs = spark.createDataFrame([(*r, i, "x", 0) for i, r in enumerate(rows)], "doc_id long, text string, mark int, first string, _d int")
+    same(neardup.near_groups(docs).select(*GROUPED).collect(), groups_plainly(rows))
+    kept = neardup.keep_firsts(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == 6 and (5, base) in got and got.count((7, "")) == 2 and got.count((8, "w")) == 1 and (None, None) in got
+    assert [t for d, t in got if d is None and t] in ([other], [other + " word"])
+
+
+def near_pairs(n, rng=random.Random(3)):
+    """Pairs of texts whose similarity is just 0.75, and just below it: 280 shingles each, 240 or 239 of them shared."""
+    rows = []
+    for i in range(n):
+        words = [f"p{i}w{j}" for j in range(284)]
+        cut = 40 if i % 2 else 41
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[cut:] + [f"q{i}w{j}" for j in range(cut)]))]
+    return rows
+
+
+def test_near_groups_at_the_threshold(spark):
+    """Recall of the index where it is least, and exactness of the bound."""
+    rows = near_pairs(400)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(400)] == [bool(i % 2) for i in range(400)]
+
+
+def test_near_groups_by_several_blocks(spark, monkeypatch):
+    """A bucket of which the head is like none of the others: blocks of it are compared in full."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base + [f"x{i // 3}y{j}" for j in range(30 + i % 3)])) for i in range(60)]
+    got = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).select(*GROUPED).collect()
+    same(got, groups_plainly(rows))
 
 
 def test_near_groups_whose_links_all_go_through_one(spark):
@@ -129,8 +215,7 @@ def test_near_groups_whose_links_all_go_through_one(spark):
         words = list(base)
         words[(7 * i) % 60] = f"new{i}"
         rows.append((i, " ".join(words)))
-    got = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
-    same(got, [r[:3] for r in groups_plainly(rows)])
+    same(neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).select(*GROUPED).collect(), groups_plainly(rows))
 
 
 def test_near_groups_of_nothing(empty):
@@ -140,12 +225,33 @@ def test_near_groups_of_nothing(empty):
 ITEMS = [(1, ROWS[8][1][40:300]), (2, "short item here"), (3, None), (4, prose(30)), (1, "word"), (None, ROWS[12][1][100:260]), (7, "...")]
 
 
+def near_plainly(rows, items, words, reach=3):
+    """Names of the items of which some window's words all lie about the window's rarest one, by row."""
+    data = [words(t) for _, t in rows]
+    often = {}
+    for w in data:
+        for x in w:
+            often[x] = often.get(x, 0) + 1
+    out = [set() for _ in rows]
+    for item, x in items:
+        v = words(x)
+        for i in range(max(1, len(v) - 12) if v else 0):
+            win = v[i : i + 13]
+            if all(x in often for x in win):
+                rare = win[min(range(len(win)), key=lambda p: (often[win[p]], p))]
+                for found, w in zip(out, data):
+                    for at in (j for j, x in enumerate(w) if x == rare):
+                        if set(win) <= set(w[max(0, at - len(win) + 1 - reach) : at + len(win) + reach]):
+                            found.add("null" if item is None else str(item))
+    return out
+
+
 def hits_plainly(rows, items):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 
     out = []
-    for doc_id, t in rows:
+    for (doc_id, t), near in zip(rows, near_plainly(rows, items, words)):
         w, hit, found = words(t), set(), set()
         for item, x in items:
             v = words(x)
@@ -155,7 +261,7 @@ def hits_plainly(rows, items):
                     if w[j : j + n] == v[i : i + n]:
                         hit |= set(range(j, j + n))
                         found.add("null" if item is None else str(item))
-        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(near), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
 
@@ -173,6 +279,14 @@ def test_proximity(spark):
     assert got == {1: ([], ["9"]), 2: ([], [])}
 
 
+def test_keep_clean_goes_by_row(spark):
+    passage = prose(30)
+    rows = [(1, passage), (1, prose(50)), (None, passage + " a"), (None, prose(40)), (2, None), (3, prose(5))]
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, mark string, seg int")
+    out = decontaminate.keep_clean(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert out.columns == docs.columns and sorted(r["seg"] for r in out.collect()) == [1, 3, 4, 5]
+
+
 def test_contamination_without_items(docs, spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, items).where("contaminated or n_hit > 0").count() == 0
@@ -210,6 +324,23 @@ def test_store_round_trip(spark, docs, ids, tmp_path):
     chunks = spark.read.parquet(f"{path}/chunks")
     assert chunks.count() == chunks.select("digest").distinct().count()
     assert store.broken(spark, path).count() == 0
+    # A node that doesn't hold what the recipes give leaves its documents unverified.
+    kept = spark.read.parquet(f"{path}/manifest").collect()
+    spark.createDataFrame([(r["node"], r["digest"][::-1], r["level"]) for r in kept], "node bigint, digest string, level int").write.mode("overwrite").partitionBy("level").parquet(f"{path}/manifest")
+    assert {r["verified"] for r in store.read_checksums(spark, path).collect()} == {False} and store.broken(spark, path).count() == len(kept)
+
+
+def test_store_of_nothing(spark, empty, tmp_path):
+    store.write(empty, f"file://{tmp_path}/store")
+    assert store.read_checksums(spark, f"file://{tmp_path}/store").count() == 0
+
+
+def test_store_of_several_levels(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "SPAN", 16)
+    monkeypatch.setattr(store, "FAN", 3)
+    path = f"file://{tmp_path}/store"
+    store.write(spark.createDataFrame([(i, prose(6)) for i in range(60)], "doc_id long, text string"), path)
+    assert store._depth(spark, path) > 2 and {r["verified"] for r in store.read_checksums(spark, path).collect()} == {True}
 
 
 def test_joined_crc():

@@ -65,7 +65,7 @@ def test_toxicity(docs, labels, rows):
 def test_quality(docs, labels, rows):
     from claimlens.llm.vectors import labelled
 
-    got = neighbours.score(docs, neighbours.fit(labelled(docs, labels, "quality", 3, 1, 1000))).collect()
+    got = neighbours.score(docs, neighbours.fit(labelled(docs, labels, "quality", 3, 1, 1000), docs)).collect()
     truth = {i: q for i, _, _, q, _ in rows}
     assert sum((r["score"] >= 0.5) == truth[r["doc_id"]] for r in got if r["doc_id"] in truth) > 0.97 * len(truth)
     assert len(got) == len(rows) + len(ODD) and all(0 <= r["score"] <= 1 for r in got)
@@ -76,6 +76,74 @@ def test_models_without_labels(docs, labels):
     assert {r["predicted"] for r in toxicity.scored(docs.limit(3), none).collect()} == {0}
 
 
+def test_models_of_nothing(spark, docs, labels):
+    none = docs.limit(0)
+    assert toxicity.scored(none, labels).count() == 0 and toxicity.keep_clean(none, labels).columns == docs.columns
+    from claimlens.llm.vectors import labelled
+
+    assert neighbours.score(none, neighbours.fit(labelled(none, labels, "quality", 3, 1, 10), none)).count() == 0
+    model = language.fit(none.select("text", "lang"))
+    assert language.predict(none, model).count() == 0 and {r["lang_pred"] for r in language.predict(docs.limit(3), model).collect()} == {"und"}
+    words = masked.vocabulary(none)
+    assert masked.score(none, words, masked.train(none, words)).count() == 0
+
+
+def test_language_of_repeated_texts(spark):
+    """A text that is a third of all rows or more takes no other language's place."""
+    rows = [(prose("aa"), "aa")] * 6000 + [(prose("bb"), "bb") for _ in range(60)] + [(prose("cc"), "cc") for _ in range(900)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert set(model["names"]) == {"aa", "bb", "cc"}
+
+
+def test_centroids_plainly(spark, docs, rows):
+    """The language is that of the nearest of all centroids, by plain cosines."""
+    import numpy as np
+
+    model = language.fit(docs.where("lang is not null").select("text", "lang"))
+    got = {r["doc_id"]: r for r in language.predict(docs.where("lang is not null"), model).collect()}
+    for i, text, *_ in rows[:60]:
+        v = language.letters(text.encode()) * model["idf"]
+        cosines = [float(v @ c / np.linalg.norm(v) / max(np.linalg.norm(c), 1e-9)) for c in model["centres"]]
+        assert got[i]["lang_pred"] == model["names"][int(np.argmax(cosines))] and abs(got[i]["score"] - max(cosines)) < 1e-4
+
+
+def test_neighbours_plainly():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    near = np.round(rng.uniform(-0.2, 1, (40, 60)), 1).astype(np.float32)  # many ties
+    near[0] = -0.5
+    labels = rng.integers(0, 2, 60).astype(np.float32)
+    for row, got in zip(near, neighbours.voted(near, labels, 7)):
+        best = sorted(range(60), key=lambda j: (-row[j], j))[:7]
+        weights = [max(float(row[j]), 0.0) ** neighbours.SHARPNESS for j in best]
+        want = sum(w * labels[j] for w, j in zip(weights, best)) / sum(weights) if sum(weights) else labels.mean()
+        assert abs(got - want) < 1e-4
+    assert np.allclose(neighbours.voted(near[:, :3], labels[:3])[0], labels[:3].mean())
+
+
+def test_label_model_plainly():
+    """Accuracies of made-up voters, and the steps by plain loops."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    truth = rng.random(3000) < 0.3
+    rates = [(0.05, 0.8), (0.1, 0.7), (0.02, 0.5), (0.2, 0.9), (0.01, 0.3)]
+    v = np.array([[float(rng.random() < (on if t else off)) for off, on in rates] for t in truth])
+    v = np.concatenate([v, v[:, :1]], 1)  # a voter twice: the two share one weight
+    on, weight, q, share = toxicity.label_model(v, 0.3)
+    assert np.abs(on[1][:5] - [r[1] for r in rates]).max() < 0.12 and np.abs(on[0][:5] - [r[0] for r in rates]).max() < 0.12
+    assert weight[0] < 0.65 and abs(weight[0] - weight[5]) < 1e-9 and weight[2] > 0.75
+    assert ((q > 0.5) == truth).mean() > 0.9 and 0.2 < share < 0.4
+    # Posteriors of a round by plain loops, from its accuracies and weights.
+    on, weight, q, _ = toxicity.label_model(v, 0.3, rounds=1)
+    for row, got in zip(v[:50], q):
+        odds = 0.3 / 0.7
+        for x, w, off, yes in zip(row, weight, *on):
+            odds *= ((yes if x else 1 - yes) / (off if x else 1 - off)) ** w
+        assert abs(got - odds / (1 + odds)) < 1e-6
+
+
 def test_masked_model_prefers_order(spark, docs):
     words = masked.vocabulary(docs)
     model = masked.train(docs, words)
@@ -98,6 +166,32 @@ def test_probabilities_add_up():
     assert abs(np.exp(masked.log_probabilities(p, np.arange(masked.SIZE), around)).sum() - 1) < 1e-3
 
 
+def test_network_plainly():
+    """Log-probabilities by loops over tokens, and gradients by differences."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p = {k: (rng.standard_normal(v.shape) * 0.3).astype(np.float64) for k, v in masked.start(3).items()}
+    target, around = rng.integers(0, 9, 30).astype(np.uint16), rng.integers(0, 10, (30, 2 * masked.REACH)).astype(np.uint16)
+    for t, near, got in zip(target.tolist(), around.tolist(), masked.log_probabilities(p, target, around)):
+        h = np.tanh(p["bias"] + sum(p["embed"][w] * (1 + p["place"][j]) for j, w in enumerate(near)))
+        group, inner = divmod(t, 3)
+        one, two = h @ p["group"] + p["group_bias"], h @ p["inner"][group] + p["inner_bias"][group]
+        assert abs(got - (one[group] - math.log(np.exp(one).sum()) + two[inner] - math.log(np.exp(two).sum()))) < 1e-9
+    found = masked.gradients(p, target, around)
+    for k, v in p.items():
+        for at in [tuple(rng.integers(0, n) for n in v.shape) for _ in range(6)]:
+            kept, e = v[at], 1e-6
+            v[at] = kept + e
+            more = masked.log_probabilities(p, target, around).sum()
+            v[at] = kept - e
+            less = masked.log_probabilities(p, target, around).sum()
+            v[at] = kept
+            assert abs(found[k][at] + (more - less) / (2 * e)) < 1e-4
+
+
 def test_masked_model_tells_every_word(spark, monkeypatch):
     import numpy as np
 
