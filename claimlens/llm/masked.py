@@ -145,15 +145,17 @@ def start(groups: int = GROUPS) -> dict[str, np.ndarray]:
     return {k: (rng.standard_normal(s) * 0.1).astype(np.float32) if "bias" not in k else np.zeros(s, np.float32) for k, s in shapes.items()}
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+def _exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits by class (first) and token: exponentials, their sums, and what was taken off the logits."""
+    top = z.max(0)
+    e = np.exp(z - top)
+    return e, e.sum(0), top
 
 
 def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logs of the softmax at one place a row."""
-    z = z - z.max(-1, keepdims=True)
-    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(-1))
+    """Logs of the softmax at one class a token."""
+    _, total, top = _exps(z)
+    return z[at, np.arange(len(at))] - top - np.log(total)
 
 
 def _forward(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
@@ -164,41 +166,46 @@ def _forward(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
 
 
 def _by_group(p: dict[str, np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's group and class in the group, the tokens in order of groups, and where each group starts."""
+    """The tokens in order of their groups; in that order each one's group and class in it; and where each group starts."""
     groups = p["group"].shape[1]
     group, inner = np.divmod(target, target.dtype.type(groups))
     order = np.argsort(group, kind="stable")
-    return group, inner, order, np.searchsorted(group[order], np.arange(groups + 1))
+    return order, group[order], inner[order], np.searchsorted(group[order], np.arange(groups + 1))
 
 
 def log_probabilities(p: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> np.ndarray:
-    h = _forward(p, around)
-    group, inner, order, edges = _by_group(p, target)
-    out = _picked(h @ p["group"] + p["group_bias"], group)
-    for g in range(len(edges) - 1):
-        rows = order[edges[g] : edges[g + 1]]
-        if len(rows):
-            out[rows] += _picked(h[rows] @ p["inner"][g] + p["inner_bias"][g], inner[rows])
+    order, group, inner, edges = _by_group(p, target)
+    h = _forward(p, around[order])
+    logs = _picked(p["group"].T @ h.T + p["group_bias"][:, None], group)
+    for g, (a, b) in enumerate(zip(edges, edges[1:])):
+        if b > a:
+            logs[a:b] += _picked(p["inner"][g].T @ h[a:b].T + p["inner_bias"][g][:, None], inner[a:b])
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
-def step(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> None:
-    """One Adagrad step on the mean negative log-likelihood of some tokens."""
-    n = len(target)
+def gradients(p: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the sum of the tokens' negative log-likelihoods."""
+    order, group, inner, edges = _by_group(p, target)
+    around = around[order]
     h = _forward(p, around)
-    group, inner, order, edges = _by_group(p, target)
     d = {k: np.zeros_like(v) for k, v in p.items()}
-    dz = _softmax(h @ p["group"] + p["group_bias"])
-    dz[np.arange(n), group] -= 1
-    d["group"], d["group_bias"] = h.T @ dz, dz.sum(0)
-    dh = dz @ p["group"].T
-    for g in range(len(edges) - 1):
-        rows = order[edges[g] : edges[g + 1]]
-        if len(rows):
-            dy = _softmax(h[rows] @ p["inner"][g] + p["inner_bias"][g])
-            dy[np.arange(len(rows)), inner[rows]] -= 1
-            d["inner"][g], d["inner_bias"][g] = h[rows].T @ dy, dy.sum(0)
-            dh[rows] += dy @ p["inner"][g].T
+
+    def errors(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        e, total, _ = _exps(weights.T @ rows.T + bias[:, None])
+        e /= total
+        e[at, np.arange(len(at))] -= 1
+        return e
+
+    dz = errors(p["group"], p["group_bias"], h, group)
+    d["group"], d["group_bias"] = (dz @ h).T, dz.sum(1)
+    dh = dz.T @ p["group"].T
+    for g, (a, b) in enumerate(zip(edges, edges[1:])):
+        if b > a:
+            dy = errors(p["inner"][g], p["inner_bias"][g], h[a:b], inner[a:b])
+            d["inner"][g], d["inner_bias"][g] = (dy @ h[a:b]).T, dy.sum(1)
+            dh[a:b] += dy.T @ p["inner"][g].T
     da = dh * (1 - h * h)
     d["bias"] = da.sum(0)
     for j in range(around.shape[1]):
@@ -208,10 +215,15 @@ def step(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], target: np.ndarr
         sums = np.add.reduceat(da[order], firsts, axis=0)
         d["embed"][ids[firsts]] += sums * (1 + p["place"][j])
         d["place"][j] = (sums * p["embed"][ids[firsts]]).sum(0)
-    for k in p:
-        gradient = d[k] / n
-        seen[k] += gradient * gradient
-        p[k] -= RATE * gradient / np.sqrt(seen[k] + 1e-8)
+    return d
+
+
+def step(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> None:
+    """One Adagrad step on the mean negative log-likelihood of some tokens."""
+    for k, d in gradients(p, target, around).items():
+        d /= len(target)
+        seen[k] += d * d
+        p[k] -= RATE * d / np.sqrt(seen[k] + 1e-8)
 
 
 def train(documents: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
