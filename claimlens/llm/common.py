@@ -131,6 +131,28 @@ def parts(df: DataFrame, per: int = PARTITION_BYTES) -> int:
     return least if size > 1 << 60 else max(least, min(100_000, math.ceil(size / per)))
 
 
+#: Keys that may be split in a join: those with more than this share of all rows.
+HOT_KEYS = 10_000
+
+
+def spread_join(facts: DataFrame, held: DataFrame, keys: list[str], by: list[str], lot: int) -> DataFrame:
+    """facts joined with held on keys; held has few rows a key, facts may have any number.
+
+    Rows of keys with more than lot rows, and more than one HOT_KEYS-th of all rows, are dealt by a hash of the columns by
+    to lots of about lot rows, and held's rows are repeated for these.  There are fewer than HOT_KEYS such keys, as their rows
+    add up to no more than all; they are broadcast as pairs of numbers.
+    """
+    mark, lots, share = fresh(facts.join(held.limit(0), keys), "mark", "lots", "share")
+    marked = facts.withColumn(mark, F.xxhash64(*keys))
+    uses = marked.groupBy(mark).agg(F.count(F.lit(1)).alias("n"))
+    least = max(lot, facts.count() // HOT_KEYS)
+    hot = F.broadcast(uses.where(F.col("n") > least).select(mark, F.ceil(F.col("n") / lot).alias(lots)))
+    dealt = marked.join(hot, mark, "left").withColumn(share, F.pmod(F.xxhash64(*by), F.coalesce(lots, F.lit(1))))
+    every = held.withColumn(mark, F.xxhash64(*keys)).join(hot, mark, "left")
+    every = every.withColumn(share, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(lots, F.lit(1).cast("bigint")) - 1)))
+    return dealt.drop(mark, lots).join(every.drop(mark, lots), [*keys, share]).drop(share)
+
+
 def remainder(column: str, modulus: int) -> F.Column:
     """crc32 of an id's text form, modulo something: the fold that fixes held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, masked, neardup, neighbours, packing, repeats, rules, store, toxicity
+from . import decontaminate, language, masked, neardup, neighbours, packing, phrases, repeats, rules, store, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_lm_scoring": masked.query,
         "op9_benchmark_decontamination": decontaminate.query,
         "op10_best_fit_packing": packing.query,
+        "op11_phrase_collocations": phrases.query,
+        "op13_embedding_whitening": whitening.query,
     }
 
 
@@ -25,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": rules.SQL,
         "op7_minhash_near_dedup": neardup.SQL,
         "op9_benchmark_decontamination": decontaminate.SQL,
+        "op11_phrase_collocations": phrases.SQL,
     }
