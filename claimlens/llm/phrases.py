@@ -38,8 +38,6 @@ UNKNOWN = "und"
 SPAN = 4 << 20
 #: Frequent phrases of a level that are broadcast by their marks (8 bytes each), and bits of the map beyond (64 MB).
 SET_MARKS, MAP_BITS = 4_000_000, 29
-#: Uses of one phrase as part of others that go to one task in a join.
-LOT = 20_000
 
 #: A-Z lowered, tabs to spaces, what ends a piece to line feeds.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -277,7 +275,7 @@ def scored(held: list[DataFrame]) -> DataFrame:
     cuts = cuts.select("lang", "phrase", "a", "k", joined(F.lit(1), F.col("k")).alias("left"), joined(F.col("k") + 1, F.size("w") - F.col("k")).alias("right"))
     for side, name in (("left", "l"), ("right", "r")):
         part = every.select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
-        cuts = spread_join(cuts, part, ["lang", side], ["phrase", "k"], LOT)
+        cuts = spread_join(cuts, part, ["lang", side], ["phrase", "k"])
     whole = lambda c: F.col(c).cast("decimal(19,0)")
     cuts = cuts.withColumns({"top": whole("a") * F.lit(SCALE).cast("decimal(7,0)"), "bottom": whole("l") + whole("r")})
     lowest = cuts.select("lang", "phrase", "a", F.struct(F.expr("top div bottom").alias("score"), "k", "l", "r").alias("cut")).groupBy("lang", "phrase", "a").agg(F.min("cut").alias("cut"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, masked, neardup, neighbours, packing, phrases, repeats, rules, store, toxicity, whitening
+from . import decontaminate, language, masked, neardup, neighbours, packing, phrases, regions, repeats, rules, store, toxicity, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_benchmark_decontamination": decontaminate.query,
         "op10_best_fit_packing": packing.query,
         "op11_phrase_collocations": phrases.query,
+        "op12_ngram_jaccard_join": regions.query,
         "op13_embedding_whitening": whitening.query,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash_near_dedup": neardup.SQL,
         "op9_benchmark_decontamination": decontaminate.SQL,
         "op11_phrase_collocations": phrases.SQL,
+        "op12_ngram_jaccard_join": regions.SQL,
     }
