@@ -55,3 +55,5 @@ FIGURE_CATEGORIES = ["economy", "jobs", "unemployment"]
 # Choices of each gene, extraction first.
 EXTRACTION_GENES = {"persona": 5, "methodology": 4, "taxonomy": 4, "format": 4, "filtering": 3, "examples": 3, "tone": 4}
 SYNTHESIS_GENES = {"persona": 4, "verdict_taxonomy": 4, "evidence_weighting": 3, "confidence": 3, "reasoning": 3, "nuance": 3, "format": 3}
+# What strip() takes off: white space of any kind.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed import DATA_SIGNALS, DATE_FORMATS, ECONOMIC_WORDS, HTML_HIDDEN, HTML_TAG, SERIES, SOURCE_SIGNALS, SUBTITLE_HEADER, SUBTITLE_MARK, SUBTITLE_NUMBER, SUBTITLE_TIMING, TIER_DOMAINS, VENUE_NAME, VENUE_PHRASE
+from ..fixed import DATA_SIGNALS, DATE_FORMATS, ECONOMIC_WORDS, HTML_HIDDEN, HTML_TAG, SERIES, SOURCE_SIGNALS, SUBTITLE_HEADER, SUBTITLE_MARK, SUBTITLE_NUMBER, SUBTITLE_TIMING, TIER_DOMAINS, VENUE_NAME, VENUE_PHRASE, WHITE_SPACE
 
 
 def strip(x: Column) -> Column:
     """White space off both ends, of any Unicode kind; trim() takes spaces only."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(WHITE_SPACE))
+
+
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once however often f uses it."""
+    return F.transform(F.array(x), f)[0]
 
 
 def strip_subtitles(x: Column) -> Column:
@@ -68,19 +74,38 @@ def title_case(x: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"([\p{L}]+|[^\p{L}]+)"), F.lit(1)), F.initcap), "")
 
 
+#: Where a line may break: after white space, before or after dashes between words, after a hyphen between letters.
+_WORD, _LETTER = r"[\p{L}\p{N}_]", r"[\p{L}\p{Nl}\p{No}_]"
+_MARK = r"[\p{L}\p{N}_!\"'&.,?]"
+_CHUNK = rf"( +|(?<={_MARK})-{{2,}}(?={_WORD})|[^ ]+?(?:-(?:(?<={_LETTER}{{2}}-)|(?<={_LETTER}-{_LETTER}-))(?={_LETTER}-?{_LETTER})|(?= |\z)|(?<={_MARK})(?=-{{2,}}{_WORD})))"
+
+
 def shorten(x: Column, width: Column, mark: str = "…") -> Column:
-    """Whole words of x while they and the mark fit in width; all of x if it fits."""
-    words = F.filter(F.split(strip(x), r"\s+"), lambda w: w != "")
-    whole = F.array_join(words, " ")
-    room = width - len(mark)
-
-    def add(state: Column, word: Column) -> Column:
-        longer = F.when(state["text"] == "", word).otherwise(F.concat(state["text"], F.lit(" "), word))
-        fits = state["open"] & (F.length(longer) <= room)
-        return F.struct(F.when(fits, longer).otherwise(state["text"]).alias("text"), fits.alias("open"))
-
-    kept = F.aggregate(words, F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), add)["text"]
-    return F.when(F.length(whole) <= width, whole).otherwise(F.concat(kept, F.lit(mark)))
+    """As much of x, up to where a line may break, as fits in width with the mark; all of x if it fits.  White space becomes single spaces.
+
+    A word that is longer than width may break after any hyphen that fits.
+    """
+
+    def cut(whole: Column) -> Column:
+        room = width - len(mark)
+        start = F.struct(F.lit("").alias("text"), F.lit("").alias("kept"), F.lit(None).cast("string").alias("rest"))
+
+        def add(state: Column, chunk: Column) -> Column:
+            longer = F.concat(state["text"], chunk)
+            fits = state["rest"].isNull() & (F.length(longer) <= width)
+            good = fits & (F.length(longer) <= room) & (chunk.substr(1, 1) != " ")
+            return F.struct(F.when(fits, longer).otherwise(state["text"]).alias("text"), F.when(good, longer).otherwise(state["kept"]).alias("kept"), F.when(fits, state["rest"]).otherwise(F.coalesce(state["rest"], chunk)).alias("rest"))
+
+        def within(state: Column) -> Column:
+            head = F.substring(state["rest"], F.lit(1), width - F.length(state["text"]))
+            after = F.length(head) - F.instr(F.reverse(head), "-") + 1  # characters up to the last hyphen
+            breaks = (F.length(state["rest"]) > width) & F.contains(head, F.lit("-")) & F.substring(head, F.lit(1), after - 1).rlike("[^-]") & (F.length(state["text"]) + after <= room)
+            return F.when(breaks, F.concat(state["text"], F.substring(head, F.lit(1), after))).otherwise(state["kept"])
+
+        kept = F.aggregate(F.regexp_extract_all(whole, F.lit(_CHUNK), F.lit(1)), start, add, within)
+        return F.when(F.length(whole) <= width, whole).otherwise(F.concat(kept, F.lit(mark)))
+
+    return bound(F.array_join(F.filter(F.split(strip(x), f"[{WHITE_SPACE}]+"), lambda w: w != ""), " "), cut)
 
 
 def find_date(x: Column) -> Column:

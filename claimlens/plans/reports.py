@@ -299,22 +299,33 @@ def nearest_evidence(spark, sf_dir):
     return evaluate.nearest_evidence(asked, told, combined=False)
 
 
-#: Answers of models, by part: right, fenced, no list, broken, without a text, without a flag.
-_ANSWERS = """CASE p_partkey % 6
-  WHEN 0 THEN '[{"text": "' || p_name || '", "context": "c", "category": "x", "is_checkable": false}, {"text": "b"}]'
-  WHEN 1 THEN '```json' || chr(10) || '[{"text": "' || p_name || '", "is_checkable": null}]' || chr(10) || '```'
-  WHEN 2 THEN '{"text": "' || p_name || '"}' WHEN 3 THEN '[{"text": "' || p_name || '"' WHEN 4 THEN '[{"context": "' || p_name || '"}]' ELSE ' [] ' END"""
+#: Answers of models, by part: right, fenced, no list, broken, without a text, with a blank one, texts to strip and flags of other kinds, a null flag, an object too many.
+_ANSWERS = """CASE p_partkey % 9
+  WHEN 0 THEN '[{"text": "' || p_name || '", "context": "c", "category": "x", "is_checkable": false}, {"text": "b", "category": null}]'
+  WHEN 1 THEN '```json' || chr(10) || '[{"text": "' || p_name || '", "is_checkable": false}]' || chr(10) || '```'
+  WHEN 2 THEN '{"text": "' || p_name || '"}' WHEN 3 THEN '[{"text": "' || p_name || '"' WHEN 4 THEN '[{"context": "' || p_name || '"}]' WHEN 5 THEN '[{"text": "  "}, {"text": "' || p_name || '"}]'
+  WHEN 6 THEN ' [{"text": "  ' || p_name || ' ", "is_checkable": "no"}, {"text": "b", "is_checkable": 1}] ' WHEN 7 THEN '[{"text": "' || p_name || '", "is_checkable": null}]' ELSE '[{"text": "' || p_name || '"}, 7]' END"""
 
 
 @query(
-    """SELECT p_partkey, 1 AS pos, p_name AS text, CASE WHEN p_partkey % 6 = 0 THEN 'x' END AS category, p_partkey % 6 = 1 AS is_checkable FROM part WHERE p_partkey % 6 < 2
-UNION ALL SELECT p_partkey, 2, 'b', NULL, true FROM part WHERE p_partkey % 6 = 0"""
+    """SELECT p_partkey, 1 AS pos, p_name AS text, CASE p_partkey % 9 WHEN 0 THEN 'x' END AS category, false AS is_checkable FROM part WHERE p_partkey % 9 IN (0, 6)
+UNION ALL SELECT p_partkey, 2, 'b', NULL, true FROM part WHERE p_partkey % 9 IN (0, 6)"""
 )
 def parsed_claims(spark, sf_dir):
     told = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(parsing.claims_of_answer(F.expr(_spark(_ANSWERS)))).alias("at", "claim"))
     return told.select("p_partkey", (F.col("at") + 1).alias("pos"), "claim.text", "claim.category", "claim.is_checkable")
 
 
+@query(
+    """SELECT p_partkey, 1 AS pos, CASE p_partkey % 9 WHEN 4 THEN NULL WHEN 5 THEN '  ' WHEN 6 THEN '  ' || p_name || ' ' ELSE p_name END AS text, p_partkey % 9 > 1 AS is_checkable FROM part WHERE p_partkey % 9 IN (0, 1, 4, 5, 6, 7, 8)
+UNION ALL SELECT p_partkey, 2, CASE p_partkey % 9 WHEN 5 THEN p_name WHEN 8 THEN NULL ELSE 'b' END, true FROM part WHERE p_partkey % 9 IN (0, 5, 6, 8)"""
+)
+def parsed_items(spark, sf_dir):
+    """The items of the same answers as an evaluation takes them: fenced ones too, and whatever they lack."""
+    told = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(parsing.items_of_answer(F.expr(_spark(_ANSWERS)))).alias("at", "claim"))
+    return told.select("p_partkey", (F.col("at") + 1).alias("pos"), "claim.text", "claim.is_checkable")
+
+
 def _spark(sql: str) -> str:
     return sql.replace("chr(10)", "'\\n'")
 
@@ -325,7 +336,7 @@ _GIVEN = """CASE p_partkey % 5 WHEN 0 THEN '{"label": "True", "confidence": "Hig
 
 @query(
     f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'True' WHEN 1 THEN 'Odd' ELSE 'Unverifiable' END AS label, CASE p_partkey % 5 WHEN 0 THEN 'High' ELSE 'Low' END AS confidence,
-  CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN '' WHEN 4 THEN '' ELSE '{parsing.FAILED}' END AS explanation, CASE p_partkey % 5 WHEN 0 THEN 3 ELSE 0 END AS support_count, CASE p_partkey % 5 WHEN 0 THEN 1 ELSE 0 END AS contradict_count, p_partkey % 5 <> 1 AS known FROM part"""
+  CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN '' WHEN 4 THEN NULL ELSE '{parsing.FAILED}' END AS explanation, CASE p_partkey % 5 WHEN 0 THEN 3 ELSE 0 END AS support_count, CASE p_partkey % 5 WHEN 0 THEN 1 ELSE 0 END AS contradict_count, p_partkey % 5 <> 1 AS known FROM part"""
 )
 def parsed_verdicts(spark, sf_dir):
     told = table(spark, sf_dir, "part").select("p_partkey", parsing.verdict_of_answer(F.expr(_spark(_GIVEN))).alias("v")).select("p_partkey", "v.*")

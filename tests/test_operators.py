@@ -1,11 +1,12 @@
 """Small cases of the operators: nulls, ties, empty input, and values worked out by hand."""
 
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.fixed import LABELS
+from claimlens.fixed import LABELS, WHITE_SPACE
 from claimlens.functions import similarity as S
 from claimlens.functions import text as T
 from claimlens.operators import cache, evaluate, evolve, publish, rubric
@@ -163,3 +164,20 @@ def test_report_text(spark):
     told = {r["report_id"]: r["text"] for r in publish.report_text(reports, verdicts, spark.createDataFrame([(7, "It rose.")], "claim_id int, text string")).collect()}
     assert told[1] == "Fact-check report for Ann\nDate: January 20, 2025\nVenue: Hall\n\n[True] It rose.\n  Confidence: High\n  yes\n\n[False] (claim not found)\n  Confidence: Low\n  no\n"
     assert told[2] == "Fact-check report for Bo\n"
+
+
+def test_shorten_as_the_standard_library(spark):
+    """Breaks where textwrap breaks: at spaces, dashes between words and hyphens between letters."""
+    rng = random.Random(4)
+    parts = ["a", "well-known", "long-term", "x-", "-y", "--", "a--b", "e-mail", "3-4", "co-op-ed", "é-ü", "don't--no", "(semi-)open", "-", "Zoë", "w" * 30, "aa-" * 9 + "bb", "ab-cd", "\t", "\n", "  ", "\u00a0", "½-x", "A-B-C-DD"]
+    rows = [("a well-known long-term plan of the state", w) for w in range(5, 45)] + [("hello", 1), ("", 5), ("  ", 5), ("x" * 50, 20)]
+    rows += [(" ".join(rng.choices(parts, k=rng.randint(1, 9))), rng.randint(3, 40)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "x string, w int")
+    got = [r[0] for r in df.select(T.shorten(F.col("x"), F.col("w"))).collect()]
+    want = [textwrap.shorten(x, width=w, placeholder="…") for x, w in rows]
+    assert [(r, g, v) for r, g, v in zip(rows, got, want) if g != v] == []
+
+
+def test_strip_as_the_standard_library(spark):
+    rows = [(f"{a}x {a} y{b}",) for a in WHITE_SPACE for b in ("", " \n", "\u2003")] + [("",), (WHITE_SPACE,), ("\u200bx",)]
+    assert [r[0] for r in spark.createDataFrame(rows, "x string").select(T.strip(F.col("x"))).collect()] == [x.strip() for (x,) in rows]

@@ -185,10 +185,20 @@ def test_files_of_reports(spark, tmp_path):
 
 def test_answers(spark):
     claims = lambda x: one(spark, x, parsing.claims_of_answer)
-    assert [tuple(c) for c in claims('```json\n[{"text": "a", "category": "x", "is_checkable": false}, {"text": "b"}]\n```')] == [("a", None, "x", False), ("b", None, None, True)]
-    assert claims('{"text": "a"}') == claims("[1") == claims('[{"context": "c"}]') == claims(None) == []
+    items = lambda x: [tuple(c) for c in one(spark, x, parsing.items_of_answer)]
+    told = '[{"text": " a ", "category": "x", "is_checkable": false}, {"text": "b", "context": null}]'
+    assert [tuple(c) for c in claims(f" {told}")] == [("a", None, "x", False), ("b", None, None, True)]
+    for bad in (f"```json\n{told}\n```", '{"text": "a"}', "[1", '[{"context": "c"}]', '[{"text": "  "}, {"text": "ok"}]', '[{"text": "a", "is_checkable": null}]', '[{"text": 1}]', '[{"text": "a", "category": 2}]', '["a"]', '"a"', "[] x", None):
+        assert claims(bad) == [], bad
+    flags = [("true", True), ('"No"', False), ("0", False), ("1", True), ("2", None), ('"maybe"', None), ("[]", None)]
+    assert [[c["is_checkable"] for c in claims(f'[{{"text": "a", "is_checkable": {f}}}]')] for f, _ in flags] == [[v] if v is not None else [] for _, v in flags]
+    assert items(f"```json\n{told}\n```") == items(told) == [(" a ", None, "x", False), ("b", None, None, True)]
+    assert items('[{"context": "c"}, 3, {"text": " "}]') == [(None, "c", None, True), (None, None, None, True), (" ", None, None, True)] and items("{}") == items(None) == []
+    assert len(items(json.dumps([{"text": str(i)} for i in range(40)]))) == 40
+    assert [c["text"] for c in claims(json.dumps([{"text": str(i)} for i in range(30)] + [7]))] == [str(i) for i in range(30)]
     assert len(claims(json.dumps([{"text": str(i)} for i in range(40)]))) == 30
     assert tuple(one(spark, '{"label": "False", "support_count": 2}', parsing.verdict_of_answer)) == ("False", "Low", "", 2, 0)
+    assert one(spark, '```\n{"explanation": null}\n```', parsing.verdict_of_answer)["explanation"] is None
     assert tuple(one(spark, "nonsense", parsing.verdict_of_answer)) == ("Unverifiable", "Low", parsing.FAILED, 0, 0)
     assert one(spark, 'so {"a": 1} or {"b": 2}.', parsing.last_object) == '{"b": 2}' and one(spark, '{"a": {"b": 1}}', parsing.last_object) is None
     assert one(spark, "see [1, 2] ok", parsing.array_within) == "[1, 2]" and one(spark, "none", parsing.array_within) is None
