@@ -15,6 +15,9 @@ from pyspark.sql.types import DoubleType, IntegerType
 from ..fixed import GOLD_POSITION, LABEL_POSITION, UNKNOWN_POSITION
 
 
+_LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
+
+
 def subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence: one bit a character of a, one step a character of b."""
     places: dict[str, int] = {}
@@ -28,6 +31,44 @@ def subsequence(a: str, b: str) -> int:
     return len(a) - free.bit_count()
 
 
+def common_at_least(a: str, b: str, least: float) -> int | None:
+    """Length of the longest common subsequence if it is least or more, else null: left off when the rest can't make up for it."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, size = (1 << len(a)) - 1, len(a)
+    free = full
+    for at, c in enumerate(b, 1):
+        hit = free & places.get(c, 0)
+        free = (free + hit | free - hit) & full
+        if at % 32 == 0 and size - free.bit_count() + len(b) - at < least:
+            return None
+    found = size - free.bit_count()
+    return found if found >= least else None
+
+
+def letters(texts: list[str]) -> np.ndarray:
+    """How often each letter, figure and space is in processed texts."""
+    return np.array([[t.count(c) for c in _LETTERS] for t in texts], np.int32).reshape(len(texts), len(_LETTERS))
+
+
+def near_pairs(ours: list[str], least: list[int], theirs: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(i, j, score) of processed texts, tokens sorted, whose ratio rounds to least[i] or more.
+
+    Lengths and letters bound the common subsequence of all pairs at once; only what these leave is compared.
+    """
+    a, b = letters(ours), letters(theirs)
+    n, m = a.sum(1), b.sum(1)
+    both = np.zeros((len(ours), len(theirs)), np.int32)
+    for c in range(len(_LETTERS)):
+        both += np.minimum(a[:, c, None], b[None, :, c])
+    need = (2 * np.array(least)[:, None] - 1) * (n[:, None] + m[None, :]) / 400  # a ratio of least - 0.5 may round to least
+    for i, j in zip(*(x.tolist() for x in np.nonzero(both >= need))):
+        found = common_at_least(ours[i], theirs[j], need[i, j])
+        if found is not None and (score := round(200.0 * found / (len(ours[i]) + len(theirs[j])))) >= least[i]:
+            yield i, j, score
+
+
 def ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * subsequence(a, b) / (len(a) + len(b))
 
@@ -51,9 +92,6 @@ def token_set(a: str | None, b: str | None) -> int:
     return max(round(ratio(*p)) for p in pairs)
 
 
-_LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
-
-
 class Sides:
     """Rows (id, tokens, text) of one side of a combined match: token sets, their joined strings' lengths and letters."""
 

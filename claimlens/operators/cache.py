@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import token_sort_ratio
+from ..functions.similarity import near_pairs
 from ..functions.text import cache_key
 
 THRESHOLD = 85
@@ -82,29 +83,43 @@ def load(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame
     return cache if now is None else live(cache, now)
 
 
-def _bags(text: Column) -> Column:
+def bags(text: Column) -> Column:
     """A processed text with its tokens sorted."""
     plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, r"[^\x00-\x7F]", "")), "[^a-z0-9]", " "))
     return F.array_join(F.array_sort(F.filter(F.split(plain, " +"), lambda t: t != "")), " ")
 
 
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: Bags of either side that are compared in one task at once.
+BLOCK = 2_000
 
 
-def _near(a: DataFrame, b: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of a's and b's bags (sa, entry) with a score of at least threshold.
+def near(a: DataFrame, b: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (one, two, score) of a's bags (sorted, least) and b's (sorted) whose score is least or more, which isn't under threshold.
 
-    A pair at the threshold t (200 LCS / (la + lb) >= t - 0.5) has lengths within a factor, so the join is on
-    length bands; the sum of common letters bounds LCS from above, so most pairs never reach the UDF.
+    A pair at the threshold t (200 LCS / (la + lb) >= t - 0.5) has lengths within a factor, so bags meet by bands of lengths,
+    and in a band by blocks of about BLOCK bags of either side: a task holds two blocks, whatever the band's size.
     """
     part = 2 * threshold - 1  # in quarters of a percent
-    size = F.length("sorted")
-    band = F.floor(F.log(size.cast("double")) / F.log(F.lit((400 - part) / part)) + 1e-9).cast("int")
-    one = a.select(F.col("sorted").alias("sa"), F.col("letters").alias("la"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    total = F.length("sa") + size
-    bound = F.aggregate(F.zip_with("la", "letters", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = one.join(b.withColumn("band", band), "band").where((400 * F.least(F.length("sa"), size) >= part * total) & (400 * bound >= part * total))
-    return pairs.select("sa", "entry", token_sort_ratio("sa", "sorted").alias("score")).where(F.col("score") >= threshold)
+    band = F.floor(F.log(F.length("sorted").cast("double")) / F.log(F.lit((400 - part) / part)) + 1e-9).cast("int")
+    one = a.select("sorted", "least", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    two = b.select("sorted", band.alias("band"))
+    blocks = [{r["band"]: -(-r["count"] // BLOCK) for r in x.groupBy("band").count().collect()} for x in (one, two)]  # bands are as many as the logarithm of the longest length
+    shared = sorted(blocks[0].keys() & blocks[1].keys())
+    if not shared:
+        return a.sparkSession.createDataFrame([], "one string, two string, score int")
+    many = [F.create_map(*(F.lit(v) for k in shared for v in (k, x[k])))[F.col("band")] for x in blocks]
+    own = lambda n: F.pmod(F.xxhash64("sorted"), n).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    one = one.where(F.col("band").isin(shared)).withColumn("i", own(many[0])).withColumn("j", others(many[1]))
+    two = two.where(F.col("band").isin(shared)).withColumn("j", own(many[1])).withColumn("i", others(many[0]))
+
+    def compared(x: pa.Table, y: pa.Table) -> pa.Table:
+        ours, theirs = x.column("sorted").to_pylist(), y.column("sorted").to_pylist()
+        found = list(near_pairs(ours, x.column("least").to_pylist(), theirs)) if ours and theirs else []
+        return pa.table({"one": pa.array([ours[i] for i, _, _ in found], pa.string()), "two": pa.array([theirs[j] for _, j, _ in found], pa.string()), "score": pa.array([s for _, _, s in found], pa.int32())})
+
+    keys = ["band", "i", "j"]
+    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(compared, "one string, two string, score int")
 
 
 def fuzzy(claims: DataFrame, cache: DataFrame, now: Column, threshold: int = THRESHOLD) -> DataFrame:
@@ -114,14 +129,27 @@ def fuzzy(claims: DataFrame, cache: DataFrame, now: Column, threshold: int = THR
     go back to the claims.  A claim whose own bag is an entry has a score of 100, so only pairs that round to 100 can tie
     with it.  An expired best entry is a miss even if another entry would do.
     """
-    letters = F.transform(F.array(*(F.lit(c) for c in _ALPHABET)), lambda c: F.length("sorted") - F.length(F.replace(F.col("sorted"), c, F.lit(""))))
-    told, held = (x.withColumn("sorted", _bags(F.col("text"))).where(F.length("sorted") > 0) for x in (claims, cache))
-    entry = F.struct((-F.unix_micros(F.col("cached_at"))).alias("at"), "key", "expires_at")
-    entries = held.groupBy("sorted").agg(F.max(entry).alias("entry")).withColumn("letters", letters)
-    bags = told.select("sorted").distinct().withColumn("letters", letters)
-    same = bags.join(entries.select("sorted"), "sorted", "left_semi")
-    other = bags.join(entries.select("sorted"), "sorted", "left_anti")
-    scored = _near(same, entries, max(threshold, 100)).unionByName(_near(other, entries, threshold))
-    best = scored.groupBy(F.col("sa").alias("sorted")).agg(F.max(F.struct("score", "entry")).alias("x"))
+    told, held = (x.withColumn("sorted", bags(F.col("text"))).where(F.length("sorted") > 0) for x in (claims, cache))
+    entry = F.struct((-F.unix_micros(F.col("cached_at").cast("timestamp"))).alias("at"), "key", "expires_at")
+    entries = held.groupBy("sorted").agg(F.max(entry).alias("entry"))
+    own = entries.select("sorted", F.lit(True).alias("own"))
+    asked = told.select("sorted").distinct().join(own, "sorted", "left").select("sorted", F.when(F.col("own"), max(threshold, 100)).otherwise(threshold).alias("least"))
+    scored = near(asked, entries.select("sorted"), threshold).join(entries.withColumnRenamed("sorted", "two"), "two")
+    best = scored.groupBy(F.col("one").alias("sorted")).agg(F.max(F.struct("score", "entry")).alias("x"))
     found = told.select("claim_id", "sorted").join(best, "sorted")
     return found.where(alive(F.col("x.entry.expires_at"), now)).select("claim_id", "x.entry.key", "x.score")
+
+
+def lookup(claims: DataFrame, cache: DataFrame, now: Column, threshold: int | None = THRESHOLD) -> DataFrame:
+    """claim_id, key, score of the entry that serves each claim (claim_id, text): its own if there is one, else the nearest.
+
+    A claim whose own entry has expired is a miss; so is one whose nearest entry has.  Without threshold only own entries serve.
+    cache: key, claim_text, cached_at, expires_at, one row a key.
+    """
+    keyed = claims.select("claim_id", "text", cache_key(F.col("text")).alias("key"))
+    own = keyed.join(cache.select("key", alive(F.col("expires_at"), now).alias("live")), "key", "left")
+    exact = own.where("live").select("claim_id", "key", F.lit(100).alias("score"))
+    if threshold is None:
+        return exact
+    entries = cache.select("key", F.col("claim_text").alias("text"), "cached_at", "expires_at")
+    return exact.unionByName(fuzzy(own.where("live is null").select("claim_id", "text"), entries, now, threshold))

@@ -141,28 +141,34 @@ def post_urls(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", render.post_url(uri, "someone").alias("url"))
 
 
-#: Claims are orders, named by priority and customer; the cache has what a third of the customers' claims were found to be.
+#: Claims are orders, named by priority and a code of the customer's nation and segment, a fifth of them in other words; the cache has
+#: what a third of the nations' claims were found to be.  Texts of one code are near each other, others aren't.
+_CODE = "sha256(c_nationkey || c_mktsegment) || sha256(c_mktsegment || c_nationkey)"
 _FLOW = (
     _RUBRIC
-    + """, k AS (SELECT o_orderkey AS claim_id, 'Orders ' || o_orderpriority || ' of ' || o_custkey AS text, CASE o_orderstatus WHEN 'P' THEN false WHEN 'F' THEN true END AS checkable FROM orders),
-held AS (SELECT lower('ORDERS ' || p.x || ' OF ' || c_custkey) AS low, 'Exaggerated' AS label, 'Medium' AS confidence, 'Seen ' || c_name AS explanation, TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 200 AS INTEGER)) AS ends
-  FROM customer, (SELECT DISTINCT o_orderpriority AS x FROM orders) p WHERE c_acctbal > 5000),
+    + f""", k AS (SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 5 = 0 THEN 'Order ' ELSE 'Orders ' END || o_orderpriority || ' of ' || {_CODE} AS text, {_CODE} AS code,
+  CASE o_orderstatus WHEN 'P' THEN false WHEN 'F' THEN true END AS checkable FROM orders JOIN customer ON o_custkey = c_custkey),
+held AS (SELECT DISTINCT lower('ORDERS ' || p.x || ' OF ' || {_CODE}) AS low, 'Exaggerated' AS label, 'Medium' AS confidence, 'Seen in ' || c_nationkey AS explanation, TIMESTAMP '2024-01-01' + to_days(CAST(c_nationkey * 8 AS INTEGER)) AS ends
+  FROM customer, (SELECT DISTINCT o_orderpriority AS x FROM orders) p WHERE c_nationkey % 3 = 0),
 alive AS (SELECT * FROM held WHERE TIMESTAMP '2024-03-01' <= ends),
-asked AS (SELECT k.*, alive.label AS c_label, alive.confidence AS c_confidence, alive.explanation AS c_explanation FROM k LEFT JOIN alive ON low = lower(text) WHERE coalesce(checkable, true)),
+asked AS (SELECT k.*, alive.label AS c_label, alive.confidence AS c_confidence, alive.explanation AS c_explanation FROM k LEFT JOIN alive ON low = lower(replace(text, 'Order ', 'Orders ')) WHERE coalesce(checkable, true)),
 found AS (SELECT asked.claim_id, coalesce(c_label, v.label) AS label, coalesce(c_confidence, v.confidence) AS confidence, c_label IS NOT NULL AS from_cache, """
-    + f"coalesce(c_explanation || ' [from cache]', {_case('v.label', [(x[0], x[2]) for x in LABELS])}) AS explanation, evidence_count, text FROM asked JOIN v USING (claim_id))\n"
+    + f"coalesce(c_explanation || ' [from cache]', {_case('v.label', [(x[0], x[2]) for x in LABELS])}) AS explanation, evidence_count, text, code FROM asked JOIN v USING (claim_id))\n"
 )
 _NOW = "2024-03-01"
 
 
 def _flow_parts(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    asked = orders.select(F.col("o_orderkey").alias("claim_id"), F.concat(F.lit("Orders "), "o_orderpriority", F.lit(" of "), F.col("o_custkey").cast("string")).alias("text"), F.when(F.col("o_orderstatus") == "P", False).when(F.col("o_orderstatus") == "F", True).alias("is_checkable"))
+    orders, who = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    nation, segment = F.col("c_nationkey").cast("string"), F.col("c_mktsegment")
+    code = F.concat(F.sha2(F.concat(nation, segment), 256), F.sha2(F.concat(segment, nation), 256))
+    said = F.concat(F.when(F.col("o_orderkey") % 5 == 0, "Order ").otherwise("Orders "), "o_orderpriority", F.lit(" of "), code)
+    asked = orders.join(who, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderkey").alias("pos"), said.alias("text"), F.when(F.col("o_orderstatus") == "P", False).when(F.col("o_orderstatus") == "F", True).alias("is_checkable"))
     kinds = orders.groupBy("o_orderpriority").count().agg(F.array_sort(F.collect_list("o_orderpriority")).alias("kinds"))  # one row, five values
-    who = table(spark, sf_dir, "customer").where("c_acctbal > 5000").crossJoin(kinds).withColumn("kind", F.explode("kinds"))
-    text = F.concat(F.lit(" ORDERS "), "kind", F.lit(" OF "), F.col("c_custkey").cast("string"))
-    ends = F.to_timestamp_ntz(F.lit("2024-01-01")) + F.make_dt_interval((F.col("c_custkey") % 200).cast("int"))
-    held = who.select(T.cache_key(text).alias("key"), F.lit("Exaggerated").alias("verdict_label"), F.lit("Medium").alias("confidence"), F.concat(F.lit("Seen "), "c_name").alias("explanation"), ends.alias("expires_at"))
+    groups = who.where("c_nationkey % 3 = 0").select("c_nationkey", "c_mktsegment").distinct().crossJoin(kinds).withColumn("kind", F.explode("kinds"))
+    text = F.concat(F.lit(" ORDERS "), "kind", F.lit(" OF "), code)
+    ends = F.to_timestamp_ntz(F.lit("2024-01-01")) + F.make_dt_interval((F.col("c_nationkey") * 8).cast("int"))
+    held = groups.select(T.cache_key(text).alias("key"), text.alias("claim_text"), F.lit("Exaggerated").alias("verdict_label"), F.lit("Medium").alias("confidence"), F.concat(F.lit("Seen in "), nation).alias("explanation"), F.to_timestamp_ntz(F.lit("2023-12-01")).alias("cached_at"), ends.alias("expires_at"))
     return asked, _found(spark, sf_dir), held, F.to_timestamp_ntz(F.lit(_NOW))
 
 
@@ -178,6 +184,18 @@ def claim_flow(spark, sf_dir):
     return flow.run(*_flow_parts(spark, sf_dir)).select("claim_id", "label", "confidence", "explanation", "from_cache")
 
 
+@query(
+    _FLOW
+    + """, one AS (SELECT code, min(claim_id) AS first FROM found WHERE NOT from_cache GROUP BY 1)
+SELECT f.claim_id, CASE WHEN f.from_cache OR f.claim_id = first THEN f.label ELSE g.label END AS label, CASE WHEN f.from_cache OR f.claim_id = first THEN f.confidence ELSE g.confidence END AS confidence,
+  CASE WHEN f.from_cache OR f.claim_id = first THEN f.explanation ELSE g.explanation || ' [from cache]' END AS explanation, f.from_cache OR f.claim_id <> first AS from_cache
+FROM found f LEFT JOIN one ON one.code = f.code LEFT JOIN found g ON g.claim_id = first"""
+)
+def claim_flow_ordered(spark, sf_dir):
+    """The same claims one after the other: the first of those that are near each other is verified and serves the rest."""
+    return flow.run_in_order(*_flow_parts(spark, sf_dir)).select("claim_id", "label", "confidence", "explanation", "from_cache")
+
+
 @query(_FLOW + "SELECT claim_id, text FROM found WHERE NOT from_cache")
 def verify_misses(spark, sf_dir):
     asked, _, held, now = _flow_parts(spark, sf_dir)

@@ -1,12 +1,15 @@
 """Whole reports, the way of claims, evaluation totals, parsed answers, evolution runs: small cases worked out by hand."""
 
+import hashlib
 import json
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from claimlens.functions import parsing
+from claimlens.functions import similarity as S
 from claimlens.functions import text as T
 from claimlens.operators import cache, evaluate, evolve, flow, render
 from claimlens.sources import ingest
@@ -93,7 +96,7 @@ def flow_tables(spark):
     claims = spark.createDataFrame([(1, " Taxes Rose ", True), (2, "jobs fell", None), (3, "no claim", False), (4, "old news", True), (5, "bare", True)], "claim_id int, text string, is_checkable boolean")
     evidence = spark.createDataFrame([(1, "e1", "u1", 1, 0, "Wire", True, "0.5"), (2, "e3", "u3", 1, 1, "Other", None, "0.5"), (2, "e2", "u2", 2, 0, "Government", False, "1.0")], "claim_id int, evidence_id string, source_url string, pos int, rank int, source_tier string, supports_claim boolean, r string").withColumn("relevance_score", F.col("r").cast("decimal(3,1)"))
     rows = [("taxes rose", "True", "High", "it did", datetime(2024, 5, 1)), ("old news", "False", "Low", "gone", datetime(2024, 2, 1)), ("never ends", "True", "Low", "x", None)]
-    held = spark.createDataFrame(rows, "t string, verdict_label string, confidence string, explanation string, expires_at timestamp").withColumn("key", T.cache_key(F.col("t"))).drop("t")
+    held = spark.createDataFrame(rows, "t string, verdict_label string, confidence string, explanation string, expires_at timestamp").withColumns({"key": T.cache_key(F.col("t")), "cached_at": F.lit(datetime(2024, 1, 1))}).withColumnRenamed("t", "claim_text")
     return claims, evidence, held, F.lit(NOW)
 
 
@@ -109,6 +112,61 @@ def test_claims_are_served_or_verified(spark):
     assert {r["claim_id"]: len(r["evidence_ids"]) for r in flow.stubbed(claims, evidence).collect()} == {1: 1, 2: 2, 3: 0, 4: 0, 5: 0}
 
 
+def test_near_claims_are_served(spark):
+    _, evidence, held, now = flow_tables(spark)
+    claims = spark.createDataFrame([(1, "rose, taxes", True), (2, "old newt", True), (3, "taxes rose!", True), (4, "OLD NEWS", True), (5, "", True)], "claim_id int, text string, is_checkable boolean")
+    got = {r["claim_id"]: r["from_cache"] for r in flow.run(claims, evidence, held, now).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: False}  # what is nearest to 2, and is 4, has expired
+    assert {r["claim_id"] for r in flow.missed(claims, held, now).collect()} == {2, 4, 5} and {r["claim_id"] for r in flow.served(claims, held, now).collect()} == {1, 3}
+    assert {r["claim_id"]: r["from_cache"] for r in flow.run(claims, evidence, held, now, threshold=None).collect()} == dict.fromkeys(range(1, 6), False)
+
+
+def one_by_one(claims, held, now, threshold):
+    """What serves each claim, by a plain loop: the cache's entries in their order, then each verified claim."""
+    key = lambda t: hashlib.sha256(t.strip().lower().encode()).hexdigest()[:16]
+    entries = {k: (("key", k), t) for k, t, _, ends in sorted(held, key=lambda r: (r[2], r[0])) if ends is None or now <= ends}
+    out = {}
+    for claim, _, text in sorted(claims, key=lambda r: r[1]):
+        k = key(text)
+        if k in entries:
+            out[claim] = entries[k][0]
+            continue
+        score, best = max(((S.token_sort(text, t), -i, e) for i, (e, t) in enumerate(entries.values())), default=(0, 0, None), key=lambda x: x[:2])[::2]
+        if threshold and score >= threshold:
+            out[claim] = best
+        else:
+            out[claim], entries[k] = None, (("by", claim), text)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [85, 70, None])
+def test_claims_in_order(spark, threshold):
+    """500 claims: chains in which each is near the next only, copies, other orders of words, near ties, texts without a letter."""
+    rng = random.Random(8)
+    texts, word = [], lambda: "".join(rng.choices("abcdefghijk", k=rng.randint(2, 7)))
+    while len(texts) < 500:
+        words = [word() for _ in range(rng.randint(2, 6))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 9)):
+            how = rng.random()
+            if how < 0.5:
+                words[rng.randrange(len(words))] = word()[:4]
+            elif how < 0.7:
+                rng.shuffle(words)
+            texts.append((" ".join(words) + rng.choice(["", "!", " ", "?"])).title() if how > 0.8 else " ".join(words))
+    texts = texts[:480] + ["é", "É ", "ü", "", "  ", "é", "!", "?", "!"] + texts[:11]
+    places = list(range(500))
+    rng.shuffle(places)
+    claims = [(f"c{i}", place, t) for i, (place, t) in enumerate(zip(places, texts))]
+    key = lambda t: hashlib.sha256(t.strip().lower().encode()).hexdigest()[:16]
+    chosen = {key(t): t for t in rng.sample(texts, 30) + ["é"]}
+    held = [(k, t, datetime(2024, 1, 1) + timedelta(i % 7), rng.choice([None, datetime(2024, 2, 1), datetime(2025, 1, 1)])) for i, (k, t) in enumerate(chosen.items())]
+    want = one_by_one(claims, held, NOW, threshold)
+    tables = spark.createDataFrame(claims, "claim_id string, pos int, text string").repartition(3), spark.createDataFrame(held, "key string, claim_text string, cached_at timestamp, expires_at timestamp")
+    got = {r["claim_id"]: ("by", r["by"]) if r["by"] else ("key", r["key"]) if r["key"] else None for r in flow.in_order(*tables, F.lit(NOW), threshold).collect()}
+    assert len([v for v in want.values() if v and v[0] == "by"]) > 50 and [(c, want[c], got[c]) for c in want if want[c] != got[c]] == []
+
+
 def test_second_run_is_served(spark, tmp_path):
     claims, evidence, held, now = flow_tables(spark)
     none = cache.cleared(flow.entries(claims, flow.run(claims, evidence, held, now), evidence, now))
