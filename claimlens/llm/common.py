@@ -114,7 +114,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the scratch files that df reads, once nothing needs them."""
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {re.sub(r"(/\w+=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

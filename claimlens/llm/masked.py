@@ -8,9 +8,11 @@ each a class of its own; every other word is in one of the remaining classes by
 the token's count in the corpus out of the class's count and one; that one is the share of unknown words, which only
 texts from outside of the corpus have: such a word has 257 ** -(bytes + 1) of it (as of 255 bytes if longer).
 
-All documents train the network in one pass of several rounds, as many as the root of the number of partitions: in a
-round each of its tasks passes over its own rows from a common start, and the tasks' parameters and Adagrad sums,
-weighted by their tokens, are summed in a shuffle and averaged to be the next round's start (local SGD).
+All documents train the network in one pass.  Their class ids are written once, dealt by a hash of the row to shards of
+about SHARD tokens, whose number follows from the corpus alone, and the shards to as many rounds as the root of that
+number.  A round reads its own shards (a folder each round); each shard, in the order of its hashes, trains from the
+round's common start, and the shards' parameters and Adagrad sums, weighted by their tokens, are summed by blocks, in
+the shards' order, to be the next round's start (local SGD).  So the model is the same however the input is split into files and tasks.
 
 The counts of all words are a written table.  Held by every task: the network, and words with their counts from the
 most frequent down, at most SPREAD times as many as classes.  The counts of the other, rarer words reach the texts by a join on
@@ -26,6 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, fields, per_batch, tidy, to_batch, tune, written
+from .common import LOWER, as_bytes, bounded, fields, parts, per_batch, remove, scratch, tidy, to_batch, tune, written
 
 #: The least number of classes, in GROUPS groups of equally many.
 SIZE, GROUPS = 1024, 32
@@ -42,6 +45,8 @@ SPREAD = 24
 REACH, HIDDEN = 2, 16
 #: Tokens in a training step and in a scoring step, the learning rate, and words that a task counts before it sends them on.
 STEP, BLOCK, RATE, HELD = 8192, 1 << 15, 0.08, 200_000
+#: Tokens of a shard, on average; tokens whose order is mixed at once; and parameters in a row that is summed.
+SHARD, MIXED, ROW = 1 << 22, 1 << 16, 1 << 13
 #: The id beyond a text's ends, for context only; in a larger network it is the number of classes too.
 EDGE = SIZE
 #: A word's key in the join; Spark's xxhash64 is XXH64 with the seed 42.
@@ -57,6 +62,7 @@ class Vocabulary:
     """
 
     table: DataFrame
+    tokens: int
     groups: int
     words: list[bytes]
     least: int
@@ -73,7 +79,7 @@ def vocabulary(documents: DataFrame) -> Vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for batch in batches:
+        for batch in bounded(batches):
             for text in as_bytes(batch.column("text")):
                 held.update(text.translate(LOWER).split())
             if len(held) > HELD:
@@ -105,7 +111,7 @@ def vocabulary(documents: DataFrame) -> Vocabulary:
     terms = np.where(own, 0.0, np.log(counts) - np.log(total[places] + 1)) if words else np.zeros(0)
     classes = np.where(own, np.arange(len(words)), single + places)
     kind = np.uint16 if size < 1 << 16 else np.int64  # 16 bits are sorted by radix
-    return Vocabulary(table, groups, words, least, np.concatenate([classes, single + np.arange(rest)]).astype(kind), np.concatenate([terms, -np.log(total + 1)]))
+    return Vocabulary(table, sum(n * x for n, x in histogram), groups, words, least, np.concatenate([classes, single + np.arange(rest)]).astype(kind), np.concatenate([terms, -np.log(total + 1)]))
 
 
 def _digest(word: bytes) -> int:
@@ -226,43 +232,93 @@ def step(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], target: np.ndarr
         p[k] -= RATE * d / np.sqrt(seen[k] + 1e-8)
 
 
+def encoded(documents: DataFrame, words: Vocabulary) -> tuple[DataFrame, int]:
+    """(shard, mark, ids, round) of all texts with words, written by round: ids are their words' classes; and the number of rounds."""
+    spark = documents.sparkSession
+    held = spark.sparkContext.broadcast(words.held())
+    shards = max(1, math.ceil(words.tokens / SHARD))
+    rounds = math.ceil(shards**0.5)
+
+    def work(batch: pa.RecordBatch) -> dict[str, list]:
+        known, classes = _Codes(held.value[0], len(held.value[1]) - len(held.value[0])), held.value[1]
+        return {"mark": batch.column("mark"), "ids": [classes[codes_of(t, known)].tobytes() for t in as_bytes(batch.column("text"))]}
+
+    marked = documents.select("text", F.xxhash64("doc_id", "text").alias("mark"))
+    coded = per_batch(marked, "mark bigint, ids binary", work).where("length(ids) > 0").withColumn("shard", F.pmod("mark", F.lit(shards)))
+    path = scratch(spark, "shards")
+    coded.withColumn("round", F.col("shard") % rounds).repartition(min(shards, parts(documents)), "shard").write.option("compression", "zstd").partitionBy("round").parquet(path)
+    return spark.read.schema("mark bigint, ids binary, shard bigint, round bigint").parquet(path), rounds
+
+
+SUMS = "name string, block int, shard bigint, value binary, tokens bigint"
+
+
+def _trained(batches: Iterator[pa.RecordBatch], begin: tuple[dict, dict], kind: type, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows come by shard, in order: each shard's parameters and sums after its pass, by blocks, times its tokens."""
+    edge = len(begin[0]["embed"]) - 1
+
+    def learn(p: dict, seen: dict, texts: list[np.ndarray]) -> int:
+        target, around = contexts(texts, edge)
+        mix = np.random.default_rng(len(target)).permutation(len(target))
+        for a in range(0, len(mix), STEP):
+            step(p, seen, target[mix[a : a + STEP]], around[mix[a : a + STEP]])
+        return len(target)
+
+    rows = ((shard, ids) for batch in bounded(batches) for shard, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist()))
+    for shard, lot in groupby(rows, key=lambda r: r[0]):
+        p, seen = ({k: v.copy() for k, v in x.items()} for x in begin)
+        texts, size, total = [], 0, 0
+        for _, ids in lot:
+            texts.append(np.frombuffer(ids, kind))
+            size += len(texts[-1])
+            if size >= MIXED:
+                total += learn(p, seen, texts)
+                texts, size = [], 0
+        if texts:
+            total += learn(p, seen, texts)
+        out: dict[str, list] = {f.name: [] for f in arrow}
+        for sort, params in (("p", p), ("seen", seen)):
+            for name, v in params.items():
+                flat = v.ravel().astype(float) * total
+                for block, at in enumerate(range(0, len(flat), ROW)):
+                    for column, value in zip(out, (f"{sort} {name}", block, shard, flat[at : at + ROW].tobytes(), total)):
+                        out[column].append(value)
+        yield to_batch(out, arrow)
+
+
+def _averaged(group: pa.Table) -> pa.Table:
+    """One block's mean over its shards, summed in their order."""
+    rows = sorted(zip(group.column("shard").to_pylist(), group.column("value").to_pylist(), group.column("tokens").to_pylist()))
+    total = np.zeros(len(rows[0][1]) // 8)
+    for _, value, _ in rows:
+        total += np.frombuffer(value)
+    mean = total / sum(tokens for _, _, tokens in rows)
+    return pa.table({"name": group.column("name")[:1], "block": group.column("block")[:1], "value": pa.array([mean.tobytes()], pa.binary())})
+
+
 def train(documents: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
     """Parameters after one pass over all documents."""
-    texts = documents.select("text")
-    parts = texts.rdd.getNumPartitions()
-    rounds = math.ceil(parts**0.5)
-    schema = "part string, at int, value array<double>, tokens bigint"
-    arrow = fields(schema, documents.sparkSession)
-    groups, held = words.groups, documents.sparkSession.sparkContext.broadcast(words.held())
-    p, seen = start(groups), {k: np.zeros_like(v) for k, v in start(groups).items()}
+    spark = documents.sparkSession
+    arrow, kind = fields(SUMS, spark), words.classes.dtype.type
+    rows, rounds = encoded(documents, words)
+    p = start(words.groups)
+    seen = {k: np.zeros_like(v) for k, v in p.items()}
+    tasks = parts(rows)
 
     def passed(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, classes = _Codes(held.value[0], len(held.value[1]) - len(held.value[0])), held.value[1]
-            p, seen = ({k: v.copy() for k, v in x.items()} for x in sent.value)
-            total = 0
-            for batch in batches:
-                known.rare.clear()
-                target, around = contexts([classes[codes_of(t, known)] for t in as_bytes(batch.column("text"))], groups * groups)
-                mix = np.random.default_rng(len(target)).permutation(len(target))
-                for a in range(0, len(mix), STEP):
-                    step(p, seen, target[mix[a : a + STEP]], around[mix[a : a + STEP]])
-                total += len(target)
-            if total:
-                rows = [(f"{kind} {k}", i, x) for kind, params in (("p", p), ("seen", seen)) for k, v in params.items() for i, x in enumerate((v.reshape(-1, v.shape[-1]).astype(float) * total).tolist())]
-                yield to_batch({"part": [r[0] for r in rows], "at": [r[1] for r in rows], "value": [r[2] for r in rows], "tokens": [total] * len(rows)}, arrow)
-
-        return run
+        return lambda batches: _trained(batches, sent.value, kind, arrow)
 
     for turn in range(rounds):
-        sent = documents.sparkSession.sparkContext.broadcast((p, seen))
-        flat = texts.where(F.spark_partition_id() % rounds == turn).mapInArrow(tidy(passed(sent)), schema).select("part", "at", "tokens", F.posexplode("value").alias("col", "x"))
+        sent = spark.sparkContext.broadcast((p, seen))
+        own = rows.where(F.col("round") == turn).select("shard", "mark", "ids")
+        sums = own.repartition(tasks, "shard").sortWithinPartitions("shard", "mark", "ids").mapInArrow(tidy(passed(sent)), SUMS)
         p, seen = ({k: v.copy() for k, v in x.items()} for x in (p, seen))
-        for r in flat.groupBy("part", "at", "col").agg((F.sum("x") / F.sum("tokens")).alias("x")).collect():  # one row a parameter
-            kind, name = r["part"].split()
-            own = (p if kind == "p" else seen)[name]
-            own.reshape(-1, own.shape[-1])[r["at"], r["col"]] = r["x"]
+        for r in sums.groupBy("name", "block").applyInArrow(_averaged, "name string, block int, value binary").collect():  # the parameters
+            sort, name = r["name"].split()
+            values, at = np.frombuffer(r["value"]), r["block"] * ROW
+            (p if sort == "p" else seen)[name].ravel()[at : at + len(values)] = values
         sent.unpersist()
+    remove(spark, rows)
     return p
 
 

@@ -1,10 +1,13 @@
 """Learned operators: held-out accuracy on made-up rows, and defined results for odd ones."""
 
+import math
 import random
 import subprocess
 import sys
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimlens.llm import language, masked, neighbours, toxicity
 from claimlens.llm.common import remainder
@@ -192,6 +195,64 @@ def test_network_plainly():
             assert abs(found[k][at] + (more - less) / (2 * e)) < 1e-4
 
 
+def test_masked_model_is_the_same_however_rows_are_split(spark, monkeypatch):
+    """Scores of one corpus in 1, 3 and 12 partitions and with other batches; several shards and rounds; and read once a round."""
+    monkeypatch.setattr(masked, "SHARD", 3000)
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 120)))) for i in range(400)] + [(None, "a b c"), (None, "a b c"), (3, None), (7, "x")]
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts, batch in ((1, "7"), (3, "256"), (12, "1000")):
+        df = masked.written(base.repartition(parts), "split")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        held = masked.vocabulary(df)
+        assert math.ceil(held.tokens / masked.SHARD) > 4
+        found.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["log_likelihood"]) for r in masked.score(df, held, masked.train(df, held)).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    for other in found[1:]:
+        assert [x[:3] for x in other] == [x[:3] for x in found[0]]
+        assert np.allclose([x[3] for x in other], [x[3] for x in found[0]], rtol=1e-6, atol=1e-6)
+    coded, rounds = masked.encoded(base, held)
+    assert rounds > 2 and sum(coded.where(F.col("round") == r).count() for r in range(rounds)) == sum(x[2] > 0 for x in found[0])
+    plan = coded.where(F.col("round") == 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(round" in plan
+
+
+def plain_score(text, held, p):
+    """A text's score, token by token, from the model and the counts."""
+    words = text.lower().encode().split()
+    counts = {bytes(r["word"]): r["n"] for r in held.table.collect()}
+    size, single = held.groups**2, held.groups**2 * 3 // 4
+    own = {w: i for i, w in enumerate(held.words[:single])}
+    rest = size - single
+    cls = lambda w: own[w] if w in own else single + (masked._digest(w) >> 8) % rest
+    ids = [size] * masked.REACH + [cls(w) for w in words] + [size] * masked.REACH
+    total = 0.0
+    for i, w in enumerate(words):
+        near = [*ids[i : i + masked.REACH], *ids[i + masked.REACH + 1 : i + 2 * masked.REACH + 1]]
+        h = np.tanh(p["bias"] + sum(p["embed"][c] * (1 + p["place"][j]) for j, c in enumerate(near)))
+        g, c = divmod(cls(w), held.groups)
+        for logits, at in ((h @ p["group"] + p["group_bias"], g), (h @ p["inner"][g] + p["inner_bias"][g], c)):
+            total += logits[at] - np.log(np.exp(logits).sum())
+        if w not in own:
+            of = sum(n for x, n in counts.items() if x not in own and cls(x) == cls(w))
+            total += np.log(counts[w] / (of + 1)) if w in counts else -(min(len(w), 255) + 1) * np.log(257) - np.log(of + 1)
+    return total
+
+
+def test_masked_scores_by_plain_sums(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 4))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=80))) for i in range(120)], "doc_id long, text string")
+    held = masked.vocabulary(df)
+    p = masked.train(df, held)
+    odd = [(1, df.first()["text"]), (2, "A b zzzzzzzzzzzzzzz unknown-word é"), (3, "a"), (4, " ")]
+    got = {r["doc_id"]: r["log_likelihood"] for r in masked.score(spark.createDataFrame(odd, "doc_id long, text string"), held, p).collect()}
+    for i, text in odd:
+        assert got[i] == pytest.approx(plain_score(text, held, p), rel=1e-4, abs=1e-4)
+
+
 def test_masked_model_tells_every_word(spark, monkeypatch):
     import numpy as np
 
