@@ -119,7 +119,7 @@ def bounds(a: Sides, b: Sides) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A pair's strings are the common words, and they with either side's other words: the first is a prefix of the others,
     and the others' common subsequence has no more of a letter than either has.
     """
-    both, common, n_common = (np.zeros((len(a.ids), len(b.ids))) for _ in range(3))
+    both, common, n_common = (np.zeros((len(a.ids), len(b.ids)), np.int32) for _ in range(3))
     for j, (tokens, words) in enumerate(zip(b.tokens, b.words)):
         for x in tokens & a.by_token.keys():
             both[a.by_token[x], j] += 1
@@ -132,19 +132,34 @@ def bounds(a: Sides, b: Sides) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     one, two = a.sizes[:, None], b.sizes[None, :]
     some = (one > 0) & (two > 0)
     least = np.where(n_common > 0, np.maximum(np.rint(200 * prefix / np.maximum(prefix + one, 1)), np.rint(200 * prefix / np.maximum(prefix + two, 1))), 0)
-    letters = np.zeros_like(both)
+    alike = np.zeros_like(both)
     for c in range(len(_LETTERS)):
-        letters += np.minimum(a.letters[:, c, None], b.letters[None, :, c])
-    most = np.where(some, np.maximum(least, np.rint(200 * letters / np.maximum(one + two, 1))), 0)
+        alike += np.minimum(a.letters[:, c, None], b.letters[None, :, c])
+    most = np.where(some, np.maximum(least, np.rint(200 * alike / np.maximum(one + two, 1))), 0)
     return shared, np.where(some, least, 0), most
 
 
-def whole_ratio(x: set[str], y: set[str]) -> int:
-    """The ratio of two sets' joined strings, common words first: past these, which both start with, only the rest is compared."""
+def whole_ratio(x: set[str], y: set[str], least: float = 0.0) -> int:
+    """The ratio of two sets' joined strings, common words first: past these, which both start with, only the rest is compared.
+
+    0 where it is clear before the end that it is under least.
+    """
     both, one, two = sorted(x & y), " ".join(sorted(x - y)), " ".join(sorted(y - x))
     start = " ".join(both) + " " * bool(both and one and two)
     size = lambda rest: len(" ".join(both)) + bool(both and rest) + len(rest)
-    return round(200.0 * (len(start) + subsequence(one, two)) / (size(one) + size(two)))
+    whole = size(one) + size(two)
+    found = common_at_least(one, two, (least - 0.5) * whole / 200 - len(start))
+    return 0 if found is None else round(200.0 * (len(start) + found) / whole)
+
+
+#: Pairs that bounds are worked out for at once.
+PAIRS = 1 << 19
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def best_combined(held: Sides, batches: Iterator[pa.RecordBatch], per_held: bool) -> Iterator[tuple[list, list, list]]:
@@ -155,7 +170,7 @@ def best_combined(held: Sides, batches: Iterator[pa.RecordBatch], per_held: bool
     the best so far are compared letter by letter.
     """
     best: dict = {}
-    for batch in batches:
+    for batch in _sliced(batches, max(1, PAIRS // max(1, len(held.ids)))):
         rows = Sides(batch.column("id").to_pylist(), batch.column("tokens").to_pylist(), batch.column("text").to_pylist())
         shared, least, most = bounds(held, rows)
         top = (shared + most / 100.0) / 2
@@ -167,7 +182,8 @@ def best_combined(held: Sides, batches: Iterator[pa.RecordBatch], per_held: bool
             for j in np.argsort(-top[i], kind="stable").tolist():
                 if top[i, j] <= 0 or found and top[i, j] < found[0]:
                     break
-                ratio = least[i, j] if most[i, j] == least[i, j] else max(least[i, j], whole_ratio(ours.words[i], theirs.words[j]))
+                beaten = 100 * (2 * found[0] - shared[i, j]) - 1e-6 if found else 0.0
+                ratio = least[i, j] if most[i, j] == least[i, j] else max(least[i, j], whole_ratio(ours.words[i], theirs.words[j], beaten))
                 told = (float(shared[i, j] + ratio / 100.0) / 2, theirs.ids[j])
                 if told[0] > 0 and (not found or told[0] > found[0] or told[0] == found[0] and told[1] < found[1]):
                     found = told

@@ -11,8 +11,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..fixed import DATA_SIGNALS, GOLD_POSITION, LABEL_POSITION, SOURCE_NAMES, SOURCE_SIGNALS, UNKNOWN_POSITION  # noqa: F401
+from ..functions.joins import spread_join
 from ..functions.similarity import Sides, best_combined
 from ..functions.text import explanation_quality, jaccard, parsimony, source_citation, tokens
+from ..sources.scratch import kept
 from .rubric import lookup
 
 #: Least similarity of a match; gold rows that one block of the combined match sends to every task.
@@ -49,24 +51,60 @@ def _combined(gold: DataFrame, extracted: DataFrame) -> DataFrame:
     return both.select(F.col(ref).alias("ref_id"), F.col(pos).alias("pos"), "similarity")
 
 
+def _rarest_first(rows: DataFrame, key: str, uses: DataFrame) -> DataFrame:
+    """key and its tokens that the index has, in order of their number of texts (df), each with it; and n, of all its tokens."""
+    each = rows.select(key, F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
+    ranked = spread_join(each, uses, ["token"], [key], how="left").groupBy(key).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    return ranked.select(key, "n", F.transform(F.filter("all", lambda x: x["df"].isNotNull()), lambda x: x["token"]).alias("rare"))
+
+
+#: Tokens of a text that are looked up first.
+PROBES = 4
+
+
+def _jaccard(gold: DataFrame, extracted: DataFrame) -> DataFrame:
+    """ref_id, pos, similarity of the best match of each gold row (ref_id, tokens) with extracted texts (pos, tokens) by shared tokens.
+
+    Tokens are ordered from the rarest on.  A text's first few look up the texts that have them, which gives a
+    similarity b to beat.  A pair at b or more has b / (1 + b) of both texts' tokens in common, so its first common token can't stand
+    late in either text: the rest of the look-ups leave out a text's last, most common tokens, texts too long or too short,
+    and places where too few tokens follow.  Common tokens so hardly ever bring texts together, and no row is lost.
+    """
+    uses = kept(extracted.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "uses")
+    asked = kept(_rarest_first(gold, "ref_id", uses), "asked")
+    held = _rarest_first(extracted, "pos", uses).select("pos", F.col("n").alias("nb"), F.col("rare").alias("tb"))
+    index = kept(held.select("pos", "nb", "tb", F.posexplode("tb").alias("j", "token")), "index")
+    far = uses.select("token", F.col("df").alias("n"))
+
+    def found(probes: DataFrame, good: Column) -> DataFrame:
+        both = F.size(F.array_intersect("ta", "tb"))
+        pairs = spread_join(index, probes, ["token"], ["pos"], uses=far).where(good)
+        best = pairs.select("ref_id", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"), (-F.col("pos")).alias("pos")).groupBy("ref_id")
+        return best.agg(F.max(F.struct("similarity", "pos")).alias("x")).select("ref_id", "x.similarity", (-F.col("x.pos")).alias("pos"))
+
+    probe = asked.select("ref_id", F.col("n").alias("na"), F.col("rare").alias("ta"), F.posexplode("rare").alias("i", "token"))
+    first = kept(found(probe.where(F.col("i") < PROBES), F.lit(True)), "first")
+    rest = probe.where(F.col("i") >= PROBES).join(first.select("ref_id", F.col("similarity").alias("b")), "ref_id", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    follow, longest = F.size("ta") - F.col("i"), F.col("na") + F.col("nb")
+    least = F.greatest(F.lit(1.0), F.col("b") / (1 + F.col("b")) * longest - 1e-6)
+    good = (follow >= least) & (F.col("nb") - F.col("j") >= least) & (F.col("nb") >= F.col("b") * F.col("na") - 1e-6) & (F.col("b") * F.col("nb") <= F.col("na") + 1e-6)
+    later = found(rest.where(F.size("ta") - F.col("i") >= F.col("b") * F.col("na") - 1e-6), good)
+    best = first.unionByName(later).groupBy("ref_id").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("pos"))).alias("x"))
+    return best.select("ref_id", (-F.col("x.pos")).alias("pos"), "x.similarity")
+
+
 def best_match(gold: DataFrame, extracted: DataFrame, combined: bool = False) -> DataFrame:
     """ref_id, matched_claim, similarity of each gold row (ref_id, claim): the extracted text (pos, text) most alike.
 
-    Plain similarity is the share of common tokens: pairs come from a join on tokens, so texts without a common token,
-    whose similarity is 0, never meet.  The combined similarity also takes the token-set ratio, which sees
-    parts of words, so every extracted text is held against the whole gold set; bounds leave few pairs to compare in full.
-    Of equal similarities the first text by pos counts.
+    Plain similarity is the share of common tokens, found by an index from the rarest tokens on.  The combined similarity also
+    takes the token-set ratio, which sees parts of words, so every extracted text is held against the whole gold set;
+    bounds leave few pairs to compare in full.  Of equal similarities the first text by pos counts.
     """
     g = gold.select("ref_id", F.col("claim"), tokens(F.col("claim")).alias("ta"))
     e = extracted.select("pos", "text", tokens(F.col("text")).alias("tb"))
-    if combined:
-        both = _combined(g, e)
-    else:
-        sides = g.select("ref_id", F.size("ta").alias("na"), F.explode("ta").alias("token")), e.select("pos", F.size("tb").alias("nb"), F.explode("tb").alias("token"))
-        shared = sides[0].join(sides[1], "token").groupBy("ref_id", "pos", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-        both = shared.select("ref_id", "pos", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("similarity"))
-    best = both.where("similarity > 0").groupBy("ref_id").agg(F.max(F.struct("similarity", -F.col("pos"))).alias("x"))
-    named = best.select("ref_id", F.col("x.similarity").alias("similarity"), (-F.col("x.col2")).alias("pos")).join(extracted.select("pos", F.col("text").alias("matched_claim")), "pos", "left")
+    both = _combined(g, e) if combined else _jaccard(g.select("ref_id", F.col("ta").alias("tokens")), e.select("pos", F.col("tb").alias("tokens")))
+    best = both.where("similarity > 0").groupBy("ref_id").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("pos"))).alias("x"))
+    named = best.select("ref_id", F.col("x.similarity").alias("similarity"), (-F.col("x.pos")).alias("pos")).join(extracted.select("pos", F.col("text").alias("matched_claim")), "pos", "left")
     return gold.select("ref_id").join(named, "ref_id", "left").select("ref_id", "matched_claim", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 

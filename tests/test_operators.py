@@ -1,6 +1,7 @@
 """Small cases of the operators: nulls, ties, empty input, and values worked out by hand."""
 
 import random
+import re
 import textwrap
 
 import pytest
@@ -181,3 +182,31 @@ def test_shorten_as_the_standard_library(spark):
 def test_strip_as_the_standard_library(spark):
     rows = [(f"{a}x {a} y{b}",) for a in WHITE_SPACE for b in ("", " \n", "\u2003")] + [("",), (WHITE_SPACE,), ("\u200bx",)]
     assert [r[0] for r in spark.createDataFrame(rows, "x string").select(T.strip(F.col("x"))).collect()] == [x.strip() for (x,) in rows]
+
+
+def test_best_match_equals_all_pairs(spark):
+    """Common tokens in nearly all texts, ties, texts without a match, without tokens, of one token, repeated ones."""
+    rng = random.Random(12)
+    words = [f"t{int(rng.paretovariate(0.5))}" for _ in range(4000)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 14)))
+    gold = [(i, text()) for i in range(120)] + [(200, "nowhere"), (201, None), (202, "t1"), (203, "T1 t1, t1")]
+    found = [(i, text()) for i in range(700)] + [(900, gold[3][1]), (901, gold[3][1] + " t1"), (902, ""), (903, None)]
+    bag = lambda t: set(re.findall(r"\w+", (t or "").lower()))
+    want = {}
+    for i, g in gold:
+        score, pos = max(((len(bag(g) & bag(t)) / len(bag(g) | bag(t)) if bag(g) & bag(t) else 0.0, -p) for p, t in found))
+        want[i] = (round(score, 12), dict(found)[-pos] if score else None)
+    tables = spark.createDataFrame(gold, "ref_id int, claim string"), spark.createDataFrame(found, "pos int, text string").repartition(3)
+    assert {r["ref_id"]: (round(r["similarity"], 12), r["matched_claim"]) for r in evaluate.best_match(*tables).collect()} == want
+
+
+def test_common_subsequence_left_off_early():
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abc ", k=rng.randint(0, 120))) for _ in range(2))
+        whole, least = S.subsequence(a, b), rng.randint(0, 100)
+        assert S.common_at_least(a, b, least) == (whole if whole >= least else None)
+        x, y = (set(t.split()) for t in (a, b))
+        if x and y:
+            full = S.whole_ratio(x, y)
+            assert S.whole_ratio(x, y, least) in (full, 0) and (S.whole_ratio(x, y, full) == full)

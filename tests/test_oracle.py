@@ -10,7 +10,6 @@ from claimlens.plans import catalogue, reports  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-SLOW = {"token_jaccard_match"}
 
 
 def norm(v):
@@ -29,7 +28,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_same_rows(spark, duck, name):
     df = catalogue.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
