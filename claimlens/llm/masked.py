@@ -8,7 +8,7 @@ each a class of its own; every other word is in one of the remaining classes by
 the token's count in the corpus out of the class's count and one; that one is the share of unknown words, which only
 texts from outside of the corpus have: such a word has 257 ** -(bytes + 1) of it (as of 255 bytes if longer).
 
-All documents train the network in one pass.  Their class ids are written once, dealt by a hash of the row to shards of
+All documents train the network in one pass.  Their words' codes are written once, for training and scoring, dealt by a hash of the row to shards of
 about SHARD tokens, whose number follows from the corpus alone, and the shards to as many rounds as the root of that
 number.  A round reads its own shards (a folder each round); each shard, in the order of its hashes, trains from the
 round's common start, and the shards' parameters and Adagrad sums, weighted by their tokens, are summed by blocks, in
@@ -69,8 +69,10 @@ class Vocabulary:
     classes: np.ndarray
     terms: np.ndarray
 
-    def held(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        return self.words, self.classes, self.terms
+    @property
+    def kind(self) -> type:
+        """Of codes."""
+        return np.uint16 if len(self.classes) <= 1 << 16 else np.int32
 
 
 def vocabulary(documents: DataFrame) -> Vocabulary:
@@ -233,27 +235,33 @@ def step(p: dict[str, np.ndarray], seen: dict[str, np.ndarray], target: np.ndarr
 
 
 def encoded(documents: DataFrame, words: Vocabulary) -> tuple[DataFrame, int]:
-    """(shard, mark, ids, round) of all texts with words, written by round: ids are their words' classes; and the number of rounds."""
+    """All rows (doc_id, codes, rare, mark, shard, round), written by round: codes are their words', rare the keys of rarer words; and the number of rounds."""
     spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(words.held())
+    held = spark.sparkContext.broadcast((words.words, len(words.classes) - len(words.words)))
+    kind = words.kind
     shards = max(1, math.ceil(words.tokens / SHARD))
     rounds = math.ceil(shards**0.5)
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        known, classes = _Codes(held.value[0], len(held.value[1]) - len(held.value[0])), held.value[1]
-        return {"mark": batch.column("mark"), "ids": [classes[codes_of(t, known)].tobytes() for t in as_bytes(batch.column("text"))]}
-
-    marked = documents.select("text", F.xxhash64("doc_id", "text").alias("mark"))
-    coded = per_batch(marked, "mark bigint, ids binary", work).where("length(ids) > 0").withColumn("shard", F.pmod("mark", F.lit(shards)))
+        known, codes, rare = _Codes(*held.value), [], []
+        for text in as_bytes(batch.column("text")):
+            codes.append(codes_of(text, known).astype(kind).tobytes())
+            rare.append(np.array(known.rare, np.uint64).view(np.int64))
+            known.rare.clear()
+        return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "codes": codes, "rare": rare}
+
+    marked = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"))
+    schema = "doc_id bigint, mark bigint, codes binary, rare array<bigint>"
+    coded = per_batch(marked, schema, work).withColumn("shard", F.pmod("mark", F.lit(shards)))
     path = scratch(spark, "shards")
     coded.withColumn("round", F.col("shard") % rounds).repartition(min(shards, parts(documents)), "shard").write.option("compression", "zstd").partitionBy("round").parquet(path)
-    return spark.read.schema("mark bigint, ids binary, shard bigint, round bigint").parquet(path), rounds
+    return spark.read.schema(f"{schema}, shard bigint, round bigint").parquet(path), rounds
 
 
 SUMS = "name string, block int, shard bigint, value binary, tokens bigint"
 
 
-def _trained(batches: Iterator[pa.RecordBatch], begin: tuple[dict, dict], kind: type, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _trained(batches: Iterator[pa.RecordBatch], begin: tuple[dict, dict], classes: np.ndarray, kind: type, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows come by shard, in order: each shard's parameters and sums after its pass, by blocks, times its tokens."""
     edge = len(begin[0]["embed"]) - 1
 
@@ -264,12 +272,12 @@ def _trained(batches: Iterator[pa.RecordBatch], begin: tuple[dict, dict], kind:
             step(p, seen, target[mix[a : a + STEP]], around[mix[a : a + STEP]])
         return len(target)
 
-    rows = ((shard, ids) for batch in bounded(batches) for shard, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist()))
+    rows = ((shard, codes) for batch in bounded(batches) for shard, codes in zip(batch.column("shard").to_pylist(), batch.column("codes").to_pylist()))
     for shard, lot in groupby(rows, key=lambda r: r[0]):
         p, seen = ({k: v.copy() for k, v in x.items()} for x in begin)
         texts, size, total = [], 0, 0
-        for _, ids in lot:
-            texts.append(np.frombuffer(ids, kind))
+        for _, codes in lot:
+            texts.append(classes[np.frombuffer(codes, kind)])
             size += len(texts[-1])
             if size >= MIXED:
                 total += learn(p, seen, texts)
@@ -296,62 +304,64 @@ def _averaged(group: pa.Table) -> pa.Table:
     return pa.table({"name": group.column("name")[:1], "block": group.column("block")[:1], "value": pa.array([mean.tobytes()], pa.binary())})
 
 
-def train(documents: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
-    """Parameters after one pass over all documents."""
-    spark = documents.sparkSession
-    arrow, kind = fields(SUMS, spark), words.classes.dtype.type
-    rows, rounds = encoded(documents, words)
+def train(rows: DataFrame, rounds: int, words: Vocabulary) -> dict[str, np.ndarray]:
+    """Parameters after one pass over encoded's rows."""
+    spark = rows.sparkSession
+    arrow, kind = fields(SUMS, spark), words.kind
+    classes = spark.sparkContext.broadcast(words.classes)
     p = start(words.groups)
     seen = {k: np.zeros_like(v) for k, v in p.items()}
     tasks = parts(rows)
 
     def passed(sent):
-        return lambda batches: _trained(batches, sent.value, kind, arrow)
+        return lambda batches: _trained(batches, sent.value, classes.value, kind, arrow)
 
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((p, seen))
-        own = rows.where(F.col("round") == turn).select("shard", "mark", "ids")
-        sums = own.repartition(tasks, "shard").sortWithinPartitions("shard", "mark", "ids").mapInArrow(tidy(passed(sent)), SUMS)
+        own = rows.where((F.col("round") == turn) & (F.length("codes") > 0)).select("shard", "mark", "codes")
+        sums = own.repartition(tasks, "shard").sortWithinPartitions("shard", "mark", "codes").mapInArrow(tidy(passed(sent)), SUMS)
         p, seen = ({k: v.copy() for k, v in x.items()} for x in (p, seen))
         for r in sums.groupBy("name", "block").applyInArrow(_averaged, "name string, block int, value binary").collect():  # the parameters
             sort, name = r["name"].split()
             values, at = np.frombuffer(r["value"]), r["block"] * ROW
             (p if sort == "p" else seen)[name].ravel()[at : at + len(values)] = values
         sent.unpersist()
-    remove(spark, rows)
     return p
 
 
-def score(documents: DataFrame, words: Vocabulary, parameters: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (the sum) and mean_log_likelihood of every row."""
-    held, groups, least = documents.sparkSession.sparkContext.broadcast((words.held(), parameters)), words.groups, words.least
+def scored(rows: DataFrame, words: Vocabulary, parameters: dict[str, np.ndarray]) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (the sum) and mean_log_likelihood of every one of encoded's rows."""
+    held, kind, edge, least = rows.sparkSession.sparkContext.broadcast((words.classes, words.terms, parameters)), words.kind, words.groups**2, words.least
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        (known, classes, terms), p = held.value
-        codes = _Codes(known, len(classes) - len(known))
-        each, rare = [], []
-        for text in as_bytes(batch.column("text")):
-            each.append(codes_of(text, codes))
-            rare.append(np.array(codes.rare, np.uint64).view(np.int64))
-            codes.rare.clear()
-        target, around = contexts([classes[c] for c in each], groups * groups)
+        classes, terms, p = held.value
+        each = [np.frombuffer(c, kind) for c in batch.column("codes").to_pylist()]
+        target, around = contexts([classes[c] for c in each], edge)
         logs = np.concatenate([np.zeros(0), *(log_probabilities(p, target[a : a + BLOCK], around[a : a + BLOCK]) for a in range(0, len(target), BLOCK))])
-        logs += terms[np.concatenate([np.zeros(0, np.int64), *each])]
+        logs += terms[np.concatenate([np.zeros(0, kind), *each])]
         ends = np.concatenate([[0], np.cumsum([len(c) for c in each])])
         running = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
-        return {"doc_id": batch.column("doc_id"), "n_tokens": [len(c) for c in each], "log_likelihood": (running[ends[1:]] - running[ends[:-1]]).tolist(), "rare": rare}
+        return {"doc_id": batch.column("doc_id"), "n_tokens": [len(c) for c in each], "log_likelihood": (running[ends[1:]] - running[ends[:-1]]).tolist(), "rare": batch.column("rare")}
 
     # Written: the rows' numbers have to stay.
-    rows = written(per_batch(documents.select("doc_id", "text"), "doc_id bigint, n_tokens bigint, log_likelihood double, rare array<bigint>", work).withColumn("row", F.monotonically_increasing_id()), "scores")
+    sums = written(per_batch(rows.select("doc_id", "codes", "rare"), "doc_id bigint, n_tokens bigint, log_likelihood double, rare array<bigint>", work).withColumn("row", F.monotonically_increasing_id()), "scores")
     counts = words.table.where(F.col("n") < least).groupBy(F.expr(KEY).alias("key")).agg(F.sum("n").alias("n"))
     spelt = -(F.col("key").bitwiseAND(255) + 1) * math.log(257)
-    rest = rows.select("row", F.explode("rare").alias("key")).join(counts, "key", "left").select("row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("n_tokens"), F.coalesce(F.log("n"), spelt).alias("log_likelihood"))
-    sums = rows.drop("rare").unionByName(rest).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_likelihood").alias("log_likelihood"))
-    return sums.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
+    rest = sums.select("row", F.explode("rare").alias("key")).join(counts, "key", "left").select("row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("n_tokens"), F.coalesce(F.log("n"), spelt).alias("log_likelihood"))
+    whole = sums.drop("rare").unionByName(rest).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_likelihood").alias("log_likelihood"))
+    return whole.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
+
+
+def score(documents: DataFrame, words: Vocabulary, parameters: dict[str, np.ndarray]) -> DataFrame:
+    """scored's rows of any documents by a trained model."""
+    return scored(encoded(documents, words)[0], words, parameters)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tune(spark)
     words = vocabulary(docs)
-    return score(docs, words, train(docs, words))
+    rows, rounds = encoded(docs, words)
+    out = scored(rows, words, train(rows, rounds, words))
+    remove(spark, rows)
+    return out

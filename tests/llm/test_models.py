@@ -88,7 +88,7 @@ def test_models_of_nothing(spark, docs, labels):
     model = language.fit(none.select("text", "lang"))
     assert language.predict(none, model).count() == 0 and {r["lang_pred"] for r in language.predict(docs.limit(3), model).collect()} == {"und"}
     words = masked.vocabulary(none)
-    assert masked.score(none, words, masked.train(none, words)).count() == 0
+    assert masked.score(none, words, masked.train(*masked.encoded(none, words), words)).count() == 0
 
 
 def test_language_of_repeated_texts(spark):
@@ -149,10 +149,10 @@ def test_label_model_plainly():
 
 def test_masked_model_prefers_order(spark, docs):
     words = masked.vocabulary(docs)
-    model = masked.train(docs, words)
+    model = masked.train(*masked.encoded(docs, words), words)
     text = "the cat sat on the mat " * 30
     some = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
-    trained = masked.train(some, masked.vocabulary(some))
+    trained = masked.train(*masked.encoded(some, masked.vocabulary(some)), masked.vocabulary(some))
     shuffled = " ".join(RNG.sample(text.split(), len(text.split())))
     pair = spark.createDataFrame([(1, text), (2, shuffled), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in masked.score(pair, masked.vocabulary(some), trained).collect()}
@@ -208,13 +208,13 @@ def test_masked_model_is_the_same_however_rows_are_split(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         held = masked.vocabulary(df)
         assert math.ceil(held.tokens / masked.SHARD) > 4
-        found.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["log_likelihood"]) for r in masked.score(df, held, masked.train(df, held)).collect()))
+        found.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["log_likelihood"]) for r in masked.score(df, held, masked.train(*masked.encoded(df, held), held)).collect()))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     for other in found[1:]:
         assert [x[:3] for x in other] == [x[:3] for x in found[0]]
         assert np.allclose([x[3] for x in other], [x[3] for x in found[0]], rtol=1e-6, atol=1e-6)
     coded, rounds = masked.encoded(base, held)
-    assert rounds > 2 and sum(coded.where(F.col("round") == r).count() for r in range(rounds)) == sum(x[2] > 0 for x in found[0])
+    assert rounds > 2 and sum(coded.where(F.col("round") == r).count() for r in range(rounds)) == len(rows)
     plan = coded.where(F.col("round") == 1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(round" in plan
 
@@ -246,7 +246,7 @@ def test_masked_scores_by_plain_sums(spark):
     words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 4))) for _ in range(3000)]
     df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=80))) for i in range(120)], "doc_id long, text string")
     held = masked.vocabulary(df)
-    p = masked.train(df, held)
+    p = masked.train(*masked.encoded(df, held), held)
     odd = [(1, df.first()["text"]), (2, "A b zzzzzzzzzzzzzzz unknown-word é"), (3, "a"), (4, " ")]
     got = {r["doc_id"]: r["log_likelihood"] for r in masked.score(spark.createDataFrame(odd, "doc_id long, text string"), held, p).collect()}
     for i, text in odd:
@@ -260,7 +260,7 @@ def test_masked_model_tells_every_word(spark, monkeypatch):
     some = spark.createDataFrame([(i, " ".join(common)) for i in range(5)] + [(5, " ".join(rare)), (6, " ".join(rare))], "doc_id long, text string").repartition(4)
     asked = spark.createDataFrame([(1, " ".join(rare[:50])), (2, " ".join(f"j{i}" for i in range(50))), (None, " ".join(common)), (4, None)], "doc_id long, text string")
     words = masked.vocabulary(some)
-    model = masked.train(some, words)
+    model = masked.train(*masked.encoded(some, words), words)
     got = {r["doc_id"]: r for r in masked.score(asked, words, model).collect()}
     assert len(words.words) == 2000 and got[1]["log_likelihood"] > got[2]["log_likelihood"] + 50 * np.log(257)
     assert [got[i]["n_tokens"] for i in (1, 2, None, 4)] == [50, 50, 800, 0] and got[4]["log_likelihood"] == 0
