@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import near_pairs
 from ..functions.text import cache_key
+from ..sources import versions
 
 THRESHOLD = 85
 TTL_DAYS = 90
@@ -59,27 +60,24 @@ def cleared(cache: DataFrame) -> DataFrame:
     return cache.limit(0)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Whole versions under a path, of any file system that Spark knows."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(at):
-        return []
-    done = [s.getPath() for s in files.listStatus(at) if s.getPath().getName().startswith("version=")]
-    return sorted(int(p.getName().removeprefix("version=")) for p in done if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+def invalidated(cache: DataFrame, texts: DataFrame) -> DataFrame:
+    """text, removed: whether the cache had an entry of each of these texts."""
+    return texts.withColumn("key", cache_key(F.col("text"))).join(cache.select("key").withColumn("removed", F.lit(True)), "key", "left").select("text", F.coalesce("removed", F.lit(False)).alias("removed"))
 
 
 def save(cache: DataFrame, path: str) -> int:
     """Writes a new version of a stored cache; readers see the one before until it is whole."""
-    version = max(_versions(cache.sparkSession, path), default=0) + 1
-    cache.write.mode("overwrite").parquet(f"{path}/version={version}")
-    return version
+    return versions.save(cache, path)
+
+
+def put(new: DataFrame, path: str) -> int:
+    """Upserts entries into a stored cache; of writers at one time none loses the other's."""
+    return versions.update(new.sparkSession, path, lambda old: new if old is None else upsert(old, new))
 
 
 def load(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
     """The newest whole version of a stored cache; with now, without what has expired."""
-    cache = spark.read.parquet(f"{path}/version={max(_versions(spark, path))}")
+    cache = versions.read(spark, path)
     return cache if now is None else live(cache, now)
 
 
