@@ -57,3 +57,12 @@ EXTRACTION_GENES = {"persona": 5, "methodology": 4, "taxonomy": 4, "format": 4,
 SYNTHESIS_GENES = {"persona": 4, "verdict_taxonomy": 4, "evidence_weighting": 3, "confidence": 3, "reasoning": 3, "nuance": 3, "format": 3}
 # What strip() takes off: white space of any kind.
 WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Genomes that a population starts with after the baseline: choices in the order of the genes above, extraction first.
+SEED_GENOMES = [
+    [1, 1, 1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 1, 1],
+    [4, 3, 3, 0, 2, 2, 3, 2, 3, 2, 2, 2, 2, 2],
+    [3, 2, 2, 3, 1, 0, 1, 3, 2, 1, 1, 1, 1, 0],
+]
+# How logs name genes, and what they say of those that are carried on.
+GENE_NAMES = {"e": "extraction.{}_idx", "s": "synthesis.{}_idx"}
+CARRIED = "[elite carry-forward]"

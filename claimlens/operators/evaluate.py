@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -183,6 +183,42 @@ def nearest_evidence(claims: DataFrame, gold: DataFrame, combined: bool = True,
     return found.where(F.col("similarity") >= least).join(first, "matched_claim").select(F.col("ref_id").alias("claim_id"), told.alias("evidence")).join(claims.select("claim_id"), "claim_id", "right").select("claim_id", F.coalesce("evidence", F.lit(none)).alias("evidence"))
 
 
+#: Least similarity of a match in an evaluation of one model's answers.
+EVAL_THRESHOLD = 0.15
+
+
+def asked_of(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """What a model is asked for each matched gold row of matches: ref_id, claim_text, ref_verdict and evidence, the gold row's own by ref_id."""
+    own = gold.select("ref_id", gold_evidence(F.coalesce("explanation", F.lit("")), F.coalesce("sources", F.array())).alias("evidence"))
+    none = gold_evidence(F.lit(""), F.array())
+    rows = found.where("matched").select("ref_id", F.coalesce("matched_claim", "claim").alias("claim_text"), F.col("verdict").alias("ref_verdict"))
+    return rows.join(own, "ref_id", "left").withColumn("evidence", F.coalesce("evidence", none))
+
+
+def eval_rows(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """A row for each question (ref_id, claim_text, ref_verdict), with its answer (ref_id, label, confidence, explanation) or what stands for none,
+    agreement_score, mark and n, its place from the least agreement on, ties by ref_id."""
+    told = asked.join(answers.select("ref_id", "label", "confidence", "explanation"), "ref_id", "left")
+    score = agreement(F.col("ref_verdict"), F.coalesce("label", F.lit("Unverifiable")))
+    rows = told.select("ref_id", "claim_text", "ref_verdict", F.coalesce("label", F.lit("?")).alias("label"), F.coalesce("confidence", F.lit("?")).alias("confidence"), F.coalesce("explanation", F.lit("")).alias("explanation"), score.alias("agreement_score"))
+    # A gold set's rows: a table that people wrote.
+    return rows.withColumns({"mark": bucket(F.col("agreement_score")), "n": F.row_number().over(Window.orderBy("agreement_score", "ref_id"))})
+
+
+def eval_totals(rows: DataFrame, gold: DataFrame, spent: DataFrame) -> DataFrame:
+    """One row on eval_rows: matched, total_ref, recall, verdict_agreement, fitness_approx, and of spent (tokens_in, tokens_out) sums and cost."""
+    one = rows.agg(F.count(F.lit(1)).alias("matched"), F.coalesce(F.avg("agreement_score"), F.lit(0.0)).alias("verdict_agreement"))
+    used = spent.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out")))
+    out = one.crossJoin(gold.agg(F.count(F.lit(1)).alias("total_ref"))).crossJoin(used)  # one row each
+    out = out.withColumn("recall", F.col("matched") / F.col("total_ref"))
+    return out.withColumns({"fitness_approx": approximate_fitness(F.col("recall"), F.col("verdict_agreement")), "cost": cost(F.col("tokens_in"), F.col("tokens_out"))})
+
+
+def eval_lines(rows: DataFrame) -> DataFrame:
+    """n, line: eval_rows as a terminal's table."""
+    return rows.select("n", F.format_string("  %-3s  %-22s  %-16s  %s", "mark", "ref_verdict", "label", F.substring("claim_text", 1, 55)).alias("line"))
+
+
 def bucket(score: Column) -> Column:
     return F.when(score >= 0.8, "YES").when(score >= 0.4, "~").otherwise("NO")
 

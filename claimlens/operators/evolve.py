@@ -1,6 +1,7 @@
-"""Prompt evolution as iterated DataFrame steps; every draw is a hash of (seed, generation, slot, gene).
+"""Prompt evolution as iterated DataFrame steps; every draw is a hash of (seed, generation, island, slot, gene).
 
-A population is a table of some dozens of rows: slot, genes, generation, parents, mutations, and, once evaluated, scores.
+A population is some dozens of rows: slot, genes, generation, parents, mutations, and, once evaluated, scores.  Any number of
+populations go side by side as islands, told apart by a column island; rows without that column are one population.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import EXTRACTION_GENES, SYNTHESIS_GENES
+from ..fixed import CARRIED, EXTRACTION_GENES, GENE_NAMES, SEED_GENOMES, SYNTHESIS_GENES
 
 GENES = [f"e_{g}" for g in EXTRACTION_GENES] + [f"s_{g}" for g in SYNTHESIS_GENES]
 SIZES = dict(zip(GENES, [*EXTRACTION_GENES.values(), *SYNTHESIS_GENES.values()]))
@@ -35,8 +36,9 @@ class Config:
 
 
 def draw(seed: int, generation: int, *parts: Column) -> Column:
-    """A number from 0 to 2**31 - 1 that depends on its arguments alone, so that lost tasks repeat it."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(generation), *parts), F.lit(1 << 31))
+    """A number from 0 to 2**31 - 1 that depends on its arguments alone, so that lost tasks repeat it: the first 31 of 32 bits of an MD5."""
+    told = F.concat_ws("|", F.lit(str(seed)), F.lit(str(generation)), *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("bigint") % (1 << 31)
 
 
 def chance(seed: int, generation: int, *parts: Column) -> Column:
@@ -44,8 +46,8 @@ def chance(seed: int, generation: int, *parts: Column) -> Column:
 
 
 def seeded(spark: SparkSession, size: int, seed: int = 0, given: list[list[int]] | None = None) -> DataFrame:
-    """Slot 0 is the baseline of first choices, the next ones are given genomes, the others are drawn."""
-    fixed = [[0] * len(GENES), *(given or [])]
+    """Slot 0 is the baseline of first choices, the next ones are given genomes (three that are known otherwise), the others are drawn."""
+    fixed = [[0] * len(GENES), *(SEED_GENOMES if given is None else given)]
     slot = F.col("slot")
 
     def gene(i: int, g: str) -> Column:
@@ -63,39 +65,50 @@ def individual_id(genes: list[str] = GENES) -> Column:
     return F.concat(F.lit("e"), F.substring(genome_hash(parts[0]), 1, 6), F.lit("_s"), F.substring(genome_hash(parts[1]), 1, 6))
 
 
+def _name(gene: str) -> str:
+    return GENE_NAMES[gene[0]].format(gene[2:])
+
+
 def breed(scored: DataFrame, generation: int, seed: int = 0, elites: int = 2, tournament: int = 3, rate: float = 0.2, lineage: bool = False) -> DataFrame:
-    """The next generation of a population (slot, genes, fitness) of bounded size: elites, then crossed and mutated children.
+    """The next generation of populations (island, slot, genes, fitness) of bounded size: elites, then crossed and mutated children.
 
     Children come as twins: for each gene one takes a parent's choice and the other the other parent's.  A parent is the
     fittest of `tournament` individuals drawn without replacement for the twins.  With lineage also generation, parents,
     mutations ("gene: old -> new"), evaluated and fitness: elites keep theirs, children have none yet.
     """
-    n = scored.count()
-    if n > MOST * MOST:
-        raise ValueError(f"a population has {MOST * MOST} individuals at most, not {n}")
-    ranked = scored.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("fitness"), "slot")))
-    none = F.array().cast("array<string>")
-    kept = ranked.where(F.col("_r") <= elites).select((F.col("_r") - 1).cast("long").alias("slot"), *GENES, F.lit(generation).alias("generation"), F.array(individual_id()).alias("parents"), none.alias("mutations"), F.lit(True).alias("evaluated"), F.col("fitness").cast("double").alias("fitness"))
-    children = scored.sparkSession.range(elites, n).select(F.col("id").alias("child"), F.floor((F.col("id") - elites) / 2).alias("pair"), F.pmod(F.col("id") - elites, F.lit(2)).alias("twin"))
-    pool = children.select("pair").distinct().crossJoin(scored)  # a few dozen rows each, as checked above
+    alone = "island" not in scored.columns
+    rows = scored.withColumn("island", F.lit(0)) if alone else scored
+    rows = rows.select("island", "slot", *GENES, "fitness")
+    large = rows.groupBy("island").count().where(F.col("count") > MOST * MOST).limit(1).collect()
+    if large:
+        raise ValueError(f"a population has {MOST * MOST} individuals at most, not {large[0]['count']}")
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("island").orderBy(F.desc("fitness"), "slot")))
+    kept = ranked.where(F.col("_r") <= elites).select("island", (F.col("_r") - 1).cast("long").alias("slot"), *GENES, F.lit(generation).alias("generation"), F.array(individual_id()).alias("parents"), F.array(F.lit(CARRIED)).alias("mutations"), F.lit(True).alias("evaluated"), F.col("fitness").cast("double").alias("fitness"))
+    children = ranked.where(F.col("_r") > elites).select("island", (F.col("_r") - 1).cast("long").alias("child"))
+    children = children.withColumns({"pair": F.floor((F.col("child") - elites) / 2), "twin": F.pmod(F.col("child") - elites, F.lit(2))})
+    pool = children.select("island", "pair").distinct().join(rows, "island")  # a few dozen pairs and rows an island, as checked above
 
     def parent(side: str) -> DataFrame:
-        order = Window.partitionBy("pair").orderBy(draw(seed, generation, F.col("pair"), F.col("slot"), F.lit(side)), "slot")
+        order = Window.partitionBy("island", "pair").orderBy(draw(seed, generation, F.col("island"), F.col("pair"), F.col("slot"), F.lit(side)), "slot")
         drawn = pool.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= tournament)
-        return drawn.groupBy("pair").agg(F.max_by(F.struct(*GENES, individual_id().alias("id")), F.struct(F.col("fitness"), -F.col("slot"))).alias(side))
+        return drawn.groupBy("island", "pair").agg(F.max_by(F.struct(*GENES, individual_id().alias("id")), F.struct(F.col("fitness"), -F.col("slot"))).alias(side))
 
     def crossed(g: str) -> Column:
-        first = chance(seed, generation, F.col("pair"), F.lit(g), F.lit("cross")) < 0.5
+        first = chance(seed, generation, F.col("island"), F.col("pair"), F.lit(g), F.lit("cross")) < 0.5
         return F.when(first == (F.col("twin") == 0), F.col(f"a.{g}")).otherwise(F.col(f"b.{g}"))
 
     def shifted(g: str) -> Column:
-        return F.when(chance(seed, generation, F.col("child"), F.lit(g), F.lit("mutate")) < rate, (crossed(g) + 1 + draw(seed, generation, F.col("child"), F.lit(g), F.lit("to")) % (SIZES[g] - 1)) % SIZES[g]).otherwise(crossed(g)).cast("int")
-
-    log = F.filter(F.array(*(F.when(shifted(g) != crossed(g), F.concat(F.lit(f"{g}: "), crossed(g).cast("string"), F.lit(" -> "), shifted(g).cast("string"))) for g in GENES)), lambda x: x.isNotNull())
-    born = children.join(parent("a"), "pair").join(parent("b"), "pair")
-    grown = born.select(F.col("child").alias("slot"), *(shifted(g).alias(g) for g in GENES), F.lit(generation).alias("generation"), F.array("a.id", "b.id").alias("parents"), log.alias("mutations"), F.lit(False).alias("evaluated"), F.lit(None).cast("double").alias("fitness"))
+        at = F.col("island"), F.col("child"), F.lit(g)
+        return F.when(chance(seed, generation, *at, F.lit("mutate")) < rate, (F.col(f"_{g}") + 1 + draw(seed, generation, *at, F.lit("to")) % (SIZES[g] - 1)) % SIZES[g]).otherwise(F.col(f"_{g}")).cast("int")
+
+    born = children.join(parent("a"), ["island", "pair"]).join(parent("b"), ["island", "pair"])
+    born = born.select("island", F.col("child"), F.col("a.id").alias("_a"), F.col("b.id").alias("_b"), *(crossed(g).alias(f"_{g}") for g in GENES))
+    born = born.select("*", *(shifted(g).alias(g) for g in GENES))
+    log = F.filter(F.array(*(F.when(F.col(g) != F.col(f"_{g}"), F.format_string(f"{_name(g)}: %d -> %d", F.col(f"_{g}"), F.col(g))) for g in GENES)), lambda x: x.isNotNull())
+    grown = born.select("island", F.col("child").alias("slot"), *GENES, F.lit(generation).alias("generation"), F.array("_a", "_b").alias("parents"), log.alias("mutations"), F.lit(False).alias("evaluated"), F.lit(None).cast("double").alias("fitness"))
     out = kept.unionByName(grown)
-    return out if lineage else out.select("slot", *GENES)
+    out = out.drop("island") if alone else out
+    return out if lineage else out.drop("generation", "parents", "mutations", "evaluated", "fitness")
 
 
 def unevaluated(population: DataFrame) -> DataFrame:
@@ -103,31 +116,51 @@ def unevaluated(population: DataFrame) -> DataFrame:
 
 
 def evaluate(population: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The population with all fitnesses; score gives slot, fitness and tokens of those that have none yet."""
-    done = score(unevaluated(population)).select("slot", F.col("fitness").cast("double").alias("new"), F.col("tokens").cast("bigint").alias("tokens"))
-    known = population.drop("tokens").join(done, "slot", "left")
+    """The population with all fitnesses; score gives slot (and island), fitness and tokens of those that have none yet."""
+    keys = [c for c in ("island", "slot") if c in population.columns]
+    done = score(unevaluated(population)).select(*keys, F.col("fitness").cast("double").alias("new"), F.col("tokens").cast("bigint").alias("tokens"))
+    known = population.drop("tokens").join(done, keys, "left")
     return known.withColumns({"fitness": F.coalesce("new", "fitness"), "evaluated": F.lit(True), "tokens": F.coalesce("tokens", F.lit(0).cast("bigint"))}).drop("new")
 
 
-def evolve(spark: SparkSession, score: Callable[[DataFrame], DataFrame], path: str, config: Config | None = None) -> DataFrame:
+def first_generation(genomes: DataFrame) -> DataFrame:
+    """Genomes (slot and genes, and island if there are several populations) as a population that isn't evaluated yet."""
+    none = F.array().cast("array<string>")
+    return genomes.select(*(c for c in ("island", "slot") if c in genomes.columns), *GENES, F.lit(0).alias("generation"), none.alias("parents"), none.alias("mutations"), F.lit(False).alias("evaluated"), F.lit(None).cast("double").alias("fitness"))
+
+
+def evolve(spark: SparkSession, score: Callable[[DataFrame], DataFrame], path: str, config: Config | None = None, genomes: DataFrame | None = None) -> DataFrame:
     """All generations as they were evaluated, from snapshots under path, one written a generation.
 
-    Before each generation the cost so far is held against the budget; the last one isn't bred from.  A snapshot cuts the
-    lineage, so a lost executor costs at most one generation.
+    They start from genomes, or from a population of config's size.  Before each generation the cost so far is held
+    against the budget; the last one isn't bred from.  A snapshot cuts the lineage, so a lost executor costs at most one generation.
     """
     c = config or Config()
     size = min(max(c.population, LEAST), MOST)
-    population = seeded(spark, size, c.seed).withColumns({"generation": F.lit(0), "parents": F.array().cast("array<string>"), "mutations": F.array().cast("array<string>"), "evaluated": F.lit(False), "fitness": F.lit(None).cast("double")})
+    population = first_generation(seeded(spark, size, c.seed) if genomes is None else genomes)
+    schema = ("island bigint, " if "island" in population.columns else "") + SNAPSHOT
     spent = 0.0
     for generation in range(c.generations):
         if spent >= c.budget:
             break
         at = f"{path}/generation={generation}"
         evaluate(population, score).drop("generation").write.mode("overwrite").json(at)
-        kept = spark.read.schema(SNAPSHOT).json(at)
+        kept = spark.read.schema(schema).json(at)
         spent += (kept.agg(F.sum("tokens").alias("n")).first()["n"] or 0) * TOKEN_COST
         population = breed(kept, generation + 1, c.seed, c.elites, c.tournament, c.rate, lineage=True)
-    return spark.read.schema(f"{SNAPSHOT}, generation int").json(path)
+    return spark.read.schema(f"{schema}, generation int").json(path)
+
+
+def best_prompts(population: DataFrame, variants: dict[str, dict[str, list[str]]], n: int = 5) -> DataFrame:
+    """One row: best, the fittest individual as JSON, its two prompts (extraction_prompt, synthesis_prompt), and top, the n fittest as JSON.
+
+    variants: under "e" and "s" the texts of each gene.
+    """
+    told = F.struct(individual_id().alias("id"), *GENES, "fitness")
+    rows = best(population, n).select("fitness", "slot", told.alias("x"), prompt("e", variants["e"]).alias("extraction"), prompt("s", variants["s"]).alias("synthesis"))
+    order = F.struct((-F.col("fitness")).alias("at"), "slot", "x", "extraction", "synthesis")
+    all_ = rows.agg(F.array_sort(F.collect_list(order)).alias("all"))  # n rows
+    return all_.select(F.to_json(F.col("all")[0]["x"]).alias("best"), F.col("all")[0]["extraction"].alias("extraction_prompt"), F.col("all")[0]["synthesis"].alias("synthesis_prompt"), F.to_json(F.transform("all", lambda r: r["x"])).alias("top"))
 
 
 SNAPSHOT = "slot bigint, " + ", ".join(f"{g} int" for g in GENES) + ", parents array<string>, mutations array<string>, evaluated boolean, fitness double, tokens bigint"
@@ -199,6 +232,12 @@ def memoised(asked: DataFrame, memo: DataFrame, answer: Callable[[DataFrame], Da
     return asked.select("key").join(held, "key"), held
 
 
+def by_gene(population: DataFrame, *columns: str) -> DataFrame:
+    """A row a gene of each individual: island, gene, choice and the columns that are asked for."""
+    rows = F.explode(F.array(*(F.struct(F.lit(g).alias("gene"), F.col(g).alias("choice")) for g in GENES)))
+    return population.select("island", *columns, rows.alias("x")).select("island", *columns, "x.*")
+
+
 def importance(runs: DataFrame, genes: list[str]) -> DataFrame:
     """The best choice of each gene by mean fitness; ties: the one seen first (least seen)."""
     rows = F.explode(F.array(*(F.struct(F.lit(g).alias("gene"), F.col(g).alias("choice")) for g in genes)))

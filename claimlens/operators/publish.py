@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import LABELS
-from ..functions.text import escape_html, shorten
+from ..functions.text import shorten
+from ..sources import versions
 from .rubric import lookup
 
 POST_CHARS, POSTS = 300, 10
@@ -34,10 +37,6 @@ def page(reports: DataFrame, page: int, page_size: int, speaker: str | None = No
     return found.orderBy(F.desc("created_at"), "report_id").offset((page - 1) * size).limit(size)
 
 
-def claim_html(claim: Column, label: Column, confidence: Column, explanation: Column) -> Column:
-    return F.format_string('<div class="claim"><p>%s</p><b>%s</b><p>%s</p><i>Confidence: %s</i></div>', escape_html(claim), label, escape_html(explanation), confidence)
-
-
 def report_text(reports: DataFrame, verdicts: DataFrame, claims: DataFrame) -> DataFrame:
     """report_id, text: a heading for each report (report_id, speaker, date, venue), then a paragraph a verdict
     (report_id, claim_id, pos, label, confidence, explanation) in order, with its claim's text (claim_id, text) if there is one.
@@ -55,6 +54,29 @@ def frame(event: Column, data: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
 
 
-def counts_text(counts: list[Column]) -> Column:
-    """`n Label` of all labels with rows, in label order, comma-joined."""
-    return F.array_join(F.filter(F.array(*(F.when(n > 0, F.concat(n.cast("string"), F.lit(" "), F.lit(x[0]))) for n, x in zip(counts, LABELS))), lambda s: s.isNotNull()), ", ")
+def to_sinks(reports: DataFrame, sinks: dict[str, Callable[[DataFrame], Column | None]], now: Column) -> tuple[DataFrame, dict[str, str | None]]:
+    """Gives reports to each sink in turn, and tells of each why it failed, or null: one that fails doesn't stop the others.
+
+    A sink may return the address that a report has there, which becomes a column of its name; it is null where the sink failed or has none.
+    published_at is set last, whatever failed.
+    """
+    out, outcomes = reports, {}
+    for name, sink in sinks.items():
+        address = None
+        try:
+            address, outcomes[name] = sink(reports), None
+        except Exception as e:
+            outcomes[name] = f"{type(e).__name__}: {e}"[:200]
+        out = out.withColumn(name, F.lit(None).cast("string") if address is None else address)
+    return out.withColumn("published_at", now), outcomes
+
+
+def stored(path: str, reports: DataFrame) -> int:
+    """Upserts reports by report_id into a stored table of reports, the last one of an id by created_at; returns the version."""
+
+    def change(old: DataFrame | None) -> DataFrame:
+        every = reports if old is None else old.unionByName(reports)
+        rest = F.struct("created_at", *(c for c in reports.columns if c not in ("report_id", "created_at")))
+        return every.groupBy("report_id").agg(F.max(rest).alias("x")).select("report_id", "x.*").select(reports.columns)
+
+    return versions.update(reports.sparkSession, path, change)

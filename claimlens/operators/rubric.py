@@ -87,3 +87,11 @@ def scorecard(verdicts: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("label") != "Unverifiable", F.col("n"))).alias("decided"))
     joined = counts.crossJoin(F.broadcast(total))  # one row
     return joined.select("label", "n", (F.col("n") / F.col("total")).alias("share"), F.when(F.col("label") != "Unverifiable", F.col("n") / F.col("decided")).alias("decided_share"))
+
+
+def subtotals(scored: DataFrame, *groups: str) -> DataFrame:
+    """Counts of claims and mean scores by all of groups, by each part of them, and over all: in one pass, by grouping sets.
+
+    level tells which groups a row is over: a bit is set for each that is left out, the last group's being the lowest.
+    """
+    return scored.cube(*groups).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.sum("evidence_count").alias("evidence"), F.sum(F.col("numeric_score").cast("decimal(4,1)")).alias("score"))

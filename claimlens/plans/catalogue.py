@@ -366,10 +366,10 @@ def budget_stop(spark, sf_dir):
     return costs.withColumn("spent", spent).where("spent < 50000").select("gen", F.col("c").cast("double").alias("cost"))
 
 
-@query("WITH r AS (SELECT o_orderkey AS seen, CAST(o_totalprice AS DECIMAL(18,2)) AS f, o_orderkey % 5 AS persona, o_orderkey % 4 AS tone FROM orders), l AS (SELECT seen, f, 'persona' AS gene, persona AS choice FROM r UNION ALL SELECT seen, f, 'tone', tone FROM r), m AS (SELECT gene, choice, CAST(sum(f) AS DOUBLE) / count(*) AS mean, min(seen) AS first, count(*) AS n FROM l GROUP BY 1, 2) SELECT gene, choice AS best_choice, n AS runs FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY mean DESC, first) AS k FROM m) WHERE k = 1")
+@query("WITH r AS (SELECT o_orderkey AS seen, CAST(o_totalprice AS DECIMAL(18,2)) AS f, o_orderkey % 5 AS persona, o_orderkey % 4 AS tone FROM orders), l AS (SELECT seen, f, 'persona' AS gene, persona AS choice FROM r UNION ALL SELECT seen, f, 'tone', tone FROM r), m AS (SELECT gene, choice, CAST(sum(f) AS DOUBLE) / count(*) AS mean, min(seen) AS first, count(*) AS n FROM l GROUP BY 1, 2) SELECT gene, choice AS best_choice, round(mean, 2) AS best_mean, n AS runs FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY mean DESC, first) AS k FROM m) WHERE k = 1")
 def gene_importance(spark, sf_dir):
     runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seen"), F.col("o_totalprice").alias("fitness"), (F.col("o_orderkey") % 5).alias("persona"), (F.col("o_orderkey") % 4).alias("tone"))
-    return evolve.importance(runs, ["persona", "tone"]).drop("best_mean")
+    return evolve.importance(runs, ["persona", "tone"]).withColumn("best_mean", F.round("best_mean", 2))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
@@ -388,11 +388,36 @@ def genome_hash(spark, sf_dir):
     return genes.select("p_partkey", evolve.genome_hash(["a", "b", "c"]).alias("hash"))
 
 
-@query()
+#: Populations of a dozen parts each, whose genes and fitness are the parts'.
+def _genomes(spark, sf_dir):
+    key = F.col("p_partkey")
+    genes = [F.pmod(F.col("p_partkey") * (i + 3) + F.col("p_size"), F.lit(evolve.SIZES[g])).cast("int").alias(g) for i, g in enumerate(evolve.GENES)]
+    return table(spark, sf_dir, "part").select(F.floor(key / 12).alias("island"), (key % 12).alias("slot"), *genes, F.col("p_retailprice").alias("fitness"))
+
+
+def _draw(*parts: str) -> str:
+    return "CAST(('0x' || substr(md5(concat_ws('|', 7, 1, " + ", ".join(parts) + ")), 1, 8)) AS BIGINT) % 2147483648"
+
+
+@query(
+    f"""WITH base AS (SELECT p_partkey // 12 AS island, p_partkey % 12 AS slot, p_partkey, p_size, p_retailprice AS fitness FROM part),
+g(gene, i, size) AS (VALUES {", ".join(f"('{g}', {i}, {evolve.SIZES[g]})" for i, g in enumerate(evolve.GENES))}),
+genes AS (SELECT island, slot, gene, size, (p_partkey * (i + 3) + p_size) % size AS choice FROM base, g),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY fitness DESC, slot) - 1 AS r FROM base),
+kids AS (SELECT island, r AS child, (r - 2) // 2 AS pair, (r - 2) % 2 AS twin FROM ranked WHERE r >= 2),
+drawn AS (SELECT p.island, p.pair, side, b.slot, b.fitness, row_number() OVER (PARTITION BY p.island, p.pair, side ORDER BY {_draw("p.island", "p.pair", "b.slot", "side")}, b.slot) AS n
+  FROM (SELECT DISTINCT island, pair FROM kids) p JOIN base b ON b.island = p.island, (VALUES ('a'), ('b')) s(side)),
+parents AS (SELECT island, pair, side, slot FROM drawn WHERE n <= 3 QUALIFY row_number() OVER (PARTITION BY island, pair, side ORDER BY fitness DESC, slot) = 1),
+crossed AS (SELECT k.island, k.child, g.gene, g.size, CASE WHEN ({_draw("k.island", "k.pair", "g.gene", "'cross'")} < 1073741824) = (twin = 0) THEN x.choice ELSE y.choice END AS choice
+  FROM kids k, g JOIN parents a ON a.island = k.island AND a.pair = k.pair AND a.side = 'a' JOIN parents b ON b.island = k.island AND b.pair = k.pair AND b.side = 'b'
+  JOIN genes x ON x.island = k.island AND x.slot = a.slot AND x.gene = g.gene JOIN genes y ON y.island = k.island AND y.slot = b.slot AND y.gene = g.gene),
+grown AS (SELECT island, child AS slot, gene, CASE WHEN {_draw("island", "child", "gene", "'mutate'")} < 0.2 * 2147483648 THEN (choice + 1 + ({_draw("island", "child", "gene", "'to'")}) % (size - 1)) % size ELSE choice END AS choice FROM crossed
+  UNION ALL SELECT e.island, e.r, gene, choice FROM ranked e JOIN genes USING (island, slot) WHERE e.r < 2)
+SELECT island, slot, {", ".join(f"max(CASE WHEN gene = '{g}' THEN choice END) AS {g}" for g in evolve.GENES)} FROM grown GROUP BY island, slot"""
+)
 def ga_step(spark, sf_dir):
-    population = evolve.seeded(spark, 12, seed=7)
-    scored = population.withColumn("fitness", sum((F.col(g) for g in evolve.GENES), F.lit(0)) / 40.0)
-    return evolve.breed(scored, generation=1, seed=7)
+    """One generation of all populations."""
+    return evolve.breed(_genomes(spark, sf_dir), generation=1, seed=7)
 
 
 @query("SELECT conv_id, count(*) AS total_claims, count(*) FILTER (role = 'user') AS checkable_claims FROM conversations GROUP BY 1")

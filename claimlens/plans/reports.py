@@ -8,10 +8,11 @@ from ..fixed import COLOURS, LABELS, SOURCE_NAMES
 from ..functions import parsing
 from ..functions import text as T
 from ..operators import cache, evaluate, evolve, flow, render, rubric
-from ..sources import ingest
-from ..sources.evidence import Corpus, gather, relevant
+from ..sources import answers, ingest
+from ..sources.evidence import Corpus, Searched, gather, gathered, relevant
+from ..sources.scratch import kept, scratch
 from ..sources.tables import claims, evidence, table
-from .catalogue import _CLAIMS, _GOLD, _KEY, _RUBRIC, _TIER, _TOK, _case, _stub_claims, query
+from .catalogue import _CLAIMS, _GOLD, _KEY, _RUBRIC, _TIER, _TOK, _case, _genomes, _stub_claims, query
 
 _BASE = "https://example.org"
 _ABOUT = _case("label", [(x[0], x[2]) for x in LABELS], "''")
@@ -65,23 +66,26 @@ _BADGES = _counted(lambda n, label: f"'<span class=\"badge\" style=\"background:
     _REPORTED
     + f""", b AS (SELECT report_id, string_agg('<div class="claim"><div class="claim-text">' || {_escaped('text')} || '</div><span class="verdict-label" style="background:' || {_case('label', COLOURS)} || '">' || label
   || '</span><div class="explanation">' || explanation || '</div><div class="confidence">Confidence: ' || confidence || '</div></div>', chr(10) ORDER BY claim_id) AS blocks FROM q WHERE label IS NOT NULL GROUP BY 1)
-SELECT report_id, concat_ws(chr(10), '<!DOCTYPE html>', '<html lang="en">', '<head>', '<meta charset="UTF-8">', '<meta property="og:title" content="Fact Check: ' || speaker || '">',
+SELECT report_id, concat_ws(chr(10), '<!DOCTYPE html>', '<html lang="en">', '<head>', '<meta charset="UTF-8">', '<meta name="viewport" content="width=device-width, initial-scale=1.0">', '<meta property="og:title" content="Fact Check: ' || speaker || '">',
   '<meta property="og:description" content="' || checkable || ' claims checked · ' || {_counted(lambda n, label: f"{n} || ' {label}'", "', '")} || '">', '<meta property="og:type" content="article">',
-  '<meta property="og:image" content="{_BASE}/reports/' || report_id || '/card.png">', '<title>Fact Check: ' || speaker || '</title>', '</head>', '<body>', '<h1>Fact Check: ' || speaker || '</h1>',
+  '<meta property="og:image" content="{_BASE}/reports/' || report_id || '/card.png">', '<title>Fact Check: ' || speaker || ' — Checks</title>', '<style>body {{ margin: 2rem; }}</style>', '</head>', '<body>', '<h1>Fact Check: ' || speaker || '</h1>',
   '<div class="meta">' || coalesce(strftime(date, '%B %d, %Y'), '') || coalesce(' · ' || venue, '') || '</div>', '<div class="summary">' || {_BADGES} || '</div>', '<section id="claims">', coalesce(blocks, ''), '</section>',
-  '<footer>' || strftime(created_at, '%Y-%m-%d %H:%M') || ' UTC</footer>', '</body>', '</html>') AS html FROM t LEFT JOIN b USING (report_id)"""
+  '<footer>Generated by Checks · ' || strftime(created_at, '%Y-%m-%d %H:%M') || ' UTC</footer>', '</body>', '</html>') AS html FROM t LEFT JOIN b USING (report_id)"""
 )
 def report_pages(spark, sf_dir):
-    return render.page(_told(spark, sf_dir), _BASE)
+    return render.page(_told(spark, sf_dir), _BASE, "Checks", "body { margin: 2rem; }")
 
 
 _CATEGORY = _case("category", [("1-URGENT", "1-Urgent"), ("2-HIGH", "2-High"), ("3-MEDIUM", "3-Medium"), ("4-NOT SPECIFIED", "4-Not Specified"), ("5-LOW", "5-Low")], "'?'")
 _ITEMS = (
     _REPORTED
     + f""", c AS (SELECT report_id, string_agg(DISTINCT '<category>' || {_CATEGORY} || '</category>', chr(10) ORDER BY '<category>' || {_CATEGORY} || '</category>') AS named FROM q GROUP BY 1),
+d AS (SELECT report_id, string_agg(chr(10) || '[' || label || '] ' || text || chr(10) || '  Confidence: ' || confidence || chr(10) || '  ' || explanation || chr(10), '' ORDER BY claim_id) AS told FROM q WHERE label IS NOT NULL GROUP BY 1),
 i AS (SELECT report_id, created_at, concat_ws(chr(10), '<item>', '<title>Fact Check: ' || speaker || ' — ' || coalesce(strftime(date, '%Y-%m-%d'), 'Unknown date') || '</title>', '<link>{_BASE}/reports/' || report_id || '</link>',
   '<guid isPermaLink="false">' || report_id || '</guid>', '<pubDate>' || strftime(created_at, '%a, %d %b %Y %H:%M:%S +0000') || '</pubDate>', '<description>&lt;strong&gt;Fact Check: ' || speaker || '&lt;/strong&gt;', '',
-  nullif({_counted(lambda n, label: f"'• {label}: ' || {n}", "chr(10)")}, ''), '&lt;br&gt;&lt;a href=''{_BASE}/reports/' || report_id || '''&gt;Read full report&lt;/a&gt;</description>', named, '</item>') AS item FROM t LEFT JOIN c USING (report_id))
+  nullif({_counted(lambda n, label: f"'• {label}: ' || {n}", "chr(10)")}, ''), '&lt;br&gt;&lt;a href=''{_BASE}/reports/' || report_id || '''&gt;Read full report&lt;/a&gt;</description>', named,
+  '<dc:description>' || replace(replace(replace(concat_ws(chr(10), 'Fact-check report for ' || speaker, 'Date: ' || strftime(date, '%B %d, %Y'), 'Venue: ' || venue) || chr(10) || coalesce(told, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</dc:description>', '</item>') AS item
+  FROM t LEFT JOIN c USING (report_id) LEFT JOIN d USING (report_id))
 """
 )
 
@@ -91,17 +95,22 @@ def feed_items(spark, sf_dir):
     return render.feed_item(_told(spark, sf_dir), _BASE)
 
 
-@query(
-    _ITEMS
-    + f"""SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom">' || chr(10) || '<channel>' || chr(10) || '<title>Checks</title>' || chr(10) || '<link>{_BASE}</link>' || chr(10)
-  || '<description>Reports</description>' || chr(10) || '<language>en-us</language>' || chr(10) || '<lastBuildDate>Mon, 01 Apr 2024 00:00:00 +0000</lastBuildDate>' || chr(10) || '<atom:link href="{_BASE}/feed.xml" rel="self" type="application/rss+xml"/>' || chr(10)
-  || string_agg(item, chr(10) ORDER BY created_at DESC, report_id) || chr(10) || '</channel>' || chr(10) || '</rss>' AS feed FROM (SELECT * FROM i ORDER BY created_at DESC, report_id LIMIT 50)"""
-)
+_HEAD = f"""'<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom" xmlns:dc="http://purl.org/dc/elements/1.1/">' || chr(10) || '<channel>' || chr(10) || '<title>Checks</title>' || chr(10) || '<link>{_BASE}</link>' || chr(10)
+  || '<description>Reports</description>' || chr(10) || '<language>en-us</language>' || chr(10) || '<generator>Checks</generator>' || chr(10) || '<lastBuildDate>Mon, 01 Apr 2024 00:00:00 +0000</lastBuildDate>' || chr(10) || '<atom:link href="{_BASE}/feed.xml" rel="self" type="application/rss+xml"/>'"""
+
+
+@query(_ITEMS + f"SELECT {_HEAD} || chr(10) || string_agg(item, chr(10) ORDER BY created_at DESC, report_id) || chr(10) || '</channel>' || chr(10) || '</rss>' AS feed FROM i")
 def feed_document(spark, sf_dir):
-    return render.feed(render.feed_item(_told(spark, sf_dir), _BASE), "Checks", _BASE, "Reports", F.lit("2024-04-01"), 50)
+    return render.feed(render.feed_item(_told(spark, sf_dir), _BASE), "Checks", _BASE, "Reports", F.lit("2024-04-01"), generator="Checks")
+
+
+@query(_ITEMS + f"SELECT 0 AS part, 0 AS at, '' AS report_id, {_HEAD} AS line UNION ALL SELECT 1, -epoch_us(created_at), CAST(report_id AS VARCHAR), item FROM i UNION ALL SELECT 2, 0, '', '</channel>' || chr(10) || '</rss>'")
+def feed_rows(spark, sf_dir):
+    """The same document as rows."""
+    return render.feed_lines(render.feed_item(_told(spark, sf_dir), _BASE), "Checks", _BASE, "Reports", F.lit("2024-04-01"), "Checks")
 
 
-_BRIEF = "to_json({'report_id': report_id, 'speaker': speaker, 'date': strftime(date, '%Y-%m-%dT%H:%M:%S'), 'created_at': strftime(created_at, '%Y-%m-%dT%H:%M:%S'), 'total_claims': total, 'verdict_summary': {" + ", ".join(f"'{x[0]}': n{i}" for i, x in enumerate(LABELS)) + "}, 'report_url': NULL})"
+_BRIEF = "to_json({'id': report_id, 'speaker': speaker, 'date': strftime(date, '%Y-%m-%dT%H:%M:%S'), 'created_at': strftime(created_at, '%Y-%m-%dT%H:%M:%S'), 'total_claims': total, 'verdict_summary': {" + ", ".join(f"'{x[0]}': n{i}" for i, x in enumerate(LABELS)) + "}, 'report_url': NULL})"
 
 
 @query(
@@ -122,6 +131,17 @@ def report_claims(spark, sf_dir):
     return render.claim_json(_told(spark, sf_dir))
 
 
+@query(
+    _REPORTED
+    + """, j AS (SELECT report_id, list({'id': claim_id, 'text': text, 'category': category, 'is_checkable': checkable, 'verdict': CASE WHEN label IS NOT NULL THEN {'label': label, 'confidence': confidence, 'explanation': explanation} END} ORDER BY claim_id) AS x FROM q GROUP BY 1)
+SELECT report_id, CAST(to_json({'id': report_id, 'speaker': speaker, 'date': strftime(date, '%Y-%m-%dT%H:%M:%S'), 'venue': venue, 'created_at': strftime(created_at, '%Y-%m-%dT%H:%M:%S'), 'published_at': NULL, 'report_url': NULL, 'bluesky_thread_url': NULL, 'rss_feed_url': NULL, 'total_claims': total, 'checkable_claims': checkable, 'verdict_summary': {"""
+    + ", ".join(f"'{x[0]}': n{i}" for i, x in enumerate(LABELS))
+    + """}, 'claims': coalesce(x, [])}) AS VARCHAR) AS report FROM t LEFT JOIN j USING (report_id)"""
+)
+def report_objects(spark, sf_dir):
+    return render.report_object(_told(spark, sf_dir))
+
+
 _LINES = _counted(lambda n, label: f"'{dict((x[0], x[3]) for x in LABELS)[label]} {label}: ' || {n}", "chr(10)")
 
 
@@ -463,7 +483,136 @@ def evidence_texts(spark, sf_dir):
 
 @query()
 def ga_run(spark, sf_dir):
-    """Three generations whose fitness is a gene sum; snapshots go to the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/claimlens-checkpoints"
-    score = lambda p: p.withColumns({"fitness": sum((F.col(g) for g in evolve.GENES), F.lit(0)) / 40.0, "tokens": F.lit(1000)})
-    return evolve.evolve(spark, score, f"{base.rstrip('/')}/claimlens/ga-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.System.nanoTime()}", evolve.Config(generations=3, population=6, seed=3))
+    """Three generations of populations of a dozen parts each; a genome's fitness is the mean price of the parts that share its choices."""
+    parts = _genomes(spark, sf_dir)
+    shared = evolve.by_gene(parts, "fitness").groupBy("gene", "choice").agg((F.sum(F.col("fitness").cast("decimal(18,2)")) / F.count(F.lit(1))).cast("double").alias("price"))
+
+    def score(population):
+        each = evolve.by_gene(population, "slot").join(shared, ["gene", "choice"])
+        return each.groupBy("island", "slot").agg(F.round(F.avg("price"), 6).alias("fitness")).withColumn("tokens", F.lit(10))
+
+    return evolve.evolve(spark, score, scratch(spark, "ga"), evolve.Config(generations=3, seed=3), parts.drop("fitness"))
+
+
+_ANSWERED = (
+    _FITNESS.rstrip().removesuffix(",")
+    + f""", m15 AS MATERIALIZED {_matched('gold', 'found', '>= 0.15')}, e AS (SELECT m15.ref_id, m15.text AS claim_text, verdict AS ref_verdict, CASE WHEN a.label IS NULL THEN '?' ELSE a.label END AS label, coalesce(a.label, 'Unverifiable') AS used, coalesce(a.confidence, '?') AS confidence, coalesce(a.explanation, '') AS explanation
+  FROM m15 JOIN gold USING (ref_id) LEFT JOIN (SELECT o_orderkey AS ref_id, {_case("o_orderkey % 4", [(0, "True"), (1, "False"), (2, "Misleading"), (3, "odd")])} AS label, CASE WHEN o_orderkey % 2 = 0 THEN 'High' END AS confidence, o_orderpriority AS explanation FROM orders WHERE o_orderkey % 5 > 0) a USING (ref_id)),
+s AS (SELECT *, 1 - abs((SELECT {_PLACE} FROM (SELECT ref_verdict AS x)) - (SELECT {_PLACE} FROM (SELECT used AS x))) / 5.0::DOUBLE AS agreement_score FROM e)
+"""
+)
+
+
+def _answered(spark, sf_dir):
+    """Matched gold rows, and an answer for most of them."""
+    gold, found, _ = _run(spark, sf_dir)
+    told = gold.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("explanation"), _sources().alias("sources")), "ref_id")
+    asked = evaluate.asked_of(evaluate.matches(told, found.where("coalesce(is_checkable, true)"), combined=False, threshold=evaluate.EVAL_THRESHOLD), told)
+    label = rubric.lookup((F.col("o_orderkey") % 4).cast("int"), [(0, "True"), (1, "False"), (2, "Misleading"), (3, "odd")])
+    said = table(spark, sf_dir, "orders").where("o_orderkey % 5 > 0").select(F.col("o_orderkey").alias("ref_id"), label.alias("label"), F.when(F.col("o_orderkey") % 2 == 0, "High").alias("confidence"), F.col("o_orderpriority").alias("explanation"), (F.col("o_orderkey") % 100).alias("tokens_in"), (F.col("o_orderkey") % 30).alias("tokens_out"))
+    return gold, asked, said
+
+
+@query(_ANSWERED + "SELECT ref_id, claim_text, ref_verdict, label, confidence, explanation, agreement_score, CASE WHEN agreement_score >= 0.8 THEN 'YES' WHEN agreement_score >= 0.4 THEN '~' ELSE 'NO' END AS mark, CAST(row_number() OVER (ORDER BY agreement_score, ref_id) AS INTEGER) AS n FROM s")
+def eval_results(spark, sf_dir):
+    _, asked, said = _answered(spark, sf_dir)
+    return evaluate.eval_rows(asked, said)
+
+
+@query(_ANSWERED + "SELECT n AS matched, va AS verdict_agreement, total_ref, tokens_in, tokens_out, n / total_ref AS recall, 0.25 * n / total_ref + 0.30 * va AS fitness_approx, 15e-6 * tokens_in + 75e-6 * tokens_out AS cost FROM (SELECT count(*) AS n, coalesce(avg(agreement_score), 0.0) AS va FROM s), (SELECT count(*) AS total_ref FROM benchmark), (SELECT CAST(sum(o_orderkey % 100) AS BIGINT) AS tokens_in, CAST(sum(o_orderkey % 30) AS BIGINT) AS tokens_out FROM orders WHERE o_orderkey % 5 > 0)")
+def eval_summary(spark, sf_dir):
+    gold, asked, said = _answered(spark, sf_dir)
+    return evaluate.eval_totals(evaluate.eval_rows(asked, said), gold, said)
+
+
+@query()
+def run_fitness_combined(spark, sf_dir):
+    """The whole run with the similarity that also sees parts of words."""
+    return evaluate.run_fitness(*_run(spark, sf_dir), tokens=1250)
+
+
+@query(_RUBRIC + f""", x AS (SELECT n_name, label, evidence_count, {_case('label', [(x[0], x[1]) for x in LABELS])} AS score FROM v JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT n_name AS nation, label, GROUPING(n_name, label) AS level, count(*) AS n, CAST(sum(evidence_count) AS BIGINT) AS evidence, CAST(sum(score) AS DOUBLE) AS score FROM x GROUP BY CUBE (n_name, label)""")
+def verdict_cube(spark, sf_dir):
+    who = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    scored = rubric.rubric(claims(spark, sf_dir), evidence(spark, sf_dir)).join(who.select(F.col("o_orderkey").alias("claim_id"), F.col("n_name").alias("nation")), "claim_id")
+    return rubric.subtotals(scored, "nation", "label").withColumn("score", F.col("score").cast("double"))
+
+
+@query("SELECT user_id AS key, count(*) AS asked, CAST(user_id * 2 AS VARCHAR) AS answer, user_id % 3 = 0 AND user_id % 2 = 0 AS kept, 2 AS version FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def memo_files(spark, sf_dir):
+    """Answers kept in files, of which some are broken: those are worked out again, and written anew."""
+    key = F.col("user_id").cast("string")
+    asked = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(key.alias("key"), "user_id")
+    path = scratch(spark, "memo")
+    whole = F.concat(F.lit('{"key": "'), key, F.lit('", "answer": "'), (F.col("user_id") * 2).cast("string"), F.lit('"}'))
+    line = F.when(F.col("user_id") % 2 == 0, whole).when(F.col("user_id") % 4 == 1, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(F.lit('{"key": 1}'))
+    answers.versions.save(asked.where("user_id % 3 = 0").select("user_id", line.alias("value")).distinct().select("value"), path, "text")
+    memo, _ = answers.load(spark, path)
+    told, held = evolve.memoised(asked.select("key"), memo, lambda new: new.select("key", (F.col("key").cast("bigint") * 2).cast("string").alias("answer")))
+    version = answers.save(held, path)
+    again, broken = answers.load(spark, path)
+    if broken.limit(1).count():
+        raise ValueError("answers were written broken")
+    counts = told.groupBy("key").agg(F.count(F.lit(1)).alias("asked"))
+    out = counts.join(again, "key").join(memo.select("key", F.lit(True).alias("kept")), "key", "left")
+    return out.select(F.col("key").cast("bigint").alias("key"), "asked", "answer", F.coalesce("kept", F.lit(False)).alias("kept"), F.lit(version).alias("version"))
+
+
+def _pages(spark, sf_dir):
+    site = F.element_at(F.array(*map(F.lit, _SITES)), (F.pmod("page_id", F.lit(5)) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("claim_id"), F.concat(site, F.lit("?"), F.col("page_id").cast("string")).alias("url"), F.col("html").alias("text"), F.col("page_id").alias("pos"))
+
+
+_KEPT = f"""WITH s AS (SELECT page_id % 20 AS claim_id, {_case('page_id % 5', list(enumerate(_SITES)))} || '?' || page_id AS url, html, page_id AS pos FROM pages),
+w AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY pos, url) AS n FROM s)"""
+
+
+@query(_KEPT + " SELECT CAST(claim_id AS VARCHAR) AS claim_id, CAST(n AS INTEGER) AS pos, url, html AS text FROM w WHERE n <= 4")
+def kept_searches(spark, sf_dir):
+    """Searches that were kept as files, read by a source of their own."""
+    answers.register(spark)
+    path = scratch(spark, "searches")
+    results = F.transform(F.array_sort(F.collect_list(F.struct("pos", "url", "text"))), lambda r: F.struct(r["url"].alias("url"), r["text"].alias("description")))
+    lots = _pages(spark, sf_dir).groupBy("claim_id").agg(results.alias("results"))
+    lots.repartition(20, "claim_id").select(F.to_json(F.struct("claim_id", F.struct("results").alias("web"))).alias("value")).write.text(f"{path}/all")
+    return kept(answers.files_read(spark, f"{path}/all", 4), "found").select("claim_id", "pos", "url", "text")
+
+
+@query("SELECT 'shaky' AS source_name, o_orderkey AS claim_id, 'ValueError: no answer to ' || o_orderkey AS error, 0 AS evidence FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'gone', NULL, 'RuntimeError: out of service', 0 UNION ALL SELECT 'all', NULL, '', count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey FROM orders, range(2))")
+def evidence_failures(spark, sf_dir):
+    """Sources of which one fails at some claims and one at all: the third's evidence is complete, and so is what the first found."""
+
+    class Gone:
+        name = "gone"
+
+        def available(self) -> bool:
+            return True
+
+        def evidence(self, claims):
+            raise RuntimeError("out of service")
+
+    def shaky(text, category):
+        if int(text) % 7 == 0:
+            raise ValueError(f"no answer to {text}")
+        return [{"url": f"https://example.org/{text}", "text": "found"}]
+
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderkey").cast("string").alias("text"))
+    steady = asked.select("claim_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).select("claim_id", F.lit("https://example.org").alias("url"), F.lit("x").alias("text"), "pos")
+    rows, failures = gathered(asked, [Searched("shaky", shaky), Gone(), Corpus("steady", steady)])
+    counted = rows.agg(F.lit("all").alias("source_name"), F.lit(None).cast("bigint").alias("claim_id"), F.lit("").alias("error"), F.count(F.lit(1)).alias("evidence"))
+    return failures.withColumn("evidence", F.lit(0).cast("bigint")).unionByName(counted)
+
+
+@query(
+    f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS n FROM part), t AS (SELECT {", ".join(f"(p_partkey * {i + 3} + p_size) % {evolve.SIZES[g]} AS {g}" for i, g in enumerate(evolve.GENES))}, n FROM p WHERE n <= 5)
+SELECT n, concat_ws(chr(10) || chr(10), """
+    + ", ".join(f"CASE WHEN e_{g} > 0 THEN '{g} ' || e_{g} END" if g in evolve.OPTIONAL else f"'{g} ' || e_{g}" for g in evolve.EXTRACTION_ORDER)
+    + """) AS extraction_prompt FROM t"""
+)
+def best_prompts(spark, sf_dir):
+    """The prompts of the five fittest, as they are kept after a run."""
+    variants = {"e": {g: [f"{g} {i}" for i in range(evolve.SIZES[f"e_{g}"])] for g in evolve.EXTRACTION_ORDER}, "s": {g: [f"{g} {i}" for i in range(evolve.SIZES[f"s_{g}"])] for g in evolve.SYNTHESIS_ORDER}}
+    genomes = _genomes(spark, sf_dir).withColumn("slot", F.col("island") * 12 + F.col("slot"))
+    top = evolve.best_prompts(genomes, variants).select(F.posexplode(F.from_json("top", f"array<struct<{', '.join(f'{g} int' for g in evolve.GENES)}>>")).alias("at", "x"))
+    return top.select((F.col("at") + 1).alias("n"), "x.*").select("n", evolve.prompt("e", variants["e"]).alias("extraction_prompt"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import FACT_CHECK_DOMAINS, FACT_CHECK_NAMES, FIGURE_CATEGORIES
 from ..functions.text import is_economic, series_of, tier_of
+from .scratch import kept
 
 COLUMNS = ["claim_id", "source_name", "source_url", "source_tier", "snippet", "supports_claim", "relevance_score", "pos"]
 
@@ -88,9 +91,82 @@ def fact_check_name():
     return out
 
 
+FOUND = "claim_id string, url string, text string, pos int, error string"
+
+
+class Searched:
+    """Evidence by a function that is called for each claim where the claims lie: search(text, category) gives rows of url and text.
+
+    What it raises is that claim's failure alone: a row with the error and no evidence.
+    """
+
+    def __init__(self, name: str, search: Callable[[str, str | None], Iterable[dict]], most: int = 5, ready: bool = True) -> None:
+        self.name, self.search, self.most, self.ready = name, search, most, ready
+
+    def available(self) -> bool:
+        return self.ready
+
+    def found(self, claims: DataFrame) -> DataFrame:
+        """claim_id, url, text, pos and error."""
+        search, most = self.search, self.most
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for claim, text, category in zip(frame["claim_id"], frame["text"], frame["category"]):
+                    try:
+                        rows = [(r["url"], r.get("text")) for r in itertools.islice(search(text, category), most)]
+                        out += [(claim, url, body, i, None) for i, (url, body) in enumerate(rows, 1)]
+                    except Exception as e:
+                        out.append((claim, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+                yield pd.DataFrame(out, columns=["claim_id", "url", "text", "pos", "error"]).astype({"pos": "Int32"})
+
+        kind = claims.schema["claim_id"].dataType.simpleString()
+        asked = claims.select("claim_id", "text", F.col("category") if "category" in claims.columns else F.lit(None).cast("string").alias("category"))
+        return asked.mapInPandas(run, FOUND.replace("claim_id string", f"claim_id {kind}"))
+
+    def evidence(self, claims: DataFrame) -> DataFrame:
+        """Evidence rows, and failures: rows without an address, with error."""
+        rows = self.found(claims)
+        return rows.select("claim_id", F.lit(self.name).alias("source_name"), F.col("url").alias("source_url"), tier_of(F.col("url")).alias("source_tier"), F.substring("text", 1, 500).alias("snippet"), F.lit(None).cast("boolean").alias("supports_claim"), F.lit(0.5).alias("relevance_score"), "pos", "error")
+
+
+def default_sources(results: DataFrame | None = None, observations: DataFrame | None = None) -> list[EvidenceSource]:
+    """The usual sources in their order: official figures, fact checks and the web; the last two of search results (claim_id, url, text, pos)."""
+    searched = [Corpus("fact checks", results, 3, fact_checks=True), Corpus("web", results, 5)] if results is not None else []
+    return [GovernmentData(observations), *searched]
+
+
 def gather(claims: DataFrame, sources: Sequence[EvidenceSource]) -> DataFrame:
-    """Evidence of all available sources, in the order of the sources (rank) and of their results (pos)."""
-    rows = [s.evidence(claims).select(*COLUMNS).withColumn("rank", F.lit(i)) for i, s in enumerate(sources) if s.available()]
-    if not rows:
+    """Evidence of all available sources, in the order of the sources (rank) and of their results (pos).
+
+    What a source fails at is left out; ``gathered`` tells of it.
+    """
+    return gathered(claims, sources)[0]
+
+
+def gathered(claims: DataFrame, sources: Sequence[EvidenceSource]) -> tuple[DataFrame, DataFrame]:
+    """Evidence, and failures (source_name, claim_id, error): a source that fails, at all or at some claims, doesn't stop the others.
+
+    A source that fails as a whole has one row without claim_id.
+    """
+    rows, failed = [], []
+    kind = claims.schema["claim_id"].dataType.simpleString()
+    ready = [(i, s) for i, s in enumerate(sources) if s.available()]
+    if not ready:
         raise ValueError("no evidence source is available")
-    return reduce(DataFrame.unionByName, rows)
+    spark = claims.sparkSession
+    for i, s in ready:
+        try:
+            found = s.evidence(claims)
+            if "error" in found.columns:
+                found = kept(found, "evidence")  # it is asked once
+                failed.append(found.where("error IS NOT NULL").select(F.lit(s.name).alias("source_name"), "claim_id", "error"))
+                found = found.where("error IS NULL")
+            rows.append(found.select(*COLUMNS).withColumn("rank", F.lit(i)))
+        except Exception as e:
+            failed.append(spark.createDataFrame([(s.name, None, f"{type(e).__name__}: {e}"[:200])], f"source_name string, claim_id {kind}, error string"))
+    if not rows:
+        raise ValueError("every evidence source failed")
+    none = spark.createDataFrame([], f"source_name string, claim_id {kind}, error string")
+    return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, failed, none)

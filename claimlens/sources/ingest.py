@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 STRIPPED, UNDATED = "Detected and stripped subtitle timing markers.", "Could not detect a date in the transcript."
-SUFFIXES = (".txt", ".md", ".srt", ".vtt")
 
 
 def transcript_id(*parts: Column) -> Column:
@@ -43,18 +45,36 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.expr("try_validate_utf8(cast(content AS string))").alias("whole"), F.col("content").cast("string").alias("any"), "path").select(F.coalesce("whole", F.expr("make_valid_utf8(any)")).alias("text"), F.col("path").alias("source_url"))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether there is something of that name; a text that is no name at all is none."""
+    if not path.strip() or "\n" in path or len(path) > 4096:
+        return False
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+    except Py4JJavaError:
+        return False
+
+
+def given_date(text: str) -> date:
+    """The day that is named as YYYY-MM-DD; raises ValueError for anything else."""
+    return datetime.strptime(text, "%Y-%m-%d").date()
+
+
 def ingest(spark: SparkSession, source: str, fetched: DataFrame | None = None, **known) -> tuple[DataFrame, DataFrame]:
-    """Transcripts, and blank rows, of an address, a file or a text itself.
+    """Transcripts, and blank rows, of an address, of a file if there is one of that name, or else of a text itself.
 
     Addresses are looked up in fetched pages (url, html), whose body counts as it is; nothing is fetched here.
-    known gives speaker, date, venue.
+    known gives speaker, date (a day, or its text as YYYY-MM-DD) and venue.
     """
     if source.startswith(("http://", "https://")):
         if fetched is None:
             raise ValueError("pages have to be given for an address")
         rows = fetched.where(F.col("url") == source).select(F.col("html").alias("text"), F.col("url").alias("source_url"))
-    elif source.endswith(SUFFIXES) and "\n" not in source:
+    elif is_file(spark, source):
         rows = files(spark, source)
     else:
         rows = spark.createDataFrame([(source,)], "text string")
+    if isinstance(known.get("date"), str):
+        known["date"] = given_date(known["date"])
     return transcripts(rows.withColumns({k: F.lit(v) for k, v in known.items()}))

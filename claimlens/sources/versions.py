@@ -41,11 +41,11 @@ def _folder(spark: SparkSession, path: str, version: int) -> str:
     raise OSError(f"version {version} of {path} was begun and not ended")
 
 
-def commit(rows: DataFrame, path: str, version: int) -> int:
+def commit(rows: DataFrame, path: str, version: int, form: str = "parquet") -> int:
     """Writes rows as this version; raises Taken, and leaves nothing behind, if there is one of that number."""
     spark = rows.sparkSession
     name = f"data-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/{name}")
+    rows.write.format(form).save(f"{path}/{name}")
     at, files = _files(spark, f"{path}/_log/{version:012d}")
     try:
         out = files.create(at, False)
@@ -60,19 +60,19 @@ def commit(rows: DataFrame, path: str, version: int) -> int:
     return version
 
 
-def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, version: int | None = None, form: str = "parquet") -> DataFrame:
     """A version's rows, the last one's if none is named; raises FileNotFoundError without any."""
     last = newest(spark, path) if version is None else version
     if not last:
         raise FileNotFoundError(f"there is no version of {path}")
-    return spark.read.parquet(_folder(spark, path, last))
+    return spark.read.format(form).load(_folder(spark, path, last))
 
 
-def save(rows: DataFrame, path: str) -> int:
+def save(rows: DataFrame, path: str, form: str = "parquet") -> int:
     """Rows as a new last version, whatever was there before."""
     while True:
         try:
-            return commit(rows, path, newest(rows.sparkSession, path) + 1)
+            return commit(rows, path, newest(rows.sparkSession, path) + 1, form)
         except Taken:
             continue
 

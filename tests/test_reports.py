@@ -275,10 +275,19 @@ def test_transcripts(spark, tmp_path):
     file.write_bytes(b"Given on 5 May 2024. \xff ok")
     r = ingest.ingest(spark, str(file), speaker="Bo")[0].first()
     assert r["text"] == "Given on 5 May 2024. � ok" and str(r["date"]) == "2024-05-05" and r["speaker"] == "Bo" and r["source_url"].endswith("a.txt")
+    talk = tmp_path / "talk.log"
+    talk.write_text("A talk in the Rose Garden.")
+    r = ingest.ingest(spark, str(talk), date="2024-05-06")[0].first()
+    assert (r["text"], str(r["date"]), r["venue"]) == ("A talk in the Rose Garden.", "2024-05-06", "Rose Garden")
+    assert ingest.ingest(spark, str(tmp_path / "none.txt"))[0].first()["text"] == str(tmp_path / "none.txt")
+    for bad in ("6 May 2024", "2024-13-01", ""):
+        with pytest.raises(ValueError):
+            ingest.ingest(spark, "x", date=bad)
     with pytest.raises(FileNotFoundError):
-        ingest.ingest(spark, str(tmp_path / "none.txt"))
-    with pytest.raises(ValueError):
-        ingest.files(spark, str(tmp_path))
+        ingest.files(spark, str(tmp_path / "none.txt"))
+    for folder in (ingest.files, ingest.ingest):
+        with pytest.raises(ValueError):
+            folder(spark, str(tmp_path))
     with pytest.raises(ValueError):
         ingest.ingest(spark, "https://x/y")
     pages = spark.createDataFrame([("https://x/y", "body text")], "url string, html string")
@@ -306,9 +315,9 @@ def test_twins_and_lineage(spark):
         mother, father = (names[i] for i in rows[a]["parents"])
         assert rows[a]["parents"] == rows[b]["parents"] and not rows[a]["mutations"] and not rows[a]["evaluated"]
         assert all(sorted((rows[a][g], rows[b][g])) == sorted((mother[g], father[g])) for g in evolve.GENES)
-    assert rows[0]["evaluated"] and rows[0]["fitness"] == pytest.approx(0.7)
+    assert rows[0]["mutations"] == ["[elite carry-forward]"] and rows[0]["evaluated"] and rows[0]["fitness"] == pytest.approx(0.7)
     for r in evolve.breed(scored, 1, seed=1, rate=1.0, lineage=True).where("not evaluated").collect():
-        assert len(r["mutations"]) == 14 and all(int(m.split(" -> ")[1]) == r[m.split(":")[0]] for m in r["mutations"])
+        assert len(r["mutations"]) == 14 and all(int(m.split(" -> ")[1]) == r[m.split(":")[0].replace("extraction.", "e_").replace("synthesis.", "s_").removesuffix("_idx")] for m in r["mutations"])
     with pytest.raises(ValueError):
         evolve.breed(spark.range(200).select(F.col("id").alias("slot"), *(F.lit(0).alias(g) for g in evolve.GENES), F.lit(0.0).alias("fitness")), 1)
 
