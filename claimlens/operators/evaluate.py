@@ -70,6 +70,7 @@ def _jaccard(gold: DataFrame, extracted: DataFrame) -> DataFrame:
     late in either text: the rest of the look-ups leave out a text's last, most common tokens, texts too long or too short,
     and places where too few tokens follow.  Common tokens so hardly ever bring texts together, and no row is lost.
     """
+    gold, extracted = kept(gold, "gold"), kept(extracted, "extracted")  # tokens are made once
     uses = kept(extracted.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "uses")
     asked = kept(_rarest_first(gold, "ref_id", uses), "asked")
     held = _rarest_first(extracted, "pos", uses).select("pos", F.col("n").alias("nb"), F.col("rare").alias("tb"))

@@ -3,11 +3,13 @@
 import hashlib
 import json
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from claimlens.fixed import GOLD_POSITION, LABEL_POSITION, SEED_GENOMES
 from claimlens.functions import parsing
 from claimlens.functions import similarity as S
 from claimlens.functions import text as T
@@ -358,3 +360,99 @@ def test_genomes_and_memo(spark):
 
     told, held = evolve.memoised(asked, memo, answer)
     assert sorted(map(tuple, told.collect())) == [("a", 2), ("a", 2), ("b", 1)] and held.count() == 2 and set(seen) == {"a"}
+
+
+def plain_breed(rows, generation, seed, elites=2, tournament=3, rate=0.2):
+    """A generation of one population [(slot, genes, fitness)] of island 0, draw by draw."""
+    draw = lambda *parts: int(hashlib.md5("|".join(map(str, (seed, generation, *parts))).encode()).hexdigest()[:8], 16) % 2**31
+    ranked = sorted(rows, key=lambda r: (-r[2], r[0]))
+    out = [(i, r[1]) for i, r in enumerate(ranked[:elites])]
+    for child in range(elites, len(rows)):
+        pair, twin = divmod(child - elites, 2)
+        parents = {}
+        for side in "ab":
+            drawn = sorted(rows, key=lambda r: (draw(0, pair, r[0], side), r[0]))[:tournament]
+            parents[side] = max(drawn, key=lambda r: (r[2], -r[0]))[1]
+        genes = []
+        for i, g in enumerate(evolve.GENES):
+            first = draw(0, pair, g, "cross") / 2**31 < 0.5
+            x = parents["a" if first == (twin == 0) else "b"][i]
+            if draw(0, child, g, "mutate") / 2**31 < rate:
+                x = (x + 1 + draw(0, child, g, "to") % (evolve.SIZES[g] - 1)) % evolve.SIZES[g]
+            genes.append(x)
+        out.append((child, genes))
+    return out
+
+
+def test_evolution_draw_by_draw(spark, tmp_path):
+    """Three generations equal a plain loop, and islands go their own ways."""
+    weigh = lambda genes: sum(x * (i + 1) for i, x in enumerate(genes)) / 40.0
+    score = lambda p: p.withColumns({"fitness": sum((F.col(g) * (i + 1) for i, g in enumerate(evolve.GENES)), F.lit(0)) / 40.0, "tokens": F.lit(1)})
+    start = evolve.seeded(spark, 9, seed=5)
+    runs = evolve.evolve(spark, score, f"file://{tmp_path}/one", evolve.Config(generations=3, seed=5), start)
+    rows = [(r["slot"], [r[g] for g in evolve.GENES]) for r in start.orderBy("slot").collect()]
+    assert [g for _, g in rows[1:4]] == SEED_GENOMES
+    for generation in range(3):
+        got = [(r["slot"], [r[g] for g in evolve.GENES]) for r in runs.where(F.col("generation") == generation).orderBy("slot").collect()]
+        assert got == rows
+        rows = plain_breed([(slot, genes, weigh(genes)) for slot, genes in rows], generation + 1, 5)
+    both = start.withColumn("island", F.lit(0).cast("bigint")).unionByName(evolve.seeded(spark, 5, seed=6).withColumn("island", F.lit(1).cast("bigint")))
+    many = evolve.evolve(spark, score, f"file://{tmp_path}/two", evolve.Config(generations=2, seed=5), both)
+    key = lambda r: (r["slot"], *(r[g] for g in evolve.GENES))
+    assert sorted(map(key, many.where("island = 0 AND generation = 1").collect())) == sorted(map(key, runs.where("generation = 1").collect()))
+    assert many.where("island = 1 AND generation = 1").count() == 5
+
+
+def test_best_prompts(spark):
+    variants = {p: {g: [f"{p}{g}{i}" for i in range(5)] for g in order} for p, order in (("e", evolve.EXTRACTION_ORDER), ("s", evolve.SYNTHESIS_ORDER))}
+    rows = evolve.seeded(spark, 8, seed=1).withColumn("fitness", F.when(F.col("slot").isin(3, 1), 0.9).otherwise(F.col("slot") / 100))
+    r = evolve.best_prompts(rows, variants).first()
+    top = json.loads(r["top"])
+    assert [x["fitness"] for x in top] == [0.9, 0.9, 0.07, 0.06, 0.05] and json.loads(r["best"]) == top[0]
+    assert r["extraction_prompt"].startswith("epersona1\n\nemethodology1") and r["synthesis_prompt"].startswith("spersona1 sverdict_taxonomy1")
+
+
+def test_evaluation_rows(spark):
+    gold = spark.createDataFrame([(1, "taxes rose", "TRUE", "It did.", ["R1"]), (2, "jobs fell", "FALSE", "", None), (3, "no match", "TRUE", None, [])], "ref_id int, claim string, verdict string, explanation string, sources array<string>")
+    found = spark.createDataFrame([(0, "taxes rose a lot"), (1, "jobs fell")], "pos int, text string")
+    asked = evaluate.asked_of(evaluate.matches(gold, found, combined=False, threshold=evaluate.EVAL_THRESHOLD), gold)
+    assert {r["ref_id"]: (r["claim_text"], r["evidence"]) for r in asked.collect()} == {1: ("taxes rose a lot", "[Fact-checker note] It did.\n\n[Referenced sources: R1]"), 2: ("jobs fell", "[No external evidence -- rely on training knowledge]")}
+    answers = spark.createDataFrame([(1, "Mostly True", "High", "so", 10, 20)], "ref_id int, label string, confidence string, explanation string, tokens_in int, tokens_out int")
+    rows = evaluate.eval_rows(asked, answers)
+    assert [(r["n"], r["ref_id"], r["label"], r["confidence"], r["mark"], round(r["agreement_score"], 9)) for r in rows.orderBy("n").collect()] == [(1, 1, "Mostly True", "High", "YES", 0.8), (2, 2, "?", "?", "YES", 0.8)]
+    one = evaluate.eval_totals(rows, gold, answers).first()
+    assert (one["matched"], one["total_ref"], one["tokens_in"]) == (2, 3, 10) and one["recall"] == pytest.approx(2 / 3) and one["fitness_approx"] == pytest.approx(0.25 * 2 / 3 + 0.3 * 0.8) and one["cost"] == pytest.approx(10 * 15e-6 + 20 * 75e-6)
+    assert evaluate.eval_lines(rows).where("n = 1").first()["line"] == "  YES  TRUE                    Mostly True       taxes rose a lot"
+    none = evaluate.eval_totals(rows.limit(0), gold, answers.limit(0)).first()
+    assert (none["matched"], none["verdict_agreement"], none["tokens_in"]) == (0, 0.0, 0)
+
+
+def plain_fitness(gold, found, said):
+    """A run's totals by plain loops over all pairs, with the similarity that also sees parts of words."""
+    bag = lambda t: set(re.findall(r"[^\W]+", t.lower()))
+    alike = lambda a, b: ((len(bag(a) & bag(b)) / len(bag(a) | bag(b)) if bag(a) and bag(b) else 0.0) + S.token_set(a, b) / 100) / 2
+    best = lambda t, texts: max(((alike(t, x), -p, x) for p, x in texts), key=lambda r: r[:2])
+    place = lambda x: {k.upper(): v for k, v in LABEL_POSITION.items()}.get(x.strip().upper(), GOLD_POSITION.get(x.strip().upper(), 4))
+    scores, matched = [], 0
+    for _, claim, verdict in gold:
+        score, _, text = best(claim, found)
+        if score < 0.2:
+            continue
+        matched += 1
+        near, _, told = best(text, [(p, t) for p, t, _ in said])
+        if near > 0.1:
+            scores.append(1 - abs(GOLD_POSITION.get(verdict, 4) - place(next(v for _, t, v in sorted(said) if t == told))) / 5)
+    return matched, sum(scores) / len(scores)
+
+
+def test_combined_fitness_equals_plain_loops(spark):
+    rng = random.Random(21)
+    words = ["tax", "taxes", "job", "jobs", "growth", "inflation", "rate", "rates", "fell", "rose", "record", "2024", "percent", "border", "wall", "crime"]
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(2, 8)))
+    gold = [(i, text(), rng.choice(list(GOLD_POSITION))) for i in range(40)]
+    found = [(i, text()) for i in range(150)]
+    said = [(i, rng.choice(found)[1] if i % 2 else text(), rng.choice(["True", "False", "Misleading", "odd", "Mostly True"])) for i in range(90)]
+    tables = spark.createDataFrame(gold, "ref_id int, claim string, verdict string"), spark.createDataFrame([(*f, None) for f in found], "pos int, text string, is_checkable boolean").repartition(3), spark.createDataFrame([(*v, "x") for v in said], "pos int, claim_text string, label string, explanation string")
+    r = evaluate.run_fitness(*tables).first()
+    matched, agree = plain_fitness(gold, found, said)
+    assert r["matched_count"] == matched > 10 and r["verdict_agreement"] == pytest.approx(agree)

@@ -1,7 +1,7 @@
 """Streams that stop and start again, stored versions with two writers, answers kept in files, sources and sinks that fail."""
 
 import os
-import shutil
+
 import time
 from datetime import datetime, timedelta
 
@@ -92,3 +92,109 @@ def test_writers_at_one_time_lose_nothing(spark, tmp_path):
     assert cache.save(entries(spark, "x"), path) == 4 and cache.size(cache.load(spark, path)) == 1
     told = cache.invalidated(cache.load(spark, path).withColumn("key", F.lit("2cf24dba5fb0a30e")), spark.createDataFrame([(" Hello ",), ("none",)], "text string"))
     assert {r["text"]: r["removed"] for r in told.collect()} == {" Hello ": True, "none": False}
+
+
+def test_kept_searches_and_broken_lines(spark, tmp_path):
+    from claimlens.sources import answers
+
+    folder = tmp_path / "kept"
+    folder.mkdir()
+    hit = '{"claim_id": %d, "web": {"results": [%s]}}'
+    (folder / "a.json").write_text(hit % (1, ", ".join('{"url": "u%d", "title": "t", "description": "d"}' % i for i in range(4))) + "\n" + hit % (2, "") + "\n")
+    (folder / "b.json").write_text('{"claim_id": 3, "web"\n' + hit % (4, '{"url": "x"}') + "\n[]\n")
+    (folder / "_done").write_text("x")
+    (folder / "empty.json").write_text("")
+    answers.register(spark)
+    got = answers.files_read(spark, f"file://{folder}", 3)
+    assert sorted((r["claim_id"], r["pos"], r["url"]) for r in got.where("error IS NULL").collect()) == [("1", 1, "u0"), ("1", 2, "u1"), ("1", 3, "u2"), ("4", 1, "x")]
+    assert [(r["claim_id"], r["error"].split(":")[0]) for r in got.where("error IS NOT NULL").collect()] == [("b", "JSONDecodeError"), ("b", "TypeError")]
+    one = got.where("claim_id = '4'")
+    assert [r["url"] for r in one.collect()] == ["x"] and answers.files_read(spark, str(folder), 9).count() == 7
+    (tmp_path / "none").mkdir()
+    assert answers.files_read(spark, str(tmp_path / "none"), 9).count() == 0
+
+
+def test_answers_that_are_broken_are_misses(spark, tmp_path):
+    from claimlens.operators import evolve
+    from claimlens.sources import answers
+
+    path = f"file://{tmp_path}/memo"
+    memo, broken = answers.load(spark, path)
+    assert memo.count() == broken.count() == 0
+    lines = ['{"key": "a", "answer": "1"}', '{"key": "b", "ans', "", "[1]", '{"key": "c"}', '{"key": "d", "answer": "4", "more": 1}', "null"]
+    versions.save(spark.createDataFrame([(x,) for x in lines], "value string"), path, "text")
+    memo, broken = answers.load(spark, path)
+    assert {(r["key"], r["answer"]) for r in memo.collect()} == {("a", "1"), ("d", "4")} and {r["line"] for r in broken.collect()} == set(lines) - {lines[0], lines[5]}
+    asked = spark.createDataFrame([("a",), ("b",), ("b",), ("e",)], "key string")
+    told, held = evolve.memoised(asked, memo, lambda new: new.withColumn("answer", F.concat("key", F.lit("!"))))
+    assert sorted((r["key"], r["answer"]) for r in told.collect()) == [("a", "1"), ("b", "b!"), ("b", "b!"), ("e", "e!")]
+    assert answers.save(held, path) == 2
+    again, broken = answers.load(spark, path)
+    assert {(r["key"], r["answer"]) for r in again.collect()} == {("a", "1"), ("b", "b!"), ("d", "4"), ("e", "e!")} and not broken.count()
+
+
+def test_sinks_fail_apart(spark):
+    from claimlens.operators import publish
+
+    reports = spark.createDataFrame([(1,), (2,)], "report_id int")
+    seen = []
+
+    def broken(rows):
+        raise OSError("no room")
+
+    sinks = {"report_url": lambda rows: F.concat(F.lit("https://x/"), F.col("report_id").cast("string")), "feed": broken, "store": lambda rows: seen.append(rows.count())}
+    out, outcomes = publish.to_sinks(reports, sinks, F.lit(DAY))
+    assert seen == [2] and outcomes == {"report_url": None, "feed": "OSError: no room", "store": None}
+    assert [tuple(r) for r in out.orderBy("report_id").collect()] == [(1, "https://x/1", None, None, DAY), (2, "https://x/2", None, None, DAY)]
+
+
+def test_stored_reports(spark, tmp_path):
+    from claimlens.operators import publish
+
+    path = f"file://{tmp_path}/reports"
+    row = lambda i, day, who: (i, DAY + timedelta(days=day), who)
+    of = lambda *rows: spark.createDataFrame(list(rows), "report_id int, created_at timestamp, speaker string")
+    assert publish.stored(path, of(row(1, 0, "a"), row(2, 0, "b"))) == 1
+    assert publish.stored(path, of(row(2, 1, "c"), row(3, 0, "d"), row(1, -1, "old"))) == 2
+    assert {(r["report_id"], r["speaker"]) for r in versions.read(spark, path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_sources_fail_apart(spark):
+    from claimlens.sources.evidence import Corpus, GovernmentData, Searched, default_sources, gathered
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def search(text, category):
+        calls.add(1)
+        if category == "bad":
+            raise KeyError(text)
+        return ({"url": f"https://www.bls.gov/{i}", "text": "x" * 600} for i in range(9))
+
+    claims = spark.createDataFrame([(1, "inflation", None), (2, "b", "bad"), (3, "c", "jobs")], "claim_id int, text string, category string")
+    rows, failures = gathered(claims, [GovernmentData(), Searched("web", search, 2), Searched("off", search, ready=False)])
+    assert sorted((r["claim_id"], r["rank"], r["pos"]) for r in rows.collect()) == [(1, 0, 1), (1, 1, 1), (1, 1, 2), (3, 1, 1), (3, 1, 2)]
+    assert {(r["source_tier"], len(r["snippet"])) for r in rows.where("rank = 1").collect()} == {("Government", 500)}
+    assert [tuple(r) for r in failures.collect()] == [("web", 2, "KeyError: 'b'")] and calls.value == 3
+    found = spark.createDataFrame([(1, "https://www.snopes.com/x", "t", 1), (1, "https://example.org", "t", 2)], "claim_id int, url string, text string, pos int")
+    every, none = gathered(claims, default_sources(found))
+    assert sorted((r["rank"], r["source_name"]) for r in every.collect()) == [(0, "FRED (Federal Reserve)"), (1, "Snopes"), (2, "web"), (2, "web")] and not none.count()
+    with pytest.raises(ValueError):
+        gathered(claims, [Searched("off", search, ready=False)])
+    assert isinstance(default_sources()[0], GovernmentData) and len(default_sources()) == 1 and Corpus("x", found).available()
+
+
+def test_feed_as_rows(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    from claimlens.operators import render
+
+    items = spark.createDataFrame([(i, DAY + timedelta(days=i % 7), f"<item><guid>{i}</guid></item>") for i in range(40)], "report_id int, created_at timestamp, item string").repartition(5)
+    lines = render.feed_lines(items, "T", "https://x", "D", F.lit(DAY))
+    render.write_feed(lines, f"file://{tmp_path}/feed")
+    (file,) = [n for n in os.listdir(tmp_path / "feed") if n.startswith("part-")]
+    text = (tmp_path / "feed" / file).read_text()
+    whole = render.feed(items, "T", "https://x", "D", F.lit(DAY)).first()["feed"]
+    ids = lambda x: [g.text for g in ElementTree.fromstring(x.encode()).iter("guid")]
+    assert ids(text) == sorted((str(i) for i in range(40)), key=lambda i: (-(int(i) % 7), i)) and set(ids(whole)) == set(ids(text))
+    empty = render.feed(items.limit(0), "T", "https://x", "D", F.lit(DAY)).first()["feed"]
+    assert ids(empty) == [] and "<generator>claimlens</generator>" in empty
