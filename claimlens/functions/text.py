@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
@@ -136,9 +138,27 @@ def series_of(x: Column) -> Column:
     return F.coalesce(*(F.when(F.contains(F.lower(x), F.lit(word)), series) for word, series in SERIES))
 
 
+def _literals(patterns: list[str]) -> dict[str, int]:
+    """Patterns that are plain words between word bounds, and how often each is listed; none that shares a word with another."""
+    plain = [p.removeprefix(r"\b").removesuffix(r"\b") for p in patterns if re.fullmatch(r"\\b[A-Za-z]+( [A-Za-z]+)*\\b", p)]
+    words = Counter(w for p in set(plain) for w in set(p.lower().split()))
+    return Counter(p for p in plain if all(words[w] == 1 for w in p.lower().split()))
+
+
 def signals(x: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur at all; a pattern listed twice counts twice."""
-    return reduce(Column.__add__, (x.rlike("(?i)" + p).cast("int") for p in patterns))
+    """How many of the patterns occur at all; a pattern listed twice counts twice.
+
+    Plain words are looked for together, in one pass over x; as none shares a word with another, no place is of two.
+    """
+    literals = _literals(patterns)
+    rest = [p for p in patterns if p.removeprefix(r"\b").removesuffix(r"\b") not in literals]
+    counts = [x.rlike("(?i)" + p).cast("int") for p in rest]
+    if literals:
+        found = F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(rf"(?i)\b({'|'.join(literals)})\b"), F.lit(1)), F.lower))
+        often = {w.lower(): n - 1 for w, n in literals.items() if n > 1}
+        more = lambda f: reduce(Column.__add__, (F.array_contains(f, w).cast("int") * n for w, n in often.items()), F.size(f))
+        counts.append(bound(found, more))
+    return reduce(Column.__add__, counts)
 
 
 def explanation_quality(x: Column) -> Column:

@@ -7,7 +7,7 @@ import textwrap
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.fixed import LABELS, WHITE_SPACE
+from claimlens.fixed import DATA_SIGNALS, LABELS, SOURCE_SIGNALS, WHITE_SPACE
 from claimlens.functions import similarity as S
 from claimlens.functions import text as T
 from claimlens.operators import cache, evaluate, evolve, publish, rubric
@@ -210,3 +210,19 @@ def test_common_subsequence_left_off_early():
         if x and y:
             full = S.whole_ratio(x, y)
             assert S.whole_ratio(x, y, least) in (full, 0) and (S.whole_ratio(x, y, full) == full)
+
+
+def test_signals_equal_single_patterns(spark):
+    rng = random.Random(9)
+    parts = ["BLS", "bls", "Freddie Mac", "freddie  mac", "Fred", "Federal Reserve", "federal reserve bank", "NY Fed", "gov", ".gov", "government", "governments", "AP", "AP's", "ap-news", "$20", "2024", "2024%", "3.5%", "data", "database", "FactCheck.org", "FactCheckXorg", "New York Times", "NYT", "million", "\u212aata", "dat\u0430", "_data", "official"]
+    rows = [(" ".join(rng.choices(parts, k=rng.randint(0, 9))),) for _ in range(500)] + [("",), (None,)]
+    df = spark.createDataFrame(rows, "x string")
+    for patterns in (DATA_SIGNALS, SOURCE_SIGNALS, [r"\bNY Fed\b", r"\bFed\b", r"\bdata\b"]):
+        one = sum((F.col("x").rlike("(?i)" + p).cast("int") for p in patterns), F.lit(0))
+        assert df.where(~T.signals(F.col("x"), patterns).eqNullSafe(one)).count() == 0
+
+
+def test_similarities_in_sql(spark):
+    S.register(spark)
+    r = spark.sql("SELECT token_sort_ratio('b a', 'A, b!') AS a, token_set_ratio('a b', 'a b c') AS b, verdict_distance('TRUE', 'False') AS c").first()
+    assert tuple(r) == (100, 100, 1.0)
