@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import HOT_KEYS, LOT, fresh, spread_join  # noqa: F401  the operators here take them from this module
+
 #: Rows of whole texts that a Python worker gets at once; at some 4 KB a text this is about 1 MB.
 BATCH_ROWS = 256
 #: Bytes of rows that work is done on at once, unless one row has more.
@@ -60,17 +62,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/claimlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, with underscores before them until df has no such columns."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def _trim() -> None:
     """Gives memory that is free within the process back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
@@ -131,31 +122,6 @@ def parts(df: DataFrame, per: int = PARTITION_BYTES) -> int:
     return least if size > 1 << 60 else max(least, min(100_000, math.ceil(size / per)))
 
 
-#: Keys that a join may split: those with more than this share of all rows; and rows of such a key in one task, on average.
-HOT_KEYS, LOT = 10_000, 20_000
-
-
-def spread_join(facts: DataFrame, held: DataFrame, keys: list[str], by: list[str], lot: int = LOT, uses: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """facts joined with held on keys; held has few rows a key, facts may have any number.
-
-    Rows of keys with more than lot rows, and more than one HOT_KEYS-th of all rows, are dealt by a hash of the columns by
-    to lots of about lot rows, and held's rows are repeated for these.  There are fewer than HOT_KEYS such keys, as their rows
-    add up to no more than all; they are broadcast as pairs of numbers.  uses has the number n of facts' rows by key, if it is known.
-    """
-    mark, lots, share = fresh(facts.join(held.limit(0), keys), "mark", "lots", "share")
-    if uses is None:
-        uses = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    least = max(lot, (uses.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    hot = uses.where(F.col("n") > least).groupBy(F.xxhash64(*keys).alias(mark)).agg(F.ceil(F.sum("n") / lot).alias(lots))
-    if hot.limit(1).count() == 0:
-        return facts.join(held, keys, how)
-    hot = F.broadcast(hot)
-    dealt = facts.withColumn(mark, F.xxhash64(*keys)).join(hot, mark, "left").withColumn(share, F.pmod(F.xxhash64(*by), F.coalesce(lots, F.lit(1).cast("bigint"))))
-    every = held.withColumn(mark, F.xxhash64(*keys)).join(hot, mark, "left")
-    every = every.withColumn(share, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(lots, F.lit(1).cast("bigint")) - 1)))
-    return dealt.drop(mark, lots).join(every.drop(mark, lots), [*keys, share], how).drop(share)
-
-
 def remainder(column: str, modulus: int) -> F.Column:
     """crc32 of an id's text form, modulo something: the fold that fixes held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -9,7 +9,7 @@ chunk find every pair under that distance (31 of 64, where a pair at similarity
 a deviation of 3.5: a chance of 2e-5 to be over it).  A pair over the distance still has such a chunk but for a chance
 of 0.262 ** 16 = 5e-10 at similarity 0.75, and less above.  Every candidate is confirmed on full sets.
 
-No group's pairs are all listed.  Every member of a key's bucket is paired with the bucket's head, the class that
+Rows of a key, head or label that many others have are split in the joins (``common.spread_join``).  No group's pairs are all listed.  Every member of a key's bucket is paired with the bucket's head, the class that
 shares most keys with others, and confirmed links make components.  Buckets that still hold several components
 are then compared in full, block by block and with one product of shingle matrices for a pair of blocks, so that
 components are those of all links; a task gives at most one link for any two components that it puts together.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, fields, fresh, parts, per_batch, remove, tidy, to_batch, tune, written
+from .common import LOWER, as_bytes, fields, fresh, parts, per_batch, remove, spread_join, tidy, to_batch, tune, written
 from .links import components
 
 SHINGLE = 5
@@ -170,7 +170,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes whose full shingle sets are similar enough."""
     arrow = fields("a bigint, b bigint", pairs.sparkSession)
     one, two = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").sortWithinPartitions("b")
+    both = spread_join(pairs.select("a", "b"), one, ["a"], ["b"]).join(two, "b").sortWithinPartitions("b")
     return written(both.mapInArrow(tidy(lambda b: _confirm(b, arrow)), "a bigint, b bigint"), "confirmed")
 
 
@@ -193,17 +193,18 @@ def near_groups(documents: DataFrame) -> DataFrame:
     keys = F.array(*(F.xxhash64(F.lit(c * CHUNK + j), F.col("sig")[c].bitwiseAND(F.lit(m))) for c in range(CHUNKS) for j, m in enumerate(masks)))
     buckets = classes.select("cls", F.explode(keys).alias("key"))
     crowds = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("key", "n")
-    crowded = written(buckets.join(crowds, "key"), "buckets")  # only of keys that several classes have
+    crowds = written(crowds, "crowds")
+    crowded = written(spread_join(buckets, crowds, ["key"], ["cls"], uses=crowds), "buckets")  # only of keys that several classes have
     # A text whose copies were changed here and there is in the largest buckets with all its keys, a copy with some.
     central = crowded.groupBy("cls").agg(F.sum("n").alias("weight"))
     heads = crowded.join(central, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("x")).select("key", F.col("x.cls").alias("a"))
-    shared = written(crowded.select("key", "cls").join(heads, "key"), "headed")
+    shared = written(spread_join(crowded.select("key", "cls"), heads, ["key"], ["cls"], uses=crowds), "headed")
 
     def close(pairs: DataFrame) -> DataFrame:
         one, two = (classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-        return pairs.join(one, "a").join(two, "b").where(_sizes("n_a", "n_b")).select("a", "b", _differences("sig_a", "sig_b").alias("far"))
+        return spread_join(pairs, one, ["a"], ["b"]).join(two, "b").where(_sizes("n_a", "n_b")).select("a", "b", _differences("sig_a", "sig_b").alias("far"))
 
-    stars = written(close(shared.where("cls <> a").select("a", F.col("cls").alias("b")).distinct()), "stars")
+    stars = written(close(written(shared.where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "pairs")), "stars")
     known = shared.select("cls").distinct()
     where = classes.join(known, "cls").select("cls", "home.doc_id", "home.mark")
     source = rows.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "text")
@@ -222,7 +223,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
 
     nearest = stars.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     comps = merged(None, confirmed(nearest, texts), "comps")
-    rest = across(stars.select("a", "b").join(nearest, ["a", "b"], "left_anti"), comps)
+    rest = written(across(stars.select("a", "b").join(nearest, ["a", "b"], "left_anti"), comps), "rest")
     comps = merged(comps, confirmed(rest, texts), "comps")
 
     # What is left: classes of several components in one bucket, neither of which is the bucket's head.
@@ -248,7 +249,8 @@ def near_groups(documents: DataFrame) -> DataFrame:
     # Rows without a set share no class: they don't take part in the join.
     alone = rows.where("cls is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.col("cls").alias("comp"))
     kept = F.when(F.col("component_id").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return rows.where("cls is not null").join(named, "cls").select("doc_id", "mark", "n_shingles", "component_id", kept.alias("kept"), "comp").unionByName(alone)
+    copies = signed.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(rows.where("cls is not null"), named, ["cls"], ["doc_id", "mark"], uses=copies).select("doc_id", "mark", "n_shingles", "component_id", kept.alias("kept"), "comp").unionByName(alone)
 
 
 def keep_firsts(documents: DataFrame) -> DataFrame:
