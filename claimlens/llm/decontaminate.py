@@ -5,7 +5,8 @@ each term a sorted list of (document, position), and is a row of a table in the
 the test windows to every segment.  Corpus frequencies of the windows' terms come from the index; a window
 starts from the list of its rarest term, shifts it by the term's place in the window, and intersects it with
 the shifted lists of the other terms, from rare to frequent.  Windows with a term that the corpus lacks end there.
-A window is near where all its terms lie, in any order, within its length and SLOP words of its rarest term.
+A window is near where all its terms lie, in any order and each as often as the window has it, within as many consecutive words
+as the window has and SLOP more.
 
 Test items go out in slices of at most SLICE_WORDS words, so what is broadcast is bounded whatever their number.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, count
@@ -108,6 +109,18 @@ def _holds(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return keys[np.minimum(at, len(keys) - 1)] == wanted
 
 
+def _together(around: np.ndarray, lists, counts: Counter, width: int) -> np.ndarray:
+    """Which of the places lie in some width consecutive words that hold every term as often as counts says."""
+    start = around[:, None] - np.arange(width)
+    good = np.ones(start.shape, bool)
+    for term, n in counts.items():
+        held = lists(term)
+        good &= np.searchsorted(held, start + width) - np.searchsorted(held, start) >= n
+        if not good.any():
+            break
+    return good.any(1)
+
+
 def _search(plan: dict[bytes, list[tuple]], slop: int):
     """Spans and items of each document of a segment: exact matches, and the items of near ones."""
 
@@ -140,6 +153,8 @@ def _search(plan: dict[bytes, list[tuple]], slop: int):
                         held = lists(t)
                         first = np.searchsorted(held, np.maximum(around - reach, around >> 32 << 32))
                         around = around[(first < len(held)) & (np.abs(held[np.minimum(first, len(held) - 1)] - around) <= reach)]
+                    if len(around):
+                        around = around[_together(around, lists, Counter([term, *(t for t, _ in others)]), length + slop)]
                     for key in around.tolist():
                         near[key >> 32].update(owners)
             for i, (doc_id, n) in enumerate(zip(doc_ids, sizes)):
@@ -173,8 +188,8 @@ FOUND = "seg string, ord int, doc_id bigint, n_words bigint, spans array<bigint>
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """One row per row of documents: doc_id, n_words, spans (first word, words, ...), items, and near.
 
-    items are the ids, as strings, of items of which some window occurs word for word; near those of which some
-    window's words all lie within its length and slop words of its rarest one, so items are near too.  Null texts
+    items are the ids, as strings, of items of which some window occurs word for word; near those of which all of some
+    window's words lie within its length and slop consecutive words, so items are near too.  Null texts
     have no words; an item without words has no window; items of one id are one; a null id is "null".
     """
     spark = documents.sparkSession
@@ -264,9 +279,16 @@ around AS (SELECT win, size, doc_id, p FROM rare JOIN posted USING (term)),
 held AS (
   SELECT win, a.doc_id, a.p, count(DISTINCT o.term) AS k FROM around a JOIN others o USING (win)
   JOIN posted q ON q.doc_id = a.doc_id AND q.term = o.term AND abs(q.p - a.p) <= a.size - 1 + 3 GROUP BY 1, 2, 3),
-nearby AS (
-  SELECT doc_id, count(DISTINCT coalesce(CAST(item AS VARCHAR), 'null')) AS n_near FROM around LEFT JOIN held USING (win, doc_id, p) LEFT JOIN asked USING (win)
-  JOIN wins USING (win) JOIN tests USING (t) WHERE coalesce(held.k, 0) = coalesce(asked.k, 0) GROUP BY 1)
+loose AS (
+  SELECT win, size, doc_id, p FROM around LEFT JOIN held USING (win, doc_id, p) LEFT JOIN asked USING (win) WHERE coalesce(held.k, 0) = coalesce(asked.k, 0)),
+counts AS (SELECT win, term, count(*) AS c FROM places GROUP BY 1, 2),
+need AS (SELECT win, count(*) AS k FROM counts GROUP BY 1),
+starts AS (SELECT DISTINCT win, size, doc_id, unnest(range(p - size - 2, p + 1)) AS s FROM loose),
+tally AS (
+  SELECT w.win, w.doc_id, w.s, c.term FROM starts w JOIN counts c ON c.win = w.win
+  JOIN posted q ON q.doc_id = w.doc_id AND q.term = c.term AND q.p >= w.s AND q.p < w.s + w.size + 3 GROUP BY 1, 2, 3, 4, c.c HAVING count(*) >= c.c),
+fits AS (SELECT DISTINCT win, doc_id FROM (SELECT win, doc_id, s, count(*) AS k FROM tally GROUP BY 1, 2, 3) JOIN need USING (win, k)),
+nearby AS (SELECT doc_id, count(DISTINCT coalesce(CAST(item AS VARCHAR), 'null')) AS n_near FROM fits JOIN wins USING (win) JOIN tests USING (t) GROUP BY 1)
 SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(n_near, 0) AS n_near,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM w LEFT JOIN covered ON covered.doc_id = id LEFT JOIN named ON named.doc_id = id LEFT JOIN nearby ON nearby.doc_id = id WHERE kind = 'd'

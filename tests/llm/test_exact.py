@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -226,23 +227,17 @@ ITEMS = [(1, ROWS[8][1][40:300]), (2, "short item here"), (3, None), (4, prose(3
 
 
 def near_plainly(rows, items, words, reach=3):
-    """Names of the items of which some window's words all lie about the window's rarest one, by row."""
+    """Names of the items of which some window's words all lie, as often as there, within so many words and a few more, by row."""
     data = [words(t) for _, t in rows]
-    often = {}
-    for w in data:
-        for x in w:
-            often[x] = often.get(x, 0) + 1
     out = [set() for _ in rows]
     for item, x in items:
         v = words(x)
         for i in range(max(1, len(v) - 12) if v else 0):
             win = v[i : i + 13]
-            if all(x in often for x in win):
-                rare = win[min(range(len(win)), key=lambda p: (often[win[p]], p))]
-                for found, w in zip(out, data):
-                    for at in (j for j, x in enumerate(w) if x == rare):
-                        if set(win) <= set(w[max(0, at - len(win) + 1 - reach) : at + len(win) + reach]):
-                            found.add("null" if item is None else str(item))
+            need, width = Counter(win), len(win) + reach
+            for found, w in zip(out, data):
+                if need.keys() <= set(w) and any(not need - Counter(w[max(0, s) : s + width]) for s in range(-width, len(w))):
+                    found.add("null" if item is None else str(item))
     return out
 
 
@@ -265,6 +260,18 @@ def hits_plainly(rows, items):
     return out
 
 
+def test_near_is_tight(spark):
+    """Terms spread over more words than a window and SLOP aren't near, nor is a term that the window has twice and the text once."""
+    item = [f"t{i}" for i in range(13)]
+    gaps = lambda n: " ".join(x for i, t in enumerate(item) for x in ([t] + ["gap"] * (i < n)))
+    wide = " ".join(f"{t} gap gap" if i % 2 else t for i, t in enumerate(item))
+    rows = [(1, gaps(3)), (2, gaps(4)), (3, wide), (4, " ".join(reversed(item))), (5, " ".join(item[:12])), (6, "b a a c"), (7, "a b c"), (8, "a b x x x c a"), (9, "a b x x x x c a"), (10, "b c a a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(1, " ".join(item)), (2, "a b c a")], "item_id long, text string")
+    near = {r["doc_id"]: r["near"] for r in decontaminate.find(docs, tests).collect()}
+    assert {k for k, v in near.items() if v == ["1"]} == {1, 4} and {k for k, v in near.items() if v == ["2"]} == {6, 8, 10}
+
+
 @pytest.mark.parametrize("words_in_a_slice", [1_000_000, 30])
 def test_contamination(spark, docs, monkeypatch, words_in_a_slice):
     monkeypatch.setattr(decontaminate, "SLICE_WORDS", words_in_a_slice)
