@@ -12,6 +12,7 @@ from ..sources import answers, ingest
 from ..sources.evidence import Corpus, Searched, gather, gathered, relevant
 from ..sources.scratch import kept, scratch
 from ..sources.tables import claims, evidence, table
+from ..streaming import events as streamed
 from .catalogue import _CLAIMS, _GOLD, _KEY, _RUBRIC, _TIER, _TOK, _case, _genomes, _stub_claims, query
 
 _BASE = "https://example.org"
@@ -616,3 +617,12 @@ def best_prompts(spark, sf_dir):
     genomes = _genomes(spark, sf_dir).withColumn("slot", F.col("island") * 12 + F.col("slot"))
     top = evolve.best_prompts(genomes, variants).select(F.posexplode(F.from_json("top", f"array<struct<{', '.join(f'{g} int' for g in evolve.GENES)}>>")).alias("at", "x"))
     return top.select((F.col("at") + 1).alias("n"), "x.*").select("n", evolve.prompt("e", variants["e"]).alias("extraction_prompt"))
+
+
+@query("SELECT event_id, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events")
+def frames_stream(spark, sf_dir):
+    """All events as a stream of frames, written once each."""
+    told = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    folder = scratch(spark, "frames")
+    streamed.write_frames(told, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "frame")

@@ -16,7 +16,14 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors and the driver share")
         base = f"file://{tempfile.gettempdir()}/claimlens-checkpoints"
-    return f"{base.rstrip('/')}/claimlens/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/claimlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written for itself, once its results are read or written elsewhere."""
+    folder = scratch(spark, "x").rsplit("/", 1)[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from claimlens.fixed import DATA_SIGNALS, LABELS, SOURCE_SIGNALS, WHITE_SPACE
 from claimlens.functions import similarity as S
 from claimlens.functions import text as T
 from claimlens.operators import cache, evaluate, evolve, publish, rubric
+from claimlens.settings import Settings, read_env, settings
 
 
 def one(spark, value, f):
@@ -226,3 +227,17 @@ def test_similarities_in_sql(spark):
     S.register(spark)
     r = spark.sql("SELECT token_sort_ratio('b a', 'A, b!') AS a, token_set_ratio('a b', 'a b c') AS b, verdict_distance('TRUE', 'False') AS c").first()
     assert tuple(r) == (100, 100, 1.0)
+
+
+def test_settings(spark):
+    assert settings(spark, {}) == Settings()
+    spark.conf.set("spark.claimlens.max_claims", "7")
+    try:
+        told = settings(spark, {"CLAIMLENS_MAX_CLAIMS": "9", "CLAIMLENS_CACHE_THRESHOLD": "90", "CLAIMLENS_BASE_URL": "https://x", "CLAIMLENS_OUTPUT_DIR": ""})
+    finally:
+        spark.conf.unset("spark.claimlens.max_claims")
+    assert told == Settings(cache_threshold=90, max_claims=7, base_url="https://x")
+    for bad in ("0", "-1", "many"):
+        with pytest.raises(ValueError):
+            settings(spark, {"CLAIMLENS_CACHE_TTL_DAYS": bad})
+    assert read_env("# A=1\n\n B = 2=3 \nB=4\nnothing\nC=") == {"B": "2=3", "C": ""}

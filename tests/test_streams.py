@@ -198,3 +198,14 @@ def test_feed_as_rows(spark, tmp_path):
     assert ids(text) == sorted((str(i) for i in range(40)), key=lambda i: (-(int(i) % 7), i)) and set(ids(whole)) == set(ids(text))
     empty = render.feed(items.limit(0), "T", "https://x", "D", F.lit(DAY)).first()["feed"]
     assert ids(empty) == [] and "<generator>claimlens</generator>" in empty
+
+
+def test_scratch_goes(spark):
+    from claimlens.sources import scratch
+
+    one = scratch.kept(spark.range(5), "one")
+    assert one.count() == 5 and scratch.kept(spark.range(0), "none").count() == 0
+    scratch.clear(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        spark.read.parquet(scratch.scratch(spark, "x").rsplit("/", 1)[0] + "/one*")
+    scratch.clear(spark)
