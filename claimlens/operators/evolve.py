@@ -201,6 +201,16 @@ def prompt(part: str, variants: dict[str, list[str]]) -> Column:
     return F.concat_ws("\n\n", *shown)
 
 
+def shown(genomes: DataFrame, variants: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """slot, id and both prompts of genomes, as they would be sent; seeded(spark, 1) is the baseline alone."""
+    return genomes.select("slot", individual_id().alias("id"), prompt("e", variants["e"]).alias("extraction_prompt"), prompt("s", variants["s"]).alias("synthesis_prompt"))
+
+
+def baseline(spark: SparkSession, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The baseline's row with its fitness, and nothing bred from it."""
+    return evaluate(first_generation(seeded(spark, 1)), score)
+
+
 def user_prompt(speaker: Column, date: Column, text: Column, head: str) -> Column:
     """What a transcript is sent with: its first 12,000 characters under a heading, speaker and date."""
     return F.concat(F.lit(f"{head}\nSpeaker: "), speaker, F.lit("\nDate: "), F.coalesce(date, F.lit("Unknown")), F.lit("\n\nTranscript:\n"), F.substring(text, 1, 12_000))

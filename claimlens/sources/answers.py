@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructType
 
 from . import versions
@@ -96,12 +97,31 @@ class KeptReader(DataSourceReader):
                     yield from rows
 
 
+@udtf(returnType="pos int, url string, title string, text string, error string")
+class SearchResults:
+    """In SQL: ``SELECT ... FROM t, LATERAL search_results(t.answer, 5)``: an answer's results, at most so many, or a row with its error.
+
+    An answer that is null has none.
+    """
+
+    def eval(self, answer: str, most: int) -> Iterator[tuple]:
+        if answer is None:
+            return
+        try:
+            found = json.loads(answer).get("web", {}).get("results", [])
+            rows = [(i, r.get("url"), r.get("title"), r.get("description"), None) for i, r in enumerate(found[:most], 1)]
+        except Exception as e:  # a broken answer is its own failure alone
+            rows = [(None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+        yield from rows
+
+
 def files_read(spark: SparkSession, path: str, most: int) -> DataFrame:
     """What was found in the kept searches of a folder, at most so many results a claim."""
     return spark.read.format("kept_search").option("path", path).option("most", most).load()
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to a session, and its push of filters."""
+    """Makes the format, its push of filters, and the table function search_results known to a session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(KeptSearch)
+    spark.udtf.register("search_results", SearchResults)

@@ -412,6 +412,14 @@ def test_best_prompts(spark):
     assert r["extraction_prompt"].startswith("epersona1\n\nemethodology1") and r["synthesis_prompt"].startswith("spersona1 sverdict_taxonomy1")
 
 
+def test_baseline(spark):
+    variants = {p: {g: [f"{g} {i}" for i in range(5)] for g in order} for p, order in (("e", evolve.EXTRACTION_ORDER), ("s", evolve.SYNTHESIS_ORDER))}
+    r = evolve.shown(evolve.seeded(spark, 1), variants).collect()
+    assert [(x["slot"], x["extraction_prompt"]) for x in r] == [(0, "persona 0\n\nmethodology 0\n\ntaxonomy 0\n\nformat 0")]
+    one = evolve.baseline(spark, lambda p: p.withColumns({"fitness": F.lit(0.5), "tokens": F.lit(9)})).collect()
+    assert [(x["slot"], x["fitness"], x["evaluated"], x["tokens"]) for x in one] == [(0, 0.5, True, 9)]
+
+
 def test_evaluation_rows(spark):
     gold = spark.createDataFrame([(1, "taxes rose", "TRUE", "It did.", ["R1"]), (2, "jobs fell", "FALSE", "", None), (3, "no match", "TRUE", None, [])], "ref_id int, claim string, verdict string, explanation string, sources array<string>")
     found = spark.createDataFrame([(0, "taxes rose a lot"), (1, "jobs fell")], "pos int, text string")

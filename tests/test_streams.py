@@ -114,6 +114,16 @@ def test_kept_searches_and_broken_lines(spark, tmp_path):
     assert answers.files_read(spark, str(tmp_path / "none"), 9).count() == 0
 
 
+def test_search_results_in_sql(spark):
+    from claimlens.sources import answers
+
+    answers.register(spark)
+    rows = [(1, '{"web": {"results": [{"url": "a", "title": "t"}, {"url": "b"}, {"url": "c"}]}}'), (2, "{"), (3, None), (4, "{}"), (5, "[1]")]
+    spark.createDataFrame(rows, "id int, answer string").createOrReplaceTempView("told")
+    got = sorted((r["id"], r["pos"], r["url"], r["title"], (r["error"] or "").split(":")[0]) for r in spark.sql("SELECT id, x.* FROM told, LATERAL search_results(answer, 2) x").collect())
+    assert got == [(1, 1, "a", "t", ""), (1, 2, "b", None, ""), (2, None, None, None, "JSONDecodeError"), (5, None, None, None, "AttributeError")]
+
+
 def test_answers_that_are_broken_are_misses(spark, tmp_path):
     from claimlens.operators import evolve
     from claimlens.sources import answers
