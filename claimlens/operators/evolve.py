@@ -167,9 +167,16 @@ SNAPSHOT = "slot bigint, " + ", ".join(f"{g} int" for g in GENES) + ", parents a
 
 
 def log(snapshots: DataFrame) -> DataFrame:
-    """generation, best, mean, size and cost so far."""
+    """generation, best, mean, size, cost so far, and best_ever, the best of this and all earlier ones."""
     each = snapshots.groupBy("generation").agg(F.max("fitness").alias("best"), F.avg("fitness").alias("mean"), F.count(F.lit(1)).alias("size"), F.sum("tokens").alias("tokens"))
-    return each.withColumn("cost", F.sum("tokens").over(Window.orderBy("generation").rowsBetween(Window.unboundedPreceding, 0)) * TOKEN_COST)  # a row a generation
+    so_far = Window.orderBy("generation").rowsBetween(Window.unboundedPreceding, 0)  # a row a generation
+    return each.withColumns({"cost": F.sum("tokens").over(so_far) * TOKEN_COST, "best_ever": F.max("best").over(so_far)})
+
+
+def within(told: DataFrame, budget: float) -> DataFrame:
+    """The generations of a log that were begun: those before which the cost was under the budget."""
+    before = F.lag("cost", 1, 0.0).over(Window.orderBy("generation"))
+    return told.withColumn("_before", before).where(F.col("_before") < budget).drop("_before")
 
 
 def best(population: DataFrame, n: int, by: str = "fitness", key: str = "slot") -> DataFrame:

@@ -626,3 +626,13 @@ def frames_stream(spark, sf_dir):
     folder = scratch(spark, "frames")
     streamed.write_frames(told, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("event_id", "frame")
+
+
+@query("""WITH g AS (SELECT CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INTEGER) AS generation, max(value) AS best, round(avg(value), 6) AS mean, count(*) AS size, CAST(sum(user_id) AS BIGINT) AS tokens FROM events GROUP BY 1),
+l AS (SELECT *, sum(tokens) OVER (ORDER BY generation) * 6e-6 AS cost, max(best) OVER (ORDER BY generation) AS best_ever FROM g)
+SELECT generation, best, mean, size, tokens, round(cost, 9) AS cost, best_ever FROM l WHERE (SELECT coalesce(max(cost), 0) FROM l x WHERE x.generation < l.generation) < 3""")
+def evolution_log(spark, sf_dir):
+    """The log of a run whose individuals are events, as far as a budget of three dollars goes."""
+    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("generation")
+    told = evolve.log(table(spark, sf_dir, "events").select(day, F.col("value").alias("fitness"), F.col("user_id").alias("tokens")))
+    return evolve.within(told, 3.0).withColumns({"mean": F.round("mean", 6), "cost": F.round("cost", 9)})
