@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fields, fresh, parts, per_batch, remove, scratch, tidy, to_batch, tune, written
+from .common import as_bytes, fields, fresh, parts, per_batch, remove, scratch, spread_join, tidy, to_batch, tune, written
 from .suffixes import common_prefixes, suffix_array, words8
 
 WINDOW = 400
@@ -397,15 +397,9 @@ def _keyed(documents: DataFrame) -> tuple[DataFrame, list[str]]:
     return documents.withColumns({k: F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i, k in enumerate(keys)}), keys
 
 
-def _cut_texts(keyed: DataFrame, keys: list[str], window: int, keep_text: bool, words: bool = False) -> DataFrame:
-    """A row for each distinct text, by its keys: what is left of it; a written table."""
-    spark, seen_as = keyed.sparkSession, word_codes if words else _as_it_is
-    tune(spark)
-    lean = keyed.select(F.col(keys[0]).alias("k1"), F.col(keys[1]).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
-    n = parts(keyed)
-    name = "claimlens_texts_" + scratch(spark, "x").rsplit("-", 1)[1]
-    lean.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).repartition(n, "k1", "k2").write.bucketBy(n, "k1", "k2").sortBy("k1", "k2").option("compression", "zstd").option("path", scratch(spark, "texts")).saveAsTable(name)
-    texts = spark.table(name)
+def _cut_of(texts: DataFrame, seen_as: Callable[[bytes], bytes], window: int, keep_text: bool, words: bool, n: int) -> DataFrame:
+    """_cut_texts' rows of the distinct texts (k1, k2, text, copies), which are bucketed by their keys."""
+    spark = texts.sparkSession
 
     def runs_of(batch: pa.RecordBatch) -> dict[str, list]:
         held, copies = [seen_as(t) for t in as_bytes(batch.column("text"))], batch.column("copies").to_pylist()
@@ -420,11 +414,12 @@ def _cut_texts(keyed: DataFrame, keys: list[str], window: int, keep_text: bool,
         return {"anchor": [k[1] for k in keys], "hi": [k[2] for k in keys], "lo": [k[3] for k in keys], "k1": [k1[k[0]] for k in keys], "k2": [k2[k[0]] for k in keys], "at": [r[0] for r in rows], "size": [r[1] for r in rows], "n": [r[2] for r in rows]}
 
     runs = written(per_batch(texts, "anchor bigint, hi bigint, lo bigint, k1 bigint, k2 bigint, at int, size int, n bigint", runs_of), "segments")
-    counted = runs.groupBy("anchor").agg(F.sum("n").alias("uses"), F.min("hi").alias("h1"), F.max("hi").alias("h2"), F.min("lo").alias("l1"), F.max("lo").alias("l2")).where("uses > 1").selectExpr("anchor", "h1 <> h2 or l1 <> l2 as mixed")
-    again = written(runs.join(counted, "anchor"), "repeated")
+    counted = runs.groupBy("anchor").agg(F.sum("n").alias("uses"), F.min("hi").alias("h1"), F.max("hi").alias("h2"), F.min("lo").alias("l1"), F.max("lo").alias("l2"), F.count(F.lit(1)).alias("lines")).where("uses > 1").selectExpr("anchor", "h1 <> h2 or l1 <> l2 as mixed", "lines")
+    counted = written(counted, "anchors")
+    again = written(spread_join(runs, counted.select("anchor", "mixed"), ["anchor"], ["k1", "k2", "at"], uses=counted.select("anchor", F.col("lines").alias("n"))), "repeated")
 
-    one = again.groupBy("anchor", "hi", "lo").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "at", "size")).alias("home"), F.first("mixed").alias("mixed"))
-    one = written(one.select("anchor", "hi", "lo", "n", "mixed", "home.*"), "distinct")
+    one = again.groupBy("anchor", "hi", "lo").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "at", "size")).alias("home"), F.first("mixed").alias("mixed"), F.count(F.lit(1)).alias("lines"))
+    one = written(one.select("anchor", "hi", "lo", "n", "mixed", "lines", "home.*"), "distinct")
     lots = one.where("mixed").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / SHARD_SEGMENTS).cast("int").alias("lots"))
     asked = one.where("mixed").join(lots, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "hi", "lo", "at", "size", "lots")).alias("asked"))
 
@@ -445,12 +440,30 @@ def _cut_texts(keyed: DataFrame, keys: list[str], window: int, keep_text: bool,
     merged = per_batch(lot_runs.join(twice, ["anchor", "reach"]), "anchor bigint, hi bigint, lo bigint, marks array<int>", _found)
     whole = one.where("n > 1").select("anchor", "hi", "lo", F.array(F.lit(0), (F.col("size") - window)).alias("marks"))
     marks = shards.where("reach < 0 and size(marks) > 0").select("anchor", "hi", "lo", "marks").unionByName(merged).unionByName(whole)
-    held = again.select("anchor", "hi", "lo", "k1", "k2").join(marks, ["anchor", "hi", "lo"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("hi", "lo", "marks")).alias("found"))
+    segment = ["anchor", "hi", "lo"]
+    held = spread_join(again.select(*segment, "k1", "k2"), marks, segment, ["k1", "k2"], uses=one.select(*segment, F.col("lines").alias("n"))).groupBy("k1", "k2").agg(F.collect_list(F.struct("hi", "lo", "marks")).alias("found"))
     cut = per_batch(texts.select("k1", "k2", "text").join(held, ["k1", "k2"], "left"), "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string", _cut(window, words))
     cut = written(cut if keep_text else cut.drop("kept_text"), "cut")
-    for done in (texts, runs, again, one, shards):
+    for done in (runs, counted, again, one, shards):
         remove(spark, done)
-    spark.sql(f"DROP TABLE {name}")
+    return cut
+
+
+def _cut_texts(keyed: DataFrame, keys: list[str], window: int, keep_text: bool, words: bool = False) -> DataFrame:
+    """A row for each distinct text, by its keys: what is left of it; a written table."""
+    spark, seen_as = keyed.sparkSession, word_codes if words else _as_it_is
+    tune(spark)
+    lean = keyed.select(F.col(keys[0]).alias("k1"), F.col(keys[1]).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
+    n = parts(keyed)
+    name = "claimlens_texts_" + scratch(spark, "x").rsplit("-", 1)[1]
+    lean.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).repartition(n, "k1", "k2").write.bucketBy(n, "k1", "k2").sortBy("k1", "k2").option("compression", "zstd").option("path", scratch(spark, "texts")).saveAsTable(name)
+    texts = spark.table(name)
+
+    try:
+        cut = _cut_of(texts, seen_as, window, keep_text, words, n)
+    finally:
+        remove(spark, texts)
+        spark.sql(f"DROP TABLE {name}")
     return cut.withColumnsRenamed(dict(zip(("k1", "k2"), keys)))
 
 
