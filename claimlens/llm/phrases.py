@@ -176,9 +176,10 @@ def _spans(batches: Iterator[pa.RecordBatch], size: int, span: int) -> Iterator[
 
     def together() -> _Span:
         names = sorted({lang for _, lang in held})
+        at = {name: i for i, name in enumerate(names)}
         lengths = np.array([len(t) + 1 for t, _ in held])
         data = b"\n".join(t for t, _ in held)
-        return _Span(data, np.cumsum(lengths) - lengths, np.array([names.index(lang) for _, lang in held]), names, len(data) + 1)
+        return _Span(data, np.cumsum(lengths) - lengths, np.array([at[lang] for _, lang in held]), names, len(data) + 1)
 
     for batch in bounded(batches):
         for text, lang in zip(as_bytes(batch.column("text")), as_bytes(batch.column("lang"))):

@@ -163,7 +163,7 @@ def key(r):
 ROWS = groups()
 
 
-@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 6, "LEGS": 4, "PIVOTS": 3}, {"BLOCK": 5, "SMALLER": 0.1}, {"BLOCK_ITEMS": 60, "DEPTH": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 6, "LEGS": 4, "PIVOTS": 3}, {"BLOCK": 5, "BLOCK_ITEMS": 60, "SMALLER": 0.1, "DEPTH": 1}])
 def test_metric_join(spark, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(regions, name, value)
