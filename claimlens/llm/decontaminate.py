@@ -22,6 +22,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ WINDOW = 13
 SLOP = 3
 #: Words of test items that are searched for, and broadcast, at once.
 SLICE_WORDS = 1_000_000
-#: Terms that a task counts before it sends the counts on.
-COUNTED_TERMS = 100_000
+#: More than any posting, which is a document's place and a word's.
+LAST = np.iinfo(np.int64).max
 #: A-Z to a-z; other ASCII than letters and digits to a space; bytes of non-ASCII characters stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -68,45 +69,52 @@ def index(documents: DataFrame) -> DataFrame:
     return written(per_batch(documents.select("doc_id", "text"), SEGMENT, segment), "index")
 
 
+def _wanted(column: pa.ListArray, row: int, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a segment's terms are among terms: their places in the segment, and in terms."""
+    offsets = column.offsets
+    found = pc.index_in(column.values.slice(offsets[row].as_py(), offsets[row + 1].as_py() - offsets[row].as_py()), value_set=terms)
+    at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+    return at, found.drop_null().to_numpy(zero_copy_only=False)
+
+
 def frequencies(segments: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
     """Postings in the whole corpus of those of the terms that it has."""
-    wanted = segments.sparkSession.sparkContext.broadcast(terms)
-    arrow = fields("term binary, n bigint", segments.sparkSession)
+    names = sorted(terms)
+    sent = segments.sparkSession.sparkContext.broadcast(names)
+    arrow = fields("term int, n bigint", segments.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[bytes, int] = {}
+        wanted = pa.array(sent.value, pa.binary())
+        totals = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for names, ends in zip(batch.column("terms").to_pylist(), batch.column("ends").to_pylist()):
-                for term, n in zip(names, np.diff(ends, prepend=0).tolist()):
-                    if term in wanted.value:
-                        totals[term] = totals.get(term, 0) + n
-            if len(totals) > COUNTED_TERMS:
-                yield to_batch({"term": list(totals), "n": list(totals.values())}, arrow)
-                totals = {}
-        if totals:
-            yield to_batch({"term": list(totals), "n": list(totals.values())}, arrow)
-
-    counted = segments.select("terms", "ends").mapInArrow(tidy(run), "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return {bytes(r["term"]): r["n"] for r in counted.collect()}  # at most the slice's terms
-
-
-def _rarest_first(items: list[tuple], known: dict[bytes, int], size: int) -> dict[bytes, list[tuple]]:
-    """Windows by their rarest term: (place of that term, length, the other terms and places from rare to frequent, items)."""
+            for row, ends in enumerate(batch.column("ends").to_pylist()):
+                at, term = _wanted(batch.column("terms"), row, wanted)
+                totals[term] += np.diff(ends, prepend=0)[at]
+        held = np.flatnonzero(totals)
+        yield to_batch({"term": held, "n": totals[held]}, arrow)
+
+    counted = segments.select("terms", "ends").mapInArrow(tidy(run), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return {names[r["term"]]: r["n"] for r in counted.collect()}  # at most the slice's terms
+
+
+def _rarest_first(items: list[tuple], known: dict[bytes, int], size: int) -> tuple[list[bytes], dict[int, list[tuple]]]:
+    """The terms of windows that may occur, and these windows by their rarest term, a place in the terms: (place of that term in the window, length, the other terms and places from rare to frequent, items)."""
     holders: dict[tuple, list[int]] = defaultdict(list)
     for i, (_, words) in enumerate(items):
         for window in set(windows_of(words, size)):
             holders[window].append(i)
-    out: dict[bytes, list[tuple]] = defaultdict(list)
+    holders = {window: owners for window, owners in holders.items() if all(t in known for t in window)}
+    terms = sorted({t for window in holders for t in window})
+    number = {t: i for i, t in enumerate(terms)}
+    out: dict[int, list[tuple]] = defaultdict(list)
     for window, owners in holders.items():
-        if all(t in known for t in window):
-            places = sorted(range(len(window)), key=lambda p: (known[window[p]], p))
-            out[window[places[0]]].append((places[0], len(window), [(window[p], p) for p in places[1:]], owners))
-    return dict(out)
+        places = sorted(range(len(window)), key=lambda p: (known[window[p]], p))
+        out[number[window[places[0]]]].append((places[0], len(window), [(number[window[p]], p) for p in places[1:]], owners))
+    return terms, dict(out)
 
 
 def _holds(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(keys, wanted)
-    return keys[np.minimum(at, len(keys) - 1)] == wanted
+    return keys[keys.searchsorted(wanted)] == wanted
 
 
 def _together(around: np.ndarray, lists, counts: Counter, width: int) -> np.ndarray:
@@ -115,47 +123,48 @@ def _together(around: np.ndarray, lists, counts: Counter, width: int) -> np.ndar
     good = np.ones(start.shape, bool)
     for term, n in counts.items():
         held = lists(term)
-        good &= np.searchsorted(held, start + width) - np.searchsorted(held, start) >= n
+        good &= held.searchsorted(start + width) - held.searchsorted(start) >= n
         if not good.any():
             break
     return good.any(1)
 
 
-def _search(plan: dict[bytes, list[tuple]], slop: int):
+def _search(terms: list[bytes], plan: dict[int, list[tuple]], slop: int):
     """Spans and items of each document of a segment: exact matches, and the items of near ones."""
+    wanted = pa.array(terms, pa.binary())
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("seg", "ord", "doc_id", "n_words", "spans", "items", "near")}
-        for seg, doc_ids, sizes, terms, ends, docs, at in zip(*(batch.column(c).to_pylist() for c in ("seg", "doc_ids", "n_words", "terms", "ends", "docs", "at"))):
-            keys = (np.frombuffer(docs, "<u2").astype(np.int64) << 32) | np.frombuffer(at, "<u4")
-            bounds = dict(zip(terms, zip([0, *ends], ends)))
-            lists = lambda t: keys[slice(*bounds[t])]  # noqa: E731, B023
+        for row, (seg, doc_ids, sizes, ends, docs, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seg", "doc_ids", "n_words", "ends", "docs", "at")))):
+            ends, docs, at = np.concatenate([[0], ends]).astype(np.int64), np.frombuffer(docs, "<u2"), np.frombuffer(at, "<u4")
+            # Each list ends with a number that no posting has.
+            lists = {term: np.append(docs[ends[i] : ends[i + 1]].astype(np.int64) << 32 | at[ends[i] : ends[i + 1]], LAST) for i, term in zip(*(x.tolist() for x in _wanted(batch.column("terms"), row, wanted)))}
             spans: dict[int, set] = defaultdict(set)
             items: dict[int, set] = defaultdict(set)
             near: dict[int, set] = defaultdict(set)
-            for term in plan.keys() & bounds.keys():
-                own = lists(term)
+            for term in plan.keys() & lists.keys():
+                own = lists[term][:-1]
                 for place, length, others, owners in plan[term]:
-                    if any(t not in bounds for t, _ in others):
+                    if any(t not in lists for t, _ in others):
+                        continue
+                    # Near its rarest term are all a window's terms wherever it occurs, so what isn't near need not be looked at.
+                    around, reach = own, length - 1 + slop
+                    for t, _ in others:
+                        held = lists[t]
+                        around = around[held[held.searchsorted(around - reach)] <= around + reach]
+                        if not around.size:
+                            break
+                    if not around.size:
                         continue
-                    begin = own[(own & 0xFFFFFFFF) >= place] - place
+                    begin = around[(around & 0xFFFFFFFF) >= place] - place
                     for t, p in others:
                         if not len(begin):
                             break
-                        begin = begin[_holds(lists(t), begin + p)]
+                        begin = begin[_holds(lists[t], begin + p)]
                     for key in begin.tolist():
                         spans[key >> 32].add((key & 0xFFFFFFFF, length))
                         items[key >> 32].update(owners)
-                    around, reach = own, length - 1 + slop
-                    for t, _ in others:
-                        if not len(around):
-                            break
-                        held = lists(t)
-                        first = np.searchsorted(held, np.maximum(around - reach, around >> 32 << 32))
-                        around = around[(first < len(held)) & (np.abs(held[np.minimum(first, len(held) - 1)] - around) <= reach)]
-                    if len(around):
-                        around = around[_together(around, lists, Counter([term, *(t for t, _ in others)]), length + slop)]
-                    for key in around.tolist():
+                    for key in around[_together(around, lists.__getitem__, Counter([term, *(t for t, _ in others)]), length + slop)].tolist():
                         near[key >> 32].update(owners)
             for i, (doc_id, n) in enumerate(zip(doc_ids, sizes)):
                 out["seg"].append(seg)
@@ -199,12 +208,13 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
     for items in _slices(benchmark):
         names = ["null" if i is None else str(i) for i, _ in items]
         known = frequencies(segments, {w for _, words in items for w in words})
-        plan = spark.sparkContext.broadcast((_rarest_first(items, known, window), names))
+        plan = spark.sparkContext.broadcast((*_rarest_first(items, known, window), names))
 
         def work(batch: pa.RecordBatch, plan=plan) -> dict[str, list]:
-            out = _search(plan.value[0], slop)(batch)
+            terms, windows, called = plan.value
+            out = _search(terms, windows, slop)(batch)
             for column in ("items", "near"):
-                out[column] = [sorted({plan.value[1][i] for i in row}) for row in out[column]]
+                out[column] = [sorted({called[i] for i in row}) for row in out[column]]
             return out
 
         found.append(per_batch(segments, FOUND, work))
