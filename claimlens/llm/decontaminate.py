@@ -69,10 +69,15 @@ def index(documents: DataFrame) -> DataFrame:
     return written(per_batch(documents.select("doc_id", "text"), SEGMENT, segment), "index")
 
 
+def _part(column: pa.ListArray, row: int) -> pa.Array:
+    """One row's values."""
+    begin, end = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
+    return column.values.slice(begin, end - begin)
+
+
 def _wanted(column: pa.ListArray, row: int, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Which of a segment's terms are among terms: their places in the segment, and in terms."""
-    offsets = column.offsets
-    found = pc.index_in(column.values.slice(offsets[row].as_py(), offsets[row + 1].as_py() - offsets[row].as_py()), value_set=terms)
+    found = pc.index_in(_part(column, row), value_set=terms)
     at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
     return at, found.drop_null().to_numpy(zero_copy_only=False)
 
@@ -87,9 +92,9 @@ def frequencies(segments: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
         wanted = pa.array(sent.value, pa.binary())
         totals = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for row, ends in enumerate(batch.column("ends").to_pylist()):
+            for row in range(batch.num_rows):
                 at, term = _wanted(batch.column("terms"), row, wanted)
-                totals[term] += np.diff(ends, prepend=0)[at]
+                totals[term] += np.diff(_part(batch.column("ends"), row).to_numpy(), prepend=0)[at]
         held = np.flatnonzero(totals)
         yield to_batch({"term": held, "n": totals[held]}, arrow)
 
@@ -135,8 +140,8 @@ def _search(terms: list[bytes], plan: dict[int, list[tuple]], slop: int):
 
     def work(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("seg", "ord", "doc_id", "n_words", "spans", "items", "near")}
-        for row, (seg, doc_ids, sizes, ends, docs, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seg", "doc_ids", "n_words", "ends", "docs", "at")))):
-            ends, docs, at = np.concatenate([[0], ends]).astype(np.int64), np.frombuffer(docs, "<u2"), np.frombuffer(at, "<u4")
+        for row, (seg, doc_ids, sizes, docs, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seg", "doc_ids", "n_words", "docs", "at")))):
+            ends, docs, at = np.concatenate([[0], _part(batch.column("ends"), row).to_numpy()]).astype(np.int64), np.frombuffer(docs, "<u2"), np.frombuffer(at, "<u4")
             # Each list ends with a number that no posting has.
             lists = {term: np.append(docs[ends[i] : ends[i + 1]].astype(np.int64) << 32 | at[ends[i] : ends[i + 1]], LAST) for i, term in zip(*(x.tolist() for x in _wanted(batch.column("terms"), row, wanted)))}
             spans: dict[int, set] = defaultdict(set)
