@@ -42,11 +42,6 @@ def exact(claims: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     return claims.withColumn("key", cache_key(F.col("text"))).join(held, "key", "left")
 
 
-def missing(claims: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
-    """Claims without a live entry."""
-    return claims.withColumn("key", cache_key(F.col("text"))).join(live(cache, now).select("key"), "key", "left_anti").drop("key")
-
-
 def invalidate(cache: DataFrame, texts: DataFrame) -> DataFrame:
     """The cache without the entries of these texts."""
     return cache.join(texts.select(cache_key(F.col("text")).alias("key")), "key", "left_anti").select(cache.columns)

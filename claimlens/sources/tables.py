@@ -13,11 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def transcripts(spark: SparkSession, source: str) -> DataFrame:
-    """Text files of a folder or pattern, one row each, with the file as its source_url."""
-    return spark.read.text(source, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source_url"))
-
-
 def gold(spark: SparkSession, path: str) -> DataFrame:
     """The gold claims: a JSON array of id, claim, verdict, explanation, sources."""
     return spark.read.option("multiLine", True).json(path)

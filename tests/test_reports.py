@@ -16,6 +16,7 @@ from claimlens.functions import text as T
 from claimlens.operators import cache, evaluate, evolve, flow, render
 from claimlens.sources import ingest
 from claimlens.sources.evidence import GovernmentData, relevant, site_query, web_query
+from claimlens.sources.tables import gold
 
 NOW = datetime(2024, 3, 1)
 
@@ -297,6 +298,15 @@ def test_transcripts(spark, tmp_path):
     assert ingest.ingest(spark, "a text of its own")[0].first()["word_count"] == 5
 
 
+def test_gold_claims_of_a_file(spark, tmp_path):
+    rows = [{"id": i, "claim": c, "verdict": v, "explanation": "e", "sources": ["R1"], "topic": "t"} for i, (c, v) in enumerate(GOLD, 1)]
+    (tmp_path / "gold.json").write_text(json.dumps(rows, indent=1))
+    told = gold(spark, f"file://{tmp_path}/gold.json")
+    assert told.count() == 29 and told.schema["sources"].dataType.simpleString() == "array<string>"
+    found = told.select(F.col("id").alias("ref_id"), "claim", "verdict")
+    assert {r["ref_id"] for r in evaluate.matches(found, spark.createDataFrame([(0, GOLD[4][0])], "pos int, text string"), combined=False).where("matched").collect()} >= {5}
+
+
 def test_sources(spark):
     claims = spark.createDataFrame([(1, "Inflation fell"), (2, "a dinner")], "claim_id int, text string")
     seen = spark.createDataFrame([("CPIAUCSL", "2024-01-01", 3.1), ("CPIAUCSL", "2024-02-01", 3.2)], "series string, date string, value double")
