@@ -210,6 +210,22 @@ def test_feed_as_rows(spark, tmp_path):
     assert ids(empty) == [] and "<generator>claimlens</generator>" in empty
 
 
+def test_feed_is_not_collected(spark):
+    """The document is put together by a file's writer; numbers are in their order, and nothing stands after the last element."""
+    from claimlens.operators import render
+
+    rows = [(i, None if i == 5 else DAY, None if i == 6 else f"<item>\n{i} > é\n</item>") for i in (10, 9, 100, 5, 6)]
+    items = spark.createDataFrame(rows, "report_id int, created_at timestamp, item string").repartition(3)
+    df = render.feed(items, "T", "https://x", "D", F.lit(DAY))
+    assert df.columns == ["feed"] and "Aggregate" not in df._jdf.queryExecution().toString()
+    (row,) = df.collect()
+    head, foot = (line["line"] for line in render.feed_lines(items, "T", "https://x", "D", F.lit(DAY)).where("part <> 1").sort("part").collect())
+    assert row["feed"] == "\n".join([head, *(f"<item>\n{i} > é\n</item>" for i in (5, 9, 10, 100)), foot])
+    assert [r["feed"].count("<item>") for r in render.feed(items, "T", "https://x", "D", F.lit(DAY), most=3).collect()] == [2]  # 6, 9 and 10; 6 has none
+    with pytest.raises(Exception, match="has to be an element"):
+        render.feed(items.withColumn("item", F.lit("text")), "T", "https://x", "D", F.lit(DAY))
+
+
 def test_scratch_goes(spark):
     from claimlens.sources import scratch
 
