@@ -12,24 +12,29 @@ from pyspark.sql.types import StructType
 
 from ..fixed import DATA_SIGNALS, GOLD_POSITION, LABEL_POSITION, SOURCE_NAMES, SOURCE_SIGNALS, UNKNOWN_POSITION  # noqa: F401
 from ..functions.joins import spread_join
-from ..functions.similarity import Sides, best_combined
+from ..functions.similarity import Sides, Tokens, best_combined, best_shared
 from ..functions.text import explanation_quality, jaccard, parsimony, source_citation, tokens
 from ..sources.scratch import kept
 from .rubric import lookup
 
 #: Least similarity of a match; gold rows that one block of the combined match sends to every task.
 THRESHOLD, GOLD_BLOCK = 0.20, 1_000
+#: Rows of the smaller side up to which the match by shared tokens sends them to every task too; of larger sides it makes an index.
+HELD = 4_000
 
 
-def _combined(gold: DataFrame, extracted: DataFrame) -> DataFrame:
+def _streamed(gold: DataFrame, extracted: DataFrame, combined: bool, most: int | None = None) -> DataFrame | None:
     """ref_id, pos, similarity of candidates for the best match of gold rows (ref_id, claim, ta) with extracted texts (pos, text, tb).
 
-    The side with fewer rows goes to every task, in blocks of at most about GOLD_BLOCK rows, and the other streams by; a task
+    None if both sides have more than most rows.  The side with fewer rows goes to every task, in blocks of at most about GOLD_BLOCK rows, and the other streams by; a task
     keeps one candidate a row, so nothing is as large as the pairs are many.
     """
     spark = gold.sparkSession
     sides = gold.select(F.col("ref_id").alias("id"), F.col("ta").alias("tokens"), F.col("claim").alias("text")), extracted.select(F.col("pos").alias("id"), F.col("tb").alias("tokens"), "text")
+    sides = sides if combined else tuple(s.drop("text") for s in sides)
     sizes = [s.count() for s in sides]
+    if most is not None and min(sizes) > most:
+        return None
     per_held = sizes[0] <= sizes[1]
     small, large = sides if per_held else sides[::-1]
     blocks = max(1, -(-min(sizes) // GOLD_BLOCK))
@@ -39,10 +44,10 @@ def _combined(gold: DataFrame, extracted: DataFrame) -> DataFrame:
     out = []
     for block in range(blocks):
         rows = small.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()  # about GOLD_BLOCK rows
-        sent = spark.sparkContext.broadcast(([r["id"] for r in rows], [r["tokens"] for r in rows], [r["text"] for r in rows]))
+        sent = spark.sparkContext.broadcast([[r[c] for r in rows] for c in small.columns])
 
         def run(batches, sent=sent):
-            for found in best_combined(Sides(*sent.value), batches, per_held):
+            for found in best_combined(Sides(*sent.value), batches, per_held) if combined else best_shared(Tokens(*sent.value), batches, per_held):
                 yield pa.RecordBatch.from_pydict(dict(zip(names, found)), schema=arrow)
 
         out.append(large.mapInArrow(run, schema))
@@ -97,15 +102,19 @@ def _jaccard(gold: DataFrame, extracted: DataFrame) -> DataFrame:
 def best_match(gold: DataFrame, extracted: DataFrame, combined: bool = False) -> DataFrame:
     """ref_id, matched_claim, similarity of each gold row (ref_id, claim): the extracted text (pos, text) most alike.
 
-    Plain similarity is the share of common tokens, found by an index from the rarest tokens on.  The combined similarity also
+    Plain similarity is the share of common tokens.  If one side has at most HELD rows, every task counts what its rows share with these,
+    and only a best row a task is shuffled; of two larger sides pairs are found by an index from the rarest tokens on.  The combined similarity also
     takes the token-set ratio, which sees parts of words, so every extracted text is held against the whole gold set;
     bounds leave few pairs to compare in full.  Of equal similarities the first text by pos counts.
     """
     g = gold.select("ref_id", F.col("claim"), tokens(F.col("claim")).alias("ta"))
     e = extracted.select("pos", "text", tokens(F.col("text")).alias("tb"))
-    both = _combined(g, e) if combined else _jaccard(g.select("ref_id", F.col("ta").alias("tokens")), e.select("pos", F.col("tb").alias("tokens")))
+    both = _streamed(g, e, combined, None if combined else HELD)
+    if both is None:
+        both = _jaccard(g.select("ref_id", F.col("ta").alias("tokens")), e.select("pos", F.col("tb").alias("tokens")))
     best = both.where("similarity > 0").groupBy("ref_id").agg(F.max(F.struct("similarity", (-F.col("pos")).alias("pos"))).alias("x"))
-    named = best.select("ref_id", F.col("x.similarity").alias("similarity"), (-F.col("x.pos")).alias("pos")).join(extracted.select("pos", F.col("text").alias("matched_claim")), "pos", "left")
+    # Written, so that its size is known: few best rows go to the texts, not all texts to them.
+    named = extracted.select("pos", F.col("text").alias("matched_claim")).join(kept(best.select("ref_id", F.col("x.similarity").alias("similarity"), (-F.col("x.pos")).alias("pos")), "best"), "pos")
     return gold.select("ref_id").join(named, "ref_id", "left").select("ref_id", "matched_claim", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
@@ -125,9 +134,10 @@ def matches(gold: DataFrame, extracted: DataFrame, combined: bool = True, thresh
 def verdict_for(rows: DataFrame, verdicts: DataFrame, combined: bool = True, least: float = 0.1) -> DataFrame:
     """The verdict (pos, claim_text, label, explanation) most like each row's matched_claim, by ref_id; over least, or none."""
     asked = rows.where("matched_claim is not null").select("ref_id", F.col("matched_claim").alias("claim"))
-    found = best_match(asked, verdicts.select("pos", F.col("claim_text").alias("text")), combined).where(F.col("similarity") > least)
-    # Of verdicts with one text the first.
-    first = verdicts.groupBy("claim_text").agg(F.min(F.struct("pos", "label", "explanation")).alias("x")).select(F.col("claim_text").alias("matched_claim"), "x.label", "x.explanation")
+    found = kept(best_match(asked, verdicts.select("pos", F.col("claim_text").alias("text")), combined).where(F.col("similarity") > least), "found")
+    # Of verdicts with one text the first; only of texts that were found.
+    told = verdicts.join(found.select(F.col("matched_claim").alias("claim_text")), "claim_text", "left_semi")
+    first = told.groupBy("claim_text").agg(F.min(F.struct("pos", "label", "explanation")).alias("x")).select(F.col("claim_text").alias("matched_claim"), "x.label", "x.explanation")
     return found.select("ref_id", "matched_claim").join(first, "matched_claim").drop("matched_claim")
 
 
@@ -137,7 +147,7 @@ def run_fitness(gold: DataFrame, extracted: DataFrame, verdicts: DataFrame, toke
     gold: ref_id, claim, verdict; extracted: pos, text, is_checkable; verdicts: pos, claim_text, label, explanation.
     """
     asked = extracted.where(F.coalesce("is_checkable", F.lit(True)))
-    found = matches(gold, asked, combined)
+    found = kept(matches(gold, asked, combined), "matches")  # three ways are read from it
     told = found.where("matched").join(verdict_for(found.where("matched"), verdicts, combined), "ref_id", "left")
     agree = F.when(F.col("label").isNotNull(), agreement(F.col("verdict"), F.col("label")))
     sums = found.agg(F.count_if("matched").alias("matched_count"), F.count(F.lit(1)).alias("references"))
@@ -199,7 +209,9 @@ def asked_of(found: DataFrame, gold: DataFrame) -> DataFrame:
 def eval_rows(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """A row for each question (ref_id, claim_text, ref_verdict), with its answer (ref_id, label, confidence, explanation) or what stands for none,
     agreement_score, mark and n, its place from the least agreement on, ties by ref_id."""
-    told = asked.join(answers.select("ref_id", "label", "confidence", "explanation"), "ref_id", "left")
+    asked = kept(asked, "asked")
+    own = answers.select("ref_id", "label", "confidence", "explanation").join(asked.select("ref_id"), "ref_id", "left_semi")
+    told = asked.join(own, "ref_id", "left")
     score = agreement(F.col("ref_verdict"), F.coalesce("label", F.lit("Unverifiable")))
     rows = told.select("ref_id", "claim_text", "ref_verdict", F.coalesce("label", F.lit("?")).alias("label"), F.coalesce("confidence", F.lit("?")).alias("confidence"), F.coalesce("explanation", F.lit("")).alias("explanation"), score.alias("agreement_score"))
     # A gold set's rows: a table that people wrote.

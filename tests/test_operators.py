@@ -201,6 +201,44 @@ def test_best_match_equals_all_pairs(spark):
     assert {r["ref_id"]: (round(r["similarity"], 12), r["matched_claim"]) for r in evaluate.best_match(*tables).collect()} == want
 
 
+def test_few_gold_rows_are_sent_and_texts_stay(spark, monkeypatch):
+    """One side of few rows: the same rows as by the index, either way round, and texts aren't shuffled."""
+    rng = random.Random(5)
+    text = lambda: " ".join(f"t{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(0, 9)))
+    few = [(i, text()) for i in range(30)] + [(50, None), (51, ""), (52, "nowhere"), (53, "t1"), (54, "T1, t1")]
+    many = [(i, text()) for i in range(900, 0, -1)] + [(1000, None), (1001, few[0][1]), (1002, few[0][1])]
+    gold = lambda rows: spark.createDataFrame(rows, "ref_id int, claim string").repartition(3)
+    texts = lambda rows: spark.createDataFrame(rows, "pos int, text string").repartition(4)
+    monkeypatch.setattr(S, "PAIRS", 1 << 12)
+    for a, b in ((few, many), (many, few)):
+        monkeypatch.setattr(evaluate, "_jaccard", lambda *_: pytest.fail("an index was made"))
+        sent = sorted(evaluate.best_match(gold(a), texts(b)).collect())
+        monkeypatch.undo()
+        monkeypatch.setattr(evaluate, "HELD", 10)
+        assert sent == sorted(evaluate.best_match(gold(a), texts(b)).collect()) and len(sent) == len(a)
+        monkeypatch.undo()
+    best = evaluate.best_match(gold(few), spark.range(1000).select(F.col("id").alias("pos"), F.lit("t1").alias("text")))
+    best.collect()
+    assert "SortMergeJoin" not in best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_a_run_matches_once(spark, monkeypatch):
+    """Each of a run's two matches reads the texts by one pass for its best rows, however often its rows are used."""
+    calls = spark.sparkContext.accumulator(0)
+    gold = spark.createDataFrame([(1, "a b c", "TRUE"), (2, "d e f", "FALSE")], "ref_id int, claim string, verdict string")
+    found = spark.createDataFrame([(1, "a b c", None), (2, "d e x", None)], "pos int, text string, is_checkable boolean")
+    said = spark.createDataFrame([(1, "a b c", "True", "x"), (2, "a b c", "False", "y"), (3, "other", "odd", "z")], "pos int, claim_text string, label string, explanation string")
+    inner = evaluate.best_combined
+
+    def counted(held, batches, per_held):
+        calls.add(1 if held.ids else 0)
+        return inner(held, batches, per_held)
+
+    monkeypatch.setattr(evaluate, "best_combined", counted)
+    row = evaluate.run_fitness(gold, found.coalesce(1), said.coalesce(1)).first()
+    assert calls.value == 2 and row["matched_count"] == 2 and row["total_extracted"] == 2
+
+
 def test_common_subsequence_left_off_early():
     rng = random.Random(3)
     for _ in range(400):
