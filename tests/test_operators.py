@@ -4,6 +4,7 @@ import random
 import re
 import textwrap
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,23 @@ def test_a_run_matches_once(spark, monkeypatch):
     assert calls.value == 2 and row["matched_count"] == 2 and row["total_extracted"] == 2
 
 
+def test_many_texts_are_compared_at_once(monkeypatch):
+    """A text's common subsequences with many others by one run of steps: empty texts, whole bytes, letters the others lack."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abc 1", k=k)) for k in [0, 1, 7, 8, 9, 15, 16, 17, *(rng.randint(0, 90) for _ in range(60))]]
+    lined = S.Lined(texts)
+    for other in ["", "zz", *texts, *("".join(rng.choices("abcz ", k=rng.randint(0, 99))) for _ in range(30))]:
+        rows = sorted(rng.sample(range(len(texts)), rng.randint(1, len(texts))))
+        assert lined.common(other, np.array(rows)).tolist() == [S.subsequence(texts[i], other) for i in rows]
+    ours, theirs = (["".join(rng.choices("ab ", k=rng.randint(1, 12))) for _ in range(70)] for _ in range(2))
+    least, want = [rng.choice([70, 85, 100]) for _ in ours], []
+    for i, a in enumerate(ours):
+        want += [(i, j, round(S.ratio(a, b))) for j, b in enumerate(theirs) if round(S.ratio(a, b)) >= least[i]]
+    monkeypatch.setattr(S, "LINED", 16)
+    monkeypatch.setattr(S, "common_at_least", lambda *_: pytest.fail("one pair at a time"))
+    assert sorted(S.near_pairs(ours, least, theirs)) == want and len(want) > 50
+
+
 def test_common_subsequence_left_off_early():
     rng = random.Random(3)
     for _ in range(400):
