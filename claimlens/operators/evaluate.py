@@ -146,7 +146,8 @@ def run_fitness(gold: DataFrame, extracted: DataFrame, verdicts: DataFrame, toke
 
     gold: ref_id, claim, verdict; extracted: pos, text, is_checkable; verdicts: pos, claim_text, label, explanation.
     """
-    asked = extracted.where(F.coalesce("is_checkable", F.lit(True)))
+    # Both are read several times, and may be costly to make.
+    asked, verdicts = kept(extracted.where(F.coalesce("is_checkable", F.lit(True))), "extracted"), kept(verdicts, "said")
     found = kept(matches(gold, asked, combined), "matches")  # three ways are read from it
     told = found.where("matched").join(verdict_for(found.where("matched"), verdicts, combined), "ref_id", "left")
     agree = F.when(F.col("label").isNotNull(), agreement(F.col("verdict"), F.col("label")))

@@ -297,3 +297,35 @@ def test_settings(spark):
         with pytest.raises(ValueError):
             settings(spark, {"CLAIMLENS_CACHE_TTL_DAYS": bad})
     assert read_env("# A=1\n\n B = 2=3 \nB=4\nnothing\nC=") == {"B": "2=3", "C": ""}
+
+
+def test_pairs_are_compared_letter_by_letter_at_once(monkeypatch):
+    """A combined match's pairs are lined up, each with texts of its own: empty ones, whole words of 64 letters, one pair a block."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abc 1", k=k)) for k in [0, 1, 63, 64, 65, 127, 128, 129, *(rng.randint(0, 200) for _ in range(60))]]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(300)]
+    for bits in (S.BLOCK_BITS, 1):
+        monkeypatch.setattr(S, "BLOCK_BITS", bits)
+        assert S.common_of_pairs(*map(list, zip(*pairs))).tolist() == [S.subsequence(a, b) for a, b in pairs]
+    assert S.common_of_pairs([], []).tolist() == []
+    sets = [(set(a.split()) or {"a"}, set(b.split()) or {"b"}) for a, b in pairs]
+    assert S.whole_ratios(sets).tolist() == [S.whole_ratio(x, y) for x, y in sets]
+
+
+def test_a_combined_match_compares_no_pair_by_itself(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "common_at_least", lambda *_: pytest.fail("one pair at a time"))
+    monkeypatch.setattr(S, "TRIED", 1)
+    rng = random.Random(6)
+    words = ["tax", "taxes", "job", "jobs", "rate", "rates", "fell", "2024", "Border"]
+    one, two = ([" ".join(rng.choices(words, k=rng.randint(0, 6))) or None for _ in range(n)] for n in (25, 70))
+    cut = lambda texts: [sorted(set((t or "").lower().split())) for t in texts]
+    shares = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    alike = [[(shares(set(x), set(y)) + S.token_set(a, b) / 100.0) / 2 for y, b in zip(cut(two), two)] for x, a in zip(cut(one), one)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(70)), "tokens": cut(two), "text": two})
+    held = S.Sides(list(range(25)), cut(one), one)
+    per_held = {x: (y, s) for x, y, s in zip(*next(S.best_combined(held, iter([batch.slice(0, 30), batch.slice(30)]), True)))}
+    assert per_held == {i: (row.index(max(row)), max(row)) for i, row in enumerate(alike) if max(row) > 0}
+    per_row = {y: (x, s) for found in S.best_combined(held, iter([batch]), False) for x, y, s in zip(*found)}
+    assert per_row == {j: (row.index(max(row)), max(row)) for j, row in enumerate(map(list, zip(*alike))) if max(row) > 0}
