@@ -329,3 +329,24 @@ def test_a_combined_match_compares_no_pair_by_itself(monkeypatch):
     assert per_held == {i: (row.index(max(row)), max(row)) for i, row in enumerate(alike) if max(row) > 0}
     per_row = {y: (x, s) for found in S.best_combined(held, iter([batch]), False) for x, y, s in zip(*found)}
     assert per_row == {j: (row.index(max(row)), max(row)) for j, row in enumerate(map(list, zip(*alike))) if max(row) > 0}
+
+
+def test_texts_are_looked_up_once_however_many_claims_have_them(spark, monkeypatch):
+    from claimlens.operators import flow
+
+    calls, inner = spark.sparkContext.accumulator(0), cache.bags
+
+    def counting(text):
+        calls.add(1)
+        return text
+
+    monkeypatch.setattr(cache, "bags", lambda text: inner(F.udf(counting, "string")(text)))
+    rows = [(i, i, "Jobs grew by ten percent" if i % 2 else "Wages fell in every state") for i in range(200)] + [(200, 200, None)]
+    claims = spark.createDataFrame(rows, "claim_id int, pos int, text string").coalesce(1)
+    now = F.to_timestamp(F.lit("2024-03-01"))
+    held = spark.createDataFrame([("k", "Jobs grew by ten percents")], "key string, claim_text string").select("key", "claim_text", now.alias("cached_at"), F.lit(None).cast("timestamp").alias("expires_at"))
+    assert sorted(map(tuple, cache.lookup(claims, held, now).collect())) == [(i, "k", 98) for i in range(1, 200, 2)]
+    assert calls.value <= 20
+    told = {r["claim_id"]: (r["by"], r["key"]) for r in flow.in_order(claims, held, now).collect()}
+    assert told == {i: (None, "k") if i % 2 else (0 if 0 < i < 200 else None, None) for i in range(201)}
+    assert calls.value <= 50
