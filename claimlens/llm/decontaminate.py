@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fields, fresh, per_batch, tidy, to_batch, tune, written
+from .common import LARGE_ROWS, as_bytes, fields, fresh, per_batch, tidy, to_batch, tune, written
 
 WINDOW = 13
 #: Words between a window's terms, beyond its own, that a proximity match may have.
@@ -66,7 +66,7 @@ def index(documents: DataFrame) -> DataFrame:
         ends = np.cumsum(np.bincount(code, minlength=len(ids)))
         return {"seg": [uuid.uuid4().hex], "doc_ids": [batch.column("doc_id").to_pylist()], "n_words": [sizes.tolist()], "terms": [list(ids)], "ends": [ends.tolist()], "docs": [doc[order].astype("<u2").tobytes()], "at": [at[order].astype("<u4").tobytes()]}
 
-    return written(per_batch(documents.select("doc_id", "text"), SEGMENT, segment), "index")
+    return written(per_batch(documents.select("doc_id", "text"), SEGMENT, segment), "index", LARGE_ROWS)
 
 
 def _part(column: pa.ListArray, row: int) -> pa.Array:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,6 +287,16 @@ def test_proximity(spark):
     assert got == {1: ([], ["9"]), 2: ([], [])}
 
 
+def test_index_is_read_a_few_segments_at_once(spark):
+    """A task that reads the index holds a row group of it; segments have megabytes."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["a", "b", "cc", "dd", "eee"], k=300_000))) for i in range(20)]
+    segments = decontaminate.index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    groups = [m.row_group(i) for f in segments.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == segments.count() > 4
+    assert max(g.total_byte_size for g in groups) < 32 << 20 < sum(g.total_byte_size for g in groups)
+
+
 def test_keep_clean_goes_by_row(spark):
     passage = prose(30)
     rows = [(1, passage), (1, prose(50)), (None, passage + " a"), (None, prose(40)), (2, None), (3, prose(5))]
